@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from .near_dup import near_duplicates
 from .packing import pack_sequences
+from .quality_rules import fit, judged, measured
+from .storage import written
 from .substring_dedup import substring_dedup
 from .topk import exact_top_k
 
@@ -34,11 +36,19 @@ def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    docs = measured(_table(spark, sf_dir, "documents"))
+    stats = written(docs.select("doc_id", "lang", "source", "n_lines", *base), "statistics")
+    return judged(stats, *fit(stats)).select("doc_id", *base, "kept", "outlier_distance")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op6_near_dup": op6_near_dup,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_exact_topk": op8_exact_topk,
+    "op9_quality_rules": op9_quality_rules,
 }
 
 ORACLES: dict[str, str] = {
