@@ -13,6 +13,7 @@ from .quality_rules import fit, judged, measured
 from .storage import written
 from .substring_dedup import substring_dedup
 from .topk import exact_top_k
+from .warc import read_records, typed, write_archives
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +25,12 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = write_archives(typed(_table(spark, sf_dir, "pages"), least=1000))
+    back = read_records(index, with_payload=False)
+    return back.select(F.col("record_id").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to")
+
+
 def op6_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, percent=80)
 
@@ -45,6 +52,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_warc": op2_warc,
     "op6_near_dup": op6_near_dup,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_exact_topk": op8_exact_topk,
@@ -52,6 +60,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_warc": """
+        WITH p AS (
+            SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+        ), g AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS last, payload_bytes >= 1000 AS large FROM p)
+        SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+               CASE WHEN large AND page_id IS DISTINCT FROM last THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN large AND page_id IS DISTINCT FROM last THEN last END AS refers_to
+        FROM g""",
     "op8_exact_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
