@@ -2,9 +2,8 @@
 
 Texts with equal shingle sets form one class; only classes are compared. A bucket of n classes gives n - 1 candidate
 edges, from its smallest class to each other one, and every candidate is confirmed on the full shingle sets. Confirmed
-links give components. What stars alone would lose is then settled exactly: only where one bucket still holds classes of
-different components, pairs across those components are compared as well, so a bucket whose members the star already
-joined costs nothing more.
+links give components. What stars alone would lose is then settled exactly: classes from buckets that still hold different
+components are compared across components, with candidates by exact prefix filtering on their rarest shared shingles.
 """
 
 from __future__ import annotations
@@ -125,6 +124,36 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return near.filter(100 * both >= percent * (na + nb - both)).select("a", "b")
 
 
+def _unsettled(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """(band, k, label) of the buckets whose members bear different labels."""
+    named = buckets.join(labels, "k", "left").select("band", "k", F.coalesce("label", "k").alias("label"))
+    mixed = named.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
+    return named.join(mixed.select("band"), "band")
+
+
+def _across(rest: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different labels among (k, members, label) that can be similar enough, by prefix filtering.
+
+    Shingles that only one label has cannot be shared across labels. A class needs percent of its shingles to be others'
+    too, else it has no partner; and two similar sets share one of the rarest of these, at most as many as may be missing
+    and one more. Passages that very many texts share are the last in this order. The first shingle that two sets share
+    also bounds how many can follow, which drops pairs whose own shingles are too many.
+    """
+    each = rest.select("k", "label", F.explode("members").alias("s"))
+    shared = each.groupBy("s").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("uses")).filter("low < high").select("s", "uses")
+    own = each.select("k", "s").join(shared, "s").groupBy("k").agg(F.sort_array(F.collect_list(F.struct("uses", "s"))).alias("shared"))
+    sized = rest.select("k", "label", F.size("members").cast("long").alias("n")).join(own, "k").withColumn("c", F.size("shared").cast("long"))
+    room = F.col("c") - F.ceil(F.col("n") * percent / 100) + 1
+    rare = F.posexplode(F.slice("shared", F.lit(1), room.cast("int"))).alias("at", "rare")
+    prefix = written(sized.filter(room > 0).select("k", "label", "n", "c", rare).select("k", "label", "n", "c", "at", "rare.s"), "prefix")
+    other = prefix.toDF("b", "other", "m", "d", "to", "s")
+    least = percent * (F.col("n") + F.col("m"))
+    most = F.least(F.col("c") - F.col("at"), F.col("d") - F.col("to"))
+    near = (F.col("label") < F.col("other")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & ((100 + percent) * most >= least)
+    found = prefix.withColumnRenamed("k", "a").join(other, "s").filter(near)
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """(id, n_shingles, component_id, kept) for each row of ``docs``.
 
@@ -148,15 +177,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     texts = source.join(chosen.withColumnRenamed("id", "own"), F.col("id").eqNullSafe(F.col("own"))).select("k", "text")
     # An id may name several rows, of other texts or of the same one.
     sets = texts.mapInArrow(_sets(shingle), "k long, members array<long>").groupBy("k").agg(F.first("members").alias("members"))
+    sets = written(sets, "sets")
     links = written(_confirmed(pairs, sets, percent), "links")
     labels = components(links)
 
-    named = buckets.join(labels, "k", "left").select("band", "k", F.coalesce("label", "k").alias("label"))
-    mixed = named.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
-    rest = written(named.join(mixed.select("band"), "band"), "mixed")
-    other = rest.select("band", F.col("k").alias("b"), F.col("label").alias("other"))
-    across = rest.withColumnRenamed("k", "a").join(other, "band").filter("label < other").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    across = written(across.join(pairs, ["a", "b"], "left_anti"), "across")
+    rest = written(_unsettled(buckets, labels).select("k", "label").distinct(), "unsettled")
+    across = written(_across(sets.join(rest, "k"), percent), "across")
     if not across.isEmpty():
         more = written(_confirmed(across, sets, percent), "links")
         if not more.isEmpty():
