@@ -163,3 +163,37 @@ def runs(ordered: np.ndarray) -> np.ndarray:
 
 def texts_of(values: list[bytes]) -> pa.Array:
     return pa.array(values, pa.binary()).cast(pa.string())
+
+
+class Grams:
+    """Byte n-grams of up to eight bytes, packed in integers: ``key`` at every place where one lies within one text."""
+
+    def __init__(self, texts: Texts, n: int):
+        data = texts.data
+        size = max(0, len(data) - n + 1)
+        key = np.zeros(size, U)
+        for k in range(n):
+            key |= data[k : k + size].astype(U) << U(8 * k)
+        begin = np.minimum(texts.starts, size)
+        stop = np.minimum(np.maximum(texts.ends - n + 1, texts.starts), size)
+        self.count = stop - begin
+        if len(begin) and (self.count.sum() < size):
+            inside = covered(begin, stop, size)
+            key = key[inside]
+        self.key = key
+        #: Where each text's n-grams begin, and the end of the last.
+        self.bounds = np.r_[0, np.cumsum(self.count)]
+        self.n = n
+
+    def slot(self, bits: int) -> np.ndarray:
+        return ((self.key + U(self.n)) * U(0x9E3779B97F4A7C15) >> U(64 - bits)).astype(np.int64)
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """Sum of the values of each text's n-grams."""
+        total = np.zeros((len(values) + 1, *values.shape[1:]), np.float64 if values.dtype.kind == "f" else np.int64)
+        np.cumsum(values, axis=0, out=total[1:])
+        return total[self.bounds[1:]] - total[self.bounds[:-1]]
+
+    @property
+    def owner(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.count)), self.count)

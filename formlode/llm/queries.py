@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import langid, mixing, quality_classifier, toxicity
 from .near_dup import near_duplicates
 from .packing import pack_sequences
 from .quality_rules import fit, judged, measured
 from .storage import written
 from .substring_dedup import substring_dedup
+from .training import remainder
 from .topk import exact_top_k
 from .warc import read_records, typed, write_archives
 
@@ -31,6 +33,44 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(F.col("record_id").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to")
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    posterior = mixing.learned(docs.select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("domain")))
+    rows = mixing.mixed(docs, posterior, temperature=0.7).rows
+    domains = F.array(*[F.lit(d) for d in posterior.domains])
+    likeliest = F.get(domains, F.array_position("posterior", F.array_max("posterior")).cast("int") - 1).alias("domain")
+    return rows.select(F.col("id").alias("doc_id"), "tokens", likeliest, "posterior", "rate", mixing.copies(F.col("rate"), F.col("id")).alias("copies"))
+
+
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    rest = remainder(F.col("doc_id"), 4)
+    filters = langid.learned(docs.filter(rest != 2).select(F.col("doc_id").alias("id"), "text", "lang"))
+    held = F.coalesce(rest == 2, F.lit(False)).alias("held_out")
+    return langid.identified(docs, filters).select("doc_id", held, "lang_pred", "score")
+
+
+def _labelled(spark: SparkSession, sf_dir: str, label: str, modulus: int, held: int) -> DataFrame:
+    """(id, text, label) of the rows that a score may learn from."""
+    labels = _table(spark, sf_dir, "labels").filter(remainder(F.col("doc_id"), modulus) != held).select("doc_id", F.col(label).alias("label"))
+    return _table(spark, sf_dir, "documents").join(labels, "doc_id").select(F.col("doc_id").alias("id"), "text", "label")
+
+
+def _judged(docs: DataFrame, model: toxicity.Model | quality_classifier.Model, modulus: int, held: int, least: float) -> DataFrame:
+    held_out = F.coalesce(remainder(F.col("doc_id"), modulus) == held, F.lit(False)).alias("held_out")
+    return toxicity.scored(docs, model).select("doc_id", held_out, "score", (F.col("score") >= least).cast("int").alias("predicted"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = toxicity.learned(_labelled(spark, sf_dir, "toxic", 3, 1))
+    return _judged(_table(spark, sf_dir, "documents"), model, 3, 1, 0.7)
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = quality_classifier.learned(_labelled(spark, sf_dir, "quality", 5, 0))
+    return _judged(_table(spark, sf_dir, "documents"), model, 5, 0, 0.3)
+
+
 def op6_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, percent=80)
 
@@ -53,10 +93,14 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_warc": op2_warc,
+    "op3_mixing": op3_mixing,
+    "op4_langid": op4_langid,
+    "op5_toxicity": op5_toxicity,
     "op6_near_dup": op6_near_dup,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_exact_topk": op8_exact_topk,
     "op9_quality_rules": op9_quality_rules,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
 ORACLES: dict[str, str] = {
