@@ -1,15 +1,73 @@
-"""Corpus preparation in stages: each works on all that its predecessor kept."""
+"""Corpus preparation in five stages: each works on all that its predecessor kept, and all but the last return documents."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from formlode.llm import mixing
+from formlode.llm.near_dup import near_duplicates
+from formlode.llm.packing import pack_sequences
+from formlode.llm.quality_rules import quality_rules
+from formlode.llm.storage import written
+from formlode.llm.substring_dedup import substring_dedup
+
+#: Words of a near-duplicate shingle and of a repeated passage, tokens of a sequence.
+SHINGLE, WINDOW, CAPACITY = 5, 50, 2048
+#: Domain targets go with supply to this power: smaller languages gain a little.
+TEMPERATURE = 0.85
+
+
+def reject_outliers(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that the quality rules reject."""
+    return quality_rules(docs).filter("kept").select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document, that of the smallest id, of each group of near copies."""
+    kept = near_duplicates(docs, shingle=SHINGLE, percent=80).filter("kept").select("doc_id")
+    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut passages of WINDOW words or more that occur twice; a text that loses nothing stays as it is, one that loses all goes."""
+    done = substring_dedup(docs, window=WINDOW)
+    changed = done.filter("n_removed < n_words OR n_words = 0")
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
+    chars = F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))
+    return changed.withColumns({"text": text, "n_chars": chars}).select(*docs.columns)
+
+
+def mix_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeat documents of under-supplied languages so that expected tokens meet tempered targets; every document stays at least once."""
+    posterior = mixing.learned(docs.select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("domain")))
+    rates = mixing.mixed(docs, posterior, temperature=TEMPERATURE, least=1.0).rows
+    # Rates differ from row to row but little within a language, and a document's copies depend on its own rate and id alone.
+    copies = written(rates.select(F.col("id").alias("doc_id"), mixing.copies(F.col("rate"), F.col("id")).alias("copies")).distinct(), "copies")
+    extra = copies.filter("copies > 1")
+    again = docs.join(extra, "doc_id").withColumn("copies", F.explode(F.sequence(F.lit(2), F.col("copies")))).drop("copies")
+    return docs.unionByName(again.select(*docs.columns))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in sequences of CAPACITY tokens."""
+    return pack_sequences(docs, capacity=CAPACITY)
+
+
+STAGES = [
+    ("quality rules", reject_outliers),
+    ("near duplicates", drop_near_copies),
+    ("repeated passages", cut_repeats),
+    ("mixing", mix_languages),
+    ("packing", pack),
+]
+
+#: Outlier estimates, MinHash, fitted rates and token ids are beyond SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -143,9 +143,8 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", sourc
 
     Null and empty texts have no words and fail the base rules; null languages and sources form groups of their own; groups
     too small to be estimated are pooled. The estimates see every document that passed the base rules. Columns of ``docs``
-    that bear the names of added ones are replaced; other columns are carried along.
+    that bear the names of added ones are replaced; other columns are carried along. The measured table is written once, since
+    the estimates must be complete before the first verdict.
     """
-    stats = measured(docs, text)
-    kept = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed"]
-    narrow = written(stats.select(F.col(f"`{lang}`"), F.col(f"`{source}`"), *kept), "statistics")
-    return judged(stats, *fit(narrow, lang, source), lang, source)
+    stats = written(measured(docs, text), "statistics")
+    return judged(stats, *fit(stats, lang, source), lang, source)
