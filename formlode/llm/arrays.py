@@ -161,6 +161,11 @@ def runs(ordered: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(ordered) else np.zeros(0, np.int64)
 
 
+def run_ends(first: np.ndarray, n: int) -> np.ndarray:
+    """Where the runs that start at ``first`` end, in an array of n values."""
+    return np.r_[first[1:], n] if len(first) else first
+
+
 def texts_of(values: list[bytes]) -> pa.Array:
     return pa.array(values, pa.binary()).cast(pa.string())
 

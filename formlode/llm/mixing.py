@@ -154,8 +154,8 @@ def mixed(docs: DataFrame, posterior: Posterior, id_col: str = "doc_id", text: s
     if targets is None:
         targets = tempered(dict(zip(posterior.domains, supply / max(1.0, least), strict=True)), temperature, least >= 1)
     goal = np.array([float(targets.get(d, 0.0)) for d in posterior.domains])
-    scale = np.maximum(goal, 1e-9 * max(1.0, goal.sum()))
-    step = 1.0 / max(1e-9, float((supply / scale).max())) if supply.any() else 1.0
+    # Errors are taken against the larger of target and supply, so that a step of 1 never overshoots.
+    scale, step = np.maximum(np.maximum(goal, supply), 1e-9), 1.0
     history: list[np.ndarray] = []
     reached = supply
     for _ in range(STEPS):

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import Texts, U, Words, covered, member, mix, runs, slices, texts_of
+from .arrays import Texts, U, Words, covered, member, mix, run_ends, runs, slices, texts_of
 
 #: Buckets grow with the root of the input up to this many bytes of text, so that packed rows stay large.
 LARGEST_BUCKET = 64 << 20
@@ -42,7 +42,7 @@ def _packed(group: np.ndarray, **columns: np.ndarray) -> dict[str, list]:
     """One row per group; the columns' values as bytes."""
     order = np.argsort(group, kind="stable")
     first = runs(group[order])
-    ends = np.r_[first[1:], len(group)]
+    ends = run_ends(first, len(group))
     out: dict[str, list] = {"p": group[order][first].astype(np.int32).tolist()}
     for name, values in columns.items():
         values = values[order]
@@ -125,7 +125,7 @@ def _answers(table: pa.Table, h: np.ndarray, sender: np.ndarray, flags: np.ndarr
     which = np.flatnonzero(hot)
     owner = sender[which]
     first = runs(owner)
-    ends = np.r_[first[1:], len(owner)]
+    ends = run_ends(first, len(owner))
     rows = [(senders[owner[a]], groups[owner[a]], h[which[a:b]].tobytes()) for a, b in zip(first, ends, strict=True)]
     return pa.table([pa.array([r[i] for r in rows], FOUND.field(i).type) for i in range(3)], schema=FOUND)
 
