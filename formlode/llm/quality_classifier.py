@@ -88,20 +88,20 @@ def fitted(difference: np.ndarray, decay: float = 1e-2, steps: int = 25) -> np.n
     return w
 
 
-def learned(labelled: DataFrame, rows: int = ROWS, pairs: int = PAIRS) -> Model:
-    """A model from (id, text, label) rows with labels 0 and 1: from at most ``rows`` rows of each label.
+def learned(docs: DataFrame, labels: DataFrame, rows: int = ROWS, pairs: int = PAIRS) -> Model:
+    """A model from (id, text) and (id, label) rows with labels 0 and 1: from at most ``rows`` ids of each label.
 
     The threshold is the score quantile at the share of label 0 among all labelled rows, taken over the sample weighted to
     that share. Without rows of both labels all scores are equal.
     """
-    known = labelled.filter("label IN (0, 1)").withColumn("text", F.coalesce("text", F.lit("")))
+    known = labels.filter("label IN (0, 1) AND id IS NOT NULL").select("id", "label").distinct()
     total = {r.label: r["count"] for r in known.groupBy("label").count().collect()}
     zero = np.zeros(len(NAMES))
     if len(total) < 2:
         return Model(zero, zero + 1, zero, 0.0)
     # Bounded: at most ``rows`` ids of each label.
-    chosen = F.broadcast(bounded_sample(known.select("id", "label"), "label", rows))
-    texts = known.join(chosen, ["id", "label"], "left_semi").select(F.col("label").cast("int").alias("label"), "text")
+    chosen = F.broadcast(bounded_sample(known, "label", rows))
+    texts = docs.join(chosen, "id").select(F.col("label").cast("int").alias("label"), F.coalesce("text", F.lit("")).alias("text"))
     drawn = texts.mapInArrow(_measured, "label int, features array<double>").toArrow()
     y = np.asarray(drawn.column("label"))
     x = np.asarray(drawn.column("features").combine_chunks().flatten(), np.float64).reshape(len(y), -1)

@@ -50,10 +50,10 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identified(docs, filters).select("doc_id", held, "lang_pred", "score")
 
 
-def _labelled(spark: SparkSession, sf_dir: str, label: str, modulus: int, held: int) -> DataFrame:
-    """(id, text, label) of the rows that a score may learn from."""
-    labels = _table(spark, sf_dir, "labels").filter(remainder(F.col("doc_id"), modulus) != held).select("doc_id", F.col(label).alias("label"))
-    return _table(spark, sf_dir, "documents").join(labels, "doc_id").select(F.col("doc_id").alias("id"), "text", "label")
+def _labels(spark: SparkSession, sf_dir: str, label: str, modulus: int, held: int) -> DataFrame:
+    """(id, label) of the rows that a score may learn from."""
+    rows = _table(spark, sf_dir, "labels").filter(remainder(F.col("doc_id"), modulus) != held)
+    return rows.select(F.col("doc_id").alias("id"), F.col(label).alias("label"))
 
 
 def _judged(docs: DataFrame, model: toxicity.Model | quality_classifier.Model, modulus: int, held: int, least: float) -> DataFrame:
@@ -62,13 +62,15 @@ def _judged(docs: DataFrame, model: toxicity.Model | quality_classifier.Model, m
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = toxicity.learned(_labelled(spark, sf_dir, "toxic", 3, 1))
-    return _judged(_table(spark, sf_dir, "documents"), model, 3, 1, 0.7)
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.learned(docs.select(F.col("doc_id").alias("id"), "text"), _labels(spark, sf_dir, "toxic", 3, 1))
+    return _judged(docs, model, 3, 1, 0.7)
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = quality_classifier.learned(_labelled(spark, sf_dir, "quality", 5, 0))
-    return _judged(_table(spark, sf_dir, "documents"), model, 5, 0, 0.3)
+    docs = _table(spark, sf_dir, "documents")
+    model = quality_classifier.learned(docs.select(F.col("doc_id").alias("id"), "text"), _labels(spark, sf_dir, "quality", 5, 0))
+    return _judged(docs, model, 5, 0, 0.3)
 
 
 def op6_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -78,13 +78,13 @@ class Model:
         return sigmoid(np.bincount(owner, weights=self.weights[feature], minlength=len(texts)) + self.intercept)
 
 
-def learned(labelled: DataFrame, rows: int = ROWS, features: int = FEATURES, decay: float = 1e-4, steps: int = 150) -> Model:
-    """A model from (id, text, label) rows with labels 0 and 1: from at most ``rows`` rows of each label.
+def learned(docs: DataFrame, labels: DataFrame, rows: int = ROWS, features: int = FEATURES, decay: float = 1e-4, steps: int = 150) -> Model:
+    """A model from (id, text) and (id, label) rows with labels 0 and 1: from at most ``rows`` ids of each label.
 
     The intercept is set for the share of label 1 among all labelled rows, not among the sampled ones. Without rows of both
     labels every score is that share (0.5 without any).
     """
-    known = labelled.filter("label IN (0, 1)").withColumn("text", F.coalesce("text", F.lit("")))
+    known = labels.filter("label IN (0, 1) AND id IS NOT NULL").select("id", "label").distinct()
     share = known.groupBy("label").count().collect()
     total = {r.label: r["count"] for r in share}
     table, prior = np.full(1 << BITS, -1, np.int32), (total.get(1, 0) + 0.5) / (sum(total.values()) + 1)
@@ -92,8 +92,8 @@ def learned(labelled: DataFrame, rows: int = ROWS, features: int = FEATURES, dec
     if len(total) < 2:
         return Model(table, np.zeros(1), logit)
     # Bounded: at most ``rows`` ids of each label.
-    chosen = F.broadcast(bounded_sample(known.select("id", "label"), "label", rows))
-    texts = known.join(chosen, ["id", "label"], "left_semi").select(F.col("label").cast("int").alias("label"), "text")
+    chosen = F.broadcast(bounded_sample(known, "label", rows))
+    texts = docs.join(chosen, "id").select(F.col("label").cast("int").alias("label"), F.coalesce("text", F.lit("")).alias("text"))
     counted = texts.mapInArrow(_counted, "label int, slot long, times long").groupBy("slot").agg(*[F.sum(F.when(F.col("label") == c, F.col("times")).otherwise(0)).alias(f"n{c}") for c in (0, 1)])
     counts = np.array([(r.slot, r.n0, r.n1) for r in counted.filter("n0 + n1 > 2").toLocalIterator()], np.int64).reshape(-1, 3)
     size = [min(rows, total[c]) for c in (0, 1)]
@@ -103,6 +103,8 @@ def learned(labelled: DataFrame, rows: int = ROWS, features: int = FEATURES, dec
     best = np.lexsort([counts[:, 0], -z])[:features]
     ratio = np.log(rate1[best] / rate0[best])
     table[counts[best, 0]] = np.arange(len(best))
+    if not len(best):
+        return Model(table, np.zeros(1), logit)
     drawn = texts.mapInArrow(_featured(table), "label int, features array<int>").toArrow()
     y = np.asarray(drawn.column("label"), np.float64)
     lists = drawn.column("features").combine_chunks()

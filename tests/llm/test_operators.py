@@ -235,20 +235,20 @@ def test_mixing_meets_targets(tongues):
 def test_toxicity(spark):
     rows = [(i, prose(i, 60) + (" scoundrel " + prose(i + 1, 20) if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(400)]
     df = spark.createDataFrame(rows, "id long, text string, label int")
-    model = toxicity.learned(df.filter("id % 3 <> 1"))
+    model = toxicity.learned(df.select("id", "text"), df.filter("id % 3 <> 1"))
     held = df.filter("id % 3 = 1").withColumnRenamed("id", "doc_id")
     got = toxicity.scored(held, model).join(held, "doc_id").collect()
     assert all((r.score >= 0.7) == bool(r.label) for r in got)
     odd = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")
     scores = [r.score for r in toxicity.scored(odd, model).collect()]
     assert scores[0] == scores[1] and 0 <= scores[0] <= 1
-    assert toxicity.scored(odd, toxicity.learned(df.filter("label = 1"))).count() == 2
+    assert toxicity.scored(odd, toxicity.learned(df.select("id", "text"), df.filter("label = 1"))).count() == 2
 
 
 def test_quality_classifier(spark):
     rows = [(i, prose(i, 60).replace(" ", "$$$ ") if i % 5 == 0 else prose(i, 60), int(i % 5 != 0)) for i in range(300)]
     df = spark.createDataFrame(rows, "id long, text string, label int")
-    model = quality_classifier.learned(df.filter("id % 2 = 0"))
+    model = quality_classifier.learned(df.select("id", "text"), df.filter("id % 2 = 0"))
     held = df.filter("id % 2 = 1").withColumnRenamed("id", "doc_id")
     got = toxicity.scored(held, model).join(held, "doc_id").collect()
     assert all((r.score >= 0.3) == bool(r.label) for r in got)
