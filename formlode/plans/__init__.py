@@ -1,4 +1,6 @@
 """Registered queries: adapters over the test tables composed with operators, and their SQL counterparts."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import core, layout, scalars, values, vectors
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "core", "layout", "scalars", "values", "vectors"]
