@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Fixed values.
-YES = ("yes", "y", "yeah", "yep", "sure", "ok", "okay", "correct", "true")
-NO = ("no", "n", "nope", "nah", "incorrect", "false")
-SKIP = ("skip", "pass", "next", "n/a", "na", "none")
-EXIT = ("exit", "quit", "bye", "stop")
+# Phrases, key prefixes and names that results depend on.
+SKIP = ("skip", "n/a", "na", "not applicable", "don't have", "do not have", "none", "-")
+EXIT = ("exit", "quit", "stop", "cancel", "bye", "goodbye", "done", "finish")
+YES = ("yes", "y", "yeah", "yep", "sure", "ok", "okay", "1", "confirm")
+NO = ("no", "n", "nope", "nah", "0", "2")
+US = ("united states", "us", "usa", "u.s.a", "u.s.", "united states of america")
+INTERNAL = ("telephone_part_", "fax_part_")
+US_ONLY = "form_pf"
+ADDRESS_GROUPS = (("address_registered.", "registered"), ("address_mailing.", "mailing"), ("address_jurisdiction.", "jurisdiction"), ("wiring_details.wiring_address.", "wiring"), ("wiring_address.", "wiring"))
 EMAIL = r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}$"
 EMAIL_IN = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 PHONE_IN = r"[0-9]{3}[-. ][0-9]{3}[-. ][0-9]{4}"
@@ -25,7 +29,7 @@ def joined(*parts: Column, headers: Column | None = None) -> Column:
     """Non-blank parts and headers, joined by one space."""
     items = F.array(*[F.trim(p) for p in parts])
     if headers is not None:
-        items = F.concat(items, F.transform(headers, F.trim))
+        items = F.concat(items, F.transform(headers, lambda p: F.trim(p)))
     return F.array_join(F.filter(items, lambda x: x.isNotNull() & (x != "")), " ")
 
 
@@ -44,7 +48,7 @@ def pseudonym(x: Column) -> Column:
 
 def address_lines(x: Column) -> Column:
     """(line1, line2): the first two comma parts and the rest; a single part stays whole."""
-    parts = F.filter(F.transform(F.split(x, ","), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(x, ","), lambda p: F.trim(p)), lambda p: p != "")
     n = F.size(parts)
     return F.struct(F.array_join(F.slice(parts, 1, 2), ", ").alias("line1"), F.when(n > 2, F.array_join(F.slice(parts, F.lit(3), F.greatest(n - 2, F.lit(1))), ", ")).otherwise("").alias("line2"))
 
@@ -71,3 +75,63 @@ def numbering(x: Column) -> Column:
 
 def numbering_level(pattern: Column) -> Column:
     return F.when(pattern.isin("decimal_1", "letter_dot", "named"), 1).when(pattern.isin("decimal_2", "letter_paren", "roman"), 2).when(pattern == "decimal_3", 3)
+
+
+def valid_phone(x: Column) -> Column:
+    """With + or 00: 11 digits for country code 1, else 12; without: 11 digits."""
+    v = F.trim(x)
+    digits = F.length(F.regexp_replace(v, "[^0-9]", ""))
+    one = v.rlike(r"^(\+|00)1")
+    least = F.when(v.rlike(r"^(\+|00)"), F.when(one, 11).otherwise(12)).otherwise(11)
+    return v.rlike(r"^[+0-9][-0-9 ().]*$") & (digits >= least)
+
+
+def rule_errors(key: Column, value: Column) -> Column:
+    """The rules that a (key, value) pair breaks: empty, email, phone, boolean."""
+    k, blank = F.lower(key), F.coalesce(value, F.lit("")) == ""
+    checks = [
+        F.when(blank, "empty"),
+        F.when(~blank & k.contains("email") & ~value.rlike(EMAIL), "email"),
+        F.when(~blank & k.rlike("phone|telephone|mobile|fax") & ~valid_phone(value), "phone"),
+        F.when(~blank & k.contains("_check") & ~F.lower(value).isin("true", "false"), "boolean"),
+    ]
+    return F.filter(F.array(*checks), lambda e: e.isNotNull())
+
+
+def field_label(path: Column, configured: Column) -> Column:
+    """The configured label, else the last path segment in words."""
+    leaf = F.regexp_replace(F.element_at(F.split(path, r"\."), -1), "(_id|_check)$", "")
+    return F.coalesce(configured, F.initcap(F.translate(leaf, "_", " ")))
+
+
+def address_group(path: Column) -> Column:
+    out = None
+    for pattern, name in ADDRESS_GROUPS:
+        out = F.when(path.contains(pattern), name) if out is None else out.when(path.contains(pattern), name)
+    return out
+
+
+def address_part(path: Column) -> Column:
+    leaf = F.element_at(F.split(path, r"\."), -1)
+    return F.regexp_replace(F.regexp_replace(leaf, "address_registered_|address_mailing_|address_jurisdiction_|wiring_details_address_|wiring_address_", ""), "_id", "")
+
+
+def capitals(x: Column) -> Column:
+    """(caps_ratio, all_caps, title_case) of a line without leading bullets."""
+    t = F.regexp_replace(x, r"^[-*\u2022 \t]+", "")
+    letters, upper = F.length(F.regexp_replace(t, "[^A-Za-z]", "")), F.length(F.regexp_replace(t, "[^A-Z]", ""))
+    words = F.filter(F.split(t, "[ \t]+"), lambda w: w.rlike("^[A-Za-z]"))
+    capital = F.filter(words, lambda w: w.rlike("^[A-Z]"))
+    share = F.when(letters == 0, 0.0).otherwise(upper / letters)
+    title = (F.size(words) > 0) & (F.size(capital) > 0.7 * F.size(words))
+    return F.struct(share.alias("caps_ratio"), (share > 0.9).alias("all_caps"), title.alias("title_case"))
+
+
+def chosen_options(x: Column, options: int) -> Column:
+    """Indexes that an answer like "1, 3" chooses; yes all, no none, null if any part is no number; out of range is ignored."""
+    word = F.lower(F.trim(x))
+    parts = F.transform(F.split(word, ","), lambda p: F.trim(p))
+    numeric = F.forall(parts, lambda p: p.rlike("^[0-9]+$"))
+    picked = F.filter(F.transform(parts, lambda p: p.try_cast("int")), lambda i: (i >= 1) & (i <= options))
+    none = F.array().cast("array<int>")
+    return F.when(word.isin("none", "no"), none).when(word.isin("yes", "all"), F.sequence(F.lit(1), F.lit(options))).when(numeric, picked)

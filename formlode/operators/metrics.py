@@ -31,7 +31,7 @@ def submission_metrics(cases: DataFrame) -> DataFrame:
         *[n.alias(f"case_{c.lower()}") for c, n in case.items()],
         *[F.coalesce(half_up(F.avg(F.when(has[s], F.col(f"{s}_conf")))), F.lit(0.0)).alias(f"avg_conf_{s}") for s in ("llm", "rag")],
         F.coalesce(half_up(F.avg(F.when(F.col("selected_conf") != 0, F.col("selected_conf")))), F.lit(0.0)).alias("avg_conf_ensemble"),
-        ratio(F.sum(F.when(has["rag"], F.coalesce("rag_margin", F.lit(0.0))).otherwise(0.0)), margins).alias("margin_avg"),
+        ratio(half_up(F.sum(F.when(has["rag"], F.coalesce("rag_margin", F.lit(0.0))).otherwise(0.0)), 6), margins).alias("margin_avg"),
         ratio(small, margins).alias("ambiguity_rate"),
     )
     both = F.col("case_a") + F.col("case_b")

@@ -65,7 +65,7 @@ _RAW = f"""met0 AS (SELECT submission_id, user_id, pdf_hash, category, sub_categ
     count(llm_name) AS predicted_llm, count(rag_name) AS predicted_rag, count(selected_field_name) AS predicted_ensemble,
     {', '.join(f"count(*) FILTER (case_type = '{c}') AS case_{c.lower()}" for c in 'ABCDE')},
     coalesce({r4('avg(llm_conf)')}, 0) AS avg_conf_llm, coalesce({r4('avg(rag_conf)')}, 0) AS avg_conf_rag, coalesce({r4('avg(selected_conf)')}, 0) AS avg_conf_ensemble,
-    {rat('coalesce(sum(rag_margin), 0)', 'count(rag_name) + count(llm_name)')} AS margin_avg,
+    {rat(r4('coalesce(sum(rag_margin), 0.0::DOUBLE)', 6), 'count(rag_name) + count(llm_name)')} AS margin_avg,
     {rat('count(*) FILTER (rag_name IS NOT NULL AND rag_margin < 0.1::DOUBLE) + count(llm_name)', 'count(rag_name) + count(llm_name)')} AS ambiguity_rate
     FROM (SELECT *, {r4('rag_conf - 0.5::DOUBLE')} AS rag_margin FROM fin) GROUP BY ALL), met AS (SELECT *,
     {', '.join(f"{rat(f'predicted_{s}', 'total_fields')} AS coverage_{s}" for s in ('llm', 'rag', 'ensemble'))},

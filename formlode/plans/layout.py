@@ -1 +1,244 @@
-"""Placeholder."""
+"""Queries on document layout."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from formlode.functions import text as tx
+from formlode.operators import layout as la
+
+from .adapters import table
+from .registry import query, r4
+from .vectors import _NORM
+
+_ELT = """WITH elt AS (SELECT doc_id, CAST(i - 1 AS INTEGER) AS line_no, t AS text, CAST((i - 1) // 40 AS INTEGER) AS page, CAST(10 + length(t) % 9 AS INTEGER) AS size, CAST(((i - 1) % 40) * 18 AS INTEGER) AS top, length(t) % 5 = 0 AS bold
+    FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL)) """
+_STAT = f""", st AS (SELECT doc_id, page, avg(size) AS average, CAST(max(size) AS DOUBLE) AS largest, CAST(min(size) AS DOUBLE) AS smallest, CAST(list_sort(list(size))[CAST(count(*) // 2 AS INTEGER) + 1] AS DOUBLE) AS median FROM elt GROUP BY ALL),
+  hd AS (SELECT elt.*, CASE WHEN size >= largest OR spot >= 0.9::DOUBLE OR (spot >= 0.8::DOUBLE AND bold) THEN 'h1' WHEN (spot >= 0.7::DOUBLE AND bold) OR size / average >= 1.5::DOUBLE OR (size / average >= 1.2::DOUBLE AND bold) THEN 'h2' WHEN bold THEN 'h3' ELSE 'normal' END AS level
+    FROM (SELECT elt.*, average, largest, smallest, CASE WHEN largest > smallest THEN (size - smallest) / (largest - smallest) ELSE 0.5::DOUBLE END AS spot FROM elt JOIN st USING (doc_id, page)) elt) """
+
+
+def elements(spark, sf):
+    docs = table(spark, sf, "documents").filter("text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
+    return docs.select("doc_id", "line_no", "text", F.floor(F.col("line_no") / 40).cast("int").alias("page"), (10 + F.length("text") % 9).alias("size"), ((F.col("line_no") % 40) * 18).alias("top"), (F.length("text") % 5 == 0).alias("bold"))
+
+
+def numbered(spark, sf):
+    text = F.when(F.col("line_no") % 7 < 4, F.concat(F.col("line_no") % 7 + 1, F.lit(". "), "text")).otherwise(F.col("text"))
+    return elements(spark, sf).withColumn("text", text)
+
+
+_NUM = _ELT.replace("t AS text", "CASE WHEN (i - 1) % 7 < 4 THEN ((i - 1) % 7 + 1) || '. ' || t ELSE t END AS text")
+
+
+def headings(spark, sf):
+    return la.heading_base(elements(spark, sf))
+
+
+@query("numbering", _NUM + "SELECT doc_id, line_no, CASE WHEN trim(text) SIMILAR TO '[0-9]+\\.[0-9]+\\.[0-9]+.*' THEN 'decimal_3' WHEN regexp_matches(trim(text), '^[0-9]+\\.[0-9]+') THEN 'decimal_2' WHEN regexp_matches(trim(text), '^[0-9]+\\.') THEN 'decimal_1' WHEN regexp_matches(trim(text), '^[A-Z]\\.') THEN 'letter_dot' WHEN regexp_matches(trim(text), '^[a-z]\\)') THEN 'letter_paren' WHEN regexp_matches(trim(text), '^[IVXivx]+\\.') THEN 'roman' WHEN regexp_matches(lower(trim(text)), '^(chapter|section) [0-9]+') THEN 'named' END AS pattern FROM elt")
+def numbering(spark, sf):
+    return numbered(spark, sf).select("doc_id", "line_no", tx.numbering(F.col("text")).alias("pattern"))
+
+
+@query("caps_features", _ELT + ", c AS (SELECT doc_id, line_no, regexp_replace(text, '^[-*• \\t]+', '') AS t FROM elt) SELECT doc_id, line_no, length(regexp_replace(t, '[^A-Z]', '', 'g')) > 0.9::DOUBLE * length(regexp_replace(t, '[^A-Za-z]', '', 'g')) AS all_caps FROM c WHERE length(regexp_replace(t, '[^A-Za-z]', '', 'g')) > 0")
+def caps_features(spark, sf):
+    t = elements(spark, sf).filter(F.regexp_replace("text", "[^A-Za-z]", "") != "")
+    return t.select("doc_id", "line_no", tx.capitals(F.col("text"))["all_caps"].alias("all_caps"))
+
+
+@query("position_features", _ELT + ", p AS (SELECT doc_id, line_no, top, (line_no * 37 % 200)::DOUBLE AS l, least(612, line_no * 37 % 200 + length(text) * 5)::DOUBLE AS r FROM elt) SELECT doc_id, line_no, abs(l - (612 - r)) < 61.2::DOUBLE AND (r - l) / 612 < 0.8::DOUBLE AND least(l, 612 - r) >= 30.6::DOUBLE AS is_centered, l > 91.8::DOUBLE AS is_indented, top / 792::DOUBLE < 0.2::DOUBLE AS is_near_top FROM p")
+def position_features(spark, sf):
+    left = (F.col("line_no") * 37 % 200).cast("double")
+    rows = elements(spark, sf).withColumns({"left": left, "right": F.least(F.lit(612.0), left + F.length("text") * 5)})
+    return la.position_features(rows, 612.0, 792.0).select("doc_id", "line_no", "is_centered", "is_indented", "is_near_top")
+
+
+@query("font_stats", _ELT + _STAT + f"SELECT doc_id, page, {r4('average')} AS average, largest, smallest, median FROM st")
+def font_stats(spark, sf):
+    from formlode.functions.rounding import half_up
+
+    return la.font_stats(elements(spark, sf)).withColumn("average", half_up(F.col("average")))
+
+
+@query("heading_base", _ELT + _STAT + "SELECT doc_id, line_no, level FROM hd")
+def heading_base(spark, sf):
+    return headings(spark, sf).select("doc_id", "line_no", "level")
+
+
+@query("heading_repair", _ELT + _STAT + ", r AS (SELECT doc_id, line_no, level, row_number() OVER (PARTITION BY doc_id, page ORDER BY line_no) AS n FROM hd WHERE level <> 'normal' AND length(text) >= 3) SELECT doc_id, line_no, level, CASE n WHEN 1 THEN 'h1' WHEN 2 THEN 'h2' ELSE 'h3' END AS repaired FROM r")
+def heading_repair(spark, sf):
+    return la.heading_repair(headings(spark, sf).filter("level <> 'normal' AND length(text) >= 3")).select("doc_id", "line_no", "level", "repaired")
+
+
+@query("header_filldown", _ELT + _STAT + ", f AS (SELECT doc_id, line_no, level, max(CASE WHEN level = 'h1' THEN line_no END) OVER w AS h1_line, max(CASE WHEN level = 'h2' THEN line_no END) OVER w AS h2_line FROM hd WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)) SELECT doc_id, line_no, h1_line, h2_line, max(CASE WHEN level = 'h3' THEN line_no END) OVER (PARTITION BY doc_id, h2_line ORDER BY line_no) AS h3_line FROM f")
+def header_filldown(spark, sf):
+    return la.header_filldown(headings(spark, sf)).select("doc_id", "line_no", "h1_line", "h2_line", "h3_line")
+
+
+@query("whitespace", _ELT + ", s AS (SELECT doc_id, line_no, coalesce(top - (lag(top) OVER w + 14), 0)::DOUBLE AS space_above, coalesce(lead(top) OVER w - (top + 14), 0)::DOUBLE AS space_below FROM elt WHERE line_no % 3 <> 1 WINDOW w AS (PARTITION BY doc_id, page ORDER BY top, line_no)) SELECT *, space_above > 7 AND space_below > 7 AS is_isolated FROM s")
+def whitespace(spark, sf):
+    return la.whitespace(elements(spark, sf).filter("line_no % 3 <> 1"), 14.0).select("doc_id", "line_no", "space_above", "space_below", "is_isolated")
+
+
+@query("list_chains", _NUM + ", i AS (SELECT doc_id, page, line_no, TRY_CAST(regexp_extract(text, '^([0-9]+)\\. ', 1) AS INTEGER) AS value FROM elt), j AS (SELECT *, CASE WHEN lag(value) OVER w = value - 1 AND lag(line_no) OVER w = line_no - 1 THEN 0 ELSE 1 END AS fresh FROM i WHERE value IS NOT NULL WINDOW w AS (PARTITION BY doc_id, page ORDER BY line_no)) SELECT doc_id, line_no, value, CAST(sum(fresh) OVER (PARTITION BY doc_id, page ORDER BY line_no) AS BIGINT) AS chain FROM j")
+def list_chains(spark, sf):
+    return la.list_chains(numbered(spark, sf)).select("doc_id", "line_no", "value", "chain")
+
+
+@query("nearest_flagged", _ELT + "SELECT doc_id, line_no, max(CASE WHEN bold THEN line_no END) OVER (PARTITION BY doc_id ORDER BY line_no) AS before, min(CASE WHEN bold THEN line_no END) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS after FROM elt")
+def nearest_flagged(spark, sf):
+    return la.nearest_flagged(elements(spark, sf), F.col("bold")).select("doc_id", "line_no", "before", "after")
+
+
+@query("line_ids", _ELT + "SELECT doc_id, line_no, CAST(line_no + 1 AS INTEGER) AS gid FROM elt")
+def line_ids(spark, sf):
+    return la.line_ids(elements(spark, sf)).select("doc_id", "line_no", "gid")
+
+
+_VOTE = ", vo AS (SELECT doc_id, size, count(*) FILTER (level = 'h1') AS h1, count(*) FILTER (level = 'h2') AS h2, count(*) FILTER (level = 'h3') AS h3, count(*) FILTER (level = 'normal') AS normal, count(*) AS total FROM hd GROUP BY ALL), vs AS (SELECT *, CASE WHEN greatest(h1, h2, h3, normal) > 0.7::DOUBLE * total THEN CASE greatest(h1, h2, h3, normal) WHEN h1 THEN 'h1' WHEN h2 THEN 'h2' WHEN h3 THEN 'h3' ELSE 'normal' END END AS suggested FROM vo) "
+
+
+@query("style_votes", _ELT + _STAT + _VOTE + "SELECT * FROM vs")
+def style_votes(spark, sf):
+    return la.style_votes(headings(spark, sf))
+
+
+@query("top_styles", _ELT + _STAT + _VOTE + "SELECT * FROM (SELECT doc_id, size, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY h1 DESC, size) AS INTEGER) AS rank, h1 AS votes FROM vs WHERE h1 > 0) WHERE rank <= 3")
+def top_styles(spark, sf):
+    return la.top_styles(la.style_votes(headings(spark, sf)), "h1", 3)
+
+
+_REP = f", rp AS (SELECT doc_id, line, count(*) AS n, CASE WHEN avg(top) < 100 THEN 'header' ELSE 'footer' END AS zone FROM (SELECT doc_id, top, {_NORM.format('text')} AS line FROM elt) WHERE length(line) > 5 GROUP BY ALL HAVING count(*) >= 3) "
+
+
+@query("repeated_lines", _ELT + _REP + "SELECT doc_id, line, n, zone FROM rp")
+def repeated_lines(spark, sf):
+    return la.repeated_lines(elements(spark, sf))
+
+
+@query("heading_refine", _ELT + _STAT + _VOTE + _REP + f", x AS (SELECT hd.doc_id, line_no, CASE WHEN zone IS NOT NULL THEN 'normal' ELSE level END AS refined, suggested FROM hd LEFT JOIN rp ON rp.doc_id = hd.doc_id AND rp.line = {_NORM.format('text')} LEFT JOIN vs ON vs.doc_id = hd.doc_id AND vs.size = hd.size) SELECT doc_id, line_no, refined, CASE WHEN suggested <> refined THEN 0.8::DOUBLE ELSE 1.0::DOUBLE END AS confidence FROM x")
+def heading_refine(spark, sf):
+    rows = headings(spark, sf)
+    return la.heading_refine(rows, la.repeated_lines(rows), la.style_votes(rows)).select("doc_id", "line_no", "refined", "confidence")
+
+
+@query("heading_audit", _NUM + _STAT + ", p AS (SELECT doc_id, page, count(*) FILTER (level = 'h1') AS h1, count(*) FILTER (level = 'h2') AS h2, count(*) FILTER (level = 'h3') AS h3, count(*) FILTER (level IN ('h1', 'h3') AND regexp_matches(trim(text), '^[0-9]+\\.[0-9]+') AND NOT regexp_matches(trim(text), '^[0-9]+\\.[0-9]+\\.[0-9]+')) AS odd FROM hd GROUP BY ALL) SELECT doc_id, count(*) AS pages, CAST(sum(h1) AS BIGINT) AS h1, CAST(sum(h2) AS BIGINT) AS h2, CAST(sum(h3) AS BIGINT) AS h3, count(*) FILTER (h3 > 0 AND h1 = 0 AND h2 = 0) AS orphan_pages, CAST(sum(odd) AS BIGINT) AS mismatches FROM p GROUP BY ALL")
+def heading_audit(spark, sf):
+    rows = numbered(spark, sf)
+    return la.heading_audit(la.heading_base(rows))
+
+
+@query("page_metadata", _ELT + "SELECT doc_id, page, coalesce(min(line_no) FILTER (bold), -1) AS first_line, coalesce(max(line_no) FILTER (bold), -1) AS last_line, count(*) FILTER (bold) AS lines FROM elt GROUP BY ALL")
+def page_metadata(spark, sf):
+    rows = elements(spark, sf)
+    return la.page_metadata(rows.filter("bold"), rows.select("doc_id", "page").distinct())
+
+
+@query("margin_zones", _ELT + ", z AS (SELECT *, CASE WHEN count(*) FILTER (top < 63.36::DOUBLE) OVER w > 0 THEN 63.36::DOUBLE ELSE 39.6::DOUBLE END AS a, CASE WHEN count(*) FILTER (top > 728.64::DOUBLE) OVER w > 0 THEN 728.64::DOUBLE ELSE 752.4::DOUBLE END AS b FROM elt WINDOW w AS (PARTITION BY doc_id, page)) SELECT doc_id, page, CASE WHEN top < a THEN 'header' WHEN top > b THEN 'footer' ELSE 'body' END AS zone, count(*) AS n FROM z GROUP BY ALL")
+def margin_zones(spark, sf):
+    return la.margin_zones(elements(spark, sf), 792.0).groupBy("doc_id", "page", "zone").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("neighbour_lines", _ELT + "SELECT DISTINCT e.doc_id, e.line_no FROM elt e JOIN elt h ON h.doc_id = e.doc_id AND h.size = 18 AND abs(e.line_no - h.line_no) <= 2")
+def neighbour_lines(spark, sf):
+    rows = elements(spark, sf)
+    return la.neighbour_lines(rows, rows.filter("size = 18"), 2).select("doc_id", "line_no")
+
+
+@query("reading_order", _ELT + "SELECT doc_id, page, array_to_string(list(line_no ORDER BY top, line_no), ',') AS lines FROM elt GROUP BY ALL")
+def reading_order(spark, sf):
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("top", "line_no"))), lambda x: x["line_no"].cast("string"))
+    return elements(spark, sf).groupBy("doc_id", "page").agg(F.array_join(ordered, ",").alias("lines"))
+
+
+@query("page_chunks", _ELT + ", c AS (SELECT *, unnest(range(greatest(0, CAST(floor((page - 3) / 2.0::DOUBLE) AS BIGINT) + 1), CAST(page // 2 AS BIGINT) + 1)) AS chunk FROM elt) SELECT doc_id, chunk, count(*) AS lines, CAST(sum(len(list_filter(string_split(text, ' '), lambda w: w <> ''))) AS BIGINT) AS words, min(line_no) AS first_line, max(line_no) AS last_line FROM c GROUP BY ALL")
+def page_chunks(spark, sf):
+    return la.page_chunks(elements(spark, sf), 3, 1)
+
+
+@query("window_chunks")
+def window_chunks(spark, sf):
+    return la.window_chunks(elements(spark, sf).filter("bold"), 10, 400)
+
+
+@query("key_batches", "SELECT p_brand, p_partkey, (row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1) // 7 AS batch FROM part")
+def key_batches(spark, sf):
+    return la.key_batches(table(spark, sf, "part").select("p_brand", "p_partkey"), "p_partkey", "p_brand", 7)
+
+
+@query("chunk_merge", _ELT + ", c AS (SELECT doc_id, line_no % 3 AS field_id, line_no AS chunk, size AS value, CASE WHEN bold THEN 'b' || size END AS label FROM elt) SELECT doc_id, field_id, arg_max(value, chunk) AS value, arg_min(label, chunk) FILTER (label IS NOT NULL) AS label FROM c GROUP BY ALL")
+def chunk_merge(spark, sf):
+    rows = elements(spark, sf).select("doc_id", (F.col("line_no") % 3).alias("field_id"), F.col("line_no").alias("chunk"), F.col("size").alias("value"), F.when(F.col("bold"), F.concat(F.lit("b"), "size")).alias("label"))
+    return la.merged_chunks(rows)
+
+
+_THIRD = "CASE WHEN top / 720::DOUBLE < 0.33::DOUBLE THEN 'top' WHEN top / 720::DOUBLE < 0.67::DOUBLE THEN 'middle' ELSE 'bottom' END"
+_FP = f", b AS (SELECT doc_id, page, line_no, {_NORM.format('text')} AS line, {_THIRD} AS zone FROM elt), fp AS (SELECT doc_id, sha256(concat_ws('|', max(page), count(*), sum(length(line)), count(*) FILTER (zone = 'top'), count(*) FILTER (zone = 'middle'), count(*) FILTER (zone = 'bottom'), arg_min(line, line_no), arg_max(line, line_no))) AS fingerprint FROM b GROUP BY ALL) "
+
+
+def fingerprints(spark, sf):
+    return la.doc_fingerprint(elements(spark, sf).withColumn("zone", la.third(F.col("top") / 720.0)))
+
+
+@query("doc_fingerprint", _ELT + _FP + "SELECT doc_id, fingerprint FROM fp")
+def doc_fingerprint(spark, sf):
+    return fingerprints(spark, sf)
+
+
+@query("fingerprint_dups", _ELT + _FP + "SELECT fingerprint, count(*) AS n, min(doc_id) AS first_id FROM fp GROUP BY ALL HAVING count(*) > 1")
+def fingerprint_dups(spark, sf):
+    return fingerprints(spark, sf).groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id")).filter("n > 1")
+
+
+@query("registry_stats", _ELT + _FP + f"SELECT count(*) AS entries, CAST(sum(n) AS BIGINT) AS uses, {r4('avg(n)')} AS avg_uses FROM (SELECT fingerprint, count(*) AS n FROM fp GROUP BY ALL)")
+def registry_stats(spark, sf):
+    from formlode.functions.rounding import half_up
+
+    uses = fingerprints(spark, sf).groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n"))
+    return uses.agg(F.count(F.lit(1)).alias("entries"), F.sum("n").alias("uses"), half_up(F.avg("n")).alias("avg_uses"))
+
+
+@query("outline_match", _ELT + ", n AS (SELECT doc_id, line_no, lower(trim(text)) AS line FROM elt WHERE trim(text) <> ''), t AS (SELECT item_id AS title_id, lower(trim(text)) AS title FROM benchmark WHERE trim(text) <> ''), e AS (SELECT doc_id, line_no, min(title_id) AS title_id, 'exact' AS kind FROM n JOIN t ON line = title GROUP BY ALL), r AS (SELECT * FROM n WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.doc_id = n.doc_id AND e.line_no = n.line_no)) SELECT * FROM e UNION ALL SELECT doc_id, line_no, min(title_id) AS title_id, 'partial' AS kind FROM r JOIN t ON length(title) > 10 AND length(line) > 10 AND (contains(line, title) OR contains(title, line)) GROUP BY doc_id, line_no")
+def outline_match(spark, sf):
+    return la.outline_match(elements(spark, sf), table(spark, sf, "benchmark").select(F.col("item_id").alias("title_id"), F.col("text").alias("title")))
+
+
+def widgets(spark, sf):
+    rows = elements(spark, sf).filter("line_no % 5 = 2")
+    return rows.select("doc_id", "page", F.col("line_no").alias("widget_id"), (F.col("top") + 7).cast("double").alias("top"), (F.col("top") + 19).cast("double").alias("bottom"), (100 + F.length("text") % 300).cast("double").alias("left"))
+
+
+_WID = ", wid AS (SELECT doc_id, page, line_no AS widget_id, (top + 7)::DOUBLE AS top, (top + 19)::DOUBLE AS bottom, (100 + length(text) % 300)::DOUBLE AS l FROM elt WHERE line_no % 5 = 2) "
+
+
+@query("nearest_line", _ELT + _WID + ", d AS (SELECT w.doc_id, w.page, widget_id, e.line_no, row_number() OVER (PARTITION BY w.doc_id, widget_id ORDER BY abs(w.bottom - (e.top + 14)), e.line_no) AS n FROM wid w JOIN elt e ON e.doc_id = w.doc_id AND e.page = w.page AND abs(w.bottom - (e.top + 14)) <= 10) SELECT w.doc_id, w.page, w.widget_id, d.line_no FROM wid w LEFT JOIN d ON d.doc_id = w.doc_id AND d.widget_id = w.widget_id AND d.n = 1")
+def nearest_line(spark, sf):
+    return la.nearest_line(widgets(spark, sf), elements(spark, sf).withColumn("bottom", (F.col("top") + 14).cast("double")))
+
+
+@query("label_proximity", _ELT + _WID + "SELECT w.doc_id, w.page, widget_id, e.line_no AS text_id FROM wid w JOIN elt e ON e.doc_id = w.doc_id AND e.page = w.page AND abs(w.top - e.top) < 15 AND w.l >= 20 AND w.l - (20 + length(e.text)) < 200")
+def label_proximity(spark, sf):
+    texts = elements(spark, sf).select("doc_id", "page", F.col("line_no").alias("text_id"), F.col("top").cast("double").alias("top"), F.lit(20.0).alias("left"), (20.0 + F.length("text")).alias("right"))
+    return la.label_proximity(texts, widgets(spark, sf))
+
+
+@query("underline_match", _ELT + "SELECT doc_id, line_no FROM elt e WHERE EXISTS (SELECT 1 FROM elt s WHERE s.doc_id = e.doc_id AND s.page = e.page AND s.bold AND length(s.text) > 20 AND (s.top + 16) - (e.top + 14) >= -5 AND (s.top + 16) - (e.top + 14) <= 10)")
+def underline_match(spark, sf):
+    rows = elements(spark, sf)
+    lines = rows.select("doc_id", "page", "line_no", (F.col("top") + 14).alias("bottom"), F.lit(20).alias("left"), (F.length("text") + 20).alias("right"))
+    strokes = rows.filter("bold").select("doc_id", "page", (F.col("top") + 16).alias("y1"), (F.col("top") + 16).alias("y2"), F.lit(20).alias("x1"), (F.length("text") + 20).alias("x2"))
+    return la.underlined(lines, strokes).select("doc_id", "line_no")
+
+
+@query("box_overlap", _ELT + "SELECT e.doc_id, e.page, e.line_no AS word_id, min(s.line_no) AS span_id FROM elt e JOIN elt s ON s.doc_id = e.doc_id AND s.page = e.page AND least(e.top + 14, s.top + 20) - greatest(e.top, s.top) > 0 AND (contains(s.text, e.text) OR contains(e.text, s.text)) GROUP BY ALL")
+def box_overlap(spark, sf):
+    rows = elements(spark, sf)
+    words = rows.select("doc_id", "page", F.col("line_no").alias("word_id"), "text", F.lit(20).alias("x"), F.lit(90).alias("x2"), F.col("top").alias("y"), (F.col("top") + 14).alias("y2"))
+    spans = rows.select("doc_id", "page", F.col("line_no").alias("span_id"), "text", F.lit(50).alias("x"), F.lit(120).alias("x2"), F.col("top").alias("y"), (F.col("top") + 20).alias("y2"))
+    return la.box_overlap(words, spans)
+
+
+@query("option_groups", _ELT + ", g AS (SELECT doc_id, line_no, unnest(range(CAST(line_no % 4 + 1 AS BIGINT))) AS pos, size FROM elt) SELECT doc_id || '_' || line_no AS group_key, CAST(line_no * 10 + pos AS INTEGER) AS field_id, CASE WHEN pos < 2 THEN 'v' || (size + pos) ELSE '' END AS export_value FROM g")
+def option_groups(spark, sf):
+    rows = elements(spark, sf).select(F.concat_ws("_", "doc_id", "line_no").alias("group_key"), F.transform(F.sequence(F.lit(0), F.col("line_no") % 4), lambda i: F.col("line_no") * 10 + i).alias("field_ids"), F.array(F.concat(F.lit("v"), "size"), F.concat(F.lit("v"), F.col("size") + 1)).alias("export_values"))
+    return la.option_groups(rows)
