@@ -2,8 +2,9 @@
 
 Texts with equal shingle sets form one class; only classes are compared. A bucket of n classes gives n - 1 candidate
 edges, from its smallest class to each other one, and every candidate is confirmed on the full shingle sets. Confirmed
-links give components. What stars alone would lose is then settled exactly: classes from buckets that still hold different
-components are compared across components, with candidates by exact prefix filtering on their rarest shared shingles.
+links give components. Buckets that still hold different components get further stars around other members. What stars
+alone would lose is then settled exactly: classes from buckets that are still mixed are compared across components, with
+candidates by exact prefix filtering on their rarest shared shingles.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from .storage import written
 
 #: 42 bands of 6 of the 256 bins: a pair of similarity 0.8 shares no band with a probability of 3 in a million.
 BINS, ROWS, BANDS = 256, 6, 42
+#: Rounds of stars around other members, for buckets that the first round did not join; they keep the exact rest small.
+TURNS = 2
 _BAND_BASE = 0xE7037ED1A0B428DB
 
 
@@ -181,6 +184,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     links = written(_confirmed(pairs, sets, percent), "links")
     labels = components(links)
 
+    for turn in range(TURNS):
+        rest = written(_unsettled(buckets, labels), "unsettled")
+        by = F.col("k").bitwiseXOR(F.xxhash64("band", F.lit(turn)))
+        centres = rest.groupBy("band").agg(F.min_by("k", by).alias("a"), F.min_by("label", by).alias("other"))
+        tried = rest.join(centres, "band").filter("label <> other").select(F.least("a", "k").alias("a"), F.greatest("a", "k").alias("b")).distinct()
+        more = written(_confirmed(tried, sets, percent), "links")
+        if more.isEmpty():
+            break
+        links = links.union(more)
+        labels = components(links)
     rest = written(_unsettled(buckets, labels).select("k", "label").distinct(), "unsettled")
     across = written(_across(sets.join(rest, "k"), percent), "across")
     if not across.isEmpty():
