@@ -132,6 +132,8 @@ def fit(stats: DataFrame, lang: str = "lang", source: str = "source") -> tuple[D
 def judged(stats: DataFrame, named: DataFrame, estimates: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
     """``stats`` with outlier_distance (squared, scaled; null if the base rules failed) and kept."""
     groups = named.join(estimates, "grp").withColumnRenamed("lang", "_lang").withColumnRenamed("source", "_source").drop("grp")
+    # Once written, the table's real size decides whether it is broadcast, before any text is shuffled.
+    groups = written(groups, "judges")
     names = [c for c in stats.columns if c not in ("outlier_distance", "kept")]
     keyed = stats.select(*[F.col(f"`{c}`") for c in names], _name(lang).alias("_lang"), _name(source).alias("_source"), *[c.alias(n) for n, c in _features().items()])
     near = keyed.join(groups, ["_lang", "_source"], "left").withColumn("outlier_distance", F.when(~F.col("base_failed"), _distance() / F.col("scale")))
