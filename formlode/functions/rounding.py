@@ -15,3 +15,9 @@ def half_up(x: Column, digits: int = 4) -> Column:
 def ratio(part: Column, whole: Column, digits: int = 4) -> Column:
     """part / whole, rounded; 0 where the whole is 0."""
     return F.when(whole == 0, F.lit(0.0)).otherwise(half_up(part.cast("double") / whole.cast("double"), digits))
+
+
+def mean(x: Column | str, digits: int = 4) -> Column:
+    """Rounded mean, null without values; the sum is rounded first, so that its order of addition doesn't matter."""
+    c = F.col(x) if isinstance(x, str) else x
+    return half_up(half_up(F.sum(c), 6) / F.count(c), digits)

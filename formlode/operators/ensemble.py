@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from formlode.functions.rounding import half_up
+from formlode.functions.rounding import mean
 
 KEY = ("submission_id", "field_id")
 #: Confidence from which a prediction counts as made.
@@ -51,8 +51,8 @@ def classify_cases(finals: DataFrame, threshold: float = MATCH) -> DataFrame:
 def prediction_summary(predictions: DataFrame, by: str = "submission_id", name: str = "rag_name", conf: str = "rag_conf") -> DataFrame:
     """Fields, matched, unmatched and mean confidence of the matched (0 if none) of each submission."""
     matched = F.col(name).isNotNull()
-    mean = F.coalesce(half_up(F.avg(F.when(matched, F.col(conf)))), F.lit(0.0))
-    return predictions.groupBy(by).agg(F.count(F.lit(1)).alias("total"), F.count_if(matched).alias("matched"), F.count_if(~matched).alias("unmatched"), mean.alias("avg_confidence"))
+    average = F.coalesce(mean(F.when(matched, F.col(conf))), F.lit(0.0))
+    return predictions.groupBy(by).agg(F.count(F.lit(1)).alias("total"), F.count_if(matched).alias("matched"), F.count_if(~matched).alias("unmatched"), average.alias("avg_confidence"))
 
 
 def case_distribution(cases: DataFrame) -> DataFrame:

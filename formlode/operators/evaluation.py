@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from formlode.functions.rounding import half_up, ratio
+from formlode.functions.rounding import half_up, mean, ratio
 from formlode.functions.text import normalised
 
 
@@ -35,7 +35,7 @@ def fill_accuracy(rows: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def mean_confidence(rows: DataFrame, conf: str) -> DataFrame:
-    return rows.agg(F.count(conf).alias("n"), F.coalesce(half_up(F.avg(conf)), F.lit(0.0)).alias("avg_confidence"))
+    return rows.agg(F.count(conf).alias("n"), F.coalesce(mean(conf), F.lit(0.0)).alias("avg_confidence"))
 
 
 def top_k_accuracy(candidates: DataFrame, truth: DataFrame, k: int = 3) -> DataFrame:
@@ -47,7 +47,7 @@ def top_k_accuracy(candidates: DataFrame, truth: DataFrame, k: int = 3) -> DataF
 def mean_reciprocal_rank(candidates: DataFrame, truth: DataFrame) -> DataFrame:
     first = candidates.join(truth, ["query_id", "field_name"]).groupBy("query_id").agg(F.min("rank").alias("rank"))
     rows = truth.join(first, "query_id", "left")
-    return rows.agg(F.count(F.lit(1)).alias("queries"), F.coalesce(half_up(F.avg(F.coalesce(1.0 / F.col("rank"), F.lit(0.0)))), F.lit(0.0)).alias("mrr"))
+    return rows.agg(F.count(F.lit(1)).alias("queries"), F.coalesce(mean(F.coalesce(1.0 / F.col("rank"), F.lit(0.0))), F.lit(0.0)).alias("mrr"))
 
 
 def cost(calls: DataFrame, prices: DataFrame) -> DataFrame:
@@ -68,4 +68,4 @@ def by_format(rows: DataFrame, fmt: str, right: Column, known: int = 10) -> Data
 def sessions(turns: DataFrame, done: Column) -> DataFrame:
     """Completion rate of sessions and mean turns of the completed ones."""
     each = turns.groupBy("session_id").agg(F.count(F.lit(1)).alias("turns"), F.max(done).alias("done"))
-    return each.agg(F.count(F.lit(1)).alias("sessions"), F.count_if("done").alias("completed"), F.coalesce(half_up(F.avg(F.when(F.col("done"), F.col("turns")))), F.lit(0.0)).alias("avg_turns")).withColumn("completion_rate", ratio(F.col("completed"), F.col("sessions")))
+    return each.agg(F.count(F.lit(1)).alias("sessions"), F.count_if("done").alias("completed"), F.coalesce(mean(F.when(F.col("done"), F.col("turns"))), F.lit(0.0)).alias("avg_turns")).withColumn("completion_rate", ratio(F.col("completed"), F.col("sessions")))

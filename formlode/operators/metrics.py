@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from formlode.functions.rounding import half_up, ratio
+from formlode.functions.rounding import half_up, mean, ratio
 
 AMBIGUOUS = 0.10
 LEVELS = (("hash", ("pdf_hash",)), ("category", ("category",)), ("subcategory", ("category", "sub_category")), ("doctype", ("category", "sub_category", "document_type")), ("global", ()))
@@ -29,8 +29,8 @@ def submission_metrics(cases: DataFrame) -> DataFrame:
         count(has["rag"]).alias("predicted_rag"),
         count(F.col("selected_field_name").isNotNull()).alias("predicted_ensemble"),
         *[n.alias(f"case_{c.lower()}") for c, n in case.items()],
-        *[F.coalesce(half_up(F.avg(F.when(has[s], F.col(f"{s}_conf")))), F.lit(0.0)).alias(f"avg_conf_{s}") for s in ("llm", "rag")],
-        F.coalesce(half_up(F.avg(F.when(F.col("selected_conf") != 0, F.col("selected_conf")))), F.lit(0.0)).alias("avg_conf_ensemble"),
+        *[F.coalesce(mean(F.when(has[s], F.col(f"{s}_conf"))), F.lit(0.0)).alias(f"avg_conf_{s}") for s in ("llm", "rag")],
+        F.coalesce(mean(F.when(F.col("selected_conf") != 0, F.col("selected_conf"))), F.lit(0.0)).alias("avg_conf_ensemble"),
         ratio(half_up(F.sum(F.when(has["rag"], F.coalesce("rag_margin", F.lit(0.0))).otherwise(0.0)), 6), margins).alias("margin_avg"),
         ratio(small, margins).alias("ambiguity_rate"),
     )
@@ -71,8 +71,8 @@ def level_report(metrics: DataFrame, *by: str) -> DataFrame:
     return metrics.groupBy(*by).agg(
         F.count(F.lit(1)).alias("submissions"),
         F.sum("errors_ensemble").alias("errors"),
-        half_up(F.avg("accuracy_ensemble")).alias("avg_accuracy"),
-        half_up(F.avg("coverage_ensemble")).alias("avg_coverage"),
+        mean("accuracy_ensemble").alias("avg_accuracy"),
+        mean("coverage_ensemble").alias("avg_coverage"),
         F.min("ts").alias("first_ts"),
         F.max("ts").alias("last_ts"),
     )
@@ -80,9 +80,9 @@ def level_report(metrics: DataFrame, *by: str) -> DataFrame:
 
 def global_comparison(metrics: DataFrame) -> DataFrame:
     """One row: totals, means of both sources, and the winner of each measure (more wins for rates)."""
-    means = {m: F.avg(m) for s in ("llm", "rag") for m in (f"coverage_{s}", f"avg_conf_{s}")}
+    means = {m: mean(m) for s in ("llm", "rag") for m in (f"coverage_{s}", f"avg_conf_{s}")}
     sums = {f"predicted_{s}": F.sum(f"predicted_{s}") for s in ("llm", "rag", "ensemble")}
-    rows = metrics.agg(F.count(F.lit(1)).alias("submissions"), F.sum("total_fields").alias("total_fields"), *[c.alias(n) for n, c in sums.items()], *[half_up(c).alias(n) for n, c in means.items()], half_up(F.avg("agreement_rate")).alias("agreement_rate"))
+    rows = metrics.agg(F.count(F.lit(1)).alias("submissions"), F.sum("total_fields").alias("total_fields"), *[c.alias(n) for n, c in sums.items()], *[c.alias(n) for n, c in means.items()], mean("agreement_rate").alias("agreement_rate"))
     for m in ("coverage", "avg_conf"):
         llm, rag = F.col(f"{m}_llm"), F.col(f"{m}_rag")
         rows = rows.withColumn(f"{m}_winner", F.when(llm > rag, "llm").when(rag > llm, "rag").otherwise("tie"))

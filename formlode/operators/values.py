@@ -16,3 +16,106 @@ def country_filtered(values: DataFrame) -> DataFrame:
     country = values.groupBy("session_id").agg(F.lower(F.trim(F.coalesce(*found))).alias("_country"))
     foreign = F.coalesce(~F.col("_country").isin(*US), F.lit(False))
     return values.join(country, "session_id", "left").filter(~(foreign & F.col("key").startswith(US_ONLY))).drop("_country")
+
+
+def user_facing(values: DataFrame, prefixes: tuple[str, ...] = ("telephone_part_", "fax_part_")) -> DataFrame:
+    """Without keys whose last segment starts with an internal prefix."""
+    leaf = F.element_at(F.split("key", r"\."), -1)
+    return values.filter(~leaf.rlike("^(" + "|".join(prefixes) + ")"))
+
+
+def merge_first(profile: DataFrame, session: DataFrame) -> DataFrame:
+    """Profile keys win, even with a null value; session keys fill what the profile lacks."""
+    a = profile.select("user_id", "key", F.struct("value").alias("p"))
+    b = session.select("user_id", "key", F.struct("value").alias("s"))
+    return a.join(b, ["user_id", "key"], "full").select("user_id", "key", F.coalesce("p", "s")["value"].alias("value"))
+
+
+def merge_last(values: DataFrame) -> DataFrame:
+    """The latest non-empty value of each user and key."""
+    return values.filter(F.coalesce("value", F.lit("")) != "").groupBy("user_id", "key").agg(F.max_by("value", F.struct("ts", "event_id")).alias("value"))
+
+
+def deep_update(base: DataFrame, updates: DataFrame) -> DataFrame:
+    """Flattened nested update: updates win; what they turn into an object or a scalar is dropped from the base.
+
+    A base key is shadowed if an update has it, lies below it, or lies above it; ancestors are compared as equi-joins.
+    """
+
+    def ancestors(df: DataFrame, own: str) -> DataFrame:
+        parts = F.split("key", r"\.")
+        up = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "."))
+        return df.select("user_id", F.col("key").alias(own), F.explode(up).alias("up"))
+
+    above = base.join(updates.select("user_id", "key"), ["user_id", "key"], "left_anti")
+    below = ancestors(updates.select("user_id", "key"), "u").select("user_id", F.col("up").alias("key")).distinct()
+    kept = above.join(below, ["user_id", "key"], "left_anti")
+    scalars = updates.select("user_id", F.col("key").alias("up"))
+    hidden = ancestors(kept, "own").join(scalars, ["user_id", "up"], "left_semi").select("user_id", F.col("own").alias("key")).distinct()
+    return kept.join(hidden, ["user_id", "key"], "left_anti").select("user_id", "key", "value").unionByName(updates.select("user_id", "key", "value"))
+
+
+def group_copy(values: DataFrame, source: str, target: str) -> DataFrame:
+    """Fills existing empty keys of the target group from the same key of the source group."""
+    twin = values.filter(F.col("key").startswith(source)).select("user_id", F.concat(F.lit(target), F.expr(f"substring(key, {len(source) + 1})")).alias("key"), F.col("value").alias("copy"))
+    rows = values.join(twin, ["user_id", "key"], "left")
+    return rows.select("user_id", "key", F.coalesce(F.nullif("value", F.lit("")), F.when(F.col("key").startswith(target), F.col("copy")), "value").alias("value"))
+
+
+def missing_keys(values: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Wanted keys of each user without a value that is neither null nor empty."""
+    users = values.select("user_id").distinct()
+    filled = values.filter(F.coalesce("value", F.lit("")) != "").select("user_id", "key").distinct()
+    return users.crossJoin(F.broadcast(wanted.select("key"))).join(filled, ["user_id", "key"], "left_anti")  # wanted is a form's key list
+
+
+def accepted(current: DataFrame, answers: DataFrame, schema: DataFrame, errors) -> DataFrame:
+    """Current values updated by known, valid, non-empty answers."""
+    good = answers.join(schema.select("key"), "key", "left_semi").filter(F.size(errors(F.col("key"), F.col("value"))) == 0)
+    new = good.select("user_id", "key", F.col("value").alias("answer"))
+    return current.join(new, ["user_id", "key"], "full").select("user_id", "key", F.coalesce(F.nullif("answer", F.lit("")), "value").alias("value"))
+
+
+def fill_report(values: DataFrame, schema: DataFrame) -> DataFrame:
+    """Per session: filled, mandatory and optional counts, rates to one digit, and sorted missing lists; other keys are ignored."""
+    sessions = values.select("user_id", "session_id").distinct()
+    filled = values.filter(F.coalesce("value", F.lit("")) != "").select("user_id", "session_id", "key").distinct().withColumn("filled", F.lit(True))
+    each = sessions.crossJoin(F.broadcast(schema.select("key", "mandatory"))).join(filled, ["user_id", "session_id", "key"], "left")
+    have, must = F.col("filled").isNotNull(), F.col("mandatory")
+    rate = lambda a, b: F.when(b == 0, 0.0).otherwise(F.floor(100.0 * a / b * 10 + 0.5) / 10.0)
+    lost = F.array_join(F.array_sort(F.collect_set(F.when(~have & must, F.col("key")))), ",")
+    rows = each.groupBy("user_id", "session_id").agg(F.count(F.lit(1)).alias("total"), F.count_if(have).alias("filled"), F.count_if(must).alias("mandatory"), F.count_if(have & must).alias("mandatory_filled"), lost.alias("missing"))
+    return rows.withColumns({"fill_rate": rate(F.col("filled"), F.col("total")), "mandatory_rate": rate(F.col("mandatory_filled"), F.col("mandatory"))})
+
+
+def filled_state(kind, value) -> object:
+    """Whether a widget shows a value: text unless blank, null, no or false; boxes for yes, true, 1 and on."""
+    v = F.lower(F.trim(F.coalesce(value, F.lit(""))))
+    return F.when(kind == "checkbox", v.isin("yes", "true", "1", "on")).otherwise(~v.isin("", "null", "no", "false"))
+
+
+def fuzzy_resolve(values: DataFrame, column: str, options: list[str], least: float = 70.0) -> DataFrame:
+    """The option a text means: a number picks by position, else the best by 100 * (1 - distance / longer length), from ``least`` on.
+
+    Distinct texts meet a short literal list of options inside one expression; no join is made.
+    """
+    text = F.lower(F.trim(F.col(column)))
+    score = lambda o: F.floor(100.0 * (1 - F.levenshtein(text, F.lower(o)) / F.greatest(F.length(text), F.length(o))) * 100 + 0.5) / 100
+    rated = F.array(*[F.struct((-score(F.lit(o))).alias("s"), F.lit(i).alias("i"), F.lit(o).alias("o")) for i, o in enumerate(options)])
+    best = F.array_min(rated)
+    number = text.try_cast("int")
+    by_number = F.get(F.array(*map(F.lit, options)), number - 1)
+    resolved = F.when(number.isNotNull(), F.when(number.between(1, len(options)), by_number)).when(-best["s"] >= least, best["o"])
+    return values.withColumns({"resolved": resolved, "score": F.when(number.isNull(), -best["s"])})
+
+
+def cache_lookup(wanted: DataFrame, registry: DataFrame) -> DataFrame:
+    """Hits bump the use count, misses start at 1, unwanted entries stay; hit tells them apart."""
+    asked = wanted.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n"))
+    rows = asked.join(registry, "fingerprint", "full")
+    return rows.select("fingerprint", (F.coalesce("usage_count", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("usage_count"), F.when(F.col("n").isNotNull(), F.col("usage_count").isNotNull()).alias("hit"))
+
+
+def field_labels(values: DataFrame, labels: DataFrame, label) -> DataFrame:
+    """Distinct keys with their configured or derived labels."""
+    return values.select("key").distinct().join(labels, "key", "left").select("key", label(F.col("key"), F.col("label")).alias("label"))

@@ -10,7 +10,7 @@ from formlode.operators import ensemble as en
 from formlode.operators import learning as le
 from formlode.operators import metrics as me
 
-from .registry import query, r4, rat
+from .registry import a4, query, r4, rat
 from .adapters import ENS, SUB, submissions, table
 
 W = f"WITH {SUB}, {ENS} "
@@ -48,7 +48,7 @@ def context_lookup(spark, sf):
     return en.context_lookup(wanted, contexts)
 
 
-@query("prediction_summary", W + f"SELECT submission_id, count(*) AS total, count(rag_name) AS matched, count(*) - count(rag_name) AS unmatched, coalesce({r4('avg(rag_conf)')}, 0.0::DOUBLE) AS avg_confidence FROM sub GROUP BY submission_id")
+@query("prediction_summary", W + f"SELECT submission_id, count(*) AS total, count(rag_name) AS matched, count(*) - count(rag_name) AS unmatched, coalesce({a4('rag_conf')}, 0.0::DOUBLE) AS avg_confidence FROM sub GROUP BY submission_id")
 def prediction_summary(spark, sf):
     return en.prediction_summary(submissions(spark, sf))
 
@@ -64,7 +64,7 @@ def case_distribution(spark, sf):
 _RAW = f"""met0 AS (SELECT submission_id, user_id, pdf_hash, category, sub_category, document_type, min(ts) AS ts, count(*) AS total_fields,
     count(llm_name) AS predicted_llm, count(rag_name) AS predicted_rag, count(selected_field_name) AS predicted_ensemble,
     {', '.join(f"count(*) FILTER (case_type = '{c}') AS case_{c.lower()}" for c in 'ABCDE')},
-    coalesce({r4('avg(llm_conf)')}, 0) AS avg_conf_llm, coalesce({r4('avg(rag_conf)')}, 0) AS avg_conf_rag, coalesce({r4('avg(selected_conf)')}, 0) AS avg_conf_ensemble,
+    coalesce({a4('llm_conf')}, 0) AS avg_conf_llm, coalesce({a4('rag_conf')}, 0) AS avg_conf_rag, coalesce({a4('selected_conf')}, 0) AS avg_conf_ensemble,
     {rat(r4('coalesce(sum(rag_margin), 0.0::DOUBLE)', 6), 'count(rag_name) + count(llm_name)')} AS margin_avg,
     {rat('count(*) FILTER (rag_name IS NOT NULL AND rag_margin < 0.1::DOUBLE) + count(llm_name)', 'count(rag_name) + count(llm_name)')} AS ambiguity_rate
     FROM (SELECT *, {r4('rag_conf - 0.5::DOUBLE')} AS rag_margin FROM fin) GROUP BY ALL), met AS (SELECT *,
@@ -119,7 +119,7 @@ def accuracy_after_errors(spark, sf):
 
 
 def _report(*by):
-    return A + f"SELECT {', '.join(by)}, count(*) AS submissions, CAST(sum(errors_ensemble) AS BIGINT) AS errors, {r4('avg(accuracy_ensemble)')} AS avg_accuracy, {r4('avg(coverage_ensemble)')} AS avg_coverage, min(ts) AS first_ts, max(ts) AS last_ts FROM acc GROUP BY ALL"
+    return A + f"SELECT {', '.join(by)}, count(*) AS submissions, CAST(sum(errors_ensemble) AS BIGINT) AS errors, {a4('accuracy_ensemble')} AS avg_accuracy, {a4('coverage_ensemble')} AS avg_coverage, min(ts) AS first_ts, max(ts) AS last_ts FROM acc GROUP BY ALL"
 
 
 @query("category_report", _report("category"))
@@ -138,7 +138,7 @@ def doctype_report(spark, sf):
 
 
 @query("global_comparison", M + f""", g AS (SELECT count(*) AS submissions, CAST(sum(total_fields) AS BIGINT) AS total_fields, {', '.join(f'CAST(sum(predicted_{s}) AS BIGINT) AS predicted_{s}' for s in ('llm', 'rag', 'ensemble'))},
-    {', '.join(f'{r4(f"avg({m}_{s})")} AS {m}_{s}' for m in ('coverage', 'avg_conf') for s in ('llm', 'rag'))}, {r4('avg(agreement_rate)')} AS agreement_rate FROM met)
+    {', '.join(f'{a4(f"{m}_{s}")} AS {m}_{s}' for m in ('coverage', 'avg_conf') for s in ('llm', 'rag'))}, {a4('agreement_rate')} AS agreement_rate FROM met)
     SELECT *, {', '.join(f"CASE WHEN {m}_llm > {m}_rag THEN 'llm' WHEN {m}_rag > {m}_llm THEN 'rag' ELSE 'tie' END AS {m}_winner" for m in ('coverage', 'avg_conf'))} FROM g""")
 def global_comparison(spark, sf):
     return me.global_comparison(metrics(spark, sf))

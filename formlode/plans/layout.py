@@ -8,7 +8,7 @@ from formlode.functions import text as tx
 from formlode.operators import layout as la
 
 from .adapters import table
-from .registry import query, r4
+from .registry import a4, query, r4
 from .vectors import _NORM
 
 _ELT = """WITH elt AS (SELECT doc_id, CAST(i - 1 AS INTEGER) AS line_no, t AS text, CAST((i - 1) // 40 AS INTEGER) AS page, CAST(10 + length(t) % 9 AS INTEGER) AS size, CAST(((i - 1) % 40) * 18 AS INTEGER) AS top, length(t) % 5 = 0 AS bold
@@ -190,12 +190,12 @@ def fingerprint_dups(spark, sf):
     return fingerprints(spark, sf).groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id")).filter("n > 1")
 
 
-@query("registry_stats", _ELT + _FP + f"SELECT count(*) AS entries, CAST(sum(n) AS BIGINT) AS uses, {r4('avg(n)')} AS avg_uses FROM (SELECT fingerprint, count(*) AS n FROM fp GROUP BY ALL)")
+@query("registry_stats", _ELT + _FP + f"SELECT count(*) AS entries, CAST(sum(n) AS BIGINT) AS uses, {a4('n')} AS avg_uses FROM (SELECT fingerprint, count(*) AS n FROM fp GROUP BY ALL)")
 def registry_stats(spark, sf):
-    from formlode.functions.rounding import half_up
+    from formlode.functions.rounding import mean
 
     uses = fingerprints(spark, sf).groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n"))
-    return uses.agg(F.count(F.lit(1)).alias("entries"), F.sum("n").alias("uses"), half_up(F.avg("n")).alias("avg_uses"))
+    return uses.agg(F.count(F.lit(1)).alias("entries"), F.sum("n").alias("uses"), mean("n").alias("avg_uses"))
 
 
 @query("outline_match", _ELT + ", n AS (SELECT doc_id, line_no, lower(trim(text)) AS line FROM elt WHERE trim(text) <> ''), t AS (SELECT item_id AS title_id, lower(trim(text)) AS title FROM benchmark WHERE trim(text) <> ''), e AS (SELECT doc_id, line_no, min(title_id) AS title_id, 'exact' AS kind FROM n JOIN t ON line = title GROUP BY ALL), r AS (SELECT * FROM n WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.doc_id = n.doc_id AND e.line_no = n.line_no)) SELECT * FROM e UNION ALL SELECT doc_id, line_no, min(title_id) AS title_id, 'partial' AS kind FROM r JOIN t ON length(title) > 10 AND length(line) > 10 AND (contains(line, title) OR contains(title, line)) GROUP BY doc_id, line_no")

@@ -25,3 +25,8 @@ def r4(x: str, digits: int = 4) -> str:
 
 def rat(a: str, b: str) -> str:
     return f"CASE WHEN ({b}) = 0 THEN 0.0::DOUBLE ELSE {r4(f'({a})::DOUBLE / ({b})::DOUBLE')} END"
+
+
+def a4(x: str) -> str:
+    """SQL form of rounding.mean()."""
+    return r4(f"({r4(f'sum({x})', 6)}) / count({x})")

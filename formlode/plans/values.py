@@ -1 +1,355 @@
-"""Placeholder."""
+"""Queries on form values, telemetry, sources and extension hooks."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+import pandas as pd
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
+
+from formlode.functions import text as tx
+from formlode.functions.rounding import half_up
+from formlode.operators import learning as le
+from formlode.operators import values as va
+from formlode.sources import files
+from formlode.streaming import telemetry as te
+
+from .adapters import table
+from .core import W, finals
+from .layout import _ELT, _FP, fingerprints
+from .registry import query, r4, rat
+
+_FV = "WITH fv AS (SELECT event_id, user_id, strftime(ts, '%Y-%m-%d') AS session_id, 'section_' || (user_id % 3) || '.' || event_type AS key, event_type, CASE WHEN event_id % 11 = 0 THEN '' WHEN event_id % 13 = 0 THEN NULL ELSE json_extract_string(props, '$.k') END AS value, ts FROM events) "
+_FILLED = "coalesce(value, '') <> ''"
+
+
+def form_values(spark, sf):
+    value = F.when(F.col("event_id") % 11 == 0, "").when(F.col("event_id") % 13 != 0, F.get_json_object("props", "$.k"))
+    key = F.concat(F.lit("section_"), F.col("user_id") % 3, F.lit("."), "event_type")
+    return table(spark, sf, "events").select("event_id", "user_id", F.date_format("ts", "yyyy-MM-dd").alias("session_id"), key.alias("key"), "event_type", value.alias("value"), "ts")
+
+
+def last_values(spark, sf):
+    return va.merge_last(form_values(spark, sf))
+
+
+_LAST = f", last AS (SELECT user_id, key, arg_max(value, (ts, event_id)) AS value FROM fv WHERE {_FILLED} GROUP BY ALL) "
+
+
+@query("merge_last", _FV + _LAST + "SELECT user_id, key, value FROM last")
+def merge_last(spark, sf):
+    return last_values(spark, sf)
+
+
+_FIRST = ", one AS (SELECT user_id, key, arg_min(CASE WHEN value IS NULL THEN 'null' ELSE 'v' || value END, (ts, event_id)) AS v FROM fv GROUP BY ALL), prof AS (SELECT user_id, key, CASE WHEN v <> 'null' THEN substr(v, 2) END AS value FROM one WHERE user_id % 2 = 0) "
+
+
+@query("merge_first", _FV + _LAST + _FIRST + "SELECT coalesce(p.user_id, l.user_id) AS user_id, coalesce(p.key, l.key) AS key, CASE WHEN p.user_id IS NOT NULL THEN p.value ELSE l.value END AS value FROM prof p FULL JOIN last l ON p.user_id = l.user_id AND p.key = l.key")
+def merge_first(spark, sf):
+    rows = form_values(spark, sf).filter("user_id % 2 = 0")
+    profile = rows.groupBy("user_id", "key").agg(F.min_by(F.struct("value"), F.struct("ts", "event_id")).alias("s")).select("user_id", "key", F.col("s.value").alias("value"))
+    return va.merge_first(profile, last_values(spark, sf))
+
+
+@query("deep_update", _FV + _LAST + ", u AS (SELECT DISTINCT user_id, CASE WHEN user_id % 2 = 0 THEN 'section_' || (user_id % 3) ELSE 'section_' || (user_id % 3) || '.click.deep' END AS key, 'new' AS value FROM last) SELECT user_id, key, value FROM u UNION ALL SELECT l.user_id, l.key, l.value FROM last l WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.user_id = l.user_id AND (u.key = l.key OR starts_with(l.key, u.key || '.') OR starts_with(u.key, l.key || '.')))")
+def deep_update(spark, sf):
+    base = last_values(spark, sf)
+    section = F.concat(F.lit("section_"), F.col("user_id") % 3)
+    updates = base.select("user_id").distinct().select("user_id", F.when(F.col("user_id") % 2 == 0, section).otherwise(F.concat(section, F.lit(".click.deep"))).alias("key"), F.lit("new").alias("value"))
+    return va.deep_update(base, updates)
+
+
+_GC = ", g AS (SELECT user_id, CASE WHEN event_type IN ('click', 'view') THEN 'reg.' || event_type ELSE 'x.' || event_type END AS key, arg_max(value, (ts, event_id)) AS value FROM fv WHERE value IS NOT NULL AND value <> '' GROUP BY ALL), m AS (SELECT * FROM g UNION ALL SELECT DISTINCT user_id, 'mail.click' AS key, '' AS value FROM g WHERE user_id % 2 = 0) "
+
+
+@query("group_copy", _FV + _GC + "SELECT m.user_id, m.key, CASE WHEN m.key LIKE 'mail.%' AND m.value = '' THEN coalesce(r.value, m.value) ELSE m.value END AS value FROM m LEFT JOIN m r ON r.user_id = m.user_id AND r.key = 'reg.' || substr(m.key, 6) AND m.key LIKE 'mail.%'")
+def group_copy(spark, sf):
+    named = F.concat(F.when(F.col("event_type").isin("click", "view"), "reg.").otherwise("x."), "event_type")
+    rows = va.merge_last(form_values(spark, sf).withColumn("key", named))
+    mail = rows.filter("user_id % 2 = 0").select("user_id", F.lit("mail.click").alias("key"), F.lit("").alias("value")).distinct()
+    return va.group_copy(rows.unionByName(mail), "reg.", "mail.")
+
+
+def key_schema(spark):
+    return spark.createDataFrame([("click", True), ("view", True), ("signup", False), ("purchase", True), ("fax", False)], "key string, mandatory boolean")
+
+
+_SCHEMA = "sch(key, mandatory) AS (VALUES ('click', true), ('view', true), ('signup', false), ('purchase', true), ('fax', false))"
+
+
+def plain(spark, sf):
+    return form_values(spark, sf).withColumn("key", F.col("event_type"))
+
+
+@query("missing_keys", _FV + f", {_SCHEMA} SELECT user_id, sch.key FROM (SELECT DISTINCT user_id FROM fv) u, sch WHERE mandatory AND NOT EXISTS (SELECT 1 FROM fv WHERE fv.user_id = u.user_id AND event_type = sch.key AND {_FILLED} AND fv.event_id % 3 = 0)")
+def missing_keys(spark, sf):
+    rows = plain(spark, sf).withColumn("value", F.when(F.col("event_id") % 3 == 0, F.col("value")))
+    return va.missing_keys(rows, key_schema(spark).filter("mandatory"))
+
+
+_RATE = lambda a, b: f"floor(100.0::DOUBLE * {a} / {b} * 10 + 0.5::DOUBLE) / 10.0::DOUBLE"
+
+
+@query("fill_report", _FV + f""", {_SCHEMA}, e AS (SELECT user_id, session_id, sch.key, mandatory, EXISTS (SELECT 1 FROM fv WHERE fv.user_id = s.user_id AND fv.session_id = s.session_id AND event_type = sch.key AND {_FILLED}) AS have FROM (SELECT DISTINCT user_id, session_id FROM fv) s, sch),
+  t AS (SELECT user_id, session_id, count(*) AS total, count(*) FILTER (have) AS filled, count(*) FILTER (mandatory) AS mandatory, count(*) FILTER (have AND mandatory) AS mandatory_filled, coalesce(array_to_string(list_sort(list(key) FILTER (mandatory AND NOT have)), ','), '') AS missing FROM e GROUP BY ALL)
+  SELECT *, {_RATE('filled', 'total')} AS fill_rate, {_RATE('mandatory_filled', 'mandatory')} AS mandatory_rate FROM t""")
+def fill_report(spark, sf):
+    return va.fill_report(plain(spark, sf), key_schema(spark))
+
+
+@query("key_sets", _FV + f", {_SCHEMA} SELECT (SELECT count(*) FROM (SELECT key FROM sch INTERSECT SELECT event_type FROM fv WHERE {_FILLED})) AS filled, (SELECT count(*) FROM (SELECT key FROM sch WHERE mandatory EXCEPT SELECT event_type FROM fv WHERE {_FILLED})) AS missing, (SELECT count(*) FROM sch WHERE NOT mandatory) AS optional")
+def key_sets(spark, sf):
+    schema, have = key_schema(spark), plain(spark, sf).filter("coalesce(value, '') <> ''").select("key").distinct()
+    must = schema.filter("mandatory").select("key")
+    count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    sets = count(schema.select("key").intersect(have), "filled").crossJoin(count(must.exceptAll(have), "missing"))
+    return sets.crossJoin(count(schema.select("key").exceptAll(must), "optional"))  # one row each
+
+
+@query("accept_answers", _FV + _LAST + ", a AS (SELECT user_id, key, arg_max(value, (ts, event_id)) AS v FROM fv WHERE event_type IN ('click', 'view') AND value IS NOT NULL AND value <> '' AND event_id % 2 = 0 GROUP BY ALL) SELECT coalesce(l.user_id, a.user_id) AS user_id, coalesce(l.key, a.key) AS key, coalesce(a.v, l.value) AS value FROM last l FULL JOIN a ON l.user_id = a.user_id AND l.key = a.key")
+def accept_answers(spark, sf):
+    rows = form_values(spark, sf)
+    schema = rows.filter("event_type IN ('click', 'view')").select("key").distinct()
+    return va.accepted(last_values(spark, sf), va.merge_last(rows.filter("event_id % 2 = 0")), schema, tx.rule_errors)
+
+
+@query("user_facing", "SELECT count(*) AS n FROM events WHERE event_id % 4 > 1")
+def user_facing(spark, sf):
+    names = F.element_at(F.array(*map(F.lit, ("a.telephone_part_1", "fax_part_2", "b.telephone", "c.fax"))), (F.col("event_id") % 4 + 1).cast("int"))
+    return va.user_facing(table(spark, sf, "events").select(names.alias("key"))).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("field_labels", _FV + "SELECT DISTINCT key, CASE WHEN event_type = 'click' THEN 'Clicked' ELSE upper(left(event_type, 1)) || substr(event_type, 2) END AS label FROM fv")
+def field_labels(spark, sf):
+    rows = form_values(spark, sf)
+    return va.field_labels(rows, rows.filter("event_type = 'click'").select("key").distinct().withColumn("label", F.lit("Clicked")), tx.field_label)
+
+
+@query("fill_values", W + "SELECT submission_id, field_id, selected_field_name AS key, CASE field_id % 2 WHEN 0 THEN 'checkbox' ELSE 'text' END AS kind, CASE WHEN selected_field_name IS NULL THEN false WHEN field_id % 2 = 0 THEN selected_field_name = 'f1' ELSE selected_field_name <> 'f2' END AS filled FROM fin")
+def fill_values(spark, sf):
+    answers = spark.createDataFrame([("f0", "Ada"), ("f1", "yes"), ("f2", "no")], "key string, value string")
+    kind = F.when(F.col("field_id") % 2 == 0, "checkbox").otherwise("text")
+    rows = finals(spark, sf).select("submission_id", "field_id", F.col("selected_field_name").alias("key"), kind.alias("kind")).join(answers, "key", "left")
+    return rows.select("submission_id", "field_id", "key", "kind", va.filled_state(F.col("kind"), F.col("value")).alias("filled"))
+
+
+OPTIONS = ["economic", "smal", "medium size", "promotion", "standart"]
+
+
+@query("fuzzy_resolve", "WITH o(i, o) AS (VALUES " + ", ".join(f"({i}, '{o}')" for i, o in enumerate(OPTIONS)) + "), t AS (SELECT DISTINCT p_type FROM part), s AS (SELECT p_type, o, i, floor(100.0::DOUBLE * (1 - levenshtein(lower(p_type), o) / greatest(length(p_type), length(o))::DOUBLE) * 100 + 0.5::DOUBLE) / 100 AS score FROM t, o), b AS (SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY score DESC, i) AS n FROM s) SELECT p_partkey, b.p_type, CASE WHEN score >= 70 THEN o END AS resolved, score FROM part JOIN b ON part.p_type = b.p_type AND n = 1")
+def fuzzy_resolve(spark, sf):
+    return va.fuzzy_resolve(table(spark, sf, "part").select("p_partkey", "p_type"), "p_type", OPTIONS)
+
+
+@query("cache_lookup", _ELT + _FP + ", r AS (SELECT DISTINCT fingerprint, 3 AS u FROM fp WHERE doc_id % 3 = 0), a AS (SELECT fingerprint, count(*) AS n FROM fp WHERE doc_id % 2 = 0 GROUP BY ALL) SELECT coalesce(a.fingerprint, r.fingerprint) AS fingerprint, coalesce(u, 0) + coalesce(n, 0) AS usage_count, CASE WHEN n IS NOT NULL THEN u IS NOT NULL END AS hit FROM a FULL JOIN r ON a.fingerprint = r.fingerprint")
+def cache_lookup(spark, sf):
+    prints = fingerprints(spark, sf)
+    registry = prints.filter("doc_id % 3 = 0").select("fingerprint").distinct().withColumn("usage_count", F.lit(3))
+    return va.cache_lookup(prints.filter("doc_id % 2 = 0"), registry)
+
+
+@query("llm_usage", f"WITH c AS (SELECT event_type AS model, count(*) AS calls, CAST(sum(user_id) AS BIGINT) AS tokens_in, CAST(sum(event_id % 100) AS BIGINT) AS tokens_out FROM events GROUP BY ALL) SELECT *, {r4('(tokens_in * 0.15::DOUBLE + tokens_out * 0.6::DOUBLE) / 1000000', 6)} AS cost_usd, {rat('tokens_in + tokens_out', 'calls')} AS tokens_per_call FROM c")
+def llm_usage(spark, sf):
+    from formlode.functions.rounding import ratio
+
+    rows = table(spark, sf, "events").groupBy(F.col("event_type").alias("model")).agg(F.count(F.lit(1)).alias("calls"), F.sum("user_id").alias("tokens_in"), F.sum(F.col("event_id") % 100).alias("tokens_out"))
+    return rows.withColumns({"cost_usd": half_up((F.col("tokens_in") * 0.15 + F.col("tokens_out") * 0.6) / 1000000, 6), "tokens_per_call": ratio(F.col("tokens_in") + F.col("tokens_out"), F.col("calls"))})
+
+
+@query("section_tree", "SELECT r_name AS h1, count(DISTINCT n_nationkey) AS h2_count, count(s_suppkey) AS h3_count FROM region JOIN nation ON n_regionkey = r_regionkey LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY ALL")
+def section_tree(spark, sf):
+    leaves = table(spark, sf, "supplier").groupBy("s_nationkey").agg(F.array_sort(F.collect_list("s_name")).alias("h3"))
+    nations = table(spark, sf, "nation").join(leaves, F.col("n_nationkey") == F.col("s_nationkey"), "left").select("n_regionkey", F.struct(F.coalesce("n_name", F.lit("Section")).alias("name"), F.coalesce("h3", F.array().cast("array<string>")).alias("h3")).alias("s"))
+    tree = table(spark, sf, "region").join(nations.groupBy("n_regionkey").agg(F.array_sort(F.collect_list("s")).alias("h2")), F.col("r_regionkey") == F.col("n_regionkey"))
+    return tree.select(F.col("r_name").alias("h1"), F.size("h2").cast("long").alias("h2_count"), F.aggregate("h2", F.lit(0).cast("long"), lambda a, x: a + F.size(x["h3"])).alias("h3_count"))
+
+
+_SES = "strftime(ts, '%Y-%m-%d')"
+
+
+def sessions(spark, sf):
+    return table(spark, sf, "events").withColumn("session_id", F.date_format("ts", "yyyy-MM-dd"))
+
+
+@query("job_summary", f"SELECT user_id, {_SES} AS job, count(*) AS logs, count(*) FILTER (event_type = 'click') AS requests, count(*) FILTER (event_type = 'error') AS errors, CAST((epoch_us(max(ts)) - epoch_us(min(ts))) // 1000000 AS BIGINT) AS seconds, count(*) FILTER (event_type = 'error') = 0 AS success FROM events GROUP BY ALL")
+def job_summary(spark, sf):
+    return te.job_summary(sessions(spark, sf).withColumnRenamed("session_id", "job"))
+
+
+@query("user_sessions", f"SELECT user_id, count(*) AS n, array_to_string(list_sort(list(s)), ',') AS sessions FROM (SELECT DISTINCT user_id, {_SES} AS s FROM events WHERE NOT (user_id % 5 = 0 AND {_SES} = '2024-01-01')) GROUP BY ALL")
+def user_sessions(spark, sf):
+    rows = sessions(spark, sf).select("user_id", "session_id").distinct()
+    deleted = rows.filter("user_id % 5 = 0 AND session_id = '2024-01-01'")
+    own = rows.join(deleted, ["user_id", "session_id"], "left_anti").groupBy("user_id").agg(F.array_sort(F.collect_set("session_id")).alias("s"))
+    return own.select("user_id", F.size("s").cast("long").alias("n"), F.array_join("s", ",").alias("sessions"))
+
+
+@query("session_latest", f"SELECT user_id, {_SES} AS session_id, arg_max(event_type, (ts, event_id)) AS state, max(ts) AS updated_at FROM events GROUP BY ALL")
+def session_latest(spark, sf):
+    return te.session_latest(sessions(spark, sf))
+
+
+@query("telemetry_rollup", f"SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, {r4('sum(value)', 2)} AS total FROM events GROUP BY ALL")
+def telemetry_rollup(spark, sf):
+    return te.rollup(table(spark, sf, "events"), "1 hour").withColumn("total", half_up(F.col("total"), 2))
+
+
+@query("state_transitions", "SELECT from_state, to_state, count(*) AS n FROM (SELECT lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS from_state, event_type AS to_state FROM events) WHERE from_state IS NOT NULL GROUP BY ALL")
+def state_transitions(spark, sf):
+    return te.transitions(table(spark, sf, "events"))
+
+
+@query("quota_violations", f"WITH e AS (SELECT *, 's' || (event_id % 5) AS sid, {_SES} AS day FROM events), q AS (SELECT event_id, count(*) OVER (PARTITION BY user_id, sid ORDER BY ts, event_id) AS m, count(*) FILTER (event_type = 'click') OVER (PARTITION BY user_id, sid ORDER BY ts, event_id) AS c, sum(CASE WHEN f = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, day ORDER BY ts, event_id) AS s FROM (SELECT *, row_number() OVER (PARTITION BY user_id, day, sid ORDER BY ts, event_id) AS f FROM e)) SELECT event_id, CASE WHEN m > 12 THEN 'messages' WHEN c > 2 THEN 'calls' WHEN s > 1 THEN 'sessions' END AS violated FROM q")
+def quota_violations(spark, sf):
+    rows = table(spark, sf, "events").select("event_id", "user_id", "ts", F.concat(F.lit("s"), F.col("event_id") % 5).alias("session_id"), F.date_format("ts", "yyyy-MM-dd").alias("day"), (F.col("event_type") == "click").alias("is_call"))
+    return te.quota_violations(rows, 12, 1, 2).select("event_id", "violated")
+
+
+@query("turn_history", "WITH t AS (SELECT conv_id, turn, role || ': ' || coalesce(text, '') AS line, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) SELECT conv_id, count(*) AS turns, string_agg(line, chr(10) ORDER BY turn) AS history FROM t WHERE n <= 4 GROUP BY ALL")
+def turn_history(spark, sf):
+    recent = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn"))) <= 4
+    rows = table(spark, sf, "conversations").withColumn("_r", recent).filter("_r")
+    line = F.concat("role", F.lit(": "), F.coalesce("text", F.lit("")))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))), lambda x: x["line"])
+    return rows.groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), F.array_join(ordered, "\n").alias("history"))
+
+
+def scratch(spark, label):
+    """A fresh path in the folder that all executors share."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return f"{base.rstrip('/')}/formlode-{label}-{uuid.uuid4().hex}"
+
+
+@query("src_json", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events")
+def src_json(spark, sf):
+    path = scratch(spark, "json")
+    table(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k")).write.json(path)
+    absent = files.load_json(spark, path + "-absent", "event_id long, k int")
+    return files.load_json(spark, path, "event_id long, k int").unionByName(absent)
+
+
+@query("src_jsonl")
+def src_jsonl(spark, sf):
+    path, rows = scratch(spark, "jsonl"), table(spark, sf, "events").select("event_id", "event_type")
+    files.append_jsonl(rows.filter("event_id % 2 = 0"), path)
+    files.append_jsonl(rows.filter("event_id % 2 = 1"), path)
+    return files.load_jsonl(spark, path, "event_id long, event_type string")
+
+
+@query("src_corpus", "SELECT CASE doc_id % 4 WHEN 0 THEN 'txt' WHEN 1 THEN 'md' WHEN 2 THEN 'json' ELSE 'xyz' END AS kind, count(*) AS n, count(*) FILTER (doc_id % 4 = 3) AS errors FROM documents GROUP BY ALL")
+def src_corpus(spark, sf):
+    kind = F.element_at(F.array(*map(F.lit, ("txt", "md", "json", "xyz"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    rows = table(spark, sf, "documents").select(F.concat(F.lit("in/"), "doc_id", F.lit("."), kind).alias("path"), F.coalesce("text", F.lit("")).alias("content"))
+    return files.corpus_text(rows).groupBy(F.regexp_extract("path", r"\.(\w+)$", 1).alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.count("error").alias("errors"))
+
+
+@query("html_text")
+def html_text(spark, sf):
+    return files.html_text(table(spark, sf, "pages"), "page_id", "html")
+
+
+@query("xml_text")
+def xml_text(spark, sf):
+    p = table(spark, sf, "part").select("p_partkey", F.concat(F.lit("<p><n>"), "p_name", F.lit("</n> tail <b>"), "p_brand", F.lit("</b></p>")).alias("x"))
+    return files.xml_text(p, "p_partkey", "x")
+
+
+@query("schema_for_type", "WITH o AS (SELECT DISTINCT c_mktsegment AS entity_type FROM customer), d AS (SELECT unnest(['name', 'email']) AS key), s AS (SELECT 'BUILDING' AS entity_type, unnest(['name', 'permit']) AS key) SELECT o.entity_type, s.key FROM o JOIN s USING (entity_type) UNION ALL SELECT o.entity_type, d.key FROM o, d WHERE o.entity_type <> 'BUILDING'")
+def schema_for_type(spark, sf):
+    own = spark.createDataFrame([("BUILDING", ["name", "permit"])], "entity_type string, keys array<string>")
+    types = table(spark, sf, "customer").select(F.col("c_mktsegment").alias("entity_type")).distinct()
+    default = F.array(F.lit("name"), F.lit("email"))
+    return types.join(own, "entity_type", "left").select("entity_type", F.explode(F.coalesce("keys", default)).alias("key"))
+
+
+@query("sink_partitioned")
+def sink_partitioned(spark, sf):
+    from formlode.operators.metrics import metric_series
+
+    from .core import metrics
+
+    path = scratch(spark, "series")
+    metric_series(metrics(spark, sf)).withColumn("category", F.substring_index("identifier", "/", 1)).repartition("level", "category").write.partitionBy("level", "category").parquet(path)
+    return spark.read.parquet(path).groupBy("level").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("validate_csv")
+def validate_csv(spark, sf):
+    from .core import validate_by_type
+
+    path, rows = scratch(spark, "csv"), validate_by_type(spark, sf)
+    rows.coalesce(1).write.option("header", True).csv(path)  # a handful of rows, one for each widget type
+    return spark.read.option("header", True).schema(rows.schema).csv(path)
+
+
+def event_stream(spark, sf):
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    return spark.readStream.schema(schema).parquet(f"{sf}/events.parquet*")
+
+
+@query("telemetry_ingest")
+def telemetry_ingest(spark, sf):
+    path = scratch(spark, "ingest")
+    running = te.envelope(event_stream(spark, sf)).writeStream.format("parquet").option("path", path).option("checkpointLocation", path + "-state").trigger(availableNow=True).start()
+    running.awaitTermination()
+    return spark.read.parquet(path).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_hash").alias("users"))
+
+
+@query("confidence_stream")
+def confidence_stream(spark, sf):
+    events = event_stream(spark, sf).select(F.col("user_id").alias("vector_id"), "ts", "event_id", (F.col("event_type") != "error").alias("positive"))
+    learned = te.confidence_stream(events, le.START, le.BOOST, le.DECAY, le.TOP, le.BOTTOM)
+    out = te.streamed(learned, "confidence_" + uuid.uuid4().hex[:8], "update", scratch(spark, "confidence"))
+    return out.groupBy("vector_id").agg(F.max_by("confidence", "steps").alias("confidence"), F.max("steps").alias("steps"))
+
+
+@query("udf_correct")
+def udf_correct(spark, sf):
+    @F.pandas_udf("name string, confidence double, reasoning string")
+    def correct(names: pd.Series) -> pd.DataFrame:
+        fixed = names.fillna("").str.strip().str.lower().str.replace("[ -]", "_", regex=True)
+        return pd.DataFrame({"name": fixed, "confidence": 0.6, "reasoning": "reported name in snake case"})
+
+    return table(spark, sf, "part").select("p_partkey", correct("p_name").alias("c")).select("p_partkey", "c.*")
+
+
+def hooked(df, *hooks):
+    """DataFrame -> DataFrame hooks in order, each checked against the schema it declares."""
+    for hook, schema in hooks:
+        df = hook(df)
+        wanted = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+        if df.schema.simpleString() != wanted.simpleString():
+            raise TypeError(f"{hook.__name__} returned {df.schema.simpleString()}, not {wanted.simpleString()}")
+    return df
+
+
+@query("transform_hooks")
+def transform_hooks(spark, sf):
+    def extract(df):
+        return df.select("p_partkey", F.split("p_name", " ").alias("words"))
+
+    def count_words(df):
+        return df.select("p_partkey", F.size("words").alias("n"))
+
+    return hooked(table(spark, sf, "part"), (extract, "p_partkey long, words array<string>"), (count_words, "p_partkey long, n int"))
+
+
+@query("udtf_chunk")
+def udtf_chunk(spark, sf):
+    from pyspark.sql.functions import udtf
+
+    @udtf(returnType="chunk int, part string")
+    class Chunks:
+        def eval(self, text: str, size: int):
+            words = (text or "").split()
+            for i in range(0, len(words), size):
+                yield i // size, " ".join(words[i : i + size])
+
+    spark.udtf.register("formlode_chunks", Chunks)
+    table(spark, sf, "documents").createOrReplaceTempView("formlode_documents")
+    return spark.sql("SELECT doc_id, chunk, part FROM formlode_documents, LATERAL formlode_chunks(text, 200)")
+
+

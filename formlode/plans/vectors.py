@@ -9,7 +9,7 @@ from formlode.operators import retrieval as re
 
 from .adapters import table
 from .core import M, W, corrected, finals, A
-from .registry import query, r4, rat
+from .registry import a4, query, r4, rat
 
 
 def vectors(spark, sf):
@@ -111,7 +111,7 @@ def eval_topk(spark, sf):
     return ev.top_k_accuracy(candidates(spark, sf), truth(spark, sf), 3)
 
 
-@query("eval_mrr", _TOP + f", h AS (SELECT query_id, coalesce(1.0::DOUBLE / min(rank) FILTER (truth = field_name), 0.0::DOUBLE) AS r FROM t GROUP BY ALL) SELECT count(*) AS queries, {r4('avg(r)')} AS mrr FROM h")
+@query("eval_mrr", _TOP + f", h AS (SELECT query_id, coalesce(1.0::DOUBLE / min(rank) FILTER (truth = field_name), 0.0::DOUBLE) AS r FROM t GROUP BY ALL) SELECT count(*) AS queries, {a4('r')} AS mrr FROM h")
 def eval_mrr(spark, sf):
     return ev.mean_reciprocal_rank(candidates(spark, sf), truth(spark, sf))
 
@@ -137,7 +137,7 @@ def eval_fuzzy(spark, sf):
     return ev.fuzzy_accuracy(names, "a", "b", 0.2)
 
 
-@query("eval_confidence", W + f"SELECT count(selected_conf) AS n, {r4('avg(selected_conf)')} AS avg_confidence FROM fin")
+@query("eval_confidence", W + f"SELECT count(selected_conf) AS n, {a4('selected_conf')} AS avg_confidence FROM fin")
 def eval_confidence(spark, sf):
     return ev.mean_confidence(finals(spark, sf), "selected_conf")
 
@@ -151,12 +151,12 @@ def eval_fill(spark, sf):
     return ev.fill_accuracy(table(spark, sf, "part").select("p_name", other.alias("filled")), "p_name", "filled")
 
 
-@query("eval_improvement", A + f"SELECT count(*) AS submissions, {r4('avg(1.0::DOUBLE - accuracy_ensemble)')} AS avg_drop FROM acc WHERE errors_ensemble > 0")
+@query("eval_improvement", A + f"SELECT count(*) AS submissions, {a4('1.0::DOUBLE - accuracy_ensemble')} AS avg_drop FROM acc WHERE errors_ensemble > 0")
 def eval_improvement(spark, sf):
-    from formlode.functions.rounding import half_up
+    from formlode.functions.rounding import mean
 
     after = corrected(spark, sf).filter("errors_ensemble > 0")
-    return after.agg(F.count(F.lit(1)).alias("submissions"), half_up(F.avg(1.0 - F.col("accuracy_ensemble"))).alias("avg_drop"))
+    return after.agg(F.count(F.lit(1)).alias("submissions"), mean(1.0 - F.col("accuracy_ensemble")).alias("avg_drop"))
 
 
 @query("eval_by_format", f"WITH f AS (SELECT source AS format, count(*) AS total, count(*) FILTER (n_chars > 1000) AS correct FROM documents GROUP BY ALL) SELECT *, {rat('correct', 'total')} AS accuracy, {rat('(SELECT count(*) FROM f)', '10')} AS format_coverage FROM f")
