@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from formlode.llm.packing import pack_sequences
 from formlode.llm.quality_rules import quality_rules
 from formlode.llm.storage import written
 from formlode.llm.substring_dedup import substring_dedup
+from formlode.shipping import ship
 
 #: Words of a near-duplicate shingle and of a repeated passage, tokens of a sequence.
 SHINGLE, WINDOW, CAPACITY = 5, 50, 2048
@@ -18,6 +21,17 @@ SHINGLE, WINDOW, CAPACITY = 5, 50, 2048
 TEMPERATURE = 0.85
 
 
+def _stage(work):
+    """A stage whose session's executors have this package."""
+
+    @functools.wraps(work)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return work(spark, docs, sf_dir)
+
+    return run
+
+
 def reject_outliers(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that the quality rules reject."""
     return quality_rules(docs).filter("kept").select(*docs.columns)
@@ -61,6 +75,7 @@ STAGES = [
     ("mixing", mix_languages),
     ("packing", pack),
 ]
+STAGES = [(name, _stage(work)) for name, work in STAGES]
 
 #: Outlier estimates, MinHash, fitted rates and token ids are beyond SQL.
 ORACLE_SQL = None
