@@ -270,3 +270,66 @@ def key_batches(keys: DataFrame, key: str, by: str, size: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy(by).orderBy(key)) - 1
     return keys.withColumn("batch", F.floor(rank / max(1, size)))
 
+
+
+def widget_names(widgets: DataFrame, fields: DataFrame, keys: DataFrame, near: float = 2.0, least: float = 0.7) -> DataFrame:
+    """The name of each widget: its field's key if sure enough, else unmapped_<field>; without a field unmapped_unknown.
+
+    A field matches if all four edges differ by less than ``near``; the smallest field id wins. The left edge is bucketed by
+    ``near``, so that the match is an equi-join on neighbouring buckets.
+    """
+    edges = ("x", "y", "x2", "y2")
+    bucket = F.floor(F.col("x") / near)
+    spread = fields.withColumn("b", F.explode(F.array(bucket - 1, bucket, bucket + 1))).select(*PAGE, "b", "field_id", *[F.col(e).alias(f"f_{e}") for e in edges])
+    close = F.lit(True)
+    for e in edges:
+        close = close & (F.abs(F.col(e) - F.col(f"f_{e}")) < near)
+    found = widgets.withColumn("b", bucket).join(spread, [*PAGE, "b"]).filter(close).groupBy(*PAGE, "widget_id").agg(F.min("field_id").alias("field_id"))
+    rows = widgets.select(*PAGE, "widget_id").join(found, [*PAGE, "widget_id"], "left").join(keys, ["doc_id", "field_id"], "left")
+    sure = F.when(F.col("conf") >= least, F.col("key"))
+    return rows.select(*PAGE, "widget_id", F.coalesce(sure, F.concat(F.lit("unmapped_"), F.col("field_id").cast("string")), F.lit("unmapped_unknown")).alias("name"))
+
+
+def cell_locate(widgets: DataFrame, cells: DataFrame) -> DataFrame:
+    """(page key, widget_id, row, col): the cell that holds the widget's centre, else the cell with the nearest centre."""
+    cx, cy = (F.col("x") + F.col("x2")) / 2, (F.col("y") + F.col("y2")) / 2
+    own = widgets.select(*PAGE, "widget_id", cx.alias("cx"), cy.alias("cy"))
+    pair = own.join(cells, list(PAGE))
+    inside = (F.col("cx") >= F.col("x")) & (F.col("cx") <= F.col("x2")) & (F.col("cy") >= F.col("y")) & (F.col("cy") <= F.col("y2"))
+    gap = (F.col("cx") - (F.col("x") + F.col("x2")) / 2) ** 2 + (F.col("cy") - (F.col("y") + F.col("y2")) / 2) ** 2
+    best = F.min(F.struct(F.when(inside, 0.0).otherwise(1.0).alias("out"), F.when(inside, 0.0).otherwise(gap).alias("gap"), "row", "col")).alias("m")
+    return pair.groupBy(*PAGE, "widget_id").agg(best).select(*PAGE, "widget_id", "m.row", "m.col")
+
+
+def line_rebuild(words: DataFrame, margin: int = 70, pitch: int = 7) -> DataFrame:
+    """(doc_id, line_no, line): words from left to right, one space for each ``pitch`` of gap, from a left margin; runs of _ or . are blank."""
+    order = Window.partitionBy("doc_id", "line_no").orderBy("x", "word_no")
+    before = F.coalesce(F.lag("x2").over(order), F.lit(margin))
+    spaces = F.greatest(F.floor((F.col("x") - before) / pitch), F.lit(0)).cast("int")
+    shown = F.regexp_replace("word", r"[_.]{3,}", " ")
+    rows = words.withColumn("piece", F.concat(F.repeat(F.lit(" "), spaces), shown))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("x", "word_no", "piece"))), lambda w: w["piece"])
+    return rows.groupBy("doc_id", "line_no").agg(F.array_join(ordered, "").alias("line"))
+
+
+def heading_context(lines: DataFrame, page_height: float) -> DataFrame:
+    """Base levels refined in order: numbering, capitals, isolation near the top, then length; with confidence in [0, 1] and hints.
+
+    lines: level, text, top, bold, is_isolated. Later rules see what earlier ones decided.
+    """
+    pattern = numbering(F.col("text"))
+    rows = lines.withColumns({"refined": F.col("level"), "points": F.lit(50), "_p": pattern})
+    first = F.when(F.col("_p").isin("decimal_1", "letter_dot", "named"), "h1").when(F.col("_p").isin("decimal_2", "letter_paren", "roman"), "h2").when(F.col("_p") == "decimal_3", "h3")
+    numbered = first.isNotNull() & (F.col("refined") != "normal")
+    rows = rows.withColumns({"refined": F.when(numbered, first).otherwise(F.col("refined")), "points": F.col("points") + F.when(numbered, 20).otherwise(0)})
+    letters = F.regexp_replace("text", "[^A-Za-z]", "")
+    caps = (F.length(letters) > 0) & (F.upper(letters) == letters)
+    raised = caps & (F.col("refined") == "normal")
+    rows = rows.withColumns({"_caps": caps, "points": F.col("points") + F.when(caps, 10).otherwise(0), "refined": F.when(raised, "h3").otherwise(F.col("refined"))})
+    high = F.col("is_isolated") & (F.col("top") < page_height * 0.2) & (F.col("refined") == "h3")
+    rows = rows.withColumns({"_high": high, "points": F.col("points") + F.when(high, 10).otherwise(0), "refined": F.when(high, "h2").otherwise(F.col("refined"))})
+    long = (F.length("text") > 100) & (F.col("refined") != "normal")
+    rows = rows.withColumns({"_long": long, "points": F.col("points") - F.when(long, 30).otherwise(0), "refined": F.when(long, "normal").otherwise(F.col("refined"))})
+    hints = F.filter(F.array(F.when(F.col("_p").isNotNull(), "numbered"), F.when(F.col("_caps"), "caps"), F.when(F.col("_high"), "top"), F.when(F.col("_long"), "long")), lambda h: h.isNotNull())
+    share = F.greatest(F.lit(0), F.least(F.lit(100), F.col("points"))) / 100.0
+    return rows.withColumns({"confidence": share, "hints": F.array_join(hints, ",")}).drop("_p", "_caps", "_high", "_long", "points")

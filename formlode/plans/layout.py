@@ -242,3 +242,45 @@ def box_overlap(spark, sf):
 def option_groups(spark, sf):
     rows = elements(spark, sf).select(F.concat_ws("_", "doc_id", "line_no").alias("group_key"), F.transform(F.sequence(F.lit(0), F.col("line_no") % 4), lambda i: F.col("line_no") * 10 + i).alias("field_ids"), F.array(F.concat(F.lit("v"), "size"), F.concat(F.lit("v"), F.col("size") + 1)).alias("export_values"))
     return la.option_groups(rows)
+
+
+@query("widget_names", _ELT + ", w AS (SELECT doc_id, page, line_no AS widget_id, top + (line_no % 3) AS y FROM elt WHERE line_no % 5 = 2), m AS (SELECT w.*, (SELECT min(e.line_no) FROM elt e WHERE e.doc_id = w.doc_id AND e.page = w.page AND abs(e.top - w.y) < 2 AND e.line_no % 4 <> 0) AS f FROM w) SELECT doc_id, page, widget_id, CASE WHEN f IS NULL THEN 'unmapped_unknown' WHEN f % 3 = 0 THEN 'key_' || f ELSE 'unmapped_' || f END AS name FROM m")
+def widget_names(spark, sf):
+    rows = elements(spark, sf)
+    box = lambda y: [F.lit(20.0).alias("x"), y.alias("y"), F.lit(90.0).alias("x2"), (y + 14).alias("y2")]
+    widgets_ = rows.filter("line_no % 5 = 2").select("doc_id", "page", F.col("line_no").alias("widget_id"), *box(F.col("top") + F.col("line_no") % 3))
+    fields = rows.filter("line_no % 4 <> 0").select("doc_id", "page", F.col("line_no").alias("field_id"), *box(F.col("top")))
+    keys = rows.select("doc_id", F.col("line_no").alias("field_id"), F.concat(F.lit("key_"), "line_no").alias("key"), F.when(F.col("line_no") % 3 == 0, 0.9).otherwise(0.5).alias("conf"))
+    return la.widget_names(widgets_, fields, keys)
+
+
+@query("cell_locate", _ELT + ", w AS (SELECT doc_id, page, line_no AS widget_id, 30 + (length(text) % 50) * 10 AS cx, top + 9.5::DOUBLE AS cy FROM elt WHERE line_no % 5 = 2), c AS (SELECT range % 3 AS col, range // 3 AS row FROM range(9)), b AS (SELECT *, col * 100 AS x, row * 200 AS y, row_number() OVER (PARTITION BY doc_id, widget_id ORDER BY CASE WHEN cx BETWEEN col * 100 AND col * 100 + 90 AND cy BETWEEN row * 200 AND row * 200 + 190 THEN -1 ELSE (cx - (col * 100 + 45)) ** 2 + (cy - (row * 200 + 95)) ** 2 END, row, col) AS n FROM w, c) SELECT doc_id, page, widget_id, CAST(row AS BIGINT) AS row, CAST(col AS BIGINT) AS col FROM b WHERE n = 1")
+def cell_locate(spark, sf):
+    rows = elements(spark, sf)
+    cx = 30.0 + (F.length("text") % 50) * 10
+    widgets_ = rows.filter("line_no % 5 = 2").select("doc_id", "page", F.col("line_no").alias("widget_id"), (cx - 5).alias("x"), (cx + 5).alias("x2"), F.col("top").alias("y"), (F.col("top") + 19).alias("y2"))
+    grid = rows.select("doc_id", "page").distinct().withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(8)))).select("doc_id", "page", F.floor(F.col("i") / 3).alias("row"), (F.col("i") % 3).cast("long").alias("col"))
+    cells = grid.select("doc_id", "page", "row", "col", (F.col("col") * 100.0).alias("x"), (F.col("col") * 100.0 + 90).alias("x2"), (F.col("row") * 200.0).alias("y"), (F.col("row") * 200.0 + 190).alias("y2"))
+    return la.cell_locate(widgets_, cells)
+
+
+@query("line_rebuild", _ELT + ", w AS (SELECT doc_id, line_no, unnest(string_split(text, ' ')) AS word, generate_subscripts(string_split(text, ' '), 1) AS i FROM elt WHERE line_no % 10 = 0), x AS (SELECT *, 70 + i * 21 AS x, coalesce(lag(70 + i * 21 + length(word)) OVER (PARTITION BY doc_id, line_no ORDER BY i), 70) AS b FROM w) SELECT doc_id, line_no, string_agg(repeat(' ', CAST(greatest((x - b) // 7, 0) AS BIGINT)) || regexp_replace(word, '[_.]{3,}', ' ', 'g'), '' ORDER BY i) AS line FROM x GROUP BY ALL")
+def line_rebuild(spark, sf):
+    words = elements(spark, sf).filter("line_no % 10 = 0").select("doc_id", "line_no", F.posexplode(F.split("text", " ")).alias("p", "word"))
+    x = 70 + (F.col("p") + 1) * 21
+    return la.line_rebuild(words.select("doc_id", "line_no", F.col("p").alias("word_no"), "word", x.alias("x"), (x + F.length("word")).alias("x2")))
+
+
+_HINT = "array_to_string(list_filter([CASE WHEN p IS NOT NULL THEN 'numbered' END, CASE WHEN caps THEN 'caps' END, CASE WHEN high THEN 'top' END, CASE WHEN long THEN 'long' END], lambda h: h IS NOT NULL), ',')"
+
+
+@query("heading_context", _NUM + _STAT + f""", a AS (SELECT *, CASE WHEN regexp_matches(trim(text), '^[0-9]+\\.') AND NOT regexp_matches(trim(text), '^[0-9]+\\.[0-9]+') OR regexp_matches(trim(text), '^[A-Z]\\.') OR regexp_matches(lower(trim(text)), '^(chapter|section) [0-9]+') THEN 'h1' WHEN regexp_matches(trim(text), '^[0-9]+\\.[0-9]+\\.[0-9]+') THEN 'h3' WHEN regexp_matches(trim(text), '^[0-9]+\\.[0-9]+') OR regexp_matches(trim(text), '^[a-z]\\)') OR regexp_matches(trim(text), '^[IVXivx]+\\.') THEN 'h2' END AS p,
+    regexp_replace(text, '[^A-Za-z]', '', 'g') AS letters FROM hd),
+  b AS (SELECT *, p IS NOT NULL AND level <> 'normal' AS num, CASE WHEN p IS NOT NULL AND level <> 'normal' THEN p ELSE level END AS r1, length(letters) > 0 AND upper(letters) = letters AS caps FROM a),
+  c AS (SELECT *, CASE WHEN caps AND r1 = 'normal' THEN 'h3' ELSE r1 END AS r2 FROM b),
+  d AS (SELECT *, line_no % 4 = 0 AND top < 158.4::DOUBLE AND r2 = 'h3' AS high FROM c),
+  e AS (SELECT *, CASE WHEN high THEN 'h2' ELSE r2 END AS r3, length(text) > 100 AND CASE WHEN high THEN 'h2' ELSE r2 END <> 'normal' AS long FROM d)
+  SELECT doc_id, line_no, CASE WHEN long THEN 'normal' ELSE r3 END AS refined, greatest(0, least(100, 50 + CASE WHEN num THEN 20 ELSE 0 END + CASE WHEN caps THEN 10 ELSE 0 END + CASE WHEN high THEN 10 ELSE 0 END - CASE WHEN long THEN 30 ELSE 0 END)) / 100.0::DOUBLE AS confidence, {_HINT} AS hints FROM e""")
+def heading_context(spark, sf):
+    rows = la.heading_base(numbered(spark, sf)).withColumn("is_isolated", F.col("line_no") % 4 == 0)
+    return la.heading_context(rows, 792.0).select("doc_id", "line_no", "refined", "confidence", "hints")
