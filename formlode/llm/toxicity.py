@@ -95,14 +95,14 @@ def learned(docs: DataFrame, labels: DataFrame, rows: int = ROWS, features: int
     chosen = F.broadcast(bounded_sample(known, "label", rows))
     texts = docs.join(chosen, "id").select(F.col("label").cast("int").alias("label"), F.coalesce("text", F.lit("")).alias("text"))
     counted = texts.mapInArrow(_counted, "label int, slot long, times long").groupBy("slot").agg(*[F.sum(F.when(F.col("label") == c, F.col("times")).otherwise(0)).alias(f"n{c}") for c in (0, 1)])
-    counts = np.array([(r.slot, r.n0, r.n1) for r in counted.filter("n0 + n1 > 2").toLocalIterator()], np.int64).reshape(-1, 3)
     size = [min(rows, total[c]) for c in (0, 1)]
-    rate0, rate1 = (counts[:, 1] + 1) / (size[0] + 2), (counts[:, 2] + 1) / (size[1] + 2)
-    both = (counts[:, 1] + counts[:, 2] + 1) / (sum(size) + 2)
-    z = np.abs(rate1 - rate0) / np.sqrt(both * (1 - both) * (1 / size[0] + 1 / size[1]) + 1e-12)
-    best = np.lexsort([counts[:, 0], -z])[:features]
-    ratio = np.log(rate1[best] / rate0[best])
-    table[counts[best, 0]] = np.arange(len(best))
+    rated = counted.filter("n0 + n1 > 2").withColumns({f"rate{c}": (F.col(f"n{c}") + 1) / (size[c] + 2) for c in (0, 1)})
+    both = (F.col("n0") + F.col("n1") + 1) / (sum(size) + 2)
+    apart = F.abs(F.col("rate1") - F.col("rate0")) / F.sqrt(both * (1 - both) + 1e-12)
+    chosen_slots = rated.orderBy(F.desc(apart), "slot").limit(features).select("slot", F.log(F.col("rate1") / F.col("rate0")).alias("ratio")).collect()
+    best = np.array([r.slot for r in chosen_slots], np.int64)
+    ratio = np.array([r.ratio for r in chosen_slots], np.float64)
+    table[best] = np.arange(len(best))
     if not len(best):
         return Model(table, np.zeros(1), logit)
     drawn = texts.mapInArrow(_featured(table), "label int, features array<int>").toArrow()
