@@ -78,7 +78,8 @@ def _cache(folder: str | None) -> _Cache:
 def _encoded(raw: bytes, starts: np.ndarray, ends: np.ndarray, joint: np.ndarray, folder: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Ids of these chunks, one after the other, and how many each has; chunks that are not joint come last.
 
-    A chunk without leading white space would grow together with the one before it, so it is encoded on its own.
+    A chunk without leading white space would grow together with the one before it, and one that ends in white space with the
+    one after it, so these are encoded on their own.
     """
     quick, sizes, _ = _encoders(folder)
     ids = np.array(quick.encode_ordinary(b"".join([raw[a:b] for a, b in zip(starts[joint].tolist(), ends[joint].tolist(), strict=True)]).decode()), np.int64)
@@ -115,7 +116,7 @@ def token_ids(column: pa.Array, folder: str | None = None) -> tuple[np.ndarray,
         order = missed[np.argsort(h[missed])]
         first = runs(h[order])
         sample = order[first]
-        joint = space[starts[sample]]
+        joint = space[starts[sample]] & ~space[ends[sample] - 1]
         ids, own = _encoded(raw, starts[sample], ends[sample], joint, folder)
         before = cache.used
         at = cache.add(ids)
