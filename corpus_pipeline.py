@@ -32,15 +32,23 @@ def _stage(work):
     return run
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a unique _row, written so that it stays the same: ids may be null or repeated."""
+    return written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+
+
 def reject_outliers(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that the quality rules reject."""
     return quality_rules(docs).filter("kept").select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document, that of the smallest id, of each group of near copies."""
-    kept = near_duplicates(docs, shingle=SHINGLE, percent=80).filter("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """Keep one row, one of the smallest id, of each group of near copies; null ids come last, texts without words all stay."""
+    rows = _numbered(docs)
+    groups = near_duplicates(rows, id_col="_row", shingle=SHINGLE, percent=80).select("_row", "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("first")
+    kept = groups.join(rows.select("_row", "doc_id"), "_row").groupBy("component_id").agg(first).select("first._row")
+    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,11 +63,12 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat documents of under-supplied languages so that expected tokens meet tempered targets; every document stays at least once."""
     posterior = mixing.learned(docs.select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("domain")))
-    rates = mixing.mixed(docs, posterior, temperature=TEMPERATURE, least=1.0).rows
+    rows = _numbered(docs)
+    rates = mixing.mixed(rows, posterior, id_col="_row", temperature=TEMPERATURE, least=1.0).rows.select(F.col("id").alias("_row"), "rate")
     # Rates differ from row to row but little within a language, and a document's copies depend on its own rate and id alone.
-    copies = written(rates.select(F.col("id").alias("doc_id"), mixing.copies(F.col("rate"), F.col("id")).alias("copies")).distinct(), "copies")
-    extra = copies.filter("copies > 1")
-    again = docs.join(extra, "doc_id").withColumn("copies", F.explode(F.sequence(F.lit(2), F.col("copies")))).drop("copies")
+    copies = rates.join(rows.select("_row", "doc_id"), "_row").select("_row", mixing.copies(F.col("rate"), F.col("doc_id")).alias("copies"))
+    extra = written(copies.filter("copies > 1"), "copies")
+    again = rows.join(extra, "_row").withColumn("copies", F.explode(F.sequence(F.lit(2), F.col("copies")))).drop("copies")
     return docs.unionByName(again.select(*docs.columns))
 
 
