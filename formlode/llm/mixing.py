@@ -25,6 +25,7 @@ SIZE, BITS, DOCUMENTS = 4, 16, 1500
 #: How sharply the mean log-likelihood of a document's n-grams separates domains.
 SHARPNESS = 12.0
 STEPS, TOLERANCE = 60, 1e-3
+UNKNOWN = "und"
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -56,11 +57,14 @@ class Posterior:
 
 
 def learned(labelled: DataFrame, documents: int = DOCUMENTS) -> Posterior:
-    """A posterior from (id, text, domain) rows, from at most ``documents`` rows of each domain; rows without either are skipped."""
+    """A posterior from (id, text, domain) rows, from at most ``documents`` rows of each domain; rows without either are skipped.
+
+    If no row is left, all texts belong to the one domain UNKNOWN.
+    """
     known = labelled.filter("domain IS NOT NULL AND text IS NOT NULL")
     shares = {r.domain: r["count"] for r in known.groupBy("domain").count().collect()}
     if not shares:
-        raise ValueError("the labelled table has no row with a text and a domain")
+        return Posterior([UNKNOWN], np.zeros((1 << BITS, 1), np.float32), np.ones(1))
     # Bounded: at most ``documents`` ids of each domain.
     chosen = F.broadcast(bounded_sample(known.select("id", "domain"), "domain", documents))
     texts = known.join(chosen, ["id", "domain"], "left_semi").select("domain", "text")

@@ -92,18 +92,21 @@ def learned(docs: DataFrame, labels: DataFrame, rows: int = ROWS, pairs: int = P
     """A model from (id, text) and (id, label) rows with labels 0 and 1: from at most ``rows`` ids of each label.
 
     The threshold is the score quantile at the share of label 0 among all labelled rows, taken over the sample weighted to
-    that share. Without rows of both labels all scores are equal.
+    that share. Without rows of both labels, or texts of both, all scores are equal.
     """
     known = labels.filter("label IN (0, 1) AND id IS NOT NULL").select("id", "label").distinct()
     total = {r.label: r["count"] for r in known.groupBy("label").count().collect()}
     zero = np.zeros(len(NAMES))
+    equal = Model(zero, zero + 1, zero, 0.0)
     if len(total) < 2:
-        return Model(zero, zero + 1, zero, 0.0)
+        return equal
     # Bounded: at most ``rows`` ids of each label.
     chosen = F.broadcast(bounded_sample(known, "label", rows))
     texts = docs.join(chosen, "id").select(F.col("label").cast("int").alias("label"), F.coalesce("text", F.lit("")).alias("text"))
     drawn = texts.mapInArrow(_measured, "label int, features array<double>").toArrow()
     y = np.asarray(drawn.column("label"))
+    if len(np.unique(y)) < 2:
+        return equal
     x = np.asarray(drawn.column("features").combine_chunks().flatten(), np.float64).reshape(len(y), -1)
     order = np.lexsort([*x.T, y])  # the rows arrive in any order
     x, y = x[order], y[order]
