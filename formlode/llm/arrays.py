@@ -20,7 +20,7 @@ SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _POWERS: dict[int, np.ndarray] = {}
 #: Bytes of text hashed at once; bounds the working arrays, except that one longer text is taken whole.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 
 def powers(base: int, n: int) -> np.ndarray:
