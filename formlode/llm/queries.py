@@ -89,7 +89,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     docs = measured(_table(spark, sf_dir, "documents"))
     stats = written(docs.select("doc_id", "lang", "source", "n_lines", *base), "statistics")
-    return judged(stats, *fit(stats)).select("doc_id", *base, "kept", "outlier_distance")
+    return judged(stats, fit(stats)).select("doc_id", *base, "kept", "outlier_distance")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

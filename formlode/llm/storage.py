@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a fresh local one only where that is unset, as in tests."""
+    """The folder named by ``spark.checkpoint.dir``; a fresh local one only where that is unset and all runs on one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -21,8 +23,12 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/formlode/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: its lineage is cut and lost executors cost no recomputation."""
+def written(df: DataFrame, label: str, files: int | None = None) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: its lineage is cut and lost executors cost no recomputation.
+
+    files: into how many files aggregated rows are gathered, so that a small table has a small size for the choice of joins.
+    """
     path = fresh_path(df.sparkSession, label)
+    df = df.repartition(files) if files else df
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
