@@ -4,11 +4,12 @@ A classifier learned from a labelled table gives every document a posterior over
 expected number of copies, such that for every domain the expected tokens, rate times tokens times posterior summed over
 all documents, match the target. The rates are the projected-gradient solution of the least squares problem that starts at
 rate 1, so they stay close to the corpus as it is. A step needs from the corpus only one expected total for each domain,
-summed by the executors; a document's rate is replayed from the few past totals, so no rates are stored between steps.
+summed by the executors; between steps a document's rate is replayed from the last totals, and stored every REPLAY steps.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,9 @@ from .training import bounded_sample
 SIZE, BITS, DOCUMENTS = 4, 16, 1500
 #: How sharply the mean log-likelihood of a document's n-grams separates domains.
 SHARPNESS = 12.0
-STEPS, TOLERANCE = 60, 1e-3
+#: Steps between two tables of rates. The search ends if all targets are met to TOLERANCE, or if the largest miss has fallen by
+#: less than GAIN over so many steps, as it does where targets can't be met.
+REPLAY, TOLERANCE, GAIN = 8, 1e-3, 0.02
 UNKNOWN = "und"
 
 
@@ -66,7 +69,7 @@ def learned(labelled: DataFrame, documents: int = DOCUMENTS) -> Posterior:
     if not shares:
         return Posterior([UNKNOWN], np.zeros((1 << BITS, 1), np.float32), np.ones(1))
     # Bounded: at most ``documents`` ids of each domain.
-    chosen = F.broadcast(bounded_sample(known.select("id", "domain"), "domain", documents))
+    chosen = F.broadcast(bounded_sample(known.select("id", "domain"), "domain", documents, shares))
     texts = known.join(chosen, ["id", "domain"], "left_semi").select("domain", "text")
     counts = texts.mapInArrow(_counted, "domain string, slot long, times long").groupBy("domain", "slot").agg(F.sum("times").alias("times"))
     domains = sorted(shares)
@@ -91,30 +94,31 @@ def _memberships(posterior: Posterior):
     return run
 
 
-def replayed(p: np.ndarray, history: list[np.ndarray], step: float, least: float) -> np.ndarray:
+def replayed(rate: np.ndarray, p: np.ndarray, history: list[np.ndarray], least: float) -> np.ndarray:
     """Each document's rate after the steps whose errors are given."""
-    rate = np.full(len(p), max(1.0, least))
     for error in history:
-        rate = np.maximum(least, rate - step * (p @ error))
+        rate = np.maximum(least, rate - p @ error)
     return rate
 
 
-def _totals(history: list[np.ndarray], step: float, least: float, width: int):
+def _totals(history: list[np.ndarray], least: float, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(width)
         for batch in batches:
             p = np.asarray(batch.column(1).flatten(), np.float64).reshape(-1, width)
-            total += (replayed(p, history, step, least) * np.asarray(batch.column(0), np.float64)) @ p
+            rate = replayed(np.asarray(batch.column(2), np.float64), p, history, least)
+            total += (rate * np.asarray(batch.column(0), np.float64)) @ p
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(width, dtype=np.int32)), pa.array(total)], ["domain", "tokens"])
 
     return run
 
 
-def _rates(history: list[np.ndarray], step: float, least: float, width: int):
+def _rates(history: list[np.ndarray], least: float, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p = np.asarray(batch.column(2).flatten(), np.float64).reshape(-1, width)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(replayed(p, history, step, least))], ["id", "tokens", "posterior", "rate"])
+            rate = replayed(np.asarray(batch.column(3), np.float64), p, history, least)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(rate)], ["id", "tokens", "posterior", "rate"])
 
     return run
 
@@ -130,8 +134,13 @@ def tempered(supply: dict[str, float], temperature: float, keep_all: bool) -> di
 class Mix:
     """Memberships with fitted rates, the domains, and expected tokens against targets."""
 
-    def __init__(self, rows: DataFrame, domains: list[str], targets: np.ndarray, reached: np.ndarray):
-        self.rows, self.domains, self.targets, self.reached = rows, domains, targets, reached
+    def __init__(self, rows: DataFrame, domains: list[str], targets: np.ndarray, reached: np.ndarray, miss: float):
+        self.rows, self.domains, self.targets, self.reached, self.miss = rows, domains, targets, reached, miss
+
+    @property
+    def met(self) -> bool:
+        """Whether every target is met: the largest error, against the larger of target and supply, is within TOLERANCE."""
+        return self.miss <= TOLERANCE
 
 
 def mixed(docs: DataFrame, posterior: Posterior, id_col: str = "doc_id", text: str = "text", targets: dict[str, float] | None = None, temperature: float = 0.7, least: float = 0.0) -> Mix:
@@ -139,37 +148,44 @@ def mixed(docs: DataFrame, posterior: Posterior, id_col: str = "doc_id", text: s
 
     targets: tokens wanted of each domain; None: in proportion to supply ** temperature. No rate falls below ``least``; with 1,
     targets by temperature fall below no domain's supply. A null or empty text has no tokens and no influence; its rate follows
-    from the domains' shares. Repeated rows count as often as they occur. An empty table gives no rows.
+    from the domains' shares. Texts of any length are counted whole. Repeated rows count as often as they occur. An empty table
+    gives no rows, and columns beside the id and the text are ignored. Targets that can't be met, such as tokens of a domain that no
+    document may belong to, are approached as far as possible; ``met`` and ``miss`` tell, and a warning is given.
     """
     width = len(posterior.domains)
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    members = written(rows.mapInArrow(_memberships(posterior), f"id {kind}, tokens long, posterior array<double>"), "memberships")
-    narrow = members.select("tokens", "posterior")
+    members = rows.mapInArrow(_memberships(posterior), f"id {kind}, tokens long, posterior array<double>")
+    members = written(members.withColumn("rate", F.lit(max(1.0, least))), "memberships")
+    shape = f"id {kind}, tokens long, posterior array<double>, rate double"
 
-    def totals(history: list[np.ndarray], step: float) -> np.ndarray:
-        sums = narrow.mapInArrow(_totals(history, step, least, width), "domain int, tokens double").groupBy("domain").agg(F.sum("tokens").alias("tokens"))
+    def totals(history: list[np.ndarray]) -> np.ndarray:
+        narrow = members.select("tokens", "posterior", "rate")
+        sums = narrow.mapInArrow(_totals(history, least, width), "domain int, tokens double").groupBy("domain").agg(F.sum("tokens").alias("tokens"))
         out = np.zeros(width)
         for r in sums.collect():  # one row for each domain
             out[r.domain] = r.tokens
         return out
 
-    supply = totals([], 1.0)  # at rate 1, or at ``least`` if that is more
+    supply = totals([])  # at rate 1, or at ``least`` if that is more
     if targets is None:
         targets = tempered(dict(zip(posterior.domains, supply / max(1.0, least), strict=True)), temperature, least >= 1)
     goal = np.array([float(targets.get(d, 0.0)) for d in posterior.domains])
     # Errors are taken against the larger of target and supply, so that a step of 1 never overshoots.
-    scale, step = np.maximum(np.maximum(goal, supply), 1e-9), 1.0
+    scale = np.maximum(np.maximum(goal, supply), 1e-9)
     history: list[np.ndarray] = []
-    reached = supply
-    for _ in range(STEPS):
-        error = (reached - goal) / scale
-        if np.abs(error).max() <= TOLERANCE:
-            break
+    error = (supply - goal) / scale
+    reached, misses = supply, [float(np.abs(error).max())]
+    while misses[-1] > TOLERANCE and (len(misses) <= REPLAY or misses[-1] < (1 - GAIN) * misses[-1 - REPLAY]):
         history.append(error)
-        reached = totals(history, step)
-    out = members.mapInArrow(_rates(history, step, least, width), f"id {kind}, tokens long, posterior array<double>, rate double")
-    return Mix(out, posterior.domains, goal, reached)
+        reached = totals(history)
+        error = (reached - goal) / scale
+        misses.append(float(np.abs(error).max()))
+        if len(history) == REPLAY:
+            members, history = written(members.mapInArrow(_rates(history, least, width), shape), "rates"), []
+    if misses[-1] > TOLERANCE:
+        warnings.warn(f"targets are missed by up to {misses[-1]:.2g} of target or supply", stacklevel=2)
+    return Mix(members.mapInArrow(_rates(history, least, width), shape), posterior.domains, goal, reached, misses[-1])
 
 
 def copies(rate: Column, *key: Column) -> Column:
