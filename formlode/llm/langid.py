@@ -50,17 +50,19 @@ class Filters:
     """The bit-sliced filters and each language's rate of false positives."""
 
     def __init__(self, langs: list[str], rows: list[tuple[str, int, int]], usual: str | None):
-        kind = next((k for k, size in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32)) if len(langs) <= size), np.uint64)
-        if len(langs) > 64:
-            raise ValueError("at most 64 languages fit one mask")
+        self.kind, self.wide = next(((k, size) for k, size in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32)) if len(langs) <= size), (np.uint64, 64))
         self.langs, self.usual = langs, usual
-        self.table = np.zeros(1 << BITS, kind)
-        for i, lang in enumerate(langs):
-            for n in SIZES:
-                key = np.array([g for name, size, g in rows if name == lang and size == n], np.int64).view(U)
-                for slot in _slots(key, n):
-                    self.table[slot] |= kind(1 << i)
-        full = [np.mean((self.table >> kind(i)) & kind(1)) for i in range(len(langs))]
+        # One table for each ``wide`` languages.
+        self.tables = [np.zeros(1 << BITS, self.kind) for _ in range(-(-len(langs) // self.wide))]
+        grams: dict[tuple[str, int], list[int]] = {}
+        for lang, n, gram in rows:
+            grams.setdefault((lang, n), []).append(gram)
+        place = {lang: i for i, lang in enumerate(langs)}
+        for (lang, n), own in grams.items():
+            table, bit = divmod(place[lang], self.wide)
+            for slot in _slots(np.array(own, np.int64).view(U), n):
+                self.tables[table][slot] |= self.kind(1 << bit)
+        full = [np.mean((self.tables[i // self.wide] >> self.kind(i % self.wide)) & self.kind(1)) for i in range(len(langs))]
         self.false = np.array(full, np.float64) ** HASHES
 
     def counts(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -68,20 +70,24 @@ class Filters:
         hits, total = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts))
         for n in SIZES:
             grams = Grams(texts, n)
-            mask = None
-            for slot in _slots(grams.key, n):
-                mask = self.table[slot] if mask is None else mask & self.table[slot]
+            slots = list(_slots(grams.key, n))
+            masks = [np.bitwise_and.reduce([table[slot] for slot in slots]) for table in self.tables]
             for i in range(len(self.langs)):
-                hits[:, i] += grams.sums(((mask >> mask.dtype.type(i)) & mask.dtype.type(1)).astype(np.uint8))
+                hits[:, i] += grams.sums(((masks[i // self.wide] >> self.kind(i % self.wide)) & self.kind(1)).astype(np.uint8))
             total += grams.count
         return np.maximum(0.0, (hits - self.false * total[:, None]) / np.maximum(1e-9, 1 - self.false)), total
 
 
 def learned(labelled: DataFrame, documents: int = DOCUMENTS, grams: int = GRAMS) -> Filters:
-    """Filters from (id, text, lang) rows with both set: from at most ``documents`` rows of each language."""
+    """Filters from (id, text, lang) rows with both set: from the rows of at most ``documents`` ids of each language.
+
+    Of each language and size the ``grams`` most frequent n-grams that LEAST_SHARE leaves it are kept. Any number of languages is
+    learned; repeated rows count as often as they occur, texts of any length are read whole.
+    """
     rows = labelled.filter("lang IS NOT NULL AND text IS NOT NULL")
-    chosen = bounded_sample(rows.select("id", "lang"), "lang", documents)
-    # Bounded: at most ``documents`` rows for each of 64 languages.
+    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row for each language, as in the model
+    chosen = bounded_sample(rows.select("id", "lang"), "lang", documents, sizes)
+    # Bounded: at most ``documents`` rows for each language of the model.
     texts = rows.join(F.broadcast(chosen), ["id", "lang"], "left_semi").select("lang", "text")
     counts = texts.mapInArrow(_counted, "lang string, n int, gram long, times long").groupBy("lang", "n", "gram").agg(F.sum("times").alias("times"))
     share = F.col("times") / F.sum("times").over(Window.partitionBy("lang", "n"))
@@ -89,7 +95,6 @@ def learned(labelled: DataFrame, documents: int = DOCUMENTS, grams: int = GRAMS)
     kept = rated.filter((F.col("share") >= LEAST_SHARE * F.col("most")) & (F.col("times") > 1))
     ranked = kept.withColumn("_rank", F.row_number().over(Window.partitionBy("lang", "n").orderBy(F.desc("times"), "gram"))).filter(F.col("_rank") <= grams)
     found = [(r.lang, r.n, r.gram) for r in ranked.select("lang", "n", "gram").toLocalIterator()]
-    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
     usual = min(sizes, key=lambda x: (-sizes[x], x)) if sizes else None
     return Filters(sorted(sizes), found, usual)
 
@@ -111,7 +116,10 @@ def _predict(filters: Filters):
 
 
 def identified(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, lang_pred, score) of each row; und and 0 for a null text or one without a letter.
+    """(id, lang_pred, score) of each row, from its whole text; und and 0 for a null text or one without a letter.
+
+    Repeated rows have equal results, ties between languages go to the first by name; columns beside the id and the text are
+    ignored, and an empty table gives no rows.
 
     score is the best language's corrected count against the two best. A text with letters but no n-gram of any language, such
     as one shorter than the n-grams, is given the most frequent language with score 0; with no language learned, und.

@@ -1,22 +1,23 @@
 """Quality scores by Bradley-Terry pairwise ranking.
 
 Preference pairs put a good document above a bad one. The probability that one wins is the logistic function of the
-difference of their scores, which are linear in document statistics, so the fit is logistic on feature differences. A score
-quantile, that of the share of bad documents among the labelled ones, becomes the threshold.
+difference of their scores, which are linear in the words and word pairs that a document holds and in statistics of its text, so
+the fit is logistic on feature differences. A score quantile, that of the share of bad documents among the labelled ones, becomes
+the threshold.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .arrays import Texts, Words, runs, slices
-from .training import bounded_sample, sigmoid
+from .arrays import Texts, U, Words, runs
+from .presence import BITS, chosen_features, distinct_pairs, drawn_rows, labelled_texts
+from .training import sigmoid
 
+#: Words and word pairs kept as features.
+FEATURES = 4096
 #: Labelled rows learned from, of each label at most, and preference pairs.
 ROWS, PAIRS = 6000, 40_000
 #: The score that the threshold quantile is mapped to.
@@ -28,8 +29,9 @@ for _n, _set in enumerate((b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"#*$%&
     _CLASSES[list(_set)] = _n
 
 
-def features(texts: Texts) -> np.ndarray:
+def statistics(column: pa.Array) -> np.ndarray:
     """One row of statistics for each text, in the order of NAMES; an empty text's are zero."""
+    texts = Texts(column)
     bytes_ = np.maximum(1, texts.ends - texts.starts)
     kind = _CLASSES[texts.data]
     out = np.zeros((len(texts), len(NAMES)))
@@ -52,74 +54,79 @@ def features(texts: Texts) -> np.ndarray:
     return out
 
 
-def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for a, b, column in slices(batch.column(1)):
-            rows = features(Texts(column))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, rows.size + 1, rows.shape[1], dtype=np.int32)), pa.array(rows.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists], ["label", "features"])
+def present(column: pa.Array, table: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The words and word pairs of each text in lower case: (text, slot) or, with a table, (text, feature), each once."""
+    words = Words(Texts(column, lower=True))
+    owner = np.repeat(np.arange(len(column)), words.last - words.first)
+    at = words.windows(2)
+    slots = [(h >> U(64 - BITS)).astype(np.int64) for h in (words.hash, words.window_hash(at, 2))]
+    return distinct_pairs([owner, owner[at]], slots, table)
 
 
 class Model:
-    """Centres, scales, weights and the threshold of the Bradley-Terry score."""
+    """The features' table and weights, centres, scales and weights of the statistics, and the threshold."""
+
+    def __init__(self, table: np.ndarray, weights: np.ndarray, centre: np.ndarray, scale: np.ndarray, slopes: np.ndarray, threshold: float):
+        self.table, self.weights, self.centre, self.scale, self.slopes, self.threshold = table, weights, centre, scale, slopes, threshold
 
-    def __init__(self, centre: np.ndarray, scale: np.ndarray, weights: np.ndarray, threshold: float):
-        self.centre, self.scale, self.weights, self.threshold = centre, scale, weights, threshold
+    def scores(self, column: pa.Array) -> np.ndarray:
+        owner, feature = present(column, self.table)
+        z = np.clip((statistics(column) - self.centre) / self.scale, -6, 6)
+        strength = _strength(owner, feature, len(column), self.weights) + z @ self.slopes
+        return sigmoid(strength - self.threshold + np.log(THRESHOLD / (1 - THRESHOLD)))
 
-    def strength(self, rows: np.ndarray) -> np.ndarray:
-        return np.clip((rows - self.centre) / self.scale, -6, 6) @ self.weights
 
-    def scores(self, texts: Texts) -> np.ndarray:
-        return sigmoid(self.strength(features(texts)) - self.threshold + np.log(THRESHOLD / (1 - THRESHOLD)))
+def _values(owner: np.ndarray, n: int) -> np.ndarray:
+    """What each (text, feature) pair counts: less in a text that has many."""
+    return 1.0 / np.sqrt(np.maximum(1, np.bincount(owner, minlength=n)))[owner]
 
 
-def fitted(difference: np.ndarray, decay: float = 1e-2, steps: int = 25) -> np.ndarray:
-    """Weights that maximise the penalised likelihood of the first of each pair winning, by Newton steps."""
-    w = np.zeros(difference.shape[1])
-    n = max(1, len(difference))
-    for _ in range(steps):
-        p = sigmoid(difference @ w)
-        gradient = difference.T @ (p - 1) / n + decay * w
-        curve = (difference * (p * (1 - p))[:, None]).T @ difference / n + decay * np.eye(len(w))
-        move = np.linalg.solve(curve, gradient)
-        w -= move
-        if np.abs(move).max() < 1e-9:
-            break
-    return w
+def _strength(owner: np.ndarray, feature: np.ndarray, n: int, w: np.ndarray) -> np.ndarray:
+    return np.bincount(owner, weights=_values(owner, n) * w[feature], minlength=n)
 
 
-def learned(docs: DataFrame, labels: DataFrame, rows: int = ROWS, pairs: int = PAIRS) -> Model:
+def fitted(owner: np.ndarray, feature: np.ndarray, z: np.ndarray, pairs: tuple[np.ndarray, np.ndarray], width: int, decay: float = 1e-3, steps: int = 200) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of features and statistics under which the first of each pair of rows most likely wins, by Adam.
+
+    The gradient of a pair is its error times the difference of its rows' features, summed here row by row.
+    """
+    good, bad = pairs
+    n, values = len(z), _values(owner, len(z))
+    w = np.zeros(width + z.shape[1])
+    m, v = np.zeros_like(w), np.zeros_like(w)
+    for step in range(1, steps + 1):
+        strength = np.bincount(owner, weights=values * w[:width][feature], minlength=n) + z @ w[width:]
+        error = (sigmoid(strength[good] - strength[bad]) - 1) / max(1, len(good))
+        each = np.bincount(good, weights=error, minlength=n) - np.bincount(bad, weights=error, minlength=n)
+        g = np.r_[np.bincount(feature, weights=values * each[owner], minlength=width), z.T @ each] + decay * w
+        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+        w = w - 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
+    return w[:width], w[width:]
+
+
+def learned(docs: DataFrame, labels: DataFrame, rows: int = ROWS, pairs: int = PAIRS, features: int = FEATURES) -> Model:
     """A model from (id, text) and (id, label) rows with labels 0 and 1: from at most ``rows`` ids of each label.
 
     The threshold is the score quantile at the share of label 0 among all labelled rows, taken over the sample weighted to
-    that share. Without rows of both labels, or texts of both, all scores are equal.
+    that share. Without texts of both labels all scores are equal. Null texts are empty, rows of one id count as one, texts of any
+    length are read whole.
     """
-    known = labels.filter("label IN (0, 1) AND id IS NOT NULL").select("id", "label").distinct()
-    total = {r.label: r["count"] for r in known.groupBy("label").count().collect()}
-    zero = np.zeros(len(NAMES))
-    equal = Model(zero, zero + 1, zero, 0.0)
-    if len(total) < 2:
-        return equal
-    # Bounded: at most ``rows`` ids of each label.
-    chosen = F.broadcast(bounded_sample(known, "label", rows))
-    texts = docs.join(chosen, "id").select(F.col("label").cast("int").alias("label"), F.coalesce("text", F.lit("")).alias("text"))
-    drawn = texts.mapInArrow(_measured, "label int, features array<double>").toArrow()
-    y = np.asarray(drawn.column("label"))
-    if len(np.unique(y)) < 2:
-        return equal
-    x = np.asarray(drawn.column("features").combine_chunks().flatten(), np.float64).reshape(len(y), -1)
-    order = np.lexsort([*x.T, y])  # the rows arrive in any order
-    x, y = x[order], y[order]
+    texts, size, total = labelled_texts(docs, labels, rows)
+    if len(size) < 2:
+        zero = np.zeros(len(NAMES))
+        return Model(np.full(1 << BITS, -1, np.int32), np.zeros(1), zero, zero + 1, zero, 0.0)
+    table, ratio = chosen_features(texts, size, present, features)
+    y, owner, feature, x = drawn_rows(texts, present, table, statistics)
     centre = np.median(x, axis=0)
     scale = np.maximum(np.std(x, axis=0), 1e-3)
     z = np.clip((x - centre) / scale, -6, 6)
     draw = np.random.default_rng(7)
     good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
-    w = fitted(z[draw.choice(good, pairs)] - z[draw.choice(bad, pairs)])
-    strength = z @ w
+    weights, slopes = fitted(owner, feature, z, (draw.choice(good, pairs), draw.choice(bad, pairs)), max(1, len(ratio)))
+    strength = _strength(owner, feature, len(y), weights) + z @ slopes
     weight = np.where(y == 1, total[1] / len(good), total[0] / len(bad))
-    by = np.argsort(strength)
+    by = np.argsort(strength, kind="stable")
     reached = np.cumsum(weight[by]) / weight.sum()
     at = int(np.searchsorted(reached, total[0] / (total[0] + total[1])))
     at = min(at, len(by) - 2)
-    return Model(centre, scale, w, float((strength[by[at]] + strength[by[at + 1]]) / 2))
+    return Model(table, weights, centre, scale, slopes, float((strength[by[at]] + strength[by[at + 1]]) / 2))

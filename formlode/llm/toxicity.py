@@ -14,57 +14,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import Grams, Texts, runs, slices
-from .training import bounded_sample, sigmoid, sparse_logistic
+from .arrays import Grams, Texts, slices
+from .presence import BITS, chosen_features, distinct_pairs, drawn_rows, labelled_texts
+from .training import sigmoid, sparse_logistic
 
 SIZES = (4, 6)
-#: Hash slots (as a power of two), features kept, and labelled rows learned from, of each class at most.
-BITS, FEATURES, ROWS = 20, 4096, 6000
+#: Features kept, and labelled rows learned from, of each class at most.
+FEATURES, ROWS = 4096, 6000
 
 
-def _present(texts: Texts, table: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(text, slot) pairs, each once; with a table, (text, feature) for those slots that are features."""
+def present(column: pa.Array, table: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The character n-grams of each text: (text, slot) or, with a table, (text, feature), each once."""
+    texts = Texts(column, lower=True)
     owners, slots = [], []
     for n in SIZES:
         grams = Grams(texts, n)
         slot = grams.slot(BITS)
-        if table is None:
-            owners.append(grams.owner)
-        else:
-            feature = table[slot]
-            at = np.flatnonzero(feature >= 0)
-            owners.append(np.searchsorted(grams.bounds, at, side="right") - 1)
-            slot = feature[at]
-        slots.append(slot.astype(np.int64))
-    pair = np.sort((np.concatenate(owners) << BITS) | np.concatenate(slots))
-    pair = pair[runs(pair)]
-    return pair >> BITS, pair & ((1 << BITS) - 1)
-
-
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(label, slot, times): in how many texts of the partition each slot occurs."""
-    times = np.zeros((2, 1 << BITS), np.int32)
-    for batch in batches:
-        labels = np.asarray(batch.column(0))
-        for a, b, column in slices(batch.column(1)):
-            owner, slot = _present(Texts(column, lower=True))
-            for label in (0, 1):
-                times[label] += np.bincount(slot[labels[a:b][owner] == label], minlength=1 << BITS).astype(np.int32)
-    for label in (0, 1):
-        slot = np.flatnonzero(times[label])
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(slot), label, np.int32)), pa.array(slot), pa.array(times[label][slot].astype(np.int64))], ["label", "slot", "times"])
-
-
-def _featured(table: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b, column in slices(batch.column(1)):
-                owner, feature = _present(Texts(column, lower=True), table)
-                counts = np.bincount(owner, minlength=b - a)
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(feature.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists], ["label", "features"])
-
-    return run
+        at = np.arange(len(slot)) if table is None else np.flatnonzero(table[slot] >= 0)
+        owners.append(np.searchsorted(grams.bounds, at, side="right") - 1)
+        slots.append(slot[at])
+    return distinct_pairs(owners, slots, table)
 
 
 class Model:
@@ -73,44 +42,28 @@ class Model:
     def __init__(self, table: np.ndarray, weights: np.ndarray, intercept: float):
         self.table, self.weights, self.intercept = table, weights, intercept
 
-    def scores(self, texts: Texts) -> np.ndarray:
-        owner, feature = _present(texts, self.table)
-        return sigmoid(np.bincount(owner, weights=self.weights[feature], minlength=len(texts)) + self.intercept)
+    def scores(self, column: pa.Array) -> np.ndarray:
+        owner, feature = present(column, self.table)
+        return sigmoid(np.bincount(owner, weights=self.weights[feature], minlength=len(column)) + self.intercept)
 
 
 def learned(docs: DataFrame, labels: DataFrame, rows: int = ROWS, features: int = FEATURES, decay: float = 1e-4, steps: int = 150) -> Model:
     """A model from (id, text) and (id, label) rows with labels 0 and 1: from at most ``rows`` ids of each label.
 
-    The intercept is set for the share of label 1 among all labelled rows, not among the sampled ones. Without rows of both
-    labels every score is that share (0.5 without any).
+    The intercept is set for the share of label 1 among all labelled rows, not among the sampled ones. Without texts of both
+    labels every score is that share (0.5 without any label). Null texts are empty, rows of one id count as one, texts of any
+    length are read whole.
     """
-    known = labels.filter("label IN (0, 1) AND id IS NOT NULL").select("id", "label").distinct()
-    share = known.groupBy("label").count().collect()
-    total = {r.label: r["count"] for r in share}
-    table, prior = np.full(1 << BITS, -1, np.int32), (total.get(1, 0) + 0.5) / (sum(total.values()) + 1)
+    texts, size, total = labelled_texts(docs, labels, rows)
+    prior = (total.get(1, 0) + 0.5) / (sum(total.values()) + 1)
     logit = float(np.log(prior / (1 - prior)))
-    if len(total) < 2:
+    table, ratio = np.full(1 << BITS, -1, np.int32), np.zeros(0)
+    if len(size) == 2:
+        table, ratio = chosen_features(texts, size, present, features)
+    if not len(ratio):
         return Model(table, np.zeros(1), logit)
-    # Bounded: at most ``rows`` ids of each label.
-    chosen = F.broadcast(bounded_sample(known, "label", rows))
-    texts = docs.join(chosen, "id").select(F.col("label").cast("int").alias("label"), F.coalesce("text", F.lit("")).alias("text"))
-    counted = texts.mapInArrow(_counted, "label int, slot long, times long").groupBy("slot").agg(*[F.sum(F.when(F.col("label") == c, F.col("times")).otherwise(0)).alias(f"n{c}") for c in (0, 1)])
-    size = [min(rows, total[c]) for c in (0, 1)]
-    rated = counted.filter("n0 + n1 > 2").withColumns({f"rate{c}": (F.col(f"n{c}") + 1) / (size[c] + 2) for c in (0, 1)})
-    both = (F.col("n0") + F.col("n1") + 1) / (sum(size) + 2)
-    apart = F.abs(F.col("rate1") - F.col("rate0")) / F.sqrt(both * (1 - both) + 1e-12)
-    chosen_slots = rated.orderBy(F.desc(apart), "slot").limit(features).select("slot", F.log(F.col("rate1") / F.col("rate0")).alias("ratio")).collect()
-    best = np.array([r.slot for r in chosen_slots], np.int64)
-    ratio = np.array([r.ratio for r in chosen_slots], np.float64)
-    table[best] = np.arange(len(best))
-    if not len(best):
-        return Model(table, np.zeros(1), logit)
-    drawn = texts.mapInArrow(_featured(table), "label int, features array<int>").toArrow()
-    y = np.asarray(drawn.column("label"), np.float64)
-    lists = drawn.column("features").combine_chunks()
-    owner = np.repeat(np.arange(len(y)), np.asarray(pa.compute.list_value_length(lists)))
-    feature = np.asarray(lists.flatten(), np.int64)
-    w, b = sparse_logistic(owner, feature, ratio[feature], y, len(best), decay, steps)
+    y, owner, feature, _ = drawn_rows(texts, present, table)
+    w, b = sparse_logistic(owner, feature, ratio[feature], y, len(ratio), decay, steps)
     drawn_share = y.mean()
     return Model(table, w * ratio, b + logit - float(np.log(drawn_share / (1 - drawn_share))))
 
@@ -118,14 +71,17 @@ def learned(docs: DataFrame, labels: DataFrame, rows: int = ROWS, features: int
 def _score(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = [model.scores(Texts(column, lower=True)) for _, _, column in slices(batch.column(1))]
+            scores = [model.scores(column) for _, _, column in slices(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(scores) if scores else np.zeros(0))], ["id", "score"])
 
     return run
 
 
 def scored(docs: DataFrame, model, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, score) of each row, from its whole text; a null text scores as the empty one."""
+    """(id, score) of each row, from its whole text, however long; a null text scores as the empty one.
+
+    Each row is scored by itself, so repeated rows have equal scores; columns beside the id and the text are ignored.
+    """
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
     out = rows.mapInArrow(_score(model), f"id {rows.schema['id'].dataType.simpleString()}, score double")
     return out.withColumnRenamed("id", id_col)

@@ -13,13 +13,23 @@ def remainder(id_column: Column, modulus: int) -> Column:
     return F.crc32(id_column.cast("string")) % modulus
 
 
-def bounded_sample(ids: DataFrame, label: str, most: int) -> DataFrame:
-    """At most ``most`` ids of each label, those of the smallest hash: (id, label) of a bounded number of rows.
+def bounded_sample(ids: DataFrame, label: str, most: int, totals: dict) -> DataFrame:
+    """At most ``most`` distinct (id, label) of each label, those of the smallest hash.
 
-    The rank limit is applied in every task before the shuffle, so a label that most rows bear makes no large group.
+    totals: the rows of each label. Only ids whose hash lies below a share of its range that lets through half as many again as
+    are wanted go on to be ranked, so that ranking sees few rows of each label, however many rows bear it. Labels without a
+    total are left out. Repeated rows count once.
     """
-    order = Window.partitionBy(label).orderBy(F.xxhash64("id"), "id")
-    return ids.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= most).drop("_rank")
+    limits = []
+    for name, n in totals.items():
+        share = min(1.0, (1.5 * most + 100) / max(1, n))
+        limits += [F.lit(name), F.lit(min(int(share * 2**64) - 2**63, 2**63 - 1)).cast("long")]
+    if not limits:
+        return ids.select("id", label).limit(0)
+    h = F.xxhash64("id")
+    low = ids.filter(h <= F.element_at(F.create_map(*limits), F.col(label))).select("id", label).distinct()
+    order = Window.partitionBy(label).orderBy(h, "id")
+    return low.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= most).drop("_rank")
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
