@@ -30,7 +30,7 @@ def bucket_counts(total_bytes: int) -> tuple[int, int]:
     """Number of text buckets and of hash groups for so many bytes of text."""
     each = min(max(1 << 20, int(math.sqrt(total_bytes * 19_000))), LARGEST_BUCKET)
     buckets = max(16, -(-total_bytes // each))
-    return buckets, min(max(40, buckets // 2), 1 << 16)
+    return buckets, max(40, buckets // 2)
 
 
 def _short(h: np.ndarray, groups: int) -> np.ndarray:
