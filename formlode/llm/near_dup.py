@@ -137,23 +137,26 @@ def _unsettled(buckets: DataFrame, labels: DataFrame) -> DataFrame:
 def _across(rest: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different labels among (k, members, label) that can be similar enough, by prefix filtering.
 
-    Shingles that only one label has cannot be shared across labels. A class needs percent of its shingles to be others'
-    too, else it has no partner; and two similar sets share one of the rarest of these, at most as many as may be missing
-    and one more. Passages that very many texts share are the last in this order. The first shingle that two sets share
-    also bounds how many can follow, which drops pairs whose own shingles are too many.
+    Shingles that only one label has cannot be shared across labels. Two similar sets share one of the rarest of the others: at
+    most as many as may be missing, and one more. For the larger set of a pair that is percent of its own size, for the smaller
+    one more is asked, as the larger counts as well; so a shingle brings together the short prefixes of smaller sets and the
+    longer ones of larger sets. The first shingle that two sets share also bounds how many can follow.
     """
     each = rest.select("k", "label", F.explode("members").alias("s"))
     shared = each.groupBy("s").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("uses")).filter("low < high").select("s", "uses")
     own = each.select("k", "s").join(shared, "s").groupBy("k").agg(F.sort_array(F.collect_list(F.struct("uses", "s"))).alias("shared"))
     sized = rest.select("k", "label", F.size("members").cast("long").alias("n")).join(own, "k").withColumn("c", F.size("shared").cast("long"))
     room = F.col("c") - F.ceil(F.col("n") * percent / 100) + 1
+    short = F.col("c") - F.ceil(F.col("n") * (2 * percent) / (100 + percent)) + 1
     rare = F.posexplode(F.slice("shared", F.lit(1), room.cast("int"))).alias("at", "rare")
-    prefix = written(sized.filter(room > 0).select("k", "label", "n", "c", rare).select("k", "label", "n", "c", "at", "rare.s"), "prefix")
-    other = prefix.toDF("b", "other", "m", "d", "to", "s")
+    prefix = sized.filter(room > 0).select("k", "label", "n", "c", short.alias("short"), rare)
+    prefix = written(prefix.select("k", "label", "n", "c", "at", "rare.s", (F.col("at") < F.col("short")).alias("small")), "prefix")
+    other = prefix.drop("small").toDF("b", "other", "m", "d", "to", "s")
     least = percent * (F.col("n") + F.col("m"))
     most = F.least(F.col("c") - F.col("at"), F.col("d") - F.col("to"))
-    near = (F.col("label") < F.col("other")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & ((100 + percent) * most >= least)
-    found = prefix.withColumnRenamed("k", "a").join(other, "s").filter(near)
+    ordered = (F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("a") < F.col("b")))
+    near = ordered & (F.col("label") != F.col("other")) & (100 * F.col("n") >= percent * F.col("m")) & ((100 + percent) * most >= least)
+    found = prefix.filter("small").drop("small").withColumnRenamed("k", "a").join(other, "s").filter(near)
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
