@@ -21,7 +21,7 @@ from .storage import fresh_path
 #: An archive is closed beyond this size.
 ARCHIVE_BYTES = 64 << 20
 #: Byte region that one reading task owns, largest request, and largest unwanted stretch inside a request.
-REGION, REQUEST, GAP = 32 << 20, 8 << 20, 64 << 10
+REGION, REQUEST, GAP = 8 << 20, 8 << 20, 64 << 10
 
 INDEX = "path string, offset long, length long, record_id long, url string, digest string, record_type string, refers_to long, payload_bytes long"
 
@@ -29,14 +29,18 @@ INDEX = "path string, offset long, length long, record_id long, url string, dige
 def typed(pages: DataFrame, id_col: str = "page_id", url: str = "url", payload: str = "html", least: int = 1000) -> DataFrame:
     """(record_id, url, payload, digest, payload_bytes, record_type, refers_to): what each row is written as.
 
-    Of equal payloads of at least ``least`` bytes the row with the largest id is the response and the others revisit it.
+    Of equal payloads of at least ``least`` bytes the row with the largest id is the response and the others revisit it; a null
+    id is the least, and of rows that repeat the largest id each is a response. A null payload is empty; payloads of any length are
+    written whole; columns beside the three named ones are ignored. Only rows of at least ``least`` bytes are compared.
     """
     body = F.coalesce(F.col(f"`{payload}`").cast("string"), F.lit(""))
     rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("record_id"), F.col(f"`{url}`").cast("string").alias("url"), body.alias("payload"))
     rows = rows.withColumns({"digest": F.sha1("payload"), "payload_bytes": F.octet_length("payload").cast("long")})
-    groups = rows.filter(F.col("payload_bytes") >= least).groupBy("digest").agg(F.max("record_id").alias("last"), F.count(F.lit(1)).alias("n"))
-    copied = groups.filter("n > 1").select("digest", "last")
-    rows = rows.join(copied, "digest", "left")
+    large = rows.filter(F.col("payload_bytes") >= least)
+    copied = large.groupBy("digest").agg(F.max("record_id").alias("last"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "last")
+    # Small payloads, such as the many empty ones, need no comparison and stay where they are.
+    small = rows.filter(F.col("payload_bytes") < least).withColumn("last", F.lit(None).cast("long"))
+    rows = large.join(copied, "digest", "left").unionByName(small)
     revisit = F.col("last").isNotNull() & ~F.col("record_id").eqNullSafe(F.col("last"))
     rows = rows.withColumns({"record_type": F.when(revisit, "revisit").otherwise("response"), "refers_to": F.when(revisit, F.col("last"))})
     return rows.select("record_id", "url", "payload", "digest", "payload_bytes", "record_type", "refers_to")
@@ -79,23 +83,29 @@ def _write(folder: str, date: str, archive_bytes: int):
         def told() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(len(names))], names)
 
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = {n: c[i].as_py() for n, c in zip(batch.schema.names, batch.columns, strict=True)}
-                if out is None:
-                    name, at = f"{uuid.uuid4().hex}.warc.gz", 0
-                    out = store.open_output_stream(f"{base}/{name}", compression=None)
-                data = _member(record(row, date))
-                out.write(data)
-                rows.append((f"{folder}/{name}", at, len(data), row["record_id"], row["url"], row["digest"], row["record_type"], row["refers_to"], row["payload_bytes"]))
-                at += len(data)
-                if at >= archive_bytes:
-                    out.close()
-                    yield told()
-                    out, rows = None, []
-        if out is not None:
-            out.close()
-            yield told()
+        try:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    row = {n: c[i].as_py() for n, c in zip(batch.schema.names, batch.columns, strict=True)}
+                    if out is None:
+                        name, at = f"{uuid.uuid4().hex}.warc.gz", 0
+                        out = store.open_output_stream(f"{base}/{name}", compression=None)
+                    data = _member(record(row, date))
+                    out.write(data)
+                    rows.append((f"{folder}/{name}", at, len(data), row["record_id"], row["url"], row["digest"], row["record_type"], row["refers_to"], row["payload_bytes"]))
+                    at += len(data)
+                    if at >= archive_bytes:
+                        out.close()
+                        out, done, rows = None, told(), []
+                        yield done
+            if out is not None:
+                out.close()
+                out = None
+                yield told()
+        finally:
+            if out is not None:  # the task fails: its open archive is named by no index row
+                out.close()
+                store.delete_file(f"{base}/{name}")
 
     return run
 
@@ -148,6 +158,8 @@ def _read(with_payload: bool):
         def fetched(path: str, ranges: list[tuple[int, int]]) -> pa.RecordBatch:
             nonlocal opened
             if opened[0] != path:
+                if opened[1] is not None:
+                    opened[1].close()
                 store, place = fs.FileSystem.from_uri(path)
                 opened = (path, store.open_input_file(place))
             begin, end = ranges[0][0], max(a + n for a, n in ranges)
@@ -168,12 +180,20 @@ def _read(with_payload: bool):
                 ranges.append((a, n))
         if ranges:
             yield fetched(path, ranges)
+        if opened[1] is not None:
+            opened[1].close()
 
     return run
 
 
 def read_records(selected: DataFrame, with_payload: bool = True) -> DataFrame:
-    """The records that the index rows name, each once for each row; the payload of a revisit is null (see refers_to)."""
+    """The records that the index rows name, each once for each row; the payload of a revisit is null (see refers_to).
+
+    Tasks are dealt by archive and byte region. How many there are follows from the bytes to read, not from those of the index, so
+    that adaptive execution doesn't merge them. No rows give no records.
+    """
     dealt = selected.select("path", "offset", "length").withColumn("region", F.floor(F.col("offset") / REGION))
-    dealt = dealt.repartition("path", "region").sortWithinPartitions("path", "offset").select("path", "offset", "length")
+    total = dealt.agg(F.sum("length"), F.count_distinct("path", "region")).first()
+    tasks = max(1, -(-(total[0] or 0) // REGION), min(total[1], selected.sparkSession.sparkContext.defaultParallelism))
+    dealt = dealt.repartition(tasks, "path", "region").sortWithinPartitions("path", "offset").select("path", "offset", "length")
     return dealt.mapInArrow(_read(with_payload), RECORD)
