@@ -195,6 +195,13 @@ def window_chunks(widgets: DataFrame, reach: int = 10, limit: int = 400) -> Data
     return widgets.select("doc_id", "line_no").groupBy("doc_id").applyInPandas(pack, "doc_id long, chunk int, first_line int, last_line int, widgets int")
 
 
+def section_tree(sections: DataFrame, nameless: str = "Section") -> DataFrame:
+    """(h1, h2): for each h1 its sorted sections (name, h3), each with its sorted h3 headings, of (h1, h2, h3) rows; h3 may be null."""
+    inner = sections.groupBy("h1", "h2").agg(F.array_sort(F.collect_list("h3")).alias("h3"))
+    named = F.struct(F.coalesce("h2", F.lit(nameless)).alias("name"), "h3")
+    return inner.groupBy("h1").agg(F.array_sort(F.collect_list(named)).alias("h2"))
+
+
 def label_proximity(texts: DataFrame, widgets: DataFrame, height: float = 15.0, gap: float = 200.0) -> DataFrame:
     """(page key, widget_id, text_id): labels whose top is near and whose right end lies at most ``gap`` left of the widget.
 

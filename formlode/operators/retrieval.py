@@ -28,7 +28,7 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
-def _tiles(top: int):
+def _tiles(top: int, own_too: bool):
     def run(shard: pa.Table, blocks: pa.Table) -> pa.Table:
         out = []
         if shard.num_rows and blocks.num_rows:
@@ -40,6 +40,8 @@ def _tiles(top: int):
                 for at in range(0, len(vectors), TILE):
                     scores = np.floor(queries @ vectors[at : at + TILE].T * 1e6 + 0.5) / 1e6
                     for q, line in zip(np.frombuffer(own, np.int64).tolist(), scores, strict=True):
+                        if not own_too:
+                            line = np.where(ids[at : at + TILE] == q, -2.0, line)
                         near = np.flatnonzero(line >= np.partition(line, -top)[-top]) if len(line) > top else np.arange(len(line))
                         for i in sorted(near, key=lambda i: (-line[i], ids[at + i]))[:top]:
                             out.append((q, int(ids[at + i]), names[at + i], float(line[i])))
@@ -71,18 +73,24 @@ def _nonzero(vector: Column) -> Column:
     return F.coalesce(F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def cosine_topk(queries: DataFrame, corpus: DataFrame, top: int = TOP) -> DataFrame:
+def cosine_topk(queries: DataFrame, corpus: DataFrame, top: int = TOP, own_too: bool = False) -> DataFrame:
     """(query_id, rank, vector_id, field_name, similarity): the nearest ``top`` of the corpus for each query.
 
-    Blocks of queries meet shards of the corpus in matrix products; each tile keeps its best of every query, and these are
-    ranked. Empty and zero vectors are skipped; similarities are rounded to 6 digits, ties go to the smaller id.
+    Shards of queries meet shards of the corpus in matrix products; each tile keeps its best of every query, and these are
+    ranked. A vector with the query's id is left out unless ``own_too``. Empty and zero vectors are skipped; similarities are
+    rounded to 6 digits, ties go to the smaller id.
     """
     usable = corpus.filter(_nonzero(F.col("embedding"))).select(F.col("vector_id").cast("long").alias("vector_id"), "field_name", F.col("embedding").cast("array<double>").alias("embedding"))
     shards = max(1, -(-usable.count() // SHARD))
     dealt = usable.withColumn("shard", F.pmod(F.xxhash64("vector_id"), F.lit(shards)).cast("int"))
     asked = queries.filter(_nonzero(F.col("embedding"))).select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    blocks = asked.mapInArrow(_packed, "ids binary, body binary").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    found = dealt.groupBy("shard").cogroup(blocks.groupBy("shard")).applyInArrow(_tiles(top), "query_id long, vector_id long, field_name string, similarity double")
+    parts = max(1, -(-asked.count() // SHARD))
+    dealt = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    # Packed blocks bear random parts, so that queries and corpus are both cut into shards of bounded size.
+    blocks = asked.mapInArrow(_packed, "ids binary, body binary").withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(parts)).cast("int"))
+    blocks = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    by = ["shard", "part"]
+    found = dealt.groupBy(*by).cogroup(blocks.groupBy(*by)).applyInArrow(_tiles(top, own_too), "query_id long, vector_id long, field_name string, similarity double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vector_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= top).select("query_id", "rank", "vector_id", "field_name", "similarity")
 
@@ -98,7 +106,7 @@ def match_decision(queries: DataFrame, candidates: DataFrame, threshold: float =
 
 def self_retrieval(sample: DataFrame, corpus: DataFrame, least: float = 0.99) -> DataFrame:
     """Whether each sampled vector's own nearest is itself."""
-    best = cosine_topk(sample.select(F.col("vector_id").alias("query_id"), "embedding"), corpus, 1)
+    best = cosine_topk(sample.select(F.col("vector_id").alias("query_id"), "embedding"), corpus, 1, own_too=True)
     return best.select(F.col("query_id").alias("vector_id"), ((F.col("query_id") == F.col("vector_id")) & (F.col("similarity") >= least)).alias("found"))
 
 
@@ -112,6 +120,13 @@ def vector_upsert(runtime: DataFrame, source: DataFrame, described: list[str], l
     return rows.select(key, *kept, *state, F.col("_r").isNull().alias("added"))
 
 
+def vector_source(files: DataFrame, content: str, schema: str) -> DataFrame:
+    """The vectors of JSON documents that hold a list of them, or an object with such a list under ``vectors``."""
+    body = F.trim(F.col(content))
+    listed = F.when(body.startswith("{"), F.get_json_object(body, "$.vectors")).otherwise(body)
+    return files.select(F.explode(F.from_json(listed, f"array<struct<{', '.join(':'.join(x.split()) for x in schema.split(','))}>>")).alias("v")).select("v.*")
+
+
 def source_check(vectors: DataFrame, required: tuple[str, ...]) -> DataFrame:
     """Each row with the first of the required columns that it lacks, or null."""
     missing = F.coalesce(*[F.when(F.col(c).isNull() | (F.trim(F.col(c).cast("string")) == ""), F.lit(c)) for c in required])

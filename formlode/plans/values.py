@@ -7,20 +7,21 @@ import uuid
 
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from formlode.functions import text as tx
 from formlode.functions.rounding import half_up
+from formlode.operators import layout as la
 from formlode.operators import learning as le
 from formlode.operators import values as va
+from formlode.operators.hooks import hooked
 from formlode.sources import files
 from formlode.streaming import telemetry as te
 
 from .adapters import table
-from .core import W, finals
+from .core import _FOLD, W, finals
 from .layout import _ELT, _FP, fingerprints
-from .registry import query, r4, rat
+from .registry import ORACLES, query, r4, rat
 
 _FV = "WITH fv AS (SELECT event_id, user_id, strftime(ts, '%Y-%m-%d') AS session_id, 'section_' || (user_id % 3) || '.' || event_type AS key, event_type, CASE WHEN event_id % 11 = 0 THEN '' WHEN event_id % 13 = 0 THEN NULL ELSE json_extract_string(props, '$.k') END AS value, ts FROM events) "
 _FILLED = "coalesce(value, '') <> ''"
@@ -109,17 +110,18 @@ def key_sets(spark, sf):
     return sets.crossJoin(count(schema.select("key").exceptAll(must), "optional"))  # one row each
 
 
-@query("accept_answers", _FV + _LAST + ", a AS (SELECT user_id, key, arg_max(value, (ts, event_id)) AS v FROM fv WHERE event_type IN ('click', 'view') AND value IS NOT NULL AND value <> '' AND event_id % 2 = 0 GROUP BY ALL) SELECT coalesce(l.user_id, a.user_id) AS user_id, coalesce(l.key, a.key) AS key, coalesce(a.v, l.value) AS value FROM last l FULL JOIN a ON l.user_id = a.user_id AND l.key = a.key")
+@query("accept_answers", _FV + _LAST + ", a AS (SELECT user_id, key, arg_max(CASE WHEN event_id % 4 < 2 THEN 'again ' || event_id ELSE value END, (ts, event_id)) AS v FROM fv WHERE event_type IN ('click', 'view') AND (event_id % 4 < 2 OR value IS NOT NULL AND value <> '') GROUP BY ALL) SELECT coalesce(l.user_id, a.user_id) AS user_id, coalesce(l.key, a.key) AS key, coalesce(a.v, l.value) AS value FROM last l FULL JOIN a ON l.user_id = a.user_id AND l.key = a.key")
 def accept_answers(spark, sf):
     rows = form_values(spark, sf)
     schema = rows.filter("event_type IN ('click', 'view')").select("key").distinct()
-    return va.accepted(last_values(spark, sf), va.merge_last(rows.filter("event_id % 2 = 0")), schema, tx.rule_errors)
+    answers = rows.withColumn("value", F.when(F.col("event_id") % 4 < 2, F.concat(F.lit("again "), "event_id")).otherwise(F.col("value")))
+    return va.accepted(last_values(spark, sf), va.merge_last(answers), schema, tx.rule_errors)
 
 
-@query("user_facing", "SELECT count(*) AS n FROM events WHERE event_id % 4 > 1")
+@query("user_facing", "SELECT CASE event_id % 4 WHEN 2 THEN 'b.telephone' ELSE 'c.fax' END AS key, count(*) AS n FROM events WHERE event_id % 4 > 1 GROUP BY ALL")
 def user_facing(spark, sf):
     names = F.element_at(F.array(*map(F.lit, ("a.telephone_part_1", "fax_part_2", "b.telephone", "c.fax"))), (F.col("event_id") % 4 + 1).cast("int"))
-    return va.user_facing(table(spark, sf, "events").select(names.alias("key"))).agg(F.count(F.lit(1)).alias("n"))
+    return va.user_facing(table(spark, sf, "events").select(names.alias("key"))).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("field_labels", _FV + "SELECT DISTINCT key, CASE WHEN event_type = 'click' THEN 'Clicked' ELSE upper(left(event_type, 1)) || substr(event_type, 2) END AS label FROM fv")
@@ -159,12 +161,12 @@ def llm_usage(spark, sf):
     return rows.withColumns({"cost_usd": half_up((F.col("tokens_in") * 0.15 + F.col("tokens_out") * 0.6) / 1000000, 6), "tokens_per_call": ratio(F.col("tokens_in") + F.col("tokens_out"), F.col("calls"))})
 
 
-@query("section_tree", "SELECT r_name AS h1, count(DISTINCT n_nationkey) AS h2_count, count(s_suppkey) AS h3_count FROM region JOIN nation ON n_regionkey = r_regionkey LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY ALL")
+@query("section_tree", "SELECT r_name AS h1, n_name AS h2, coalesce(string_agg(s_name, ',' ORDER BY s_name), '') AS h3 FROM region JOIN nation ON n_regionkey = r_regionkey LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY ALL")
 def section_tree(spark, sf):
-    leaves = table(spark, sf, "supplier").groupBy("s_nationkey").agg(F.array_sort(F.collect_list("s_name")).alias("h3"))
-    nations = table(spark, sf, "nation").join(leaves, F.col("n_nationkey") == F.col("s_nationkey"), "left").select("n_regionkey", F.struct(F.coalesce("n_name", F.lit("Section")).alias("name"), F.coalesce("h3", F.array().cast("array<string>")).alias("h3")).alias("s"))
-    tree = table(spark, sf, "region").join(nations.groupBy("n_regionkey").agg(F.array_sort(F.collect_list("s")).alias("h2")), F.col("r_regionkey") == F.col("n_regionkey"))
-    return tree.select(F.col("r_name").alias("h1"), F.size("h2").cast("long").alias("h2_count"), F.aggregate("h2", F.lit(0).cast("long"), lambda a, x: a + F.size(x["h3"])).alias("h3_count"))
+    nations = table(spark, sf, "nation").join(table(spark, sf, "supplier"), F.col("n_nationkey") == F.col("s_nationkey"), "left")
+    rows = table(spark, sf, "region").join(nations, F.col("r_regionkey") == F.col("n_regionkey")).select(F.col("r_name").alias("h1"), F.col("n_name").alias("h2"), F.col("s_name").alias("h3"))
+    tree = la.section_tree(rows)
+    return tree.select("h1", F.explode("h2").alias("s")).select("h1", F.col("s.name").alias("h2"), F.array_join("s.h3", ",").alias("h3"))
 
 
 _SES = "strftime(ts, '%Y-%m-%d')"
@@ -219,7 +221,11 @@ def turn_history(spark, sf):
 
 def scratch(spark, label):
     """A fresh path in the folder that all executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return f"{base.rstrip('/')}/formlode-{label}-{uuid.uuid4().hex}"
 
 
@@ -231,7 +237,7 @@ def src_json(spark, sf):
     return files.load_json(spark, path, "event_id long, k int").unionByName(absent)
 
 
-@query("src_jsonl")
+@query("src_jsonl", "SELECT event_id, event_type FROM events")
 def src_jsonl(spark, sf):
     path, rows = scratch(spark, "jsonl"), table(spark, sf, "events").select("event_id", "event_type")
     files.append_jsonl(rows.filter("event_id % 2 = 0"), path)
@@ -239,11 +245,18 @@ def src_jsonl(spark, sf):
     return files.load_jsonl(spark, path, "event_id long, event_type string")
 
 
-@query("src_corpus", "SELECT CASE doc_id % 4 WHEN 0 THEN 'txt' WHEN 1 THEN 'md' WHEN 2 THEN 'json' ELSE 'xyz' END AS kind, count(*) AS n, count(*) FILTER (doc_id % 4 = 3) AS errors FROM documents GROUP BY ALL")
+_KINDS = ("txt", "md", "json", "csv", "xyz")
+
+
+@query("src_corpus", """WITH d AS (SELECT doc_id, lang, ['txt', 'md', 'json', 'csv', 'xyz'][doc_id % 5 + 1] AS kind, coalesce(text, '') AS t FROM documents)
+    SELECT 'in/' || doc_id || '.' || kind AS path, CASE kind WHEN 'txt' THEN trim(t, ' ' || chr(9) || chr(10) || chr(13)) WHEN 'md' THEN trim(t, ' ' || chr(9) || chr(10) || chr(13)) WHEN 'csv' THEN 'doc | lang' || chr(10) || doc_id || ' | a, "' || coalesce(lang, '') || '"'
+    WHEN 'json' THEN '{' || chr(10) || '  "lang": "' || coalesce(lang, '') || '",' || chr(10) || '  "ids": [' || chr(10) || '    ' || doc_id || chr(10) || '  ]' || chr(10) || '}' END AS text, CASE WHEN kind = 'xyz' THEN 'unsupported: xyz' END AS error FROM d""")
 def src_corpus(spark, sf):
-    kind = F.element_at(F.array(*map(F.lit, ("txt", "md", "json", "xyz"))), (F.col("doc_id") % 4 + 1).cast("int"))
-    rows = table(spark, sf, "documents").select(F.concat(F.lit("in/"), "doc_id", F.lit("."), kind).alias("path"), F.coalesce("text", F.lit("")).alias("content"))
-    return files.corpus_text(rows).groupBy(F.regexp_extract("path", r"\.(\w+)$", 1).alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.count("error").alias("errors"))
+    kind, lang = F.element_at(F.array(*map(F.lit, _KINDS)), (F.col("doc_id") % 5 + 1).cast("int")), F.coalesce("lang", F.lit(""))
+    listed = F.concat(F.lit("doc,lang\n\n"), "doc_id", F.lit(',"a, ""'), lang, F.lit('"""\n'))
+    nested = F.concat(F.lit('{"lang":"'), lang, F.lit('","ids":['), "doc_id", F.lit("]}"))
+    body = F.when(kind == "csv", listed).when(kind == "json", nested).otherwise(F.coalesce("text", F.lit("")))
+    return files.corpus_text(table(spark, sf, "documents").select(F.concat(F.lit("in/"), "doc_id", F.lit("."), kind).alias("path"), body.alias("content")))
 
 
 @query("html_text")
@@ -251,7 +264,7 @@ def html_text(spark, sf):
     return files.html_text(table(spark, sf, "pages"), "page_id", "html")
 
 
-@query("xml_text")
+@query("xml_text", "SELECT p_partkey AS id, p_name || chr(10) || 'tail' || chr(10) || p_brand AS text FROM part")
 def xml_text(spark, sf):
     p = table(spark, sf, "part").select("p_partkey", F.concat(F.lit("<p><n>"), "p_name", F.lit("</n> tail <b>"), "p_brand", F.lit("</b></p>")).alias("x"))
     return files.xml_text(p, "p_partkey", "x")
@@ -265,7 +278,7 @@ def schema_for_type(spark, sf):
     return types.join(own, "entity_type", "left").select("entity_type", F.explode(F.coalesce("keys", default)).alias("key"))
 
 
-@query("sink_partitioned")
+@query("sink_partitioned", ORACLES["metric_series"].replace("SELECT level, identifier, count(*) AS entries, min(ts) AS first_ts, max(ts) AS last_ts, CAST(sum(total_fields) AS BIGINT) AS fields FROM s GROUP BY ALL", "SELECT level, count(*) AS n FROM s GROUP BY ALL"))
 def sink_partitioned(spark, sf):
     from formlode.operators.metrics import metric_series
 
@@ -276,7 +289,7 @@ def sink_partitioned(spark, sf):
     return spark.read.parquet(path).groupBy("level").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("validate_csv")
+@query("validate_csv", ORACLES["validate_by_type"])
 def validate_csv(spark, sf):
     from .core import validate_by_type
 
@@ -290,7 +303,7 @@ def event_stream(spark, sf):
     return spark.readStream.schema(schema).parquet(f"{sf}/events.parquet*")
 
 
-@query("telemetry_ingest")
+@query("telemetry_ingest", "SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY ALL")
 def telemetry_ingest(spark, sf):
     path = scratch(spark, "ingest")
     running = te.envelope(event_stream(spark, sf)).writeStream.format("parquet").option("path", path).option("checkpointLocation", path + "-state").trigger(availableNow=True).start()
@@ -298,15 +311,15 @@ def telemetry_ingest(spark, sf):
     return spark.read.parquet(path).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_hash").alias("users"))
 
 
-@query("confidence_stream")
+@query("confidence_stream", _FOLD + "SELECT vector_id, arg_max(c, n) AS confidence, CAST(max(n) AS INTEGER) AS steps FROM walk GROUP BY vector_id")
 def confidence_stream(spark, sf):
     events = event_stream(spark, sf).select(F.col("user_id").alias("vector_id"), "ts", "event_id", (F.col("event_type") != "error").alias("positive"))
     learned = te.confidence_stream(events, le.START, le.BOOST, le.DECAY, le.TOP, le.BOTTOM)
-    out = te.streamed(learned, "confidence_" + uuid.uuid4().hex[:8], "update", scratch(spark, "confidence"))
+    out = te.streamed(learned, scratch(spark, "confidence"), "update")
     return out.groupBy("vector_id").agg(F.max_by("confidence", "steps").alias("confidence"), F.max("steps").alias("steps"))
 
 
-@query("udf_correct")
+@query("udf_correct", "SELECT p_partkey, translate(lower(trim(p_name)), ' -', '__') AS name, 0.6::DOUBLE AS confidence, 'reported name in snake case' AS reasoning FROM part")
 def udf_correct(spark, sf):
     @F.pandas_udf("name string, confidence double, reasoning string")
     def correct(names: pd.Series) -> pd.DataFrame:
@@ -316,28 +329,26 @@ def udf_correct(spark, sf):
     return table(spark, sf, "part").select("p_partkey", correct("p_name").alias("c")).select("p_partkey", "c.*")
 
 
-def hooked(df, *hooks):
-    """DataFrame -> DataFrame hooks in order, each checked against the schema it declares."""
-    for hook, schema in hooks:
-        df = hook(df)
-        wanted = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
-        if df.schema.simpleString() != wanted.simpleString():
-            raise TypeError(f"{hook.__name__} returned {df.schema.simpleString()}, not {wanted.simpleString()}")
-    return df
-
-
-@query("transform_hooks")
+@query("transform_hooks", "SELECT p_partkey, 'words' AS key, CAST(len(string_split(p_name, ' ')) AS VARCHAR) AS value, CASE WHEN len(string_split(p_name, ' ')) > 4 THEN 'long' END AS problem FROM part")
 def transform_hooks(spark, sf):
     def extract(df):
         return df.select("p_partkey", F.split("p_name", " ").alias("words"))
 
-    def count_words(df):
+    def transform(df):
         return df.select("p_partkey", F.size("words").alias("n"))
 
-    return hooked(table(spark, sf, "part"), (extract, "p_partkey long, words array<string>"), (count_words, "p_partkey long, n int"))
+    def mapped(df):
+        return df.select("p_partkey", F.lit("words").alias("key"), F.col("n").cast("string").alias("value"))
+
+    def validated(df):
+        return df.withColumn("problem", F.when(F.col("value").cast("int") > 4, "long"))
+
+    shape = "p_partkey long, key string, value string"
+    steps = [(extract, "p_partkey long, words array<string>"), (transform, "p_partkey long, n int"), (mapped, shape), (validated, shape + ", problem string")]
+    return hooked(table(spark, sf, "part"), *steps)
 
 
-@query("udtf_chunk")
+@query("udtf_chunk", "WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> '') AS w FROM documents) SELECT doc_id, CAST(c AS INTEGER) AS chunk, array_to_string(w[c * 200 + 1 : c * 200 + 200], ' ') AS part FROM (SELECT doc_id, w, unnest(range(0, CAST(ceil(len(w) / 200.0) AS BIGINT))) AS c FROM w)")
 def udtf_chunk(spark, sf):
     from pyspark.sql.functions import udtf
 
@@ -348,8 +359,8 @@ def udtf_chunk(spark, sf):
             for i in range(0, len(words), size):
                 yield i // size, " ".join(words[i : i + size])
 
-    spark.udtf.register("formlode_chunks", Chunks)
-    table(spark, sf, "documents").createOrReplaceTempView("formlode_documents")
-    return spark.sql("SELECT doc_id, chunk, part FROM formlode_documents, LATERAL formlode_chunks(text, 200)")
+    name = "chunks_" + uuid.uuid4().hex[:8]  # sessions are shared
+    spark.udtf.register(name, Chunks)
+    return spark.sql(f"SELECT doc_id, chunk, part FROM {{docs}}, LATERAL {name}(text, 200)", docs=table(spark, sf, "documents"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from formlode.operators import evaluation as ev
@@ -17,16 +19,16 @@ def vectors(spark, sf):
 
 
 def corpus(spark, sf):
-    return vectors(spark, sf).filter("vector_id % 10 <> 0")
+    return vectors(spark, sf)
 
 
 def asked(spark, sf):
-    return vectors(spark, sf).filter("vector_id % 10 = 0").withColumnRenamed("vector_id", "query_id")
+    return vectors(spark, sf).filter("vector_id % 100 = 0").withColumnRenamed("vector_id", "query_id")
 
 
 _TOP = """WITH v AS (SELECT vec_id, 'label_' || label AS field_name, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
   s AS (SELECT q.vec_id AS query_id, q.field_name AS truth, c.vec_id AS vector_id, c.field_name, floor(list_cosine_similarity(q.e, c.e) * 1000000::DOUBLE + 0.5::DOUBLE) / 1000000::DOUBLE AS similarity
-    FROM v q, v c WHERE q.vec_id % 10 = 0 AND c.vec_id % 10 <> 0),
+    FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
   t AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vector_id) AS INTEGER) AS rank FROM s) WHERE rank <= 5) """
 
 
@@ -47,20 +49,23 @@ def match_decision(spark, sf):
     return re.match_decision(asked(spark, sf), candidates(spark, sf), 0.38)
 
 
-@query("self_retrieval", "SELECT vec_id AS vector_id, true AS found FROM embeddings WHERE vec_id % 25 = 0")
+@query("self_retrieval", "WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), s AS (SELECT q.vec_id, max(floor(list_cosine_similarity(q.e, c.e) * 1000000::DOUBLE + 0.5::DOUBLE)) FILTER (c.vec_id = q.vec_id) AS own, max(floor(list_cosine_similarity(q.e, c.e) * 1000000::DOUBLE + 0.5::DOUBLE)) FILTER (c.vec_id < q.vec_id) AS before, max(floor(list_cosine_similarity(q.e, c.e) * 1000000::DOUBLE + 0.5::DOUBLE)) FILTER (c.vec_id > q.vec_id) AS after FROM v q, v c WHERE q.vec_id % 100 = 0 GROUP BY ALL) SELECT vec_id AS vector_id, own >= 990000 AND own > coalesce(before, -1e9) AND own >= coalesce(after, -1e9) AS found FROM s")
 def self_retrieval(spark, sf):
-    return re.self_retrieval(vectors(spark, sf).filter("vector_id % 25 = 0"), vectors(spark, sf))
+    return re.self_retrieval(vectors(spark, sf).filter("vector_id % 100 = 0"), vectors(spark, sf))
 
 
-@query("normalise_vectors", "WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), n AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM v) SELECT vec_id AS vector_id, round(e[1] / norm, 6) AS first, len(e) AS width FROM n")
+@query("normalise_vectors", "WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), n AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM v) SELECT vec_id AS vector_id, CAST(generate_subscripts(e, 1) - 1 AS INTEGER) AS place, round(unnest(e) / norm, 8) AS value FROM n")
 def normalise_vectors(spark, sf):
-    return vectors(spark, sf).withColumn("unit", re.normalise(F.col("embedding"), 12)).select("vector_id", F.round(F.get("unit", F.lit(0)), 6).alias("first"), F.size("unit").cast("long").alias("width"))
+    return vectors(spark, sf).select("vector_id", F.posexplode(re.normalise(F.col("embedding"))).alias("place", "value"))
 
 
-@query("vec_source_check", "SELECT missing, count(*) AS n FROM (SELECT CASE WHEN vec_id % 13 = 0 THEN 'field_name' WHEN vec_id % 17 = 0 THEN 'context' END AS missing FROM embeddings) GROUP BY ALL")
+@query("vec_source_check", "SELECT missing, count(*) AS n FROM (SELECT CASE WHEN vec_id % 11 = 0 THEN 'vector_id' WHEN vec_id % 13 = 0 THEN 'field_name' WHEN vec_id % 17 = 0 THEN 'context' END AS missing FROM embeddings) GROUP BY ALL")
 def vec_source_check(spark, sf):
-    rows = vectors(spark, sf).withColumns({"field_name": F.when(F.col("vector_id") % 13 != 0, F.col("field_name")), "context": F.when(F.col("vector_id") % 17 == 0, " ").otherwise("ctx")})
-    return re.source_check(rows, ("vector_id", "field_name", "context")).groupBy("missing").agg(F.count(F.lit(1)).alias("n"))
+    fields = F.when(F.col("vector_id") % 11 != 0, F.col("vector_id")).alias("vector_id"), F.when(F.col("vector_id") % 13 != 0, F.col("field_name")).alias("field_name"), F.when(F.col("vector_id") % 17 == 0, " ").otherwise("ctx").alias("context")
+    one = F.to_json(F.struct(*fields))
+    text = F.when(F.col("vector_id") % 2 == 0, F.concat(F.lit('{"vectors":['), one, F.lit("]}"))).otherwise(F.concat(F.lit("["), one, F.lit("]")))
+    loaded = re.vector_source(vectors(spark, sf).select(text.alias("content")), "content", "vector_id long, field_name string, context string")
+    return re.source_check(loaded, ("vector_id", "field_name", "context")).groupBy("missing").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("vector_upsert", """WITH r AS (SELECT vec_id, 'label_' || label AS f, vec_id % 5 AS u FROM embeddings WHERE vec_id % 3 <> 0), s AS (SELECT vec_id, 'new_' || label AS f FROM embeddings WHERE vec_id % 2 = 0)
@@ -91,9 +96,9 @@ def reembed(spark, sf):
 
 @query("udf_embed")
 def udf_embed(spark, sf):
-    spark.udf.register("embed_text", re.embedder())
-    table(spark, sf, "part").createOrReplaceTempView("formlode_part")
-    return spark.sql("SELECT p_partkey, embed_text(p_name) AS embedding FROM formlode_part")
+    name = "embed_" + uuid.uuid4().hex[:8]  # sessions are shared
+    spark.udf.register(name, re.embedder())
+    return spark.sql(f"SELECT p_partkey, {name}(p_name) AS embedding FROM {{part}}", part=table(spark, sf, "part"))
 
 
 def truth(spark, sf):
@@ -120,9 +125,9 @@ def _prf(p: str, t: str) -> str:
     return f", n AS (SELECT (SELECT count(*) FROM {p}) AS predicted, (SELECT count(*) FROM {t}) AS relevant, (SELECT count(*) FROM (SELECT * FROM {p} INTERSECT SELECT * FROM {t})) AS hits) SELECT *, {rat('hits', 'predicted')} AS precision, {rat('hits', 'relevant')} AS recall, {rat('2 * hits', 'predicted + relevant')} AS f1 FROM n"
 
 
-@query("eval_retrieval", _TOP + ", p AS (SELECT DISTINCT query_id, vector_id FROM t), r AS (SELECT q.vec_id AS query_id, c.vec_id AS vector_id FROM v q JOIN v c USING (field_name) WHERE q.vec_id % 10 = 0 AND c.vec_id % 10 <> 0)" + _prf("p", "r"))
+@query("eval_retrieval", _TOP + ", p AS (SELECT DISTINCT query_id, vector_id FROM t), r AS (SELECT q.vec_id AS query_id, c.vec_id AS vector_id FROM v q JOIN v c USING (field_name) WHERE q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id)" + _prf("p", "r"))
 def eval_retrieval(spark, sf):
-    relevant = truth(spark, sf).join(corpus(spark, sf).select("field_name", "vector_id"), "field_name")
+    relevant = truth(spark, sf).join(corpus(spark, sf).select("field_name", "vector_id"), "field_name").filter("vector_id <> query_id")
     return ev.prf(candidates(spark, sf), relevant, "query_id", "vector_id")
 
 

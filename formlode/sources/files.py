@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import csv
+import io
+import json
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,13 +32,40 @@ def load_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
 
+def _listed(raw: str) -> str:
+    rows = [" | ".join(cell.strip() for cell in row) for row in csv.reader(io.StringIO(raw.removeprefix("\ufeff")))]
+    return "\n".join(x for x in rows if x.strip())
+
+
+def _indented(raw: str) -> str:
+    return json.dumps(json.loads(raw), indent=2, ensure_ascii=False)
+
+
+def _shaped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The content of CSV and JSON files as text, or what is wrong with it; (path, text, error)."""
+    for batch in batches:
+        out = []
+        for path, kind, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            try:
+                out.append((path, (_listed if kind == "csv" else _indented)(raw or ""), None))
+            except (ValueError, csv.Error) as e:
+                out.append((path, None, f"malformed: {type(e).__name__}"))
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.string()) for i in range(3)], ["path", "text", "error"])
+
+
 def corpus_text(files: DataFrame) -> DataFrame:
-    """(path, text, error) of (path, content): CSV fields joined by |, JSON and text stripped, unknown extensions an error."""
+    """(path, text, error) of (path, content): CSV cells joined by |, JSON indented, texts stripped; other extensions are errors.
+
+    Quoted CSV cells may hold commas and line breaks; rows of empty cells vanish. Malformed JSON is an error of its row. Only CSV
+    and JSON files pass through Python; the others stay expressions.
+    """
     kind = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
-    body = F.trim(F.decode("content", F.lit("UTF-8")) if dict(files.dtypes)["content"] == "binary" else F.col("content"))
-    lines = F.transform(F.split(body, "\r?\n"), lambda x: F.array_join(F.transform(F.split(x, ","), lambda c: F.trim(c)), " | "))
-    text = F.when(kind == "csv", F.array_join(lines, "\n")).when(kind.isin("txt", "md", "json"), body)
-    return files.select("path", text.alias("text"), F.when(text.isNull(), F.concat(F.lit("unsupported: "), kind)).alias("error"))
+    body = F.decode("content", F.lit("UTF-8")) if dict(files.dtypes)["content"] == "binary" else F.col("content")
+    rows = files.select("path", kind.alias("kind"), body.alias("body"))
+    plain = F.when(F.col("kind").isin("txt", "md", "markdown"), F.btrim(F.col("body"), F.lit(" \t\n\r\f\x0b")))
+    wrong = F.when(plain.isNull(), F.concat(F.lit("unsupported: "), "kind"))
+    shaped = rows.filter(F.col("kind").isin("csv", "json")).mapInArrow(_shaped, "path string, text string, error string")
+    return rows.filter(~F.col("kind").isin("csv", "json")).select("path", plain.alias("text"), wrong.alias("error")).unionByName(shaped)
 
 
 def _html(raw: str) -> str:

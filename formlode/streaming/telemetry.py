@@ -57,12 +57,20 @@ def job_summary(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id", "job").agg(F.count(F.lit(1)).alias("logs"), F.count_if(F.col("event_type") == "click").alias("requests"), F.count_if(F.col("event_type") == "error").alias("errors"), F.floor(seconds / 1000000).alias("seconds")).withColumn("success", F.col("errors") == 0)
 
 
-def streamed(source: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Everything that a finite streaming query gives now, as a table: for sources that end, such as a replayed folder."""
+def streamed(source: DataFrame, path: str, mode: str) -> DataFrame:
+    """Everything that a finite streaming query gives now, as a table in ``path``: for sources that end, such as a replayed folder.
+
+    Each micro-batch writes a folder of its own, which a repeated batch replaces; nothing passes through the driver.
+    """
     spark = source.sparkSession
-    running = source.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/out/batch={number}")
+
+    spark.createDataFrame([], source.schema).write.parquet(f"{path}/out/batch=-1")
+    running = source.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     running.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(source.schema).parquet(f"{path}/out")
 
 
 def confidence_stream(events: DataFrame, start: float, boost: float, decay: float, top: float, bottom: float) -> DataFrame:
