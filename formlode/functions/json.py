@@ -8,29 +8,43 @@ from pyspark.sql import functions as F
 FENCE = "```"
 
 
-def flatten_json(rows: DataFrame, key: str, text: str, depth: int = 4) -> DataFrame:
-    """(key, path, value): leaves of JSON objects under dot paths; arrays stay leaves, empty objects vanish.
+def flatten_json(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, path, value): leaves of JSON objects of any depth under dot paths; arrays stay leaves, empty objects vanish.
 
-    Each level parses the objects that are left to maps; ``depth`` bounds the levels, deeper objects stay as text.
+    Each level parses the objects that are left to maps, until none is left.
     """
     level = rows.select(F.col(key), F.lit("").alias("path"), F.col(text).alias("value"))
-    done = None
-    for i in range(depth):
-        parsed = level.withColumn("m", F.from_json("value", "map<string,string>"))
-        inner = parsed.select(key, "path", F.explode("m").alias("k", "v"))
+    nested = F.coalesce(F.col("value").startswith("{"), F.lit(False))
+    done = level.limit(0)
+    while True:
+        inner = level.withColumn("m", F.from_json("value", "map<string,string>")).select(key, "path", F.explode("m").alias("k", "v"))
         level = inner.select(key, F.concat("path", F.when(F.col("path") == "", "").otherwise("."), "k").alias("path"), F.col("v").alias("value"))
-        nested = F.coalesce(F.col("value").startswith("{"), F.lit(False))
-        leaves = level.filter(~nested) if i < depth - 1 else level
-        done = leaves if done is None else done.unionByName(leaves)
-        level = level.filter(nested)
-    return done
+        done, level = done.unionByName(level.filter(~nested)), level.filter(nested)
+        if level.isEmpty():
+            return done
+
+
+def quoted(text: Column) -> Column:
+    """A string as JSON."""
+    listed = F.to_json(F.array(text))
+    return F.when(text.isNull(), "null").otherwise(listed.substr(F.lit(2), F.length(listed) - 2))
 
 
 def unflatten_json(rows: DataFrame, key: str) -> DataFrame:
-    """(key, json): two-level objects from dot paths of two segments, keys in order."""
-    parts = rows.withColumns({"head": F.substring_index("path", ".", 1), "leaf": F.expr("substring(path, instr(path, '.') + 1)")})
-    inner = parts.groupBy(key, "head").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("leaf", "value")))).alias("m"))
-    return inner.groupBy(key).agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("head", F.to_json("m").alias("j")))))).alias("json"))
+    """(key, json): nested objects of any depth from (key, path, value) rows with dot paths, keys in order, values as strings.
+
+    The deepest level is folded into objects first, then the next. Where a path is both a leaf and an object, the object stays.
+    """
+    steps = F.split("path", r"\.")
+    level = rows.select(key, steps.alias("steps"), quoted(F.col("value")).alias("part"), F.lit(0).alias("is_object"))
+    deepest = level.agg(F.max(F.size("steps"))).first()[0] or 0
+    for depth in range(deepest, 0, -1):
+        own = level.filter(F.size("steps") == depth).groupBy(key, "steps").agg(F.max_by("part", F.struct("is_object", "part")).alias("part"))
+        entry = F.concat(quoted(F.element_at("steps", -1)), F.lit(":"), "part")
+        listed = F.transform(F.array_sort(F.collect_list(F.struct(F.element_at("steps", -1).alias("name"), entry.alias("entry")))), lambda x: x["entry"])
+        made = own.groupBy(key, F.slice("steps", 1, depth - 1).alias("steps")).agg(F.concat(F.lit("{"), F.array_join(listed, ","), F.lit("}")).alias("part"))
+        level = level.filter(F.size("steps") < depth).unionByName(made.withColumn("is_object", F.lit(1)))
+    return level.select(key, F.col("part").alias("json"))
 
 
 def reply_body(text: Column) -> Column:

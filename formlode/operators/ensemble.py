@@ -68,11 +68,21 @@ def context_lookup(wanted: DataFrame, contexts: DataFrame) -> DataFrame:
     return wanted.join(contexts, list(KEY))
 
 
-def vector_actions(cases: DataFrame) -> DataFrame:
-    """(.., action): boost the retrieval vector, create one from the other source's name, or none."""
+def vector_actions(cases: DataFrame, start: float = 0.75) -> DataFrame:
+    """(.., action, new_name, confidence, positive_count): boost the retrieval vector, create one, or none.
+
+    A new vector bears the name that won and begins at the start confidence with one positive; other rows have nulls there.
+    """
     boost = F.col("case_type").isin("A", "D") | ((F.col("case_type") == "B") & (F.col("selected_from") == "rag"))
     create = (F.col("case_type") == "C") | ((F.col("case_type") == "B") & (F.col("selected_from") == "llm"))
-    return cases.withColumn("action", F.when(boost, "boost").when(create, "create").otherwise("none"))
+    action = F.when(boost, "boost").when(create, "create").otherwise("none")
+    new = lambda c: F.when(action == "create", c)
+    return cases.withColumns({"new_name": new(F.col("selected_field_name")), "confidence": new(F.lit(start)), "positive_count": new(F.lit(1)), "action": action})
+
+
+def action_summary(actions: DataFrame) -> DataFrame:
+    """How many rows took each action, by case."""
+    return actions.groupBy("case_type", "action").agg(F.count(F.lit(1)).alias("n"))
 
 
 def route_errors(feedback: DataFrame, cases: DataFrame, vectors: DataFrame) -> DataFrame:

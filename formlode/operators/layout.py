@@ -84,11 +84,33 @@ def whitespace(lines: DataFrame, height: float) -> DataFrame:
     return lines.withColumns({"space_above": above, "space_below": below}).withColumn("is_isolated", (F.col("space_above") > height * 0.5) & (F.col("space_below") > height * 0.5))
 
 
+#: The marks of unordered list items, and the kinds of ordered ones in the order in which they are tried.
+SYMBOLS = "•○■▪▫►▸⇒✓✔⇨◆◇*-"
+BULLETS = (("numeric", r"^([0-9]+)[.)]\s+"), ("lower_alpha", r"^([a-z])[.)]\s+"), ("upper_alpha", r"^([A-Z])[.)]\s+"), ("roman", r"^([ivxIVX]+)[.)]\s+"))
+
+
+def roman_value(numeral: Column) -> Column:
+    """The number that a numeral of i, v and x stands for: each letter, taken off where a larger one follows."""
+    worth = lambda c: F.when(c == "x", 10).when(c == "v", 5).when(c == "i", 1).otherwise(0)
+    letters = F.split(F.lower(numeral), "")
+    return F.aggregate(F.transform(letters, lambda c, i: F.when(worth(c) < worth(F.coalesce(F.get(letters, i + 1), F.lit(""))), -worth(c)).otherwise(worth(c))), F.lit(0), lambda a, x: a + x)
+
+
 def list_chains(lines: DataFrame) -> DataFrame:
-    """Numbered list groups per page: a chain ends where an item does not follow its predecessor's number or line."""
-    items = lines.withColumn("value", F.regexp_extract("text", r"^([0-9]+)\. ", 1).try_cast("int")).filter("value IS NOT NULL")
+    """(.., kind, value, chain) of list items: numbers, letters from 0, roman numerals, or symbols of no value.
+
+    A page's chain ends where an item is of another kind, does not follow its predecessor's value, or another line stands between.
+    """
+    text = F.trim("text")
+    found = [(kind, F.regexp_extract(text, pattern, 1)) for kind, pattern in BULLETS]
+    kind = F.coalesce(*[F.when(x != "", F.lit(k)) for k, x in found], F.when(text.rlike(f"^[{SYMBOLS}]\\s+"), F.lit("symbol")))
+    numeric, lower, upper, roman = (x for _, x in found)
+    letter = lambda x, first: F.ascii(x) - ord(first)
+    value = F.when(kind == "numeric", numeric.try_cast("int")).when(kind == "lower_alpha", letter(lower, "a")).when(kind == "upper_alpha", letter(upper, "A")).when(kind == "roman", roman_value(roman))
+    items = lines.withColumns({"kind": kind, "value": value}).filter("kind IS NOT NULL")
     order = Window.partitionBy(*PAGE).orderBy("line_no")
-    follows = (F.lag("value").over(order) == F.col("value") - 1) & (F.lag("line_no").over(order) == F.col("line_no") - 1)
+    next_ = F.col("value").isNull() | (F.lag("value").over(order) == F.col("value") - 1)
+    follows = (F.lag("kind").over(order) == F.col("kind")) & next_ & (F.lag("line_no").over(order) == F.col("line_no") - 1)
     starts = items.withColumn("_new", F.when(follows, 0).otherwise(1))
     return starts.withColumn("chain", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
@@ -126,19 +148,32 @@ def repeated_lines(lines: DataFrame, least: int = 3, shortest: int = 5, split: f
 
 
 def heading_refine(headings: DataFrame, repeated: DataFrame, votes: DataFrame) -> DataFrame:
-    """Headings in repeated lines become normal; a differing dominant style is suggested and lowers confidence to 0.8, at least 0.6."""
+    """(.., refined, suggestion, confidence): headings in repeated lines become normal; differing styles and numbers cast doubt.
+
+    The dominant level of the font size is suggested where it differs, else the level that a decimal number stands for. Each doubt
+    multiplies the confidence by 0.8, down to 0.6.
+    """
     rows = headings.withColumn("line", normalised(F.col("text"))).join(repeated.select("doc_id", "line", "zone"), ["doc_id", "line"], "left")
     rows = rows.join(votes.select("doc_id", "size", "suggested"), ["doc_id", "size"], "left")
     refined = F.when(F.col("zone").isNotNull(), "normal").otherwise(F.col("level"))
-    doubt = F.coalesce(F.col("suggested") != refined, F.lit(False))
-    return rows.withColumns({"refined": refined, "confidence": F.when(doubt, F.greatest(F.lit(0.8), F.lit(0.6))).otherwise(1.0)}).drop("line")
+    number = numbering(F.col("text"))
+    due = F.when(number == "decimal_1", "h1").when(number == "decimal_2", "h2").when(number == "decimal_3", "h3")
+    by_style = F.coalesce(F.col("suggested") != refined, F.lit(False))
+    by_number = F.coalesce((refined != "normal") & (due != refined), F.lit(False))
+    confidence = F.greatest(F.lit(0.6), F.when(by_style & by_number, 0.64).when(by_style | by_number, 0.8).otherwise(1.0))
+    suggestion = F.when(by_style, F.col("suggested")).when(by_number, due)
+    return rows.withColumns({"refined": refined, "suggestion": suggestion, "confidence": confidence}).drop("line")
 
 
 def heading_audit(headings: DataFrame) -> DataFrame:
-    """Per document: heading counts, pages with h3 but neither h1 nor h2, and decimal numbers at odds with their level."""
-    page = headings.groupBy(*PAGE).agg(*[F.count_if(F.col("level") == v).alias(v) for v in ("h1", "h2", "h3")], F.count_if((F.col("level").isin("h1", "h3")) & (numbering(F.col("text")) == "decimal_2")).alias("odd"))
+    """Per document: heading counts and range, pages with h3 but neither h1 nor h2, and decimal numbers at odds with their level."""
+    number = numbering(F.col("text"))
+    due = F.when(number == "decimal_1", "h1").when(number == "decimal_2", "h2").when(number == "decimal_3", "h3")
+    heading = F.col("level") != "normal"
+    edge = [f(F.when(heading, F.col("line_no"))).alias(n) for f, n in ((F.min, "first_line"), (F.max, "last_line"))]
+    page = headings.groupBy(*PAGE).agg(*[F.count_if(F.col("level") == v).alias(v) for v in ("h1", "h2", "h3")], F.count_if(heading & (due != F.col("level"))).alias("odd"), *edge)
     orphan = (F.col("h3") > 0) & (F.col("h1") == 0) & (F.col("h2") == 0)
-    return page.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pages"), *[F.sum(v).alias(v) for v in ("h1", "h2", "h3")], F.count_if(orphan).alias("orphan_pages"), F.sum("odd").alias("mismatches"))
+    return page.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pages"), *[F.sum(v).alias(v) for v in ("h1", "h2", "h3")], F.count_if(orphan).alias("orphan_pages"), F.sum("odd").alias("mismatches"), F.min("first_line").alias("first_line"), F.max("last_line").alias("last_line"))
 
 
 def page_metadata(elements: DataFrame, pages: DataFrame) -> DataFrame:
@@ -162,33 +197,35 @@ def neighbour_lines(lines: DataFrame, hits: DataFrame, reach: int) -> DataFrame:
 
 
 def page_chunks(lines: DataFrame, size: int, overlap: int) -> DataFrame:
-    """Chunks of ``size`` pages, each ``overlap`` pages into the one before: lines, words and line range of each."""
+    """Chunks of ``size`` pages, each ``overlap`` pages into the one before: lines, words, fields (bold lines), line range and text."""
     if size < 1 or not 0 <= overlap < size:
         raise ValueError("overlap must be smaller than size")
     step = size - overlap
-    pages = lines.groupBy(*PAGE).agg(F.count(F.lit(1)).alias("n"), F.sum(F.size(F.filter(F.split("text", " "), lambda w: w != ""))).alias("w"), F.min("line_no").alias("a"), F.max("line_no").alias("b"))
+    pages = lines.groupBy(*PAGE).agg(F.count(F.lit(1)).alias("n"), F.sum(F.size(F.filter(F.split("text", " "), lambda w: w != ""))).alias("w"), F.min("line_no").alias("a"), F.max("line_no").alias("b"), F.count_if("bold").alias("f"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n").alias("t"))
     low = F.greatest(F.lit(0), F.floor((F.col("page") - size) / step) + 1)
     spread = pages.withColumn("chunk", F.explode(F.sequence(low, F.floor(F.col("page") / step))))
-    return spread.groupBy("doc_id", "chunk").agg(F.sum("n").alias("lines"), F.sum("w").alias("words"), F.min("a").alias("first_line"), F.max("b").alias("last_line"))
+    return spread.groupBy("doc_id", "chunk").agg(F.sum("n").alias("lines"), F.sum("w").alias("words"), F.min("a").alias("first_line"), F.max("b").alias("last_line"), F.sum("f").alias("fields"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "t"))), lambda x: x["t"]), "\n").alias("text"))
 
 
 def window_chunks(widgets: DataFrame, reach: int = 10, limit: int = 400) -> DataFrame:
     """(doc_id, chunk, first_line, last_line, widgets): widgets with their surrounding lines, packed while lines fit the limit.
 
-    A document's widgets are packed in order; one whose own lines exceed the limit makes a chunk of its own.
+    A document's widgets are packed in order; what counts is the number of different lines covered, not the span. One whose own
+    lines exceed the limit makes a chunk of its own.
     """
 
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
         out, doc = [], rows.doc_id.iloc[0]
-        low = high = count = None
+        low = high = count = covered = None
         for line in sorted(rows.line_no):
             a, b = max(0, line - reach), line + reach
-            if low is not None and b - low + 1 <= limit:
-                high, count = max(high, b), count + 1
+            fresh = b - max(a, high + 1) + 1 if low is not None else 0
+            if low is not None and covered + fresh <= limit:
+                high, count, covered = max(high, b), count + 1, covered + fresh
             else:
                 if low is not None:
                     out.append((doc, len(out), low, high, count))
-                low, high, count = a, b, 1
+                low, high, count, covered = a, b, 1, b - a + 1
         out.append((doc, len(out), low, high, count))
         return pd.DataFrame(out, columns=["doc_id", "chunk", "first_line", "last_line", "widgets"])
 
@@ -215,33 +252,60 @@ def label_proximity(texts: DataFrame, widgets: DataFrame, height: float = 15.0,
 
 
 def nearest_line(widgets: DataFrame, lines: DataFrame, most: float = 10.0) -> DataFrame:
-    """The line of a page whose bottom is closest to the widget's, within ``most``; null if none."""
+    """(page key, widget_id, line_no, is_new): the line of a page whose bottom is closest to the widget's, within ``most``.
+
+    A widget without one gets a new line, numbered after the document's last in the order of page, bottom and id.
+    """
     near = widgets.join(lines.select(*PAGE, "line_no", F.col("bottom").alias("line_bottom")), list(PAGE))
     dist = F.abs(F.col("bottom") - F.col("line_bottom"))
     best = near.filter(dist <= most).groupBy(*PAGE, "widget_id").agg(F.min(F.struct(dist.alias("d"), "line_no")).alias("m"))
-    return widgets.join(best, [*PAGE, "widget_id"], "left").select(*PAGE, "widget_id", F.col("m.line_no").alias("line_no"))
+    rows = widgets.join(best, [*PAGE, "widget_id"], "left").join(lines.groupBy("doc_id").agg(F.max("line_no").alias("last")), "doc_id", "left")
+    fresh = F.col("m.line_no").isNull()
+    order = Window.partitionBy("doc_id", fresh).orderBy("page", "bottom", "widget_id")
+    number = F.when(fresh, F.coalesce("last", F.lit(-1)) + F.row_number().over(order)).otherwise(F.col("m.line_no"))
+    return rows.select(*PAGE, "widget_id", number.cast("int").alias("line_no"), fresh.alias("is_new"))
 
 
 def outline_match(lines: DataFrame, outline: DataFrame, longest: int = 10) -> DataFrame:
     """(doc_id, line_no, title_id): lines equal to a title, without case, or containing or contained in one of more than ``longest`` characters.
 
-    Exact titles are an equi-join; containment joins distinct lines with the outline, which must be small, and the first title wins.
+    Exact titles are an equi-join. Of two texts of which one contains the other, the longer holds the first ``longest`` + 1 characters
+    of the shorter, which is the key of two further equi-joins; the first title wins.
     """
     named = lines.select("doc_id", "line_no", F.lower(F.trim("text")).alias("line")).filter("line <> ''")
     titles = outline.select("title_id", F.lower(F.trim("title")).alias("title")).filter("title <> ''")
     exact = named.join(titles, named.line == titles.title).groupBy("doc_id", "line_no").agg(F.min("title_id").alias("title_id")).withColumn("kind", F.lit("exact"))
-    rest = named.join(exact, ["doc_id", "line_no"], "left_anti")
-    inside = rest.join(titles.filter(F.length("title") > longest), (F.length("line") > longest) & (F.col("line").contains(F.col("title")) | F.col("title").contains(F.col("line"))))
-    return exact.unionByName(inside.groupBy("doc_id", "line_no").agg(F.min("title_id").alias("title_id")).withColumn("kind", F.lit("partial")))
+    rest = named.join(exact, ["doc_id", "line_no"], "left_anti").filter(F.length("line") > longest)
+    n, long_titles = longest + 1, titles.filter(F.length("title") > longest)
+    head = lambda c: F.substring(c, 1, n).alias("part")
+    parts = lambda c: F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - longest), lambda i: F.substring(F.col(c), i, F.lit(n))))).alias("part")
+    inside = rest.select("*", parts("line")).join(long_titles.select("*", head("title")), "part").filter(F.col("line").contains(F.col("title")))
+    around = rest.select("*", head("line")).join(long_titles.select("*", parts("title")), "part").filter(F.col("title").contains(F.col("line")))
+    found = inside.unionByName(around).groupBy("doc_id", "line_no").agg(F.min("title_id").alias("title_id"))
+    return exact.unionByName(found.withColumn("kind", F.lit("partial")))
 
 
 def doc_fingerprint(lines: DataFrame) -> DataFrame:
-    """(doc_id, fingerprint): sha256 of page count, line counts by third, and the texts of first, middle and last lines."""
+    """(doc_id, fingerprint): sha256 over page and line counts, sizes by third, boxes of pages, and lines of five pages.
+
+    Boxes are each page's number of lines and their least and largest top. The first, middle and last lines are taken from the
+    first and last pages and the quartiles between, the text length from the first two pages and from all.
+    """
     # Only normalised texts count, so copies in another case or spacing agree.
     body = lines.withColumn("line", normalised(F.col("text")))
     n = F.count(F.lit(1))
-    stats = body.groupBy("doc_id").agg(F.max("page").alias("pages"), n.alias("n"), F.sum(F.length("line")).alias("chars"), F.min_by("line", "line_no").alias("head"), F.max_by("line", "line_no").alias("tail"), *[F.count_if(F.col("zone") == z).alias(z) for z in ("top", "middle", "bottom")])
-    return stats.select("doc_id", F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in ("pages", "n", "chars", "top", "middle", "bottom", "head", "tail")]), 256).alias("fingerprint"))
+    ordered = F.array_sort(F.collect_list(F.struct("line_no", "line")))
+    pages = body.groupBy(*PAGE).agg(n.alias("n"), F.sum(F.length("line")).alias("chars"), F.min("top").alias("low"), F.max("top").alias("high"), ordered.alias("o"), *[F.count_if(F.col("zone") == z).alias(z) for z in ("top", "middle", "bottom")])
+    at = lambda i: F.get("o", i)["line"]
+    pages = pages.withColumns({"box": F.concat_ws(",", "n", "low", "high"), "marks": F.concat_ws("~", at(F.lit(0)), at(F.floor(F.col("n") / 2).cast("int")), at(F.col("n").cast("int") - 1))}).drop("o")
+    last = pages.groupBy("doc_id").agg(F.max("page").alias("last_page"))
+    pages = pages.join(last, "doc_id")
+    quarter = F.col("page").isin(0) | (F.col("page") == F.col("last_page")) | F.exists(F.array(*map(F.lit, (1, 2, 3))), lambda q: F.col("page") == F.floor(F.col("last_page") * q / 4))
+    texts = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda x: x["s"]), "|")
+    total = [F.sum(c).alias(c) for c in ("n", "chars", "top", "middle", "bottom")]
+    stats = pages.groupBy("doc_id").agg(F.max("last_page").alias("last"), *total, F.coalesce(F.sum(F.when(F.col("page") < 2, F.col("chars"))), F.lit(0)).alias("early"), texts(F.struct("page", F.col("box").alias("s"))).alias("boxes"), texts(F.when(quarter, F.struct("page", F.col("marks").alias("s")))).alias("marks"))
+    parts = ("last", "n", "chars", "top", "middle", "bottom", "early", "boxes", "marks")
+    return stats.select("doc_id", F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in parts]), 256).alias("fingerprint"))
 
 
 def box_overlap(words: DataFrame, spans: DataFrame) -> DataFrame:
@@ -297,15 +361,25 @@ def widget_names(widgets: DataFrame, fields: DataFrame, keys: DataFrame, near: f
     return rows.select(*PAGE, "widget_id", F.coalesce(sure, F.concat(F.lit("unmapped_"), F.col("field_id").cast("string")), F.lit("unmapped_unknown")).alias("name"))
 
 
-def cell_locate(widgets: DataFrame, cells: DataFrame) -> DataFrame:
-    """(page key, widget_id, row, col): the cell that holds the widget's centre, else the cell with the nearest centre."""
+def cell_locate(widgets: DataFrame, cells: DataFrame, table_box: tuple[float, float, float, float] | None = None, shape: tuple[int, int] = (1, 1)) -> DataFrame:
+    """(page key, widget_id, row, col): the cell that holds the widget's centre, else the cell with the nearest centre.
+
+    On a page without cells the place follows from the centre's share of the table's box (left, top, right, bottom), which is cut into
+    ``shape`` rows and columns; centres beyond it belong to its edge. Without a box such widgets get nulls.
+    """
     cx, cy = (F.col("x") + F.col("x2")) / 2, (F.col("y") + F.col("y2")) / 2
     own = widgets.select(*PAGE, "widget_id", cx.alias("cx"), cy.alias("cy"))
-    pair = own.join(cells, list(PAGE))
+    pair = own.join(cells, list(PAGE), "left")
     inside = (F.col("cx") >= F.col("x")) & (F.col("cx") <= F.col("x2")) & (F.col("cy") >= F.col("y")) & (F.col("cy") <= F.col("y2"))
     gap = (F.col("cx") - (F.col("x") + F.col("x2")) / 2) ** 2 + (F.col("cy") - (F.col("y") + F.col("y2")) / 2) ** 2
     best = F.min(F.struct(F.when(inside, 0.0).otherwise(1.0).alias("out"), F.when(inside, 0.0).otherwise(gap).alias("gap"), "row", "col")).alias("m")
-    return pair.groupBy(*PAGE, "widget_id").agg(best).select(*PAGE, "widget_id", "m.row", "m.col")
+    rows = pair.groupBy(*PAGE, "widget_id", "cx", "cy").agg(best)
+    spread = [F.lit(None).cast("long")] * 2
+    if table_box:
+        left, top, right, bottom = table_box
+        share = lambda c, a, b, n: F.greatest(F.lit(0), F.least(F.lit(n - 1), F.floor((F.col(c) - a) / (b - a) * n))).cast("long")
+        spread = [share("cy", top, bottom, shape[0]), share("cx", left, right, shape[1])]
+    return rows.select(*PAGE, "widget_id", F.coalesce("m.row", spread[0]).alias("row"), F.coalesce("m.col", spread[1]).alias("col"))
 
 
 def line_rebuild(words: DataFrame, margin: int = 70, pitch: int = 7) -> DataFrame:

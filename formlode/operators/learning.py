@@ -15,22 +15,33 @@ def next_confidence(conf: Column, positive: Column) -> Column:
     return half_up(F.when(positive, F.least(conf * BOOST, F.lit(TOP))).otherwise(F.greatest(conf * DECAY, F.lit(BOTTOM))), 6)
 
 
-def confidence_fold(events: DataFrame, start: float = START) -> DataFrame:
-    """(vector_id, history, confidence) after the ordered events (vector_id, ts, event_id, positive).
+def confidence_fold(events: DataFrame, start: float = START, with_history: bool = False) -> DataFrame:
+    """(vector_id, confidence, steps, total) after the ordered events (vector_id, ts, event_id, positive), and history if asked for.
 
-    Clamping makes the order matter, so a vector's events are sorted by time and id before they are folded.
+    Clamping makes the order matter, so a vector's events are sorted by time and id before they are folded; total is the sum of the
+    start and all confidences after it. The fold carries two numbers; only the history, if it is wanted, grows with the events.
     """
-    ordered = F.array_sort(F.collect_list(F.struct("ts", "event_id", "positive")))
-    fold = F.aggregate("e", F.array(F.lit(start)), lambda h, e: F.concat(h, F.array(next_confidence(F.element_at(h, -1), e["positive"]))))
-    rows = events.groupBy("vector_id").agg(ordered.alias("e")).withColumn("history", fold)
-    return rows.select("vector_id", "history", F.element_at("history", -1).alias("confidence"), F.size("e").alias("steps"))
+    ordered = F.array_sort(F.collect_list(F.struct("ts", "event_id", "positive"))).alias("e")
+    rows = events.groupBy("vector_id").agg(ordered)
+    state = F.struct(F.lit(start).alias("conf"), F.lit(start).alias("total"))
+
+    def step(s: Column, e: Column) -> Column:
+        conf = next_confidence(s["conf"], e["positive"])
+        return F.struct(conf.alias("conf"), (s["total"] + conf).alias("total"))
+
+    folded = rows.withColumn("s", F.aggregate("e", state, step))
+    names = ["vector_id", F.col("s.conf").alias("confidence"), F.size("e").alias("steps"), F.col("s.total").alias("total")]
+    if with_history:
+        history = F.aggregate("e", F.array(F.lit(start)), lambda h, e: F.concat(h, F.array(next_confidence(F.element_at(h, -1), e["positive"]))))
+        names.append(history.alias("history"))
+    return folded.select(*names)
 
 
 def vector_stability(events: DataFrame, start: float = START) -> DataFrame:
-    """Positive and negative counts, stability (1 without events) and mean of the history of each vector."""
+    """Positive and negative counts, stability (1 without events) and mean of the start and all later confidences of each vector."""
     counts = events.groupBy("vector_id").agg(F.count_if("positive").alias("positive_count"), F.count_if(~F.col("positive")).alias("negative_count"))
     total = F.col("positive_count") + F.col("negative_count")
-    folded = confidence_fold(events, start).select("vector_id", half_up(F.aggregate("history", F.lit(0.0), lambda a, x: a + x) / F.size("history"), 4).alias("avg_confidence"))
+    folded = confidence_fold(events, start).select("vector_id", half_up(F.col("total") / (F.col("steps") + 1), 4).alias("avg_confidence"))
     return counts.withColumn("stability", F.when(total == 0, 1.0).otherwise(half_up(F.col("positive_count") / total, 4))).join(folded, "vector_id")
 
 

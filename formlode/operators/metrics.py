@@ -96,10 +96,14 @@ def latest(snapshots: DataFrame, key: str = "submission_id", revision: str = "re
 
 
 def hash_history(metrics: DataFrame, wanted: DataFrame) -> DataFrame:
-    """For each wanted hash its submissions in order of id; found is false where there are none."""
-    own = metrics.groupBy("pdf_hash").agg(F.count(F.lit(1)).alias("n"), F.sum("total_fields").alias("fields"), F.array_join(F.array_sort(F.collect_list("submission_id")), ",").alias("submissions"))
-    rows = wanted.join(own, "pdf_hash", "left")
-    return rows.select("pdf_hash", F.col("n").isNotNull().alias("found"), F.coalesce("n", F.lit(0)).alias("submission_count"), F.coalesce("fields", F.lit(0)).alias("total_fields"), F.coalesce("submissions", F.lit("")).alias("submissions"))
+    """(pdf_hash, found, submission_count, total_fields, submission_id): a row for each submission of each wanted hash.
+
+    A hash without submissions has one row with a null id; nothing is gathered, however many submissions a hash has.
+    """
+    own = metrics.join(wanted.select("pdf_hash").distinct(), "pdf_hash", "left_semi").select("pdf_hash", "submission_id", "total_fields")
+    sums = own.groupBy("pdf_hash").agg(F.count(F.lit(1)).alias("n"), F.sum("total_fields").alias("fields"))
+    rows = wanted.join(sums, "pdf_hash", "left").join(own.drop("total_fields"), "pdf_hash", "left")
+    return rows.select("pdf_hash", F.col("n").isNotNull().alias("found"), F.coalesce("n", F.lit(0)).alias("submission_count"), F.coalesce("fields", F.lit(0)).alias("total_fields"), "submission_id")
 
 
 def system_rollup(submissions: DataFrame) -> DataFrame:
@@ -107,6 +111,11 @@ def system_rollup(submissions: DataFrame) -> DataFrame:
     return submissions.rollup("category", "sub_category", "document_type").agg(F.count(F.lit(1)).alias("submissions"), F.count_distinct("pdf_hash").alias("hashes"), F.count_distinct("user_id").alias("users"))
 
 
+def vector_counts(vectors: DataFrame) -> DataFrame:
+    """Vectors and distinct names by where the vector came from; a null source counts as unknown."""
+    return vectors.groupBy(F.coalesce("source", F.lit("unknown")).alias("source")).agg(F.count(F.lit(1)).alias("vectors"), F.count_distinct("field_name").alias("names"))
+
+
 def validate_by_type(compared: DataFrame) -> DataFrame:
     """Coverage, accuracy and precision in percent by widget type, and over all as type ALL."""
     percent = lambda a, b: F.when(b == 0, 0.0).otherwise(half_up(100.0 * a / b, 2))
@@ -124,9 +133,17 @@ def mapping_stats(finals: DataFrame, by: str, high: float = 0.8) -> DataFrame:
 
 
 def submission_frequency(submissions: DataFrame) -> DataFrame:
-    """How often the same hash was seen up to each submission, and a composite id; repeats of a hash are duplicates."""
-    seen = F.row_number().over(Window.partitionBy("pdf_hash").orderBy("ts", "submission_id"))
-    rows = submissions.withColumn("frequency", seen)
+    """How often the same hash was seen up to each submission, and a composite id; repeats of a hash are duplicates.
+
+    Submissions are numbered within a hash's months, and the months' counts are summed, so that a hash that very many share is
+    numbered by many tasks.
+    """
+    month = F.date_trunc("month", F.col("ts"))
+    local = submissions.withColumns({"_m": month, "_n": F.row_number().over(Window.partitionBy("pdf_hash", month).orderBy("ts", "submission_id"))})
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("pdf_hash").orderBy("_m").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = submissions.groupBy("pdf_hash", month.alias("_m")).agg(F.count(F.lit(1)).alias("n")).select("pdf_hash", "_m", before.alias("_before"))
+    rows = local.join(starts, (local.pdf_hash == starts.pdf_hash) & local._m.eqNullSafe(starts._m)).drop(starts.pdf_hash).drop(starts._m)
+    rows = rows.withColumn("frequency", (F.col("_n") + F.col("_before")).cast("int")).drop("_m", "_n", "_before")
     return rows.withColumns({"is_duplicate": F.col("frequency") > 1, "composite_id": F.concat_ws("_", F.col("user_id").cast("string"), "pdf_hash", F.col("frequency").cast("string"))})
 
 
@@ -141,8 +158,20 @@ def series_summary(series: DataFrame) -> DataFrame:
     return series.groupBy("level", "identifier").agg(F.count(F.lit(1)).alias("entries"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.sum("total_fields").alias("fields"))
 
 
-def error_breakdown(errors: DataFrame) -> DataFrame:
-    """Counts over single dimensions in one pass: (dimension, value, errors). Null values stand as 'unknown'."""
+def error_breakdown(errors: DataFrame, since: str | None = None, until: str | None = None, categories: list[str] | None = None) -> DataFrame:
+    """Counts over single dimensions in one pass: (dimension, value, errors). Null values stand as 'unknown'.
+
+    at is the error's time as text; rows from ``since`` on and before ``until`` count, and rows whose time can't be read. The days are
+    those of readable times.
+    """
+    at = F.try_to_timestamp("at")
+    rows = errors
+    for limit, inside in ((since, lambda x: at >= x), (until, lambda x: at < x)):
+        if limit is not None:
+            rows = rows.filter(F.coalesce(inside(F.lit(limit).cast("timestamp")), F.lit(True)))
+    if categories is not None:
+        rows = rows.filter(F.col("category").isin(categories))
+    rows = rows.withColumn("day", F.date_format(at, "yyyy-MM-dd"))
     dims = ("category", "path", "doc_path", "day", "error_type", "case_type")
-    sets = errors.select(F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.coalesce(F.col(d).cast("string"), F.lit("unknown")).alias("value")) for d in dims])).alias("e"))
+    sets = rows.select(F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.coalesce(F.col(d).cast("string"), F.lit("unknown")).alias("value")) for d in dims])).alias("e"))
     return sets.groupBy("e.dimension", "e.value").agg(F.count(F.lit(1)).alias("errors"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from formlode.functions.json import flatten_json
+from formlode.functions.rounding import half_up, ratio
 from formlode.functions.text import US, US_ONLY
 
+#: Where a country of registration may stand, in the order of precedence.
 COUNTRY_KEYS = ("address_registered.address_registered_country_id", "address_registered.country", "registered_country", "country_of_registration")
 
 
@@ -63,10 +66,18 @@ def group_copy(values: DataFrame, source: str, target: str) -> DataFrame:
 
 
 def missing_keys(values: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Wanted keys of each user without a value that is neither null nor empty."""
+    """(user_id, key, mandatory, kind, label): wanted keys of each user without a value that is neither null nor empty.
+
+    wanted: a form's keys, with mandatory, type and section. kind is boolean or text; of the keys of a section that a user lacks,
+    the first by name bears the section as its label, the others none.
+    """
     users = values.select("user_id").distinct()
     filled = values.filter(F.coalesce("value", F.lit("")) != "").select("user_id", "key").distinct()
-    return users.crossJoin(F.broadcast(wanted.select("key"))).join(filled, ["user_id", "key"], "left_anti")  # wanted is a form's key list
+    kind = F.when(F.col("type").isin("boolean", "checkbox"), "boolean").otherwise("text")
+    form = wanted.select("key", "mandatory", kind.alias("kind"), "section")
+    lacking = users.crossJoin(F.broadcast(form)).join(filled, ["user_id", "key"], "left_anti")  # wanted is a form's key list
+    first = F.row_number().over(Window.partitionBy("user_id", "mandatory", "section").orderBy("key")) == 1
+    return lacking.select("user_id", "key", "mandatory", "kind", F.when(first, F.col("section")).alias("label"))
 
 
 def accepted(current: DataFrame, answers: DataFrame, schema: DataFrame, errors) -> DataFrame:
@@ -83,9 +94,16 @@ def fill_report(values: DataFrame, schema: DataFrame) -> DataFrame:
     each = sessions.crossJoin(F.broadcast(schema.select("key", "mandatory"))).join(filled, ["user_id", "session_id", "key"], "left")
     have, must = F.col("filled").isNotNull(), F.col("mandatory")
     rate = lambda a, b: F.when(b == 0, 0.0).otherwise(F.floor(100.0 * a / b * 10 + 0.5) / 10.0)
-    lost = F.array_join(F.array_sort(F.collect_set(F.when(~have & must, F.col("key")))), ",")
-    rows = each.groupBy("user_id", "session_id").agg(F.count(F.lit(1)).alias("total"), F.count_if(have).alias("filled"), F.count_if(must).alias("mandatory"), F.count_if(have & must).alias("mandatory_filled"), lost.alias("missing"))
-    return rows.withColumns({"fill_rate": rate(F.col("filled"), F.col("total")), "mandatory_rate": rate(F.col("mandatory_filled"), F.col("mandatory"))})
+    lost = lambda which: F.array_join(F.array_sort(F.collect_set(F.when(~have & which, F.col("key")))), ",")
+    counts = {"total": F.count(F.lit(1)), "filled": F.count_if(have), "mandatory": F.count_if(must), "mandatory_filled": F.count_if(have & must), "optional": F.count_if(~must), "optional_filled": F.count_if(have & ~must)}
+    rows = each.groupBy("user_id", "session_id").agg(*[c.alias(n) for n, c in counts.items()], lost(must).alias("missing"), lost(~must).alias("missing_optional"))
+    rates = {"fill_rate": ("filled", "total"), "mandatory_rate": ("mandatory_filled", "mandatory"), "optional_rate": ("optional_filled", "optional")}
+    return rows.withColumns({n: rate(F.col(a), F.col(b)) for n, (a, b) in rates.items()})
+
+
+def capped(values: Column, most: int = 20) -> Column:
+    """(shown, more) of a sorted list: at most so many values, and how many are left out."""
+    return F.struct(F.slice(values, 1, most).alias("shown"), F.greatest(F.lit(0), F.size(values) - most).alias("more"))
 
 
 def filled_state(kind, value) -> object:
@@ -109,11 +127,39 @@ def fuzzy_resolve(values: DataFrame, column: str, options: list[str], least: flo
     return values.withColumns({"resolved": resolved, "score": F.when(number.isNull(), -best["s"])})
 
 
-def cache_lookup(wanted: DataFrame, registry: DataFrame) -> DataFrame:
-    """Hits bump the use count, misses start at 1, unwanted entries stay; hit tells them apart."""
-    asked = wanted.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n"))
+def cache_lookup(wanted: DataFrame, registry: DataFrame, files: list[str]) -> DataFrame:
+    """(fingerprint, usage_count, last_used, files.., hit): hits bump the use count and the time, misses start at 1.
+
+    Of the files that requests bring the latest that is not null replaces the entry's; what they don't bring stays. Unwanted
+    entries stay as they are, and hit is null for them.
+    """
+    latest = [F.max(F.when(F.col(f).isNotNull(), F.struct("at", f)))[f].alias(f"_{f}") for f in files]
+    asked = wanted.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n"), F.max("at").alias("at"), *latest)
     rows = asked.join(registry, "fingerprint", "full")
-    return rows.select("fingerprint", (F.coalesce("usage_count", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("usage_count"), F.when(F.col("n").isNotNull(), F.col("usage_count").isNotNull()).alias("hit"))
+    uses = (F.coalesce("usage_count", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("usage_count")
+    kept = [F.coalesce(f"_{f}", f).alias(f) for f in files]
+    return rows.select("fingerprint", uses, F.greatest("at", "last_used").alias("last_used"), *kept, F.when(F.col("n").isNotNull(), F.col("usage_count").isNotNull()).alias("hit"))
+
+
+def llm_usage(calls: DataFrame, price_in: float, price_out: float) -> DataFrame:
+    """Calls, tokens, fields and cost of each model, and what a call and a field cost in millionths; prices are for a million tokens."""
+    rows = calls.groupBy("model").agg(F.count(F.lit(1)).alias("calls"), *[F.sum(c).alias(c) for c in ("tokens_in", "tokens_out", "fields")])
+    micros = F.col("tokens_in") * price_in + F.col("tokens_out") * price_out
+    tokens = F.col("tokens_in") + F.col("tokens_out")
+    each = {"tokens_per_call": ratio(tokens, F.col("calls")), "micros_per_call": ratio(micros, F.col("calls")), "micros_per_field": ratio(micros, F.col("fields"))}
+    return rows.withColumns({"cost_usd": half_up(micros / 1000000, 6), **each})
+
+
+def schema_for_type(types: DataFrame, config: DataFrame, column: str, default: str = "default") -> DataFrame:
+    """(entity_type, key): the keys that a JSON configuration has for each type, under dot paths, else those of the default.
+
+    config: one row, an object of objects of any depth.
+    """
+    rows = config.select(F.lit(1).alias("one"), F.explode(F.from_json(column, "map<string,string>")).alias("entity", "form"))
+    keys = flatten_json(rows.select("entity", "form"), "entity", "form").select("entity", F.col("path").alias("key"))
+    known = rows.select(F.col("entity").alias("known"))
+    named = types.join(F.broadcast(known), F.col("entity_type") == F.col("known"), "left")  # a form's configuration
+    return named.select("entity_type", F.coalesce("known", F.lit(default)).alias("entity")).join(F.broadcast(keys), "entity").select("entity_type", "key")
 
 
 def field_labels(values: DataFrame, labels: DataFrame, label) -> DataFrame:

@@ -144,17 +144,17 @@ def global_comparison(spark, sf):
     return me.global_comparison(metrics(spark, sf))
 
 
-@query("compare_submissions", A + "SELECT submission_id, coverage_ensemble, CASE WHEN errors_ensemble > 0 THEN accuracy_ensemble ELSE 1.0::DOUBLE END AS accuracy_ensemble, CASE WHEN errors_ensemble > 0 THEN 1 ELSE 0 END AS revision FROM acc WHERE submission_id % 10 IN (0, 1)")
+@query("compare_submissions", A + "SELECT submission_id, coverage_ensemble, CASE WHEN errors_ensemble > 0 THEN accuracy_ensemble ELSE 1.0::DOUBLE END AS accuracy_ensemble, CASE WHEN errors_ensemble > 0 THEN 1 ELSE 0 END AS revision FROM acc")
 def compare_submissions(spark, sf):
     names = ["submission_id", "coverage_ensemble", "accuracy_ensemble"]
     after = corrected(spark, sf)
     first = after.select("submission_id", "coverage_ensemble", F.lit(1.0).alias("accuracy_ensemble"), F.lit(0).alias("revision"))
     later = after.filter("errors_ensemble > 0").select(*names, F.lit(1).alias("revision"))
-    chosen = first.unionByName(later).filter("submission_id % 10 IN (0, 1)")
+    chosen = first.unionByName(later)
     return me.latest(chosen).select(*names, "revision")
 
 
-@query("hash_history", M + "SELECT w.pdf_hash, m.n IS NOT NULL AS found, coalesce(m.n, 0) AS submission_count, coalesce(m.f, 0) AS total_fields, coalesce(m.s, '') AS submissions FROM (SELECT 'h' || (range * 5) AS pdf_hash FROM range(25)) w LEFT JOIN (SELECT pdf_hash, count(*) AS n, CAST(sum(total_fields) AS BIGINT) AS f, array_to_string(list_sort(list(submission_id)), ',') AS s FROM met GROUP BY ALL) m USING (pdf_hash)")
+@query("hash_history", M + "SELECT w.pdf_hash, m.n IS NOT NULL AS found, coalesce(m.n, 0) AS submission_count, coalesce(m.f, 0) AS total_fields, met.submission_id FROM (SELECT 'h' || (range * 5) AS pdf_hash FROM range(25)) w LEFT JOIN (SELECT pdf_hash, count(*) AS n, CAST(sum(total_fields) AS BIGINT) AS f FROM met GROUP BY ALL) m USING (pdf_hash) LEFT JOIN met ON met.pdf_hash = w.pdf_hash")
 def hash_history(spark, sf):
     return me.hash_history(metrics(spark, sf), spark.range(25).select(F.concat(F.lit("h"), F.col("id") * 5).alias("pdf_hash")))
 
@@ -171,22 +171,28 @@ def system_rollup(spark, sf):
     return me.system_rollup(one_each(spark, sf))
 
 
+@query("vector_counts", "SELECT source, count(*) AS vectors, count(DISTINCT field_name) AS names FROM (SELECT CASE vec_id % 3 WHEN 0 THEN 'initial' WHEN 1 THEN 'learned' ELSE 'unknown' END AS source, label AS field_name FROM embeddings) GROUP BY ALL")
+def vector_counts(spark, sf):
+    source = F.when(F.col("vec_id") % 3 == 0, "initial").when(F.col("vec_id") % 3 == 1, "learned").alias("source")
+    return me.vector_counts(table(spark, sf, "embeddings").select(source, F.col("label").alias("field_name")))
+
+
 @query("submission_frequency", f"WITH {SUB}, {_ONE}, f AS (SELECT submission_id, pdf_hash, user_id, CAST(row_number() OVER (PARTITION BY pdf_hash ORDER BY ts, submission_id) AS INTEGER) AS frequency FROM one) SELECT submission_id, frequency, frequency > 1 AS is_duplicate, user_id || '_' || pdf_hash || '_' || frequency AS composite_id FROM f")
 def submission_frequency(spark, sf):
     return me.submission_frequency(one_each(spark, sf)).select("submission_id", "frequency", "is_duplicate", "composite_id")
 
 
-_E = f"WITH {SUB}, {ENS}, {_FB}, e AS (SELECT category, category || '/' || sub_category AS path, category || '/' || sub_category || '/' || document_type AS doc_path, strftime(fin.ts, '%Y-%m-%d') AS day, error_type, case_type FROM fb JOIN fin ON fb.submission_id = fin.submission_id AND fb.error_id = fin.submission_id * 10 + fin.field_id WHERE fin.ts >= TIMESTAMP '1994-01-01' AND fin.ts < TIMESTAMP '1997-01-01') "
+_E = f"WITH {SUB}, {ENS}, {_FB}, e AS (SELECT category, category || '/' || sub_category AS path, category || '/' || sub_category || '/' || document_type AS doc_path, CASE WHEN fin.submission_id % 7 <> 0 THEN strftime(fin.ts, '%Y-%m-%d') END AS day, error_type, case_type FROM fb JOIN fin ON fb.submission_id = fin.submission_id AND fb.error_id = fin.submission_id * 10 + fin.field_id WHERE (fin.submission_id % 7 = 0 OR fin.ts >= TIMESTAMP '1994-01-01' AND fin.ts < TIMESTAMP '1997-01-01') AND category IN ('ASIA', 'EUROPE')) "
 
 
 @query("error_breakdown", _E + " UNION ALL ".join(f"SELECT '{d}' AS dimension, coalesce({d}, 'unknown') AS value, count(*) AS errors FROM e GROUP BY ALL" for d in ("category", "path", "doc_path", "day", "error_type", "case_type")))
 def error_breakdown(spark, sf):
     rows = finals(spark, sf)
     named = rows.withColumn("error_id", F.col("submission_id") * 10 + F.col("field_id")).drop("ts")
-    joined = feedback(rows).join(named, ["submission_id", "error_id"]).filter("ts >= TIMESTAMP '1994-01-01' AND ts < TIMESTAMP '1997-01-01'")
-    return me.error_breakdown(
-        joined.withColumns({"path": F.concat_ws("/", "category", "sub_category"), "doc_path": F.concat_ws("/", "category", "sub_category", "document_type"), "day": F.date_format("ts", "yyyy-MM-dd")})
-    )
+    joined = feedback(rows).join(named, ["submission_id", "error_id"])
+    at = F.when(F.col("submission_id") % 7 == 0, "not known").otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+    paths = {"at": at, "path": F.concat_ws("/", "category", "sub_category"), "doc_path": F.concat_ws("/", "category", "sub_category", "document_type")}
+    return me.error_breakdown(joined.withColumns(paths), "1994-01-01", "1997-01-01", ["ASIA", "EUROPE"])
 
 
 @query("truth_compare", W + "SELECT submission_id, field_id, truth, selected_field_name AS embedded, CASE WHEN selected_field_name IS NULL THEN 'unmapped' WHEN selected_field_name = truth THEN 'match' ELSE 'mismatch' END AS outcome FROM (SELECT *, 'f' || (submission_id % 3) AS truth FROM fin) WHERE submission_id % 11 <> 0")
@@ -219,9 +225,17 @@ def column_key_dedupe(spark, sf):
     return en.column_key_dedupe(cells).drop("table_id")
 
 
-@query("vector_actions", W + "SELECT submission_id, field_id, case_type, CASE WHEN case_type IN ('A', 'D') OR (case_type = 'B' AND selected_from = 'rag') THEN 'boost' WHEN case_type = 'C' OR case_type = 'B' THEN 'create' ELSE 'none' END AS action FROM fin")
+_ACT = "act AS (SELECT *, CASE WHEN case_type IN ('A', 'D') OR (case_type = 'B' AND selected_from = 'rag') THEN 'boost' WHEN case_type = 'C' OR case_type = 'B' THEN 'create' ELSE 'none' END AS action FROM fin) "
+
+
+@query("vector_actions", f"WITH {SUB}, {ENS}, {_ACT} SELECT submission_id, field_id, case_type, action, CASE WHEN action = 'create' THEN selected_field_name END AS new_name, CASE WHEN action = 'create' THEN 0.75::DOUBLE END AS confidence, CASE WHEN action = 'create' THEN 1 END AS positive_count FROM act")
 def vector_actions(spark, sf):
-    return en.vector_actions(finals(spark, sf)).select("submission_id", "field_id", "case_type", "action")
+    return en.vector_actions(finals(spark, sf)).select("submission_id", "field_id", "case_type", "action", "new_name", "confidence", "positive_count")
+
+
+@query("vector_action_summary", f"WITH {SUB}, {ENS}, {_ACT} SELECT case_type, action, count(*) AS n FROM act GROUP BY ALL")
+def vector_action_summary(spark, sf):
+    return en.action_summary(en.vector_actions(finals(spark, sf)))
 
 
 @query("route_errors", f"WITH {SUB}, {ENS}, {_FB}, first AS (SELECT *, row_number() OVER (PARTITION BY submission_id, selected_field_name ORDER BY field_id) AS n FROM fin WHERE selected_field_name IS NOT NULL) SELECT error_id, fb.submission_id, fb.field_name, field_id, case_type, CASE WHEN case_type IN ('A', 'D') OR (case_type = 'B' AND selected_from = 'rag') THEN 'vec_' || rag_name || '_' || (field_id % 4) WHEN case_type IN ('B', 'C') THEN 'vec_' || fb.field_name || '_0' END AS vector_id FROM fb JOIN first ON fb.submission_id = first.submission_id AND fb.field_name = first.selected_field_name AND n = 1")

@@ -75,14 +75,25 @@ def header_filldown(spark, sf):
     return la.header_filldown(headings(spark, sf)).select("doc_id", "line_no", "h1_line", "h2_line", "h3_line")
 
 
-@query("whitespace", _ELT + ", s AS (SELECT doc_id, line_no, coalesce(top - (lag(top) OVER w + 14), 0)::DOUBLE AS space_above, coalesce(lead(top) OVER w - (top + 14), 0)::DOUBLE AS space_below FROM elt WHERE line_no % 3 <> 1 WINDOW w AS (PARTITION BY doc_id, page ORDER BY top, line_no)) SELECT *, space_above > 7 AND space_below > 7 AS is_isolated FROM s")
+_MOVED = "(line_no % 40) * 18 + 12 * (((line_no % 40) * 3) // 5)"
+
+
+@query("whitespace", _ELT + f", m AS (SELECT doc_id, page, line_no, {_MOVED} AS top FROM elt), s AS (SELECT doc_id, line_no, coalesce(top - (lag(top) OVER w + 14), 0)::DOUBLE AS space_above, coalesce(lead(top) OVER w - (top + 14), 0)::DOUBLE AS space_below FROM m WINDOW w AS (PARTITION BY doc_id, page ORDER BY top, line_no)) SELECT *, space_above > 7 AND space_below > 7 AS is_isolated FROM s")
 def whitespace(spark, sf):
-    return la.whitespace(elements(spark, sf).filter("line_no % 3 <> 1"), 14.0).select("doc_id", "line_no", "space_above", "space_below", "is_isolated")
+    spread = F.col("top") + 12 * F.floor((F.col("line_no") % 40) * 3 / 5)
+    return la.whitespace(elements(spark, sf).withColumn("top", spread), 14.0).select("doc_id", "line_no", "space_above", "space_below", "is_isolated")
+
+
+#: Marks put before lines, and what they are.
+_MARKS = [("1. ", "numeric", 1), ("2) ", "numeric", 2), ("3. ", "numeric", 3), ("5. ", "numeric", 5), ("a. ", "lower_alpha", 0), ("b) ", "lower_alpha", 1), ("B. ", "upper_alpha", 1), ("C. ", "upper_alpha", 2), ("ii. ", "roman", 2), ("iii) ", "roman", 3), ("iv. ", "roman", 4), ("XIV. ", "roman", 14), ("• ", "symbol", None), ("- ", "symbol", None), ("", None, None)]
+_MARKED = ", mk(i, mark, kind, value) AS (VALUES " + ", ".join(f"({i}, '{m}', {f'{k!r}' if k else 'NULL'}, {'NULL' if v is None else v})" for i, (m, k, v) in enumerate(_MARKS)) + ")"
 
 
-@query("list_chains", _NUM + ", i AS (SELECT doc_id, page, line_no, TRY_CAST(regexp_extract(text, '^([0-9]+)\\. ', 1) AS INTEGER) AS value FROM elt), j AS (SELECT *, CASE WHEN lag(value) OVER w = value - 1 AND lag(line_no) OVER w = line_no - 1 THEN 0 ELSE 1 END AS fresh FROM i WHERE value IS NOT NULL WINDOW w AS (PARTITION BY doc_id, page ORDER BY line_no)) SELECT doc_id, line_no, value, CAST(sum(fresh) OVER (PARTITION BY doc_id, page ORDER BY line_no) AS BIGINT) AS chain FROM j")
+@query("list_chains", _ELT + _MARKED + f", i AS (SELECT doc_id, page, line_no, mk.kind, CAST(mk.value AS INTEGER) AS value FROM elt JOIN mk ON mk.i = line_no % {len(_MARKS)} WHERE mk.kind IS NOT NULL AND length(text) > 0), j AS (SELECT *, CASE WHEN lag(kind) OVER w = kind AND (value IS NULL OR lag(value) OVER w = value - 1) AND lag(line_no) OVER w = line_no - 1 THEN 0 ELSE 1 END AS fresh FROM i WINDOW w AS (PARTITION BY doc_id, page ORDER BY line_no)) SELECT doc_id, line_no, kind, value, CAST(sum(fresh) OVER (PARTITION BY doc_id, page ORDER BY line_no) AS BIGINT) AS chain FROM j")
 def list_chains(spark, sf):
-    return la.list_chains(numbered(spark, sf)).select("doc_id", "line_no", "value", "chain")
+    mark = F.element_at(F.array(*[F.lit(m) for m, _, _ in _MARKS]), (F.col("line_no") % len(_MARKS) + 1).cast("int"))
+    lines = elements(spark, sf).withColumn("text", F.concat(mark, F.trim(F.regexp_replace("text", "[^A-Za-z ]", "x"))))
+    return la.list_chains(lines).select("doc_id", "line_no", "kind", "value", "chain")
 
 
 @query("nearest_flagged", _ELT + "SELECT doc_id, line_no, max(CASE WHEN bold THEN line_no END) OVER (PARTITION BY doc_id ORDER BY line_no) AS before, min(CASE WHEN bold THEN line_no END) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS after FROM elt")
@@ -116,18 +127,21 @@ def repeated_lines(spark, sf):
     return la.repeated_lines(elements(spark, sf))
 
 
-@query("heading_refine", _ELT + _STAT + _VOTE + _REP + f", x AS (SELECT hd.doc_id, line_no, CASE WHEN zone IS NOT NULL THEN 'normal' ELSE level END AS refined, suggested FROM hd LEFT JOIN rp ON rp.doc_id = hd.doc_id AND rp.line = {_NORM.format('text')} LEFT JOIN vs ON vs.doc_id = hd.doc_id AND vs.size = hd.size) SELECT doc_id, line_no, refined, CASE WHEN suggested <> refined THEN 0.8::DOUBLE ELSE 1.0::DOUBLE END AS confidence FROM x")
-def heading_refine(spark, sf):
-    rows = headings(spark, sf)
-    return la.heading_refine(rows, la.repeated_lines(rows), la.style_votes(rows)).select("doc_id", "line_no", "refined", "confidence")
+_DUE = "CASE WHEN regexp_matches(trim(text), '^[0-9]+\\.[0-9]+\\.[0-9]+') THEN 'h3' WHEN regexp_matches(trim(text), '^[0-9]+\\.[0-9]+') THEN 'h2' WHEN regexp_matches(trim(text), '^[0-9]+\\.') THEN 'h1' END"
 
 
-@query("heading_audit", _NUM + _STAT + ", p AS (SELECT doc_id, page, count(*) FILTER (level = 'h1') AS h1, count(*) FILTER (level = 'h2') AS h2, count(*) FILTER (level = 'h3') AS h3, count(*) FILTER (level IN ('h1', 'h3') AND regexp_matches(trim(text), '^[0-9]+\\.[0-9]+') AND NOT regexp_matches(trim(text), '^[0-9]+\\.[0-9]+\\.[0-9]+')) AS odd FROM hd GROUP BY ALL) SELECT doc_id, count(*) AS pages, CAST(sum(h1) AS BIGINT) AS h1, CAST(sum(h2) AS BIGINT) AS h2, CAST(sum(h3) AS BIGINT) AS h3, count(*) FILTER (h3 > 0 AND h1 = 0 AND h2 = 0) AS orphan_pages, CAST(sum(odd) AS BIGINT) AS mismatches FROM p GROUP BY ALL")
+@query("heading_audit", _NUM + _STAT + f", p AS (SELECT doc_id, page, count(*) FILTER (level = 'h1') AS h1, count(*) FILTER (level = 'h2') AS h2, count(*) FILTER (level = 'h3') AS h3, count(*) FILTER (level <> 'normal' AND {_DUE} <> level) AS odd, min(line_no) FILTER (level <> 'normal') AS a, max(line_no) FILTER (level <> 'normal') AS b FROM hd GROUP BY ALL) SELECT doc_id, count(*) AS pages, CAST(sum(h1) AS BIGINT) AS h1, CAST(sum(h2) AS BIGINT) AS h2, CAST(sum(h3) AS BIGINT) AS h3, count(*) FILTER (h3 > 0 AND h1 = 0 AND h2 = 0) AS orphan_pages, CAST(sum(odd) AS BIGINT) AS mismatches, min(a) AS first_line, max(b) AS last_line FROM p GROUP BY ALL")
 def heading_audit(spark, sf):
     rows = numbered(spark, sf)
     return la.heading_audit(la.heading_base(rows))
 
 
+@query("heading_refine", _NUM + _STAT + _VOTE + _REP + f", x AS (SELECT hd.doc_id, line_no, CASE WHEN zone IS NOT NULL THEN 'normal' ELSE level END AS refined, suggested, {_DUE} AS due FROM hd LEFT JOIN rp ON rp.doc_id = hd.doc_id AND rp.line = {_NORM.format('text')} LEFT JOIN vs ON vs.doc_id = hd.doc_id AND vs.size = hd.size), y AS (SELECT *, coalesce(suggested <> refined, false) AS s, coalesce(refined <> 'normal' AND due <> refined, false) AS d FROM x) SELECT doc_id, line_no, refined, CASE WHEN s THEN suggested WHEN d THEN due END AS suggestion, CASE WHEN s AND d THEN 0.64::DOUBLE WHEN s OR d THEN 0.8::DOUBLE ELSE 1.0::DOUBLE END AS confidence FROM y")
+def heading_refine(spark, sf):
+    rows = la.heading_base(numbered(spark, sf))
+    return la.heading_refine(rows, la.repeated_lines(rows), la.style_votes(rows)).select("doc_id", "line_no", "refined", "suggestion", "confidence")
+
+
 @query("page_metadata", _ELT + "SELECT doc_id, page, coalesce(min(line_no) FILTER (bold), -1) AS first_line, coalesce(max(line_no) FILTER (bold), -1) AS last_line, count(*) FILTER (bold) AS lines FROM elt GROUP BY ALL")
 def page_metadata(spark, sf):
     rows = elements(spark, sf)
@@ -151,7 +165,7 @@ def reading_order(spark, sf):
     return elements(spark, sf).groupBy("doc_id", "page").agg(F.array_join(ordered, ",").alias("lines"))
 
 
-@query("page_chunks", _ELT + ", c AS (SELECT *, unnest(range(greatest(0, CAST(floor((page - 3) / 2.0::DOUBLE) AS BIGINT) + 1), CAST(page // 2 AS BIGINT) + 1)) AS chunk FROM elt) SELECT doc_id, chunk, count(*) AS lines, CAST(sum(len(list_filter(string_split(text, ' '), lambda w: w <> ''))) AS BIGINT) AS words, min(line_no) AS first_line, max(line_no) AS last_line FROM c GROUP BY ALL")
+@query("page_chunks", _ELT + ", c AS (SELECT *, unnest(range(greatest(0, CAST(floor((page - 3) / 2.0::DOUBLE) AS BIGINT) + 1), CAST(page // 2 AS BIGINT) + 1)) AS chunk FROM elt) SELECT doc_id, chunk, count(*) AS lines, CAST(sum(len(list_filter(string_split(text, ' '), lambda w: w <> ''))) AS BIGINT) AS words, min(line_no) AS first_line, max(line_no) AS last_line, count(*) FILTER (bold) AS fields, string_agg(text, chr(10) ORDER BY line_no) AS text FROM c GROUP BY ALL")
 def page_chunks(spark, sf):
     return la.page_chunks(elements(spark, sf), 3, 1)
 
@@ -173,7 +187,10 @@ def chunk_merge(spark, sf):
 
 
 _THIRD = "CASE WHEN top / 720::DOUBLE < 0.33::DOUBLE THEN 'top' WHEN top / 720::DOUBLE < 0.67::DOUBLE THEN 'middle' ELSE 'bottom' END"
-_FP = f", b AS (SELECT doc_id, page, line_no, {_NORM.format('text')} AS line, {_THIRD} AS zone FROM elt), fp AS (SELECT doc_id, sha256(concat_ws('|', max(page), count(*), sum(length(line)), count(*) FILTER (zone = 'top'), count(*) FILTER (zone = 'middle'), count(*) FILTER (zone = 'bottom'), arg_min(line, line_no), arg_max(line, line_no))) AS fingerprint FROM b GROUP BY ALL) "
+_FP = f""", b AS (SELECT doc_id, page, line_no, top, {_NORM.format('text')} AS line, {_THIRD} AS zone FROM elt),
+  pg AS (SELECT doc_id, page, count(*) AS n, sum(length(line)) AS chars, min(top) AS low, max(top) AS high, list(line ORDER BY line_no) AS o, count(*) FILTER (zone = 'top') AS t, count(*) FILTER (zone = 'middle') AS m, count(*) FILTER (zone = 'bottom') AS u FROM b GROUP BY ALL),
+  pl AS (SELECT *, max(page) OVER (PARTITION BY doc_id) AS last FROM pg),
+  fp AS (SELECT doc_id, sha256(concat_ws('|', max(last), sum(n), sum(chars), sum(t), sum(m), sum(u), coalesce(sum(chars) FILTER (page < 2), 0), string_agg(concat_ws(',', n, low, high), '|' ORDER BY page), string_agg(concat_ws('~', o[1], o[n // 2 + 1], o[n]), '|' ORDER BY page) FILTER (page = 0 OR page = last OR page IN (last // 4, last * 2 // 4, last * 3 // 4)))) AS fingerprint FROM pl GROUP BY doc_id) """
 
 
 def fingerprints(spark, sf):
@@ -211,9 +228,10 @@ def widgets(spark, sf):
 _WID = ", wid AS (SELECT doc_id, page, line_no AS widget_id, (top + 7)::DOUBLE AS top, (top + 19)::DOUBLE AS bottom, (100 + length(text) % 300)::DOUBLE AS l FROM elt WHERE line_no % 5 = 2) "
 
 
-@query("nearest_line", _ELT + _WID + ", d AS (SELECT w.doc_id, w.page, widget_id, e.line_no, row_number() OVER (PARTITION BY w.doc_id, widget_id ORDER BY abs(w.bottom - (e.top + 14)), e.line_no) AS n FROM wid w JOIN elt e ON e.doc_id = w.doc_id AND e.page = w.page AND abs(w.bottom - (e.top + 14)) <= 10) SELECT w.doc_id, w.page, w.widget_id, d.line_no FROM wid w LEFT JOIN d ON d.doc_id = w.doc_id AND d.widget_id = w.widget_id AND d.n = 1")
+@query("nearest_line", _ELT + _WID + f", f AS (SELECT w.doc_id, w.page, widget_id, bottom + CASE WHEN widget_id % 10 = 2 THEN 900 ELSE 0 END AS bottom FROM wid w), d AS (SELECT w.doc_id, widget_id, e.line_no, row_number() OVER (PARTITION BY w.doc_id, widget_id ORDER BY abs(w.bottom - (e.top + 14)), e.line_no) AS n FROM f w JOIN elt e ON e.doc_id = w.doc_id AND e.page = w.page AND abs(w.bottom - (e.top + 14)) <= 10), j AS (SELECT w.*, d.line_no, (SELECT max(line_no) FROM elt WHERE elt.doc_id = w.doc_id) AS last FROM f w LEFT JOIN d ON d.doc_id = w.doc_id AND d.widget_id = w.widget_id AND d.n = 1) SELECT doc_id, page, widget_id, CAST(coalesce(line_no, last + row_number() OVER (PARTITION BY doc_id, line_no IS NULL ORDER BY page, bottom, widget_id)) AS INTEGER) AS line_no, line_no IS NULL AS is_new FROM j")
 def nearest_line(spark, sf):
-    return la.nearest_line(widgets(spark, sf), elements(spark, sf).withColumn("bottom", (F.col("top") + 14).cast("double")))
+    moved = F.col("bottom") + F.when(F.col("widget_id") % 10 == 2, 900).otherwise(0)  # beyond every line
+    return la.nearest_line(widgets(spark, sf).withColumn("bottom", moved), elements(spark, sf).withColumn("bottom", (F.col("top") + 14).cast("double")))
 
 
 @query("label_proximity", _ELT + _WID + "SELECT w.doc_id, w.page, widget_id, e.line_no AS text_id FROM wid w JOIN elt e ON e.doc_id = w.doc_id AND e.page = w.page AND abs(w.top - e.top) < 15 AND w.l >= 20 AND w.l - (20 + length(e.text)) < 200")
@@ -254,19 +272,19 @@ def widget_names(spark, sf):
     return la.widget_names(widgets_, fields, keys)
 
 
-@query("cell_locate", _ELT + ", w AS (SELECT doc_id, page, line_no AS widget_id, 30 + (length(text) % 50) * 10 AS cx, top + 9.5::DOUBLE AS cy FROM elt WHERE line_no % 5 = 2), c AS (SELECT range % 3 AS col, range // 3 AS row FROM range(9)), b AS (SELECT *, col * 100 AS x, row * 200 AS y, row_number() OVER (PARTITION BY doc_id, widget_id ORDER BY CASE WHEN cx BETWEEN col * 100 AND col * 100 + 90 AND cy BETWEEN row * 200 AND row * 200 + 190 THEN -1 ELSE (cx - (col * 100 + 45)) ** 2 + (cy - (row * 200 + 95)) ** 2 END, row, col) AS n FROM w, c) SELECT doc_id, page, widget_id, CAST(row AS BIGINT) AS row, CAST(col AS BIGINT) AS col FROM b WHERE n = 1")
+@query("cell_locate", _ELT + ", w AS (SELECT doc_id, page, line_no AS widget_id, 30 + (length(text) % 50) * 10 AS cx, top + 9.5::DOUBLE AS cy FROM elt WHERE line_no % 5 = 2), c AS (SELECT range % 3 AS col, range // 3 AS row FROM range(9)), b AS (SELECT *, col * 100 AS x, row * 200 AS y, row_number() OVER (PARTITION BY doc_id, widget_id ORDER BY CASE WHEN cx BETWEEN col * 100 AND col * 100 + 90 AND cy BETWEEN row * 200 AND row * 200 + 190 THEN -1 ELSE (cx - (col * 100 + 45)) ** 2 + (cy - (row * 200 + 95)) ** 2 END, row, col) AS n FROM w, c WHERE page % 3 <> 1) SELECT doc_id, page, widget_id, CAST(row AS BIGINT) AS row, CAST(col AS BIGINT) AS col FROM b WHERE n = 1 UNION ALL SELECT doc_id, page, widget_id, CAST(greatest(0, least(2, floor((cy - 100.0::DOUBLE) / 500.0::DOUBLE * 3))) AS BIGINT), CAST(greatest(0, least(2, floor((cx - 50.0::DOUBLE) / 240.0::DOUBLE * 3))) AS BIGINT) FROM w WHERE page % 3 = 1")
 def cell_locate(spark, sf):
     rows = elements(spark, sf)
     cx = 30.0 + (F.length("text") % 50) * 10
     widgets_ = rows.filter("line_no % 5 = 2").select("doc_id", "page", F.col("line_no").alias("widget_id"), (cx - 5).alias("x"), (cx + 5).alias("x2"), F.col("top").alias("y"), (F.col("top") + 19).alias("y2"))
-    grid = rows.select("doc_id", "page").distinct().withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(8)))).select("doc_id", "page", F.floor(F.col("i") / 3).alias("row"), (F.col("i") % 3).cast("long").alias("col"))
+    grid = rows.filter("page % 3 <> 1").select("doc_id", "page").distinct().withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(8)))).select("doc_id", "page", F.floor(F.col("i") / 3).alias("row"), (F.col("i") % 3).cast("long").alias("col"))
     cells = grid.select("doc_id", "page", "row", "col", (F.col("col") * 100.0).alias("x"), (F.col("col") * 100.0 + 90).alias("x2"), (F.col("row") * 200.0).alias("y"), (F.col("row") * 200.0 + 190).alias("y2"))
-    return la.cell_locate(widgets_, cells)
+    return la.cell_locate(widgets_, cells, (50.0, 100.0, 290.0, 600.0), (3, 3))
 
 
-@query("line_rebuild", _ELT + ", w AS (SELECT doc_id, line_no, unnest(string_split(text, ' ')) AS word, generate_subscripts(string_split(text, ' '), 1) AS i FROM elt WHERE line_no % 10 = 0), x AS (SELECT *, 70 + i * 21 AS x, coalesce(lag(70 + i * 21 + length(word)) OVER (PARTITION BY doc_id, line_no ORDER BY i), 70) AS b FROM w) SELECT doc_id, line_no, string_agg(repeat(' ', CAST(greatest((x - b) // 7, 0) AS BIGINT)) || regexp_replace(word, '[_.]{3,}', ' ', 'g'), '' ORDER BY i) AS line FROM x GROUP BY ALL")
+@query("line_rebuild", _ELT + ", w AS (SELECT doc_id, line_no, unnest(string_split(text, ' ')) AS word, generate_subscripts(string_split(text, ' '), 1) AS i FROM elt), x AS (SELECT *, 70 + i * 21 AS x, coalesce(lag(70 + i * 21 + length(word)) OVER (PARTITION BY doc_id, line_no ORDER BY i), 70) AS b FROM w) SELECT doc_id, line_no, string_agg(repeat(' ', CAST(greatest((x - b) // 7, 0) AS BIGINT)) || regexp_replace(word, '[_.]{3,}', ' ', 'g'), '' ORDER BY i) AS line FROM x GROUP BY ALL")
 def line_rebuild(spark, sf):
-    words = elements(spark, sf).filter("line_no % 10 = 0").select("doc_id", "line_no", F.posexplode(F.split("text", " ")).alias("p", "word"))
+    words = elements(spark, sf).select("doc_id", "line_no", F.posexplode(F.split("text", " ")).alias("p", "word"))
     x = 70 + (F.col("p") + 1) * 21
     return la.line_rebuild(words.select("doc_id", "line_no", F.col("p").alias("word_no"), "word", x.alias("x"), (x + F.length("word")).alias("x2")))
 

@@ -59,16 +59,20 @@ def correct_names(spark, sf):
     return table(spark, sf, "part").select("p_partkey", tx.snake(F.col("p_name")).alias("name"), F.lit(0.6).alias("confidence"))
 
 
-@query("flatten_json", "SELECT event_id, 'a.k' AS path, json_extract_string(props, '$.k') AS value FROM events UNION ALL SELECT event_id, 'b' AS path, event_type AS value FROM events UNION ALL SELECT event_id, 'c.d.e' AS path, '[1,2]' AS value FROM events")
+@query("flatten_json", "SELECT event_id, 'a.k' AS path, json_extract_string(props, '$.k') AS value FROM events UNION ALL SELECT event_id, 'b' AS path, event_type AS value FROM events UNION ALL SELECT event_id, 'c.d.e' AS path, '[1,2]' AS value FROM events UNION ALL SELECT event_id, 'c.g.h.i.j.k' AS path, event_type AS value FROM events")
 def flatten_json(spark, sf):
-    nested = F.concat(F.lit('{"a":'), "props", F.lit(',"b":"'), "event_type", F.lit('","c":{"d":{"e":[1,2],"f":{}}}}'))
+    deep = F.concat(F.lit('"g":{"h":{"i":{"j":{"k":"'), "event_type", F.lit('"}}}}}}'))
+    nested = F.concat(F.lit('{"a":'), "props", F.lit(',"b":"'), "event_type", F.lit('","c":{"d":{"e":[1,2],"f":{}},'), deep)
     return js.flatten_json(table(spark, sf, "events").select("event_id", nested.alias("t")), "event_id", "t")
 
 
-@query("unflatten_json", "SELECT user_id, count(*) AS n FROM (SELECT DISTINCT user_id FROM events) GROUP BY ALL")
+@query("unflatten_json", """WITH r AS (SELECT user_id, event_type, max(props) AS value FROM events GROUP BY ALL), i AS (SELECT user_id, '{' || string_agg(to_json(event_type) || ':' || to_json(value), ',' ORDER BY event_type) || '}' AS j FROM r GROUP BY ALL)
+    SELECT user_id, '{"name":"u' || user_id || '","section_' || (user_id % 3) || '":{"part":' || j || '}}' AS json FROM i""")
 def unflatten_json(spark, sf):
-    rows = table(spark, sf, "events").groupBy("user_id", F.concat(F.lit("section_"), F.col("user_id") % 3, F.lit("."), "event_type").alias("path")).agg(F.max("props").alias("value"))
-    return js.unflatten_json(rows, "user_id").groupBy("user_id").agg(F.count("json").alias("n"))
+    path = F.concat(F.lit("section_"), F.col("user_id") % 3, F.lit(".part."), "event_type").alias("path")
+    rows = table(spark, sf, "events").groupBy("user_id", path).agg(F.max("props").alias("value"))
+    names = rows.select("user_id", F.lit("name").alias("path"), F.concat(F.lit("u"), "user_id").alias("value")).distinct()
+    return js.unflatten_json(rows.unionByName(names), "user_id")
 
 
 @query("parse_replies", "SELECT event_id, CASE WHEN event_id % 9 = 0 THEN NULL ELSE 'f1' END AS field_id, CASE WHEN event_id % 9 = 0 OR event_id % 4 = 0 THEN NULL ELSE event_type END AS name, CASE WHEN event_id % 9 = 0 THEN NULL WHEN event_id % 5 = 0 THEN 0.0::DOUBLE WHEN event_id % 5 = 1 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS confidence, event_id % 9 = 0 AS bad FROM events")
@@ -145,11 +149,11 @@ def choice_answers(spark, sf):
     return replies(spark, sf).select("event_id", F.array_join(tx.chosen_options(F.col("reply"), 4), ",").alias("chosen"))
 
 
-@query("batch_estimate", "WITH e AS (SELECT lang, greatest(1, n_chars // 4) AS tokens, greatest(1, CAST(ceil(ceil(n_chars / 2000.0::DOUBLE) / 5.0::DOUBLE) AS BIGINT)) AS chunks FROM documents) SELECT lang, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(sum(chunks) AS BIGINT) AS chunks, CAST(sum(greatest(1, CAST(ceil(chunks / 4.0::DOUBLE) AS BIGINT))) AS BIGINT) AS cycles FROM e GROUP BY ALL")
+@query("batch_estimate", "WITH e AS (SELECT lang, greatest(1, n_chars // 4) AS tokens, greatest(1, CAST(ceil(ceil(n_chars / 2000.0::DOUBLE) / 5.0::DOUBLE) AS BIGINT)) AS chunks FROM documents) SELECT lang, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(sum(chunks) AS BIGINT) AS chunks, CAST(sum(greatest(1, CAST(ceil(chunks / 4.0::DOUBLE) AS BIGINT))) AS BIGINT) AS cycles, CAST(sum(greatest(1, CAST(ceil(1.3::DOUBLE * greatest(1, CAST(ceil(chunks / 4.0::DOUBLE) AS BIGINT)) * 44.0::DOUBLE) AS BIGINT))) AS BIGINT) AS seconds FROM e GROUP BY ALL")
 def batch_estimate(spark, sf):
     up = lambda a, b: F.greatest(F.lit(1), F.ceil(a / F.lit(float(b))))
     e = table(spark, sf, "documents").select("lang", F.greatest(F.lit(1), F.floor(F.col("n_chars") / 4)).alias("tokens"), up(F.ceil(F.col("n_chars") / 2000.0), 5).alias("chunks"))
-    return e.groupBy("lang").agg(F.sum("tokens").alias("tokens"), F.sum("chunks").alias("chunks"), F.sum(up(F.col("chunks"), 4)).alias("cycles"))
+    return e.groupBy("lang").agg(F.sum("tokens").alias("tokens"), F.sum("chunks").alias("chunks"), F.sum(up(F.col("chunks"), 4)).alias("cycles"), F.sum(up(1.3 * up(F.col("chunks"), 4) * 44.0, 1)).alias("seconds"))
 
 
 @query("entity_flags", "SELECT c_custkey, lower(c_mktsegment) || '_check' AS key, c_mktsegment <> 'MACHINERY' AS value FROM customer WHERE c_mktsegment <> 'MACHINERY'")
@@ -170,10 +174,10 @@ def address_groups(spark, sf):
     return n_rows(rows.filter("grp IS NOT NULL"), "grp", "part")
 
 
-@query("exact_dups", "SELECT sha256(text) AS digest, count(*) AS n, min(doc_id) AS first_id FROM documents WHERE text IS NOT NULL GROUP BY ALL HAVING count(*) > 1")
+@query("exact_dups", "SELECT sha256(text) AS digest, md5(text) AS md5, sha1(text) AS sha1, count(*) AS n, min(doc_id) AS first_id FROM documents WHERE text IS NOT NULL GROUP BY ALL HAVING count(*) > 1")
 def exact_dups(spark, sf):
-    rows = table(spark, sf, "documents").filter("text IS NOT NULL").select("doc_id", F.sha2("text", 256).alias("digest"))
-    return rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id")).filter("n > 1")
+    rows = table(spark, sf, "documents").filter("text IS NOT NULL").select("doc_id", F.sha2("text", 256).alias("digest"), F.md5("text").alias("md5"), F.sha1("text").alias("sha1"))
+    return rows.groupBy("digest", "md5", "sha1").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id")).filter("n > 1")
 
 
 @query("widget_types", "SELECT CASE WHEN p_size % 2 = 0 THEN CASE WHEN (p_size * 16) & 128 > 0 THEN 'combo' ELSE 'list' END ELSE CASE WHEN (p_size * 16) & 256 > 0 THEN 'radio' ELSE 'checkbox' END END AS kind, count(*) AS n FROM part GROUP BY ALL")

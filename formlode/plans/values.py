@@ -21,7 +21,7 @@ from formlode.streaming import telemetry as te
 from .adapters import table
 from .core import _FOLD, W, finals
 from .layout import _ELT, _FP, fingerprints
-from .registry import ORACLES, query, r4, rat
+from .registry import ORACLES, a4, query, r4, rat
 
 _FV = "WITH fv AS (SELECT event_id, user_id, strftime(ts, '%Y-%m-%d') AS session_id, 'section_' || (user_id % 3) || '.' || event_type AS key, event_type, CASE WHEN event_id % 11 = 0 THEN '' WHEN event_id % 13 = 0 THEN NULL ELSE json_extract_string(props, '$.k') END AS value, ts FROM events) "
 _FILLED = "coalesce(value, '') <> ''"
@@ -85,22 +85,31 @@ def plain(spark, sf):
     return form_values(spark, sf).withColumn("key", F.col("event_type"))
 
 
-@query("missing_keys", _FV + f", {_SCHEMA} SELECT user_id, sch.key FROM (SELECT DISTINCT user_id FROM fv) u, sch WHERE mandatory AND NOT EXISTS (SELECT 1 FROM fv WHERE fv.user_id = u.user_id AND event_type = sch.key AND {_FILLED} AND fv.event_id % 3 = 0)")
+_WANTED = [("click", True, "boolean", "actions"), ("view", True, "text", "actions"), ("signup", False, "checkbox", "account"), ("purchase", True, "text", "account"), ("fax", False, "text", "account")]
+
+
+@query("missing_keys", _FV + f", w(key, mandatory, type, section) AS (VALUES {', '.join(map(str, _WANTED))}), m AS (SELECT user_id, w.* FROM (SELECT DISTINCT user_id FROM fv) u, w WHERE NOT EXISTS (SELECT 1 FROM fv WHERE fv.user_id = u.user_id AND event_type = w.key AND {_FILLED} AND fv.event_id % 3 = 0)) SELECT user_id, key, mandatory, CASE WHEN type IN ('boolean', 'checkbox') THEN 'boolean' ELSE 'text' END AS kind, CASE WHEN row_number() OVER (PARTITION BY user_id, mandatory, section ORDER BY key) = 1 THEN section END AS label FROM m")
 def missing_keys(spark, sf):
     rows = plain(spark, sf).withColumn("value", F.when(F.col("event_id") % 3 == 0, F.col("value")))
-    return va.missing_keys(rows, key_schema(spark).filter("mandatory"))
+    return va.missing_keys(rows, spark.createDataFrame(_WANTED, "key string, mandatory boolean, type string, section string"))
 
 
 _RATE = lambda a, b: f"floor(100.0::DOUBLE * {a} / {b} * 10 + 0.5::DOUBLE) / 10.0::DOUBLE"
 
 
 @query("fill_report", _FV + f""", {_SCHEMA}, e AS (SELECT user_id, session_id, sch.key, mandatory, EXISTS (SELECT 1 FROM fv WHERE fv.user_id = s.user_id AND fv.session_id = s.session_id AND event_type = sch.key AND {_FILLED}) AS have FROM (SELECT DISTINCT user_id, session_id FROM fv) s, sch),
-  t AS (SELECT user_id, session_id, count(*) AS total, count(*) FILTER (have) AS filled, count(*) FILTER (mandatory) AS mandatory, count(*) FILTER (have AND mandatory) AS mandatory_filled, coalesce(array_to_string(list_sort(list(key) FILTER (mandatory AND NOT have)), ','), '') AS missing FROM e GROUP BY ALL)
-  SELECT *, {_RATE('filled', 'total')} AS fill_rate, {_RATE('mandatory_filled', 'mandatory')} AS mandatory_rate FROM t""")
+  t AS (SELECT user_id, session_id, count(*) AS total, count(*) FILTER (have) AS filled, count(*) FILTER (mandatory) AS mandatory, count(*) FILTER (have AND mandatory) AS mandatory_filled, count(*) FILTER (NOT mandatory) AS optional, count(*) FILTER (have AND NOT mandatory) AS optional_filled, coalesce(array_to_string(list_sort(list(key) FILTER (mandatory AND NOT have)), ','), '') AS missing, coalesce(array_to_string(list_sort(list(key) FILTER (NOT mandatory AND NOT have)), ','), '') AS missing_optional FROM e GROUP BY ALL)
+  SELECT *, {_RATE('filled', 'total')} AS fill_rate, {_RATE('mandatory_filled', 'mandatory')} AS mandatory_rate, {_RATE('optional_filled', 'optional')} AS optional_rate FROM t""")
 def fill_report(spark, sf):
     return va.fill_report(plain(spark, sf), key_schema(spark))
 
 
+@query("missing_list", "WITH m AS (SELECT p_brand, list(p_partkey ORDER BY p_partkey) AS k FROM part WHERE p_size % 2 = 0 GROUP BY ALL) SELECT p_brand, array_to_string(k[1:20], ',') AS shown, CAST(greatest(0, len(k) - 20) AS INTEGER) AS more FROM m")
+def missing_list(spark, sf):
+    lists = table(spark, sf, "part").filter("p_size % 2 = 0").groupBy("p_brand").agg(F.array_sort(F.collect_list("p_partkey")).alias("k"))
+    return lists.select("p_brand", va.capped(F.col("k")).alias("c")).select("p_brand", F.array_join("c.shown", ",").alias("shown"), "c.more")
+
+
 @query("key_sets", _FV + f", {_SCHEMA} SELECT (SELECT count(*) FROM (SELECT key FROM sch INTERSECT SELECT event_type FROM fv WHERE {_FILLED})) AS filled, (SELECT count(*) FROM (SELECT key FROM sch WHERE mandatory EXCEPT SELECT event_type FROM fv WHERE {_FILLED})) AS missing, (SELECT count(*) FROM sch WHERE NOT mandatory) AS optional")
 def key_sets(spark, sf):
     schema, have = key_schema(spark), plain(spark, sf).filter("coalesce(value, '') <> ''").select("key").distinct()
@@ -146,19 +155,23 @@ def fuzzy_resolve(spark, sf):
     return va.fuzzy_resolve(table(spark, sf, "part").select("p_partkey", "p_type"), "p_type", OPTIONS)
 
 
-@query("cache_lookup", _ELT + _FP + ", r AS (SELECT DISTINCT fingerprint, 3 AS u FROM fp WHERE doc_id % 3 = 0), a AS (SELECT fingerprint, count(*) AS n FROM fp WHERE doc_id % 2 = 0 GROUP BY ALL) SELECT coalesce(a.fingerprint, r.fingerprint) AS fingerprint, coalesce(u, 0) + coalesce(n, 0) AS usage_count, CASE WHEN n IS NOT NULL THEN u IS NOT NULL END AS hit FROM a FULL JOIN r ON a.fingerprint = r.fingerprint")
+@query("cache_lookup", _ELT + _FP + """, r AS (SELECT DISTINCT fingerprint, 3 AS u, DATE '2024-01-05' AS last_used, 'old.json' AS mapping, CAST(NULL AS VARCHAR) AS schema_file FROM fp WHERE doc_id % 3 = 0),
+  w AS (SELECT fingerprint, DATE '2024-01-01' + CAST(doc_id % 10 AS INTEGER) AS day, CASE WHEN doc_id % 4 = 0 THEN 'm' || doc_id END AS mapping, CASE WHEN doc_id % 8 = 0 THEN 's' || doc_id END AS schema_file FROM fp WHERE doc_id % 2 = 0),
+  a AS (SELECT fingerprint, count(*) AS n, max(day) AS day, arg_max(mapping, (day, mapping)) FILTER (mapping IS NOT NULL) AS mapping, arg_max(schema_file, (day, schema_file)) FILTER (schema_file IS NOT NULL) AS schema_file FROM w GROUP BY ALL)
+  SELECT coalesce(a.fingerprint, r.fingerprint) AS fingerprint, coalesce(u, 0) + coalesce(n, 0) AS usage_count, greatest(a.day, r.last_used) AS last_used, coalesce(a.mapping, r.mapping) AS mapping, coalesce(a.schema_file, r.schema_file) AS schema_file, CASE WHEN n IS NOT NULL THEN u IS NOT NULL END AS hit FROM a FULL JOIN r ON a.fingerprint = r.fingerprint""")
 def cache_lookup(spark, sf):
-    prints = fingerprints(spark, sf)
-    registry = prints.filter("doc_id % 3 = 0").select("fingerprint").distinct().withColumn("usage_count", F.lit(3))
-    return va.cache_lookup(prints.filter("doc_id % 2 = 0"), registry)
+    prints, name = fingerprints(spark, sf), F.col("doc_id").cast("string")
+    old = {"usage_count": F.lit(3), "last_used": F.lit("2024-01-05").cast("date"), "mapping": F.lit("old.json"), "schema_file": F.lit(None).cast("string")}
+    registry = prints.filter("doc_id % 3 = 0").select("fingerprint").distinct().withColumns(old)
+    at = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 10).cast("int"))
+    brought = {"at": at, "mapping": F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("m"), name)), "schema_file": F.when(F.col("doc_id") % 8 == 0, F.concat(F.lit("s"), name))}
+    return va.cache_lookup(prints.filter("doc_id % 2 = 0").withColumns(brought), registry, ["mapping", "schema_file"])
 
 
-@query("llm_usage", f"WITH c AS (SELECT event_type AS model, count(*) AS calls, CAST(sum(user_id) AS BIGINT) AS tokens_in, CAST(sum(event_id % 100) AS BIGINT) AS tokens_out FROM events GROUP BY ALL) SELECT *, {r4('(tokens_in * 0.15::DOUBLE + tokens_out * 0.6::DOUBLE) / 1000000', 6)} AS cost_usd, {rat('tokens_in + tokens_out', 'calls')} AS tokens_per_call FROM c")
+@query("llm_usage", f"WITH c AS (SELECT event_type AS model, count(*) AS calls, CAST(sum(user_id) AS BIGINT) AS tokens_in, CAST(sum(event_id % 100) AS BIGINT) AS tokens_out, CAST(sum(event_id % 7) AS BIGINT) AS fields FROM events GROUP BY ALL), d AS (SELECT *, tokens_in * 0.15::DOUBLE + tokens_out * 0.6::DOUBLE AS micros FROM c) SELECT model, calls, tokens_in, tokens_out, fields, {r4('micros / 1000000', 6)} AS cost_usd, {rat('tokens_in + tokens_out', 'calls')} AS tokens_per_call, {rat('micros', 'calls')} AS micros_per_call, {rat('micros', 'fields')} AS micros_per_field FROM d")
 def llm_usage(spark, sf):
-    from formlode.functions.rounding import ratio
-
-    rows = table(spark, sf, "events").groupBy(F.col("event_type").alias("model")).agg(F.count(F.lit(1)).alias("calls"), F.sum("user_id").alias("tokens_in"), F.sum(F.col("event_id") % 100).alias("tokens_out"))
-    return rows.withColumns({"cost_usd": half_up((F.col("tokens_in") * 0.15 + F.col("tokens_out") * 0.6) / 1000000, 6), "tokens_per_call": ratio(F.col("tokens_in") + F.col("tokens_out"), F.col("calls"))})
+    calls = table(spark, sf, "events").select(F.col("event_type").alias("model"), F.col("user_id").alias("tokens_in"), (F.col("event_id") % 100).alias("tokens_out"), (F.col("event_id") % 7).alias("fields"))
+    return va.llm_usage(calls, 0.15, 0.6)
 
 
 @query("section_tree", "SELECT r_name AS h1, n_name AS h2, coalesce(string_agg(s_name, ',' ORDER BY s_name), '') AS h3 FROM region JOIN nation ON n_regionkey = r_regionkey LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY ALL")
@@ -199,6 +212,17 @@ def telemetry_rollup(spark, sf):
     return te.rollup(table(spark, sf, "events"), "1 hour").withColumn("total", half_up(F.col("total"), 2))
 
 
+@query("method_latency", f"WITH c AS (SELECT event_type AS method, count(*) AS calls, {a4('value')} AS m, max(value) AS max_latency, CAST(sum(CAST(json_extract_string(props, '$.k') AS INTEGER)) AS BIGINT) AS extracted, CAST(sum(100) AS BIGINT) AS expected, floor(floor(sum(value) * 1000000::DOUBLE + 0.5::DOUBLE) / 1000000::DOUBLE / count(value) * 100 + 0.5::DOUBLE) / 100 AS avg_latency FROM events GROUP BY ALL) SELECT method, calls, avg_latency, max_latency, extracted, expected, {r4(f"100 * ({rat('extracted', 'expected')})", 2)} AS yield_pct FROM c")
+def method_latency(spark, sf):
+    calls = table(spark, sf, "events").select(F.col("event_type").alias("method"), F.col("value").alias("latency"), F.get_json_object("props", "$.k").cast("int").alias("extracted"), F.lit(100).alias("expected"))
+    return te.method_latency(calls)
+
+
+@query("session_completion", f"WITH s AS (SELECT user_id, {_SES} AS session_id, min(ts) AS begun, max(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS done FROM events GROUP BY ALL), d AS (SELECT strftime(begun, '%Y-%m-%d') AS day, count(*) AS sessions, CAST(sum(done) AS BIGINT) AS completed FROM s GROUP BY ALL) SELECT *, {r4(f"100 * ({rat('completed', 'sessions')})", 2)} AS completion_pct FROM d")
+def session_completion(spark, sf):
+    return te.completion(sessions(spark, sf), "purchase")
+
+
 @query("state_transitions", "SELECT from_state, to_state, count(*) AS n FROM (SELECT lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS from_state, event_type AS to_state FROM events) WHERE from_state IS NOT NULL GROUP BY ALL")
 def state_transitions(spark, sf):
     return te.transitions(table(spark, sf, "events"))
@@ -270,12 +294,14 @@ def xml_text(spark, sf):
     return files.xml_text(p, "p_partkey", "x")
 
 
-@query("schema_for_type", "WITH o AS (SELECT DISTINCT c_mktsegment AS entity_type FROM customer), d AS (SELECT unnest(['name', 'email']) AS key), s AS (SELECT 'BUILDING' AS entity_type, unnest(['name', 'permit']) AS key) SELECT o.entity_type, s.key FROM o JOIN s USING (entity_type) UNION ALL SELECT o.entity_type, d.key FROM o, d WHERE o.entity_type <> 'BUILDING'")
+#: A form configuration: the keys of each entity type, nested, and those of all others.
+_FORMS = '{"BUILDING":{"name":"","permit":{"id":"","site":{"city":""}}},"default":{"name":"","email":""}}'
+
+
+@query("schema_for_type", "WITH o AS (SELECT DISTINCT c_mktsegment AS entity_type FROM customer), d AS (SELECT unnest(['name', 'email']) AS key), s AS (SELECT 'BUILDING' AS entity_type, unnest(['name', 'permit.id', 'permit.site.city']) AS key) SELECT o.entity_type, s.key FROM o JOIN s USING (entity_type) UNION ALL SELECT o.entity_type, d.key FROM o, d WHERE o.entity_type <> 'BUILDING'")
 def schema_for_type(spark, sf):
-    own = spark.createDataFrame([("BUILDING", ["name", "permit"])], "entity_type string, keys array<string>")
     types = table(spark, sf, "customer").select(F.col("c_mktsegment").alias("entity_type")).distinct()
-    default = F.array(F.lit("name"), F.lit("email"))
-    return types.join(own, "entity_type", "left").select("entity_type", F.explode(F.coalesce("keys", default)).alias("key"))
+    return va.schema_for_type(types, spark.createDataFrame([(_FORMS,)], "config string"), "config")
 
 
 @query("sink_partitioned", ORACLES["metric_series"].replace("SELECT level, identifier, count(*) AS entries, min(ts) AS first_ts, max(ts) AS last_ts, CAST(sum(total_fields) AS BIGINT) AS fields FROM s GROUP BY ALL", "SELECT level, count(*) AS n FROM s GROUP BY ALL"))

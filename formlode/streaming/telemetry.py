@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from formlode.functions.rounding import half_up, mean, ratio
 from formlode.functions.text import pseudonym
 
 
@@ -29,6 +30,19 @@ def transitions(events: DataFrame) -> DataFrame:
     return events.select(before.alias("from_state"), F.col("event_type").alias("to_state")).filter("from_state IS NOT NULL").groupBy("from_state", "to_state").agg(F.count(F.lit(1)).alias("n"))
 
 
+def method_latency(calls: DataFrame) -> DataFrame:
+    """Calls, mean and largest latency of each method, and what it extracted of what was expected, in percent."""
+    sums = calls.groupBy("method").agg(F.count(F.lit(1)).alias("calls"), mean("latency", 2).alias("avg_latency"), F.max("latency").alias("max_latency"), F.sum("extracted").alias("extracted"), F.sum("expected").alias("expected"))
+    return sums.withColumn("yield_pct", half_up(100 * ratio(F.col("extracted"), F.col("expected")), 2))
+
+
+def completion(events: DataFrame, last: str) -> DataFrame:
+    """(day, sessions, completed, completion_pct): sessions that began on each day, and the share that reached the last state."""
+    each = events.groupBy("user_id", "session_id").agg(F.min("ts").alias("begun"), F.max((F.col("event_type") == last).cast("int")).alias("done"))
+    days = each.groupBy(F.date_format("begun", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("sessions"), F.sum("done").alias("completed"))
+    return days.withColumn("completion_pct", half_up(100 * ratio(F.col("completed"), F.col("sessions")), 2))
+
+
 def quota_violations(events: DataFrame, messages: int, sessions: int, calls: int) -> DataFrame:
     """The first limit that each event breaks: messages per session, calls per session, sessions per user and day, in this order.
 
