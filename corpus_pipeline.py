@@ -43,12 +43,17 @@ def reject_outliers(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one row, one of the smallest id, of each group of near copies; null ids come last, texts without words all stay."""
-    rows = _numbered(docs)
-    groups = near_duplicates(rows, id_col="_row", shingle=SHINGLE, percent=80).select("_row", "component_id")
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("first")
-    kept = groups.join(rows.select("_row", "doc_id"), "_row").groupBy("component_id").agg(first).select("first._row")
-    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
+    """Keep one row, one of the smallest id, of each group of near copies; null ids come last, texts without words all stay.
+
+    Rows are named by a hash of id and text, so no copy of the corpus is written; of rows that agree in both, any one stays.
+    """
+    rows = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
+    groups = written(near_duplicates(rows, id_col="_row", shingle=SHINGLE, percent=80), "groups")
+    names = groups.groupBy("_row").agg(F.first("component_id").alias("component_id"), ((F.count(F.lit(1)) > 1) & (F.max("n_shingles") > 0)).alias("_again"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row", "_again")).alias("first")
+    kept = names.join(rows.select("_row", "doc_id").distinct(), "_row").groupBy("component_id").agg(first).select("first._row", "first._again")
+    stay = rows.join(written(kept, "kept"), "_row")
+    return stay.filter("NOT _again").unionByName(stay.filter("_again").dropDuplicates(["doc_id", "text"])).select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
