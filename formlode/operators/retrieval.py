@@ -171,14 +171,14 @@ def reembed_corrected(vectors: DataFrame, corrections: DataFrame, model: Callabl
 
 
 def ann_topk(queries: DataFrame, corpus: DataFrame, top: int = TOP, bucket: float = 0.6, tables: int = 8) -> DataFrame:
-    """Approximate nearest by random-projection buckets on unit vectors, ranked exactly by cosine."""
+    """Approximate nearest, without the query's own id, by random-projection buckets on unit vectors, ranked exactly by cosine."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
 
     unit = lambda df, key: df.filter(_nonzero(F.col("embedding"))).select(key, array_to_vector(normalise(F.col("embedding"))).alias("v"))
     a, b = unit(queries, "query_id"), unit(corpus, "vector_id")
     model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=5).fit(b)
-    pairs = model.approxSimilarityJoin(a, b, 1.5, "distance")
+    pairs = model.approxSimilarityJoin(a, b, 1.5, "distance").filter("datasetA.query_id <> datasetB.vector_id")
     close = pairs.select(F.col("datasetA.query_id").alias("query_id"), F.col("datasetB.vector_id").alias("vector_id"), half_up(1 - F.col("distance") ** 2 / 2 + 1, 6).alias("s"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("s"), "vector_id"))
     return close.withColumn("rank", rank).filter(F.col("rank") <= top).select("query_id", "rank", "vector_id", (F.col("s") - 1).alias("similarity"))

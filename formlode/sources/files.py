@@ -56,7 +56,7 @@ def _shaped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def corpus_text(files: DataFrame) -> DataFrame:
     """(path, text, error) of (path, content): CSV cells joined by |, JSON indented, texts stripped; other extensions are errors.
 
-    Quoted CSV cells may hold commas and line breaks; rows of empty cells vanish. Malformed JSON is an error of its row. Only CSV
+    Quoted CSV cells may hold commas and line breaks; empty rows vanish. Malformed JSON is an error of its row. Only CSV
     and JSON files pass through Python; the others stay expressions.
     """
     kind = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
