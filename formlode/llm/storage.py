@@ -30,5 +30,6 @@ def written(df: DataFrame, label: str, files: int | None = None) -> DataFrame:
     """
     path = fresh_path(df.sparkSession, label)
     df = df.repartition(files) if files else df
-    df.write.parquet(path)
+    # Most are tables of texts or hashes that live until the job ends; on texts zstd takes about a third less than the default.
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
