@@ -101,7 +101,14 @@ class Words:
     @property
     def hash(self) -> np.ndarray:
         if self._hash is None:
-            h = rolling(self.texts.data.astype(U) + U(1), self.starts, self.ends, _BYTE_BASE)
+            h = np.empty(len(self), U)
+            at = 0
+            while at < len(self):  # a few slices of bytes at a time, so that a long text takes little more than its own size
+                begun = self.starts[at]
+                to = max(at + 1, int(np.searchsorted(self.ends, begun + 2 * SLICE_BYTES, side="right")))
+                data = self.texts.data[begun : self.ends[to - 1]].astype(U) + U(1)
+                h[at:to] = rolling(data, self.starts[at:to] - begun, self.ends[at:to] - begun, _BYTE_BASE)
+                at = to
             self._hash = mix(h ^ ((self.ends - self.starts).astype(U) * U(0x2545F4914F6CDD1D)))
         return self._hash
 

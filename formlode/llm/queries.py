@@ -8,14 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import langid, mixing, quality_classifier, toxicity
+from .jaccard_join import ngram_components
 from .near_dup import near_duplicates
 from .packing import pack_sequences
+from .periodic_runs import periodic_runs
 from .quality_rules import fit, judged, measured
 from .storage import written
 from .substring_dedup import substring_dedup
 from .training import remainder
 from .topk import exact_top_k
 from .warc import read_records, typed, write_archives
+from .whitening import whitened
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -92,6 +95,38 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(stats, fit(stats)).select("doc_id", *base, "kept", "outlier_distance")
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened(_table(spark, sf_dir, "embeddings"), components=4)
+
+
+def op12_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_components(_table(spark, sf_dir, "documents"), size=5, percent=80)
+
+
+def repeating(docs: DataFrame) -> DataFrame:
+    """``docs`` with texts made to repeat from some word on where h % 10 = 0, h being the crc32 of the id as text; the rest as it is."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    g, n = F.floor(h / 10), F.size("_words")
+    a = g % n
+    p = 1 + F.floor((n - a) / (3 + g % 8))
+    at = F.transform(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1), lambda i: F.when(i < F.col("_a"), i).otherwise(F.col("_a") + (i - F.col("_a")) % F.col("_p")))
+    made = F.array_join(F.transform(at, lambda i: F.get("_words", i.cast("int"))), " ")
+    cut = docs.withColumn("_words", F.when(h % 10 == 0, words)).withColumn("_a", F.when(n > 0, a)).withColumn("_p", F.when(n > 0, p))
+    return cut.withColumn("text", F.when(n > 0, made).otherwise(F.col("text"))).drop("_words", "_a", "_p")
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = periodic_runs(repeating(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    digest = F.sha2(F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise(""), 256)
+    rows = done.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), digest.alias("runs_sha256"), F.sha2("collapsed_text", 256).alias("collapsed_sha256"))
+    start, length, period = -F.col("best.start"), F.col("best.length"), -F.col("best.period")
+    exponent = F.expr("1000 * best.length div -best.period")
+    return rows.select("doc_id", "n_runs", start.alias("start"), length.alias("length"), period.alias("period"), exponent.alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_warc": op2_warc,
@@ -103,6 +138,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_topk": op8_exact_topk,
     "op9_quality_rules": op9_quality_rules,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_ngram_jaccard": op12_ngram_jaccard,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLES: dict[str, str] = {
