@@ -16,6 +16,7 @@ from formlode.operators import learning as le
 from formlode.operators import values as va
 from formlode.operators.hooks import hooked
 from formlode.sources import files
+from formlode.streaming import live
 from formlode.streaming import telemetry as te
 
 from .adapters import table
@@ -345,6 +346,65 @@ def confidence_stream(spark, sf):
     return out.groupBy("vector_id").agg(F.max_by("confidence", "steps").alias("confidence"), F.max("steps").alias("steps"))
 
 
+#: Slices of a replay: equal spans of time; late rows come two slices after their own.
+_SLICES = 4
+
+
+def slices(spark, sf, late=None):
+    """The events in the slices in which they arrive, and how many partitions their state is dealt to."""
+    events = table(spark, sf, "events")
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    at = events.agg(F.min(us).alias("low"), F.max(us).alias("high"), F.count(F.lit(1)).alias("n")).first()
+    own = F.floor(_SLICES * (us - F.lit(at.low)) / F.lit((at.high or 0) - (at.low or 0) + 1)).cast("int")
+    arrives = own if late is None else F.when(late & (own < _SLICES - 2), own + 2).otherwise(own)
+    rows = events.withColumn("_slice", arrives)
+    return [rows.filter(F.col("_slice") == i).drop("_slice") for i in range(_SLICES)], max(2, -(-at.n // 500_000))
+
+
+@query("quota_stream", ORACLES["quota_violations"])
+def quota_stream(spark, sf):
+    parts, partitions = slices(spark, sf)
+
+    def build(events):
+        rows = events.select("event_id", "user_id", "ts", F.concat(F.lit("s"), F.col("event_id") % 5).alias("session_id"), (F.col("event_type") == "click").alias("is_call"))
+        return live.quota_stream(rows, 12, 1, 2)
+
+    return live.replayed(parts, build, scratch(spark, "quotas"), "append", partitions).select("event_id", "violated")
+
+
+@query("telemetry_live", f"""WITH b AS (SELECT min(epoch_us(ts)) AS low, max(epoch_us(ts)) AS high FROM events),
+    e AS (SELECT event_id, event_type, ts, value, epoch_us(ts) AS us, ({_SLICES} * (epoch_us(ts) - low)) // (high - low + 1) AS own FROM events, b),
+    d AS (SELECT *, date_trunc('hour', ts) AS start, CASE WHEN event_id % 50 = 0 AND own < {_SLICES - 2} THEN own + 2 ELSE own END AS arrives FROM e),
+    w AS (SELECT arrives, max(max(us)) OVER (ORDER BY arrives ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) // 1000 * 1000 - 7200000000 AS mark FROM d GROUP BY arrives)
+    SELECT start, event_type, count(*) AS n, {r4('sum(value)', 2)} AS total FROM d JOIN w USING (arrives), b
+    WHERE (mark IS NULL OR epoch_us(start) + 3600000000 > mark) AND epoch_us(start) + 3600000000 <= high // 1000 * 1000 - 7200000000 GROUP BY ALL""")
+def telemetry_live(spark, sf):
+    parts, partitions = slices(spark, sf, late=F.col("event_id") % 50 == 0)
+    out = live.replayed(parts, lambda events: live.live_rollup(events, "1 hour", "2 hours"), scratch(spark, "live"), "append", partitions)
+    return out.withColumn("total", half_up(F.col("total"), 2))
+
+
+@query("session_resume", f"SELECT user_id, {_SES} AS session_id, min(ts) AS created_at, arg_max(event_type, (ts, event_id)) AS state, max(ts) AS updated_at, count(*) AS saves FROM events GROUP BY ALL")
+def session_resume(spark, sf):
+    parts, partitions = slices(spark, sf)
+    build = lambda events: live.session_store(events.select("user_id", F.date_format("ts", "yyyy-MM-dd").alias("session_id"), "ts", "event_id", F.col("event_type").alias("state")))
+    changes = live.replayed([*parts[:2], parts[1], *parts[2:], parts[0]], build, scratch(spark, "sessions"), "update", partitions)
+    return live.session_table(changes)
+
+
+@query("series_append", ORACLES["metric_series"])
+def series_append(spark, sf):
+    from .core import metrics
+
+    path, rows = scratch(spark, "series"), metrics(spark, sf).withColumn("_part", F.pmod(F.xxhash64("submission_id"), F.lit(2)))
+    rows.write.partitionBy("_part").parquet(f"{path}/metrics")
+    parts = [spark.read.parquet(f"{path}/metrics").filter(F.col("_part") == i).drop("_part") for i in range(2)]
+    keep = live.append_series(path)
+    live.replayed(parts, lambda metrics: metrics, f"{path}/stream", "append", 4, sink=keep)
+    keep(parts[1], 1)  # comes again
+    return live.series_totals(spark, path)
+
+
 @query("udf_correct", "SELECT p_partkey, translate(lower(trim(p_name)), ' -', '__') AS name, 0.6::DOUBLE AS confidence, 'reported name in snake case' AS reasoning FROM part")
 def udf_correct(spark, sf):
     @F.pandas_udf("name string, confidence double, reasoning string")
