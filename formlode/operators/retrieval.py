@@ -28,6 +28,9 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
+FOUND = "query_id long, vector_id long, field_name string, similarity double"
+
+
 def _tiles(top: int, own_too: bool):
     def run(shard: pa.Table, blocks: pa.Table) -> pa.Table:
         out = []
@@ -44,7 +47,8 @@ def _tiles(top: int, own_too: bool):
                             line = np.where(ids[at : at + TILE] == q, -2.0, line)
                         near = np.flatnonzero(line >= np.partition(line, -top)[-top]) if len(line) > top else np.arange(len(line))
                         for i in sorted(near, key=lambda i: (-line[i], ids[at + i]))[:top]:
-                            out.append((q, int(ids[at + i]), names[at + i], float(line[i])))
+                            if line[i] >= -1:  # not the query's own
+                                out.append((q, int(ids[at + i]), names[at + i], float(line[i])))
         kinds = (pa.int64(), pa.int64(), pa.string(), pa.float64())
         return pa.table([pa.array([r[i] for r in out], kinds[i]) for i in range(4)], names=["query_id", "vector_id", "field_name", "similarity"])
 
@@ -52,47 +56,60 @@ def _tiles(top: int, own_too: bool):
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    ids, rows = [], []
+    """Queries (id, vector) in blocks of one length."""
+    open_blocks: dict[int, tuple[list, list]] = {}
 
-    def block() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([np.array(ids, np.int64).tobytes()]), pa.array([np.concatenate(rows).tobytes()])], ["ids", "body"])
+    def block(dim: int) -> pa.RecordBatch:
+        ids, rows = open_blocks.pop(dim)
+        return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([np.array(ids, np.int64).tobytes()]), pa.array([np.concatenate(rows).tobytes()])], ["dim", "ids", "body"])
 
     for batch in batches:
         for i, v in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            ids, rows = open_blocks.setdefault(len(v), ([], []))
             ids.append(i)
             rows.append(np.asarray(v.values, np.float64))
             if len(ids) == BLOCK:
-                yield block()
-                ids.clear()
-                rows.clear()
-    if ids:
-        yield block()
+                yield block(len(v))
+    for dim in list(open_blocks):
+        yield block(dim)
 
 
 def _nonzero(vector: Column) -> Column:
-    return F.coalesce(F.exists(vector, lambda x: x != 0), F.lit(False))
+    """Has a direction: some entry is not zero, and all are finite."""
+    some = F.coalesce(F.exists(vector, lambda x: x != 0), F.lit(False))
+    return some & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
+
+
+def _usable(vectors: DataFrame, key: str, *names: str) -> DataFrame:
+    """The vectors that have a direction, and their length dim."""
+    rows = vectors.filter(_nonzero(F.col("embedding"))).select(F.col(key).cast("long").alias(key), *names, F.col("embedding").cast("array<double>").alias("embedding"))
+    return rows.withColumn("dim", F.size("embedding"))
+
+
+def ranked(found: DataFrame, top: int) -> DataFrame:
+    """The first ``top`` of each query's (query_id, vector_id, field_name, similarity), ties to the smaller id."""
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vector_id"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= top).select("query_id", "rank", "vector_id", "field_name", "similarity")
 
 
 def cosine_topk(queries: DataFrame, corpus: DataFrame, top: int = TOP, own_too: bool = False) -> DataFrame:
     """(query_id, rank, vector_id, field_name, similarity): the nearest ``top`` of the corpus for each query.
 
     Shards of queries meet shards of the corpus in matrix products; each tile keeps its best of every query, and these are
-    ranked. A vector with the query's id is left out unless ``own_too``. Empty and zero vectors are skipped; similarities are
-    rounded to 6 digits, ties go to the smaller id.
+    ranked. A vector with the query's id is left out unless ``own_too``. Null, empty and zero vectors are skipped and so are those
+    with a null or non-finite entry; only vectors of equal length are compared. Similarities are rounded to 6 digits, ties go to
+    the smaller id.
     """
-    usable = corpus.filter(_nonzero(F.col("embedding"))).select(F.col("vector_id").cast("long").alias("vector_id"), "field_name", F.col("embedding").cast("array<double>").alias("embedding"))
-    shards = max(1, -(-usable.count() // SHARD))
+    usable, asked = _usable(corpus, "vector_id", "field_name"), _usable(queries, "query_id")
+    shards, parts = (max(1, -(-rows.count() // SHARD)) for rows in (usable, asked))
     dealt = usable.withColumn("shard", F.pmod(F.xxhash64("vector_id"), F.lit(shards)).cast("int"))
-    asked = queries.filter(_nonzero(F.col("embedding"))).select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    parts = max(1, -(-asked.count() // SHARD))
     dealt = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     # Packed blocks bear random parts, so that queries and corpus are both cut into shards of bounded size.
-    blocks = asked.mapInArrow(_packed, "ids binary, body binary").withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(parts)).cast("int"))
+    blocks = asked.select("query_id", "embedding").mapInArrow(_packed, "dim int, ids binary, body binary").withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(parts)).cast("int"))
     blocks = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    by = ["shard", "part"]
-    found = dealt.groupBy(*by).cogroup(blocks.groupBy(*by)).applyInArrow(_tiles(top, own_too), "query_id long, vector_id long, field_name string, similarity double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vector_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= top).select("query_id", "rank", "vector_id", "field_name", "similarity")
+    by = ["dim", "shard", "part"]
+    found = dealt.groupBy(*by).cogroup(blocks.groupBy(*by)).applyInArrow(_tiles(top, own_too), FOUND)
+    return ranked(found, top)
 
 
 def match_decision(queries: DataFrame, candidates: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from formlode.operators import evaluation as ev
+from formlode.operators import index as ix
 from formlode.operators import retrieval as re
 
 from .adapters import table
@@ -82,6 +83,26 @@ def ann_topk(spark, sf):
     return re.ann_topk(asked(spark, sf), corpus(spark, sf))
 
 
+def ivf_found(spark, sf):
+    from .values import scratch
+
+    index = ix.build_index(corpus(spark, sf), scratch(spark, "index"))
+    return ix.index_topk(index, asked(spark, sf), 5, ix.probes_for(index, 0.97))
+
+
+@query("ivf_topk")
+def ivf_topk(spark, sf):
+    return ivf_found(spark, sf)
+
+
+@query("ivf_recall", _TOP + "SELECT count(DISTINCT query_id) AS queries, count(*) AS neighbours, TRUE AS enough FROM t")
+def ivf_recall(spark, sf):
+    exact = candidates(spark, sf).select("query_id", "vector_id")
+    hits = exact.join(ivf_found(spark, sf).select("query_id", "vector_id", F.lit(1).alias("hit")), ["query_id", "vector_id"], "left")
+    sums = hits.agg(F.count_distinct("query_id").alias("queries"), F.count(F.lit(1)).alias("neighbours"), F.count("hit").alias("found"))
+    return sums.select("queries", "neighbours", (F.col("found") >= 0.9 * F.col("neighbours")).alias("enough"))
+
+
 @query("embed_text")
 def embed_text(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text", F.lit(None).cast("array<float>").alias("embedding"))
