@@ -119,19 +119,17 @@ def _filtered(groups: int, size: int, percent: int):
     return run
 
 
-def _intersected(pairs: DataFrame, filters: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (a, b), those whose sizes allow a link and whose prefixes meet under the other orders too."""
-    side = lambda k: filters.select(F.col("k").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("n", "second", "third")])
-    sized = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    near = pairs.join(side("b"), "b").join(side("a"), "a").filter(sized)
-    return near.filter(F.arrays_overlap("second_a", "second_b") & F.arrays_overlap("third_a", "third_b")).select("a", "b")
+def _linked_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of the pairs (a, b), those whose sizes allow a link, whose prefixes meet under the other orders too, and whose full sets are similar enough.
 
-
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (a, b), those whose full sets are similar enough."""
-    side = lambda k: sets.select(F.col("k").alias(k), F.col("n").alias(f"n_{k}"), F.col("members").alias(f"members_{k}"))
+    The three are asked in this order. Filters travel with the sets: most pairs that share a rare token pass them, so a pass of their
+    own would move more than it saves.
+    """
+    side = lambda k: sets.select(F.col("k").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("n", "second", "third", "members")])
+    near = pairs.join(side("b"), "b").join(side("a"), "a").filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    near = near.filter(F.arrays_overlap("second_a", "second_b") & F.arrays_overlap("third_a", "third_b"))
     both = F.size(F.array_intersect("members_a", "members_b")).cast("long")
-    return pairs.join(side("b"), "b").join(side("a"), "a").filter(100 * both >= percent * (F.col("n_a") + F.col("n_b") - both)).select("a", "b")
+    return near.filter(100 * both >= percent * (F.col("n_a") + F.col("n_b") - both)).select("a", "b")
 
 
 def _mixed(buckets: DataFrame, labels: DataFrame) -> DataFrame:
@@ -156,27 +154,24 @@ def _between(rest: DataFrame, percent: int) -> DataFrame:
 
 def _linked(sets: DataFrame, percent: int) -> DataFrame:
     """(k, label): components of the classes in ``sets`` that have a link."""
-    filters = sets.select("k", "n", "second", "third")
     each = sets.select("k", "n", F.size("members").cast("long").alias("size"), F.posexplode("first").alias("at", "s"))
     tokens = each.select("s", "k", "n", (F.col("size") - F.col("at")).alias("rest"))
     stars = tokens.groupBy("s").agg(F.min("k").alias("a"), F.count(F.lit(1)).alias("many")).filter("many > 1").select("s", "a")
     buckets = written(tokens.join(stars, "s"), "buckets")
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        near = written(_intersected(pairs, filters, percent), "candidates")
-        return written(_verified(near, sets, percent), "links")
-
-    links = confirmed(buckets.filter("a <> k").select("a", F.col("k").alias("b")).distinct())
+    links = written(_linked_pairs(buckets.filter("a <> k").select("a", F.col("k").alias("b")).distinct(), sets, percent), "links")
     labels = components(links)
     for turn in range(TURNS + 1):
         rest = written(_mixed(buckets.drop("a"), labels), "unsettled")
+        if not turn:  # only these are read again
+            sets = written(sets.join(rest.select("k").distinct(), "k", "left_semi"), "sets")
         if turn < TURNS:
             by: Column = F.col("k").bitwiseXOR(F.xxhash64("s", F.lit(turn)))
             centres = rest.groupBy("s").agg(F.min_by("k", by).alias("c"), F.min_by("label", by).alias("other"))
             tried = rest.join(centres, "s").filter("label <> other").select(F.least("c", "k").alias("a"), F.greatest("c", "k").alias("b")).distinct()
         else:
             tried = _between(rest, percent)
-        more = confirmed(tried)
+        more = written(_linked_pairs(tried, sets, percent), "links")
         if not more.isEmpty():
             links = links.union(more)
             labels = components(links)

@@ -194,8 +194,8 @@ def test_ngram_components_with_null_and_repeated_ids(spark):
 def test_no_pairs_within_a_group(spark, monkeypatch):
     """A group's pairs are not listed: candidates stay a small multiple of its texts, also beside texts that share a part of them."""
     counts = []
-    found = jaccard_join._intersected
-    monkeypatch.setattr(jaccard_join, "_intersected", lambda pairs, *rest: counts.append(pairs.count()) or found(pairs, *rest))
+    found = jaccard_join._linked_pairs
+    monkeypatch.setattr(jaccard_join, "_linked_pairs", lambda pairs, *rest: counts.append(pairs.count()) or found(pairs, *rest))
     group = list(near_copies(400, most=3))
     apart = [" ".join([*t.split()[:230], *prose(i, 60, 9000).split()]) for i, t in enumerate(group[:40])]
     got = ngram_components(spark.createDataFrame(list(enumerate(group + apart)), "doc_id long, text string")).collect()
