@@ -120,7 +120,8 @@ def token_ids(column: pa.Array, folder: str | None = None) -> tuple[np.ndarray,
         ids, own = _encoded(raw, starts[sample], ends[sample], joint, folder)
         before = cache.used
         at = cache.add(ids)
-        if at < before:  # the pool was emptied, so what other chunks were found there is gone
+        if at < before:  # the pool was emptied, so what other chunks were found there is gone; all are added anew, whatever their number
+            cache.used = 0
             return token_ids(column, folder)
         where = np.empty(len(sample), np.int64)
         where[joint] = at + np.cumsum(own[joint]) - own[joint]

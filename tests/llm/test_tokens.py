@@ -24,3 +24,17 @@ def test_ids_of_texts_that_end_in_white_space(space):
         ids, bounds = tokens.token_ids(pa.array(texts))
         for i, t in enumerate(texts):
             assert np.array_equal(ids[bounds[i] : bounds[i + 1]], encoder.encode(t, add_special_tokens=False).ids), repr(t)
+
+
+def test_texts_that_each_fill_the_pool(monkeypatch):
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from formlode.llm import tokens
+
+    monkeypatch.setattr(tokens._Cache, "MOST_IDS", 3)
+    slow = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for text in ("one two three four five six seven", "eight nine ten eleven twelve two\n", "eight thirteen fourteen fifteen sixteen one"):
+        ids, bounds = tokens.token_ids(pa.array([text, None, text]))
+        assert ids[: bounds[1]].tolist() == ids[bounds[2] :].tolist() == slow.encode(text, add_special_tokens=False).ids
