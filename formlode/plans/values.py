@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import pandas as pd
@@ -15,6 +14,7 @@ from formlode.operators import layout as la
 from formlode.operators import learning as le
 from formlode.operators import values as va
 from formlode.operators.hooks import hooked
+from formlode.shared import scratch
 from formlode.sources import files
 from formlode.streaming import live
 from formlode.streaming import telemetry as te
@@ -244,16 +244,6 @@ def turn_history(spark, sf):
     return rows.groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), F.array_join(ordered, "\n").alias("history"))
 
 
-def scratch(spark, label):
-    """A fresh path in the folder that all executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{base.rstrip('/')}/formlode-{label}-{uuid.uuid4().hex}"
-
-
 @query("src_json", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events")
 def src_json(spark, sf):
     path = scratch(spark, "json")

@@ -84,7 +84,7 @@ def ann_topk(spark, sf):
 
 
 def ivf_found(spark, sf):
-    from .values import scratch
+    from formlode.shared import scratch
 
     index = ix.build_index(corpus(spark, sf), scratch(spark, "index"))
     return ix.index_topk(index, asked(spark, sf), 5, ix.probes_for(index, 0.97))
