@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from formlode.functions.rounding import half_up
-from formlode.functions.text import normalised, numbering
+from formlode.functions.text import capitals, normalised, numbering
 
 PAGE = ("doc_id", "page")
 
@@ -46,8 +46,8 @@ def font_stats(elements: DataFrame) -> DataFrame:
     return rows.select(*PAGE, *[F.coalesce(F.col(c).cast("double"), default).alias(c) for c in ("average", "largest", "smallest")], F.coalesce(median.cast("double"), default).alias("median"))
 
 
-def heading_base(elements: DataFrame) -> DataFrame:
-    """h1, h2, h3 or normal from the size's place in its page and from boldness."""
+def heading_base(elements: DataFrame, keep_statistics: bool = False) -> DataFrame:
+    """h1, h2, h3 or normal from the size's place in its page and from boldness; with the page's statistics if asked for."""
     rows = elements.join(font_stats(elements), list(PAGE))
     size, bold = F.col("size"), F.col("bold")
     reach = F.col("largest") - F.col("smallest")
@@ -57,7 +57,8 @@ def heading_base(elements: DataFrame) -> DataFrame:
         F.when((size >= F.col("largest")) | (at >= 0.9) | ((at >= 0.8) & bold), "h1")
         .when(((at >= 0.7) & bold) | (ratio >= 1.5) | ((ratio >= 1.2) & bold), "h2").when(bold, "h3").otherwise("normal")
     )
-    return rows.withColumn("level", level).drop("average", "largest", "smallest", "median")
+    rows = rows.withColumn("level", level)
+    return rows if keep_statistics else rows.drop("average", "largest", "smallest", "median")
 
 
 def heading_repair(headings: DataFrame) -> DataFrame:
@@ -393,24 +394,88 @@ def line_rebuild(words: DataFrame, margin: int = 70, pitch: int = 7) -> DataFram
     return rows.groupBy("doc_id", "line_no").agg(F.array_join(ordered, "").alias("line"))
 
 
-def heading_context(lines: DataFrame, page_height: float) -> DataFrame:
-    """Base levels refined in order: numbering, capitals, isolation near the top, then length; with confidence in [0, 1] and hints.
+#: The heading level that a numbering pattern suggests, and what it adds to the confidence, in hundredths.
+NUMBERED = (("h1", 40, ("decimal_1", "named")), ("h2", 35, ("decimal_2", "letter_dot", "roman")), ("h3", 30, ("decimal_3", "letter_paren")))
 
-    lines: level, text, top, bold, is_isolated. Later rules see what earlier ones decided.
+
+def heading_context(lines: DataFrame, page_width: float, page_height: float) -> DataFrame:
+    """(.., refined, confidence, hints): base levels moved by numbering, place, capitals, isolation, length, underline and boldness.
+
+    lines: level, text, top, left, right, size, average (the page's mean size), bold, underlined, is_isolated; null flags are false.
+    The moves are made in this order, each seeing what earlier ones decided; hints name what was seen and which moves were made.
+    Lines of fewer than three characters are normal.
+    """
+    flags = {c: F.coalesce(F.col(c), F.lit(False)) for c in ("bold", "underlined", "is_isolated")}
+    text, n = F.trim(F.coalesce("text", F.lit(""))), F.col("_n")
+    rows = position_features(lines.withColumns(flags), page_width, page_height)
+    rows = rows.withColumns({"_p": numbering(text), "_c": capitals(text), "_n": F.length(text), "refined": F.col("level")})
+    bold, underlined, now = F.col("bold"), F.col("underlined"), F.col("refined")
+    centred, caps, is_ = F.coalesce("is_centered", F.lit(False)), F.col("_c.all_caps"), lambda *levels: now.isin(*levels)
+    suggested = [(F.col("_p").isin(*names), level, None) for level, _, names in NUMBERED]
+    moves = [
+        suggested,
+        [(centred & bold & is_("h3"), "h2", None), (centred & bold & is_("normal"), "h3", None)],
+        [(F.col("is_near_top") & bold & F.col("level").isin("h2", "h3"), "h1", None)],
+        [(F.col("is_indented") & is_("h1"), "h2", "demoted_indented")],
+        [(caps & is_("normal"), "h3", "promoted_all_caps")],
+        [(caps & bold & is_("h3"), "h2", "promoted_bold_caps"), (caps & bold & centred & is_("h2"), "h1", "promoted_centered_caps")],
+        [(F.col("is_isolated") & bold & is_("normal"), "h3", None)],
+        [((n > 200) & is_("h2", "h3") & F.col("_p").isNull() & ~caps & ~centred, "normal", "demoted_long")],
+        [(underlined & is_("normal"), "h3", "promoted_underlined")],
+        [(underlined & bold & is_("h3"), "h2", "promoted_underlined_bold"), (underlined & centred & is_("h3", "h2"), "h1", "promoted_underlined_centered")],
+    ]
+    none = F.lit(None).cast("struct<to:string,hint:string>")
+    for i, cases in enumerate(moves):
+        made = none
+        for when, to, hint in reversed(cases):
+            made = F.when(when, F.struct(F.lit(to).alias("to"), F.lit(hint).cast("string").alias("hint"))).otherwise(made)
+        rows = rows.withColumn(f"_m{i}", made).withColumn("refined", F.coalesce(f"_m{i}.to", "refined"))
+
+    large = F.when(F.col("average") > 0, F.col("size") / F.col("average")).otherwise(1.0) >= 1.3
+    numbered = F.coalesce(*[F.when(when, points) for (when, _, _), (_, points, _) in zip(suggested, NUMBERED)], F.lit(0))
+    moved = lambda i: F.col(f"_m{i}.hint")
+    seen = lambda when, hint: F.when(when, F.lit(hint))
+    hints = F.array(
+        F.concat(F.lit("numbered_"), "_p"), seen(centred, "centered"), seen(F.col("is_near_top"), "near_top"),
+        seen(F.col("is_indented"), "indented"), moved(3), seen(caps, "all_caps"), moved(4), moved(5), seen(F.col("_c.title_case"), "title_case"),
+        seen(F.col("is_isolated"), "isolated"), seen(n < 50, "short_text"), seen(n > 200, "long_text"), moved(7),
+        seen(bold, "bold"), seen(underlined, "underlined"), moved(8), moved(9), seen(large, "large_font"),
+    )
+    worth = ((centred, 15), (F.col("is_near_top"), 10), (caps, 15), (F.col("_c.title_case"), 10), (F.col("is_isolated"), 10), (n < 50, 5), (bold, 10), (underlined, 20), (large, 10))
+    points = numbered + 50
+    for when, more in worth:
+        points = points + F.when(when, more).otherwise(0)
+    short = n < 3
+    result = {
+        "confidence": F.when(short, 0.9).otherwise(F.least(F.lit(100), points) / 100.0),
+        "hints": F.when(short, "too_short").otherwise(F.array_join(hints, ",")),
+        "refined": F.when(short, "normal").otherwise(F.col("refined")),
+    }
+    return rows.withColumns(result).drop("_p", "_c", "_n", *[f"_m{i}" for i in range(len(moves))])
+
+
+def field_hierarchy(headers: DataFrame) -> DataFrame:
+    """(doc_id, line_no, page, title, h1, h2, section_context, h3, h4) of the headers that name a field (field_id not null).
+
+    headers: doc_id, line_no, page, level, text, section_context, field_id. A field stands under the latest h2 at or before it, with
+    that heading's section context, else under the last h2 of its page; title and h1 are the first of its page. An h3 field is its
+    own h3; an h4 field has the latest h3 since the h2. Empty texts count as absent.
     """
-    pattern = numbering(F.col("text"))
-    rows = lines.withColumns({"refined": F.col("level"), "points": F.lit(50), "_p": pattern})
-    first = F.when(F.col("_p").isin("decimal_1", "letter_dot", "named"), "h1").when(F.col("_p").isin("decimal_2", "letter_paren", "roman"), "h2").when(F.col("_p") == "decimal_3", "h3")
-    numbered = first.isNotNull() & (F.col("refined") != "normal")
-    rows = rows.withColumns({"refined": F.when(numbered, first).otherwise(F.col("refined")), "points": F.col("points") + F.when(numbered, 20).otherwise(0)})
-    letters = F.regexp_replace("text", "[^A-Za-z]", "")
-    caps = (F.length(letters) > 0) & (F.upper(letters) == letters)
-    raised = caps & (F.col("refined") == "normal")
-    rows = rows.withColumns({"_caps": caps, "points": F.col("points") + F.when(caps, 10).otherwise(0), "refined": F.when(raised, "h3").otherwise(F.col("refined"))})
-    high = F.col("is_isolated") & (F.col("top") < page_height * 0.2) & (F.col("refined") == "h3")
-    rows = rows.withColumns({"_high": high, "points": F.col("points") + F.when(high, 10).otherwise(0), "refined": F.when(high, "h2").otherwise(F.col("refined"))})
-    long = (F.length("text") > 100) & (F.col("refined") != "normal")
-    rows = rows.withColumns({"_long": long, "points": F.col("points") - F.when(long, 30).otherwise(0), "refined": F.when(long, "normal").otherwise(F.col("refined"))})
-    hints = F.filter(F.array(F.when(F.col("_p").isNotNull(), "numbered"), F.when(F.col("_caps"), "caps"), F.when(F.col("_high"), "top"), F.when(F.col("_long"), "long")), lambda h: h.isNotNull())
-    share = F.greatest(F.lit(0), F.least(F.lit(100), F.col("points"))) / 100.0
-    return rows.withColumns({"confidence": share, "hints": F.array_join(hints, ",")}).drop("_p", "_caps", "_high", "_long", "points")
+    order = Window.partitionBy("doc_id").orderBy("line_no")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    page = Window.partitionBy(*PAGE).orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    level, filled = F.col("level"), lambda c: F.when(c != "", c)
+    # A structure keeps an h2 whose text or context is null distinct from no h2 at all.
+    entry = lambda name: F.when(level == name, F.struct("line_no", "text", "section_context"))
+    rows = headers.withColumns({
+        "_h2": F.last(entry("h2"), ignorenulls=True).over(upto),
+        "_page_h2": F.last(entry("h2"), ignorenulls=True).over(page),
+        "title": F.first(entry("title"), ignorenulls=True).over(page)["text"],
+        "h1": F.first(entry("h1"), ignorenulls=True).over(page)["text"],
+    })
+    since = Window.partitionBy("doc_id", "_h2.line_no").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_h3", F.last(entry("h3"), ignorenulls=True).over(since)["text"]).filter("field_id IS NOT NULL")
+    either = lambda name: F.coalesce(filled(F.col(f"_h2.{name}")), F.col(f"_page_h2.{name}")).alias(name)
+    h3 = F.when(level == "h3", F.col("text")).when(level == "h4", filled(F.col("_h3")))
+    own = [h3.alias("h3"), F.when(level == "h4", F.col("text")).alias("h4")]
+    return rows.select("doc_id", "line_no", "page", "field_id", "title", "h1", either("text").alias("h2"), either("section_context"), *own)

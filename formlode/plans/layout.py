@@ -289,16 +289,55 @@ def line_rebuild(spark, sf):
     return la.line_rebuild(words.select("doc_id", "line_no", F.col("p").alias("word_no"), "word", x.alias("x"), (x + F.length("word")).alias("x2")))
 
 
-_HINT = "array_to_string(list_filter([CASE WHEN p IS NOT NULL THEN 'numbered' END, CASE WHEN caps THEN 'caps' END, CASE WHEN high THEN 'top' END, CASE WHEN long THEN 'long' END], lambda h: h IS NOT NULL), ',')"
+# Every fifth line in capitals, so that the rules on them decide some lines.
+_ABC, _BIG = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-@query("heading_context", _NUM + _STAT + f""", a AS (SELECT *, CASE WHEN regexp_matches(trim(text), '^[0-9]+\\.') AND NOT regexp_matches(trim(text), '^[0-9]+\\.[0-9]+') OR regexp_matches(trim(text), '^[A-Z]\\.') OR regexp_matches(lower(trim(text)), '^(chapter|section) [0-9]+') THEN 'h1' WHEN regexp_matches(trim(text), '^[0-9]+\\.[0-9]+\\.[0-9]+') THEN 'h3' WHEN regexp_matches(trim(text), '^[0-9]+\\.[0-9]+') OR regexp_matches(trim(text), '^[a-z]\\)') OR regexp_matches(trim(text), '^[IVXivx]+\\.') THEN 'h2' END AS p,
-    regexp_replace(text, '[^A-Za-z]', '', 'g') AS letters FROM hd),
-  b AS (SELECT *, p IS NOT NULL AND level <> 'normal' AS num, CASE WHEN p IS NOT NULL AND level <> 'normal' THEN p ELSE level END AS r1, length(letters) > 0 AND upper(letters) = letters AS caps FROM a),
-  c AS (SELECT *, CASE WHEN caps AND r1 = 'normal' THEN 'h3' ELSE r1 END AS r2 FROM b),
-  d AS (SELECT *, line_no % 4 = 0 AND top < 158.4::DOUBLE AND r2 = 'h3' AS high FROM c),
-  e AS (SELECT *, CASE WHEN high THEN 'h2' ELSE r2 END AS r3, length(text) > 100 AND CASE WHEN high THEN 'h2' ELSE r2 END <> 'normal' AS long FROM d)
-  SELECT doc_id, line_no, CASE WHEN long THEN 'normal' ELSE r3 END AS refined, greatest(0, least(100, 50 + CASE WHEN num THEN 20 ELSE 0 END + CASE WHEN caps THEN 10 ELSE 0 END + CASE WHEN high THEN 10 ELSE 0 END - CASE WHEN long THEN 30 ELSE 0 END)) / 100.0::DOUBLE AS confidence, {_HINT} AS hints FROM e""")
+def marked(spark, sf):
+    rows = numbered(spark, sf).withColumn("text", F.when(F.col("line_no") % 5 == 3, F.translate("text", _ABC, _BIG)).otherwise(F.col("text")))
+    left = (F.col("line_no") * 37 % 200).cast("double")
+    rows = rows.withColumns({"left": left, "right": F.least(F.lit(612.0), left + F.length("text") * 5), "is_isolated": F.col("line_no") % 4 == 0, "underlined": F.col("line_no") % 6 == 1})
+    return la.heading_base(rows, keep_statistics=True)
+
+
+_PATTERN = "CASE WHEN regexp_matches(t, '^[0-9]+\\.[0-9]+\\.[0-9]+') THEN 'decimal_3' WHEN regexp_matches(t, '^[0-9]+\\.[0-9]+') THEN 'decimal_2' WHEN regexp_matches(t, '^[0-9]+\\.') THEN 'decimal_1' WHEN regexp_matches(t, '^[A-Z]\\.') THEN 'letter_dot' WHEN regexp_matches(t, '^[a-z]\\)') THEN 'letter_paren' WHEN regexp_matches(t, '^[IVXivx]+\\.') THEN 'roman' WHEN regexp_matches(lower(t), '^(chapter|section) [0-9]+') THEN 'named' END"
+_HINTS = ("'numbered_' || p", "CASE WHEN centred THEN 'centered' END", "CASE WHEN high THEN 'near_top' END", "CASE WHEN dented THEN 'indented' END", "CASE WHEN dented AND r3 = 'h1' THEN 'demoted_indented' END",
+    "CASE WHEN caps THEN 'all_caps' END", "CASE WHEN caps AND r4 = 'normal' THEN 'promoted_all_caps' END", "CASE WHEN caps AND bold AND r5 = 'h3' THEN 'promoted_bold_caps' WHEN caps AND bold AND centred AND r5 = 'h2' THEN 'promoted_centered_caps' END",
+    "CASE WHEN titled THEN 'title_case' END", "CASE WHEN alone THEN 'isolated' END", "CASE WHEN n < 50 THEN 'short_text' END", "CASE WHEN n > 200 THEN 'long_text' END", "CASE WHEN r7 <> r8 THEN 'demoted_long' END",
+    "CASE WHEN bold THEN 'bold' END", "CASE WHEN under THEN 'underlined' END", "CASE WHEN under AND r8 = 'normal' THEN 'promoted_underlined' END", "CASE WHEN under AND bold AND r9 = 'h3' THEN 'promoted_underlined_bold' WHEN under AND centred AND r9 IN ('h3', 'h2') THEN 'promoted_underlined_centered' END", "CASE WHEN big THEN 'large_font' END")
+_POINTS = " + ".join(f"CASE WHEN {c} THEN {n} ELSE 0 END" for c, n in (("centred", 15), ("high", 10), ("caps", 15), ("titled", 10), ("alone", 10), ("n < 50", 5), ("bold", 10), ("under", 20), ("big", 10)))
+
+
+@query("heading_context", _NUM.replace("WITH elt AS", "WITH low AS") + f""", elt AS (SELECT doc_id, line_no, page, size, top, bold, CASE WHEN line_no % 5 = 3 THEN translate(text, '{_ABC}', '{_BIG}') ELSE text END AS text FROM low)""" + _STAT + f""",
+  a AS (SELECT hd.*, trim(text) AS t, length(trim(text)) AS n, (line_no * 37 % 200)::DOUBLE AS l, least(612, line_no * 37 % 200 + length(text) * 5)::DOUBLE AS r, line_no % 4 = 0 AS alone, line_no % 6 = 1 AS under, regexp_replace(trim(text), '^[-*• \t]+', '') AS body FROM hd),
+  b AS (SELECT *, {_PATTERN} AS p, abs(l - (612 - r)) < 61.2::DOUBLE AND (r - l) / 612 < 0.8::DOUBLE AND least(l, 612 - r) >= 30.6::DOUBLE AS centred, l > 91.8::DOUBLE AS dented, top / 792::DOUBLE < 0.2::DOUBLE AS high, size / average >= 1.3::DOUBLE AS big,
+    length(regexp_replace(body, '[^A-Z]', '', 'g')) > 0.9::DOUBLE * length(regexp_replace(body, '[^A-Za-z]', '', 'g')) AS caps, list_filter(string_split_regex(body, '[ \t]+'), lambda w: regexp_matches(w, '^[A-Za-z]')) AS words FROM a),
+  c AS (SELECT *, len(words) > 0 AND len(list_filter(words, lambda w: regexp_matches(w, '^[A-Z]'))) > 0.7::DOUBLE * len(words) AS titled, CASE WHEN p IN ('decimal_1', 'named') THEN 'h1' WHEN p = 'decimal_3' OR p = 'letter_paren' THEN 'h3' WHEN p IS NOT NULL THEN 'h2' ELSE level END AS r1 FROM b),
+  d AS (SELECT *, CASE WHEN centred AND bold AND r1 = 'h3' THEN 'h2' WHEN centred AND bold AND r1 = 'normal' THEN 'h3' ELSE r1 END AS r2 FROM c),
+  e AS (SELECT *, CASE WHEN high AND bold AND level IN ('h2', 'h3') THEN 'h1' ELSE r2 END AS r3 FROM d),
+  f AS (SELECT *, CASE WHEN dented AND r3 = 'h1' THEN 'h2' ELSE r3 END AS r4 FROM e),
+  g AS (SELECT *, CASE WHEN caps AND r4 = 'normal' THEN 'h3' ELSE r4 END AS r5 FROM f),
+  h AS (SELECT *, CASE WHEN caps AND bold AND r5 = 'h3' THEN 'h2' WHEN caps AND bold AND centred AND r5 = 'h2' THEN 'h1' ELSE r5 END AS r6 FROM g),
+  i AS (SELECT *, CASE WHEN alone AND bold AND r6 = 'normal' THEN 'h3' ELSE r6 END AS r7 FROM h),
+  j AS (SELECT *, CASE WHEN n > 200 AND r7 IN ('h2', 'h3') AND p IS NULL AND NOT caps AND NOT centred THEN 'normal' ELSE r7 END AS r8 FROM i),
+  k AS (SELECT *, CASE WHEN under AND r8 = 'normal' THEN 'h3' ELSE r8 END AS r9 FROM j),
+  m AS (SELECT *, CASE WHEN under AND bold AND r9 = 'h3' THEN 'h2' WHEN under AND centred AND r9 IN ('h3', 'h2') THEN 'h1' ELSE r9 END AS r10 FROM k)
+  SELECT doc_id, line_no, CASE WHEN n < 3 THEN 'normal' ELSE r10 END AS refined, CASE WHEN n < 3 THEN 0.9::DOUBLE ELSE least(100, 50 + CASE WHEN p IN ('decimal_1', 'named') THEN 40 WHEN p IN ('decimal_2', 'letter_dot', 'roman') THEN 35 WHEN p IS NOT NULL THEN 30 ELSE 0 END + {_POINTS}) / 100.0::DOUBLE END AS confidence,
+    CASE WHEN n < 3 THEN 'too_short' ELSE array_to_string(list_filter([{', '.join(_HINTS)}], lambda x: x IS NOT NULL), ',') END AS hints FROM m""")
 def heading_context(spark, sf):
-    rows = la.heading_base(numbered(spark, sf)).withColumn("is_isolated", F.col("line_no") % 4 == 0)
-    return la.heading_context(rows, 792.0).select("doc_id", "line_no", "refined", "confidence", "hints")
+    return la.heading_context(marked(spark, sf), 612.0, 792.0).select("doc_id", "line_no", "refined", "confidence", "hints")
+
+
+@query("field_hierarchy", _ELT + _STAT + """, x AS (SELECT doc_id, line_no, page, CASE WHEN line_no % 11 = 3 THEN '' ELSE substr(text, 1, 30) END AS text, CASE WHEN line_no % 40 IN (1, 9) THEN 'title' WHEN level = 'normal' AND line_no % 3 = 0 THEN 'h4' ELSE level END AS level, CASE WHEN line_no % 4 > 0 THEN 'part ' || line_no % 4 END AS section_context, line_no % 2 = 0 AS is_field FROM hd),
+  y AS (SELECT *, max(CASE WHEN level = 'h2' THEN line_no END) OVER (PARTITION BY doc_id ORDER BY line_no) AS at2 FROM x),
+  z AS (SELECT *, max(CASE WHEN level = 'h3' THEN line_no END) OVER (PARTITION BY doc_id, at2 ORDER BY line_no) AS at3 FROM y),
+  pg AS (SELECT doc_id, page, min(CASE WHEN level = 'title' THEN line_no END) AS at0, min(CASE WHEN level = 'h1' THEN line_no END) AS at1, max(CASE WHEN level = 'h2' THEN line_no END) AS last2 FROM x GROUP BY ALL)
+  SELECT z.doc_id, z.line_no, z.page, z.line_no AS field_id, t0.text AS title, t1.text AS h1, coalesce(nullif(t2.text, ''), d2.text) AS h2, coalesce(t2.section_context, d2.section_context) AS section_context, CASE WHEN z.level = 'h3' THEN z.text WHEN z.level = 'h4' THEN nullif(t3.text, '') END AS h3, CASE WHEN z.level = 'h4' THEN z.text END AS h4
+  FROM z JOIN pg ON pg.doc_id = z.doc_id AND pg.page = z.page LEFT JOIN x t0 ON t0.doc_id = z.doc_id AND t0.line_no = at0 LEFT JOIN x t1 ON t1.doc_id = z.doc_id AND t1.line_no = at1 LEFT JOIN x t2 ON t2.doc_id = z.doc_id AND t2.line_no = at2 LEFT JOIN x t3 ON t3.doc_id = z.doc_id AND t3.line_no = at3 LEFT JOIN x d2 ON d2.doc_id = z.doc_id AND d2.line_no = last2 WHERE z.is_field""")
+def field_hierarchy(spark, sf):
+    line, level = F.col("line_no"), F.col("level")
+    text = F.when(line % 11 == 3, "").otherwise(F.substring("text", 1, 30))
+    named = F.when((line % 40).isin(1, 9), "title").when((level == "normal") & (line % 3 == 0), "h4").otherwise(level)
+    context = F.when(line % 4 > 0, F.concat(F.lit("part "), line % 4))
+    rows = headings(spark, sf).withColumns({"text": text, "level": named, "section_context": context, "field_id": F.when(line % 2 == 0, line)})
+    return la.field_hierarchy(rows)
