@@ -13,7 +13,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -108,11 +107,10 @@ def _signatures(size: int):
 def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, column in slices(batch.column(1)):
+            for _, _, column in slices(batch.column(0)):
                 hashes, bounds = shingle_hashes(Words(Texts(column, lower=True)), size)
                 sets = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(hashes.view(np.int64)))
-                out = pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), sets], ["k", "members"])
-                yield out.filter(pc.equal(out.column(0), _names(hashes, bounds)))
+                yield pa.RecordBatch.from_arrays([_names(hashes, bounds), sets], ["k", "members"])
 
     return run
 
@@ -180,9 +178,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     pairs = written(buckets.filter("a <> k").select("a", F.col("k").alias("b")).distinct(), "pairs")
     ends = pairs.select(F.col("a").alias("k")).union(pairs.select(F.col("b"))).distinct()
     chosen = classes.join(ends, "k", "left_semi").select("k", "id")
-    texts = source.join(chosen.withColumnRenamed("id", "own"), F.col("id").eqNullSafe(F.col("own"))).select("k", "text")
-    # An id may name several rows, of other texts or of the same one.
-    sets = texts.mapInArrow(_sets(shingle), "k long, members array<long>").groupBy("k").agg(F.first("members").alias("members"))
+    texts = source.join(chosen.select(F.col("id").alias("own")), F.col("id").eqNullSafe(F.col("own")), "left_semi").select("text")
+    # An id may name several rows, of other texts or of the same one: each is hashed once, and only the classes asked for stay.
+    sets = texts.mapInArrow(_sets(shingle), "k long, members array<long>").join(chosen.select("k"), "k", "left_semi")
+    sets = sets.groupBy("k").agg(F.first("members").alias("members"))
     sets = written(sets, "sets")
     links = written(_confirmed(pairs, sets, percent), "links")
     labels = components(links)

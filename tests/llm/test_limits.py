@@ -163,3 +163,12 @@ def test_texts_of_one_template(spark, monkeypatch):
     for a, b in linked:
         assert got[a] == got[b]
     assert len(set(got.values())) >= 301 - len(linked)
+
+
+def test_repeated_ids_are_hashed_once_a_row(spark):
+    base = prose(3, 60).split()
+    rows = [(None if i % 2 else 7, " ".join(base[:-1] + [f"w{i}"])) for i in range(2000)] + [(8, prose(99, 60)), (7, prose(98, 60))]
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert len(got) == len(rows)
+    assert all(r.component_id == 7 for r in got if r.doc_id != 8)
+    assert [r.component_id for r in got if r.doc_id == 8] == [8]
