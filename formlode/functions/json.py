@@ -2,26 +2,33 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from formlode.shared import written
+
 FENCE = "```"
 
 
 def flatten_json(rows: DataFrame, key: str, text: str) -> DataFrame:
     """(key, path, value): leaves of JSON objects of any depth under dot paths; arrays stay leaves, empty objects vanish.
 
-    Each level parses the objects that are left to maps, until none is left.
+    Values keep their JSON type, so a text that looks like an object stays a leaf. Each level is stored before the next is taken
+    from its objects, so it is parsed once. A null or broken text, and one that is no object, has no leaves.
     """
-    level = rows.select(F.col(key), F.lit("").alias("path"), F.col(text).alias("value"))
-    nested = F.coalesce(F.col("value").startswith("{"), F.lit(False))
-    done = level.limit(0)
-    while True:
-        inner = level.withColumn("m", F.from_json("value", "map<string,string>")).select(key, "path", F.explode("m").alias("k", "v"))
+    entries = "map<string,variant>"
+    found = rows.select(F.col(key), F.lit("").alias("path"), F.try_parse_json(F.col(text)).alias("value"))
+    is_object = F.schema_of_variant("value").startswith("OBJECT")
+    nested, done = found.filter(is_object), []
+    while not done or not nested.isEmpty():
+        inner = nested.select(key, "path", F.explode(F.try_variant_get("value", "$", entries)).alias("k", "v"))
         level = inner.select(key, F.concat("path", F.when(F.col("path") == "", "").otherwise("."), "k").alias("path"), F.col("v").alias("value"))
-        done, level = done.unionByName(level.filter(~nested)), level.filter(nested)
-        if level.isEmpty():
-            return done
+        level = written(level, "level")
+        done.append(level.filter(F.coalesce(~is_object, F.lit(True))).select(key, "path", F.try_variant_get("value", "$", "string").alias("value")))
+        nested = level.filter(is_object)
+    return functools.reduce(DataFrame.unionByName, done)
 
 
 def quoted(text: Column) -> Column:
@@ -33,7 +40,7 @@ def quoted(text: Column) -> Column:
 def unflatten_json(rows: DataFrame, key: str) -> DataFrame:
     """(key, json): nested objects of any depth from (key, path, value) rows with dot paths, keys in order, values as strings.
 
-    The deepest level is folded into objects first, then the next. Where a path is both a leaf and an object, the object stays.
+    The deepest level is folded into objects first and the rest stored, then the next. Where a path is both a leaf and an object, the object stays.
     """
     steps = F.split("path", r"\.")
     level = rows.select(key, steps.alias("steps"), quoted(F.col("value")).alias("part"), F.lit(0).alias("is_object"))
@@ -43,7 +50,7 @@ def unflatten_json(rows: DataFrame, key: str) -> DataFrame:
         entry = F.concat(quoted(F.element_at("steps", -1)), F.lit(":"), "part")
         listed = F.transform(F.array_sort(F.collect_list(F.struct(F.element_at("steps", -1).alias("name"), entry.alias("entry")))), lambda x: x["entry"])
         made = own.groupBy(key, F.slice("steps", 1, depth - 1).alias("steps")).agg(F.concat(F.lit("{"), F.array_join(listed, ","), F.lit("}")).alias("part"))
-        level = level.filter(F.size("steps") < depth).unionByName(made.withColumn("is_object", F.lit(1)))
+        level = written(level.filter(F.size("steps") < depth).unionByName(made.withColumn("is_object", F.lit(1))), "level")
     return level.select(key, F.col("part").alias("json"))
 
 

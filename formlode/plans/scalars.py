@@ -59,10 +59,10 @@ def correct_names(spark, sf):
     return table(spark, sf, "part").select("p_partkey", tx.snake(F.col("p_name")).alias("name"), F.lit(0.6).alias("confidence"))
 
 
-@query("flatten_json", "SELECT event_id, 'a.k' AS path, json_extract_string(props, '$.k') AS value FROM events UNION ALL SELECT event_id, 'b' AS path, event_type AS value FROM events UNION ALL SELECT event_id, 'c.d.e' AS path, '[1,2]' AS value FROM events UNION ALL SELECT event_id, 'c.g.h.i.j.k' AS path, event_type AS value FROM events")
+@query("flatten_json", "SELECT event_id, 'a.k' AS path, json_extract_string(props, '$.k') AS value FROM events UNION ALL SELECT event_id, 'b' AS path, event_type AS value FROM events UNION ALL SELECT event_id, 'c.d.e' AS path, '[1,2]' AS value FROM events UNION ALL SELECT event_id, 'c.g.h.i.j.k' AS path, event_type AS value FROM events UNION ALL SELECT event_id, 's' AS path, '{' || event_type AS value FROM events UNION ALL SELECT event_id, 'q' AS path, '{\"k\":1}' AS value FROM events")
 def flatten_json(spark, sf):
     deep = F.concat(F.lit('"g":{"h":{"i":{"j":{"k":"'), "event_type", F.lit('"}}}}}}'))
-    nested = F.concat(F.lit('{"a":'), "props", F.lit(',"b":"'), "event_type", F.lit('","c":{"d":{"e":[1,2],"f":{}},'), deep)
+    nested = F.concat(F.lit('{"a":'), "props", F.lit(',"b":"'), "event_type", F.lit('","s":"{'), "event_type", F.lit('","q":"{\\"k\\":1}","c":{"d":{"e":[1,2],"f":{}},'), deep)
     return js.flatten_json(table(spark, sf, "events").select("event_id", nested.alias("t")), "event_id", "t")
 
 

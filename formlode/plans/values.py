@@ -16,6 +16,7 @@ from formlode.operators import values as va
 from formlode.operators.hooks import hooked
 from formlode.shared import scratch
 from formlode.sources import files
+from formlode.sources.results import read_results, write_results
 from formlode.streaming import live
 from formlode.streaming import telemetry as te
 
@@ -306,6 +307,17 @@ def sink_partitioned(spark, sf):
     return spark.read.parquet(path).groupBy("level").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("result_layout", W + "SELECT user_id, count(DISTINCT submission_id) AS forms, count(*) AS fields, count(*) FILTER (submission_id % 2 = 0) AS revised, max(selected_conf) FILTER (submission_id % 2 = 1) AS first_conf FROM fin GROUP BY user_id")
+def result_layout(spark, sf):
+    """Every form is saved once and half of them again, the second batch twice."""
+    path = scratch(spark, "results")
+    rows = finals(spark, sf).select("user_id", F.date_format("ts", "yyyy-MM-dd").alias("session_id"), F.col("submission_id").alias("pdf_id"), "field_id", "selected_conf")
+    write_results(rows.withColumn("revised", F.lit(False)), path, 1)
+    for _ in range(2):
+        write_results(rows.filter("pdf_id % 2 = 0").withColumns({"revised": F.lit(True), "selected_conf": F.lit(None).cast("double")}), path, 2)
+    return read_results(spark, path).groupBy("user_id").agg(F.count_distinct("pdf_id").alias("forms"), F.count(F.lit(1)).alias("fields"), F.count_if("revised").alias("revised"), F.max("selected_conf").alias("first_conf"))
+
+
 @query("validate_csv", ORACLES["validate_by_type"])
 def validate_csv(spark, sf):
     from .core import validate_by_type

@@ -36,6 +36,16 @@ def test_json_of_any_depth_goes_flat_and_back(spark):
     assert js.unflatten_json(both.filter("id > 1"), "id").count() == 0
 
 
+def test_json_texts_that_look_like_objects_are_leaves(spark):
+    given = {"a": "{draft", "c": '{"k":1}', "l": [1, {"x": 2}], "n": None, "t": True, "d": 1.5, "i": 12, "e": {}, "o": {"e": {}, "s": "{}"}}
+    rows = spark.createDataFrame([(1, json.dumps(given)), (2, "[1]"), (3, '"{}"'), (4, "{broken")], "id long, t string")
+    got = {(r.id, r.path): r.value for r in js.flatten_json(rows, "id", "t").collect()}
+    assert got == {
+        (1, "a"): "{draft", (1, "c"): '{"k":1}', (1, "l"): '[1,{"x":2}]', (1, "n"): None, (1, "t"): "true", (1, "d"): "1.5", (1, "i"): "12", (1, "o.s"): "{}",
+    }
+    assert js.flatten_json(rows.limit(0), "id", "t").collect() == []
+
+
 def test_list_chains_by_kind(spark):
     texts = ["1. a", "2) b", "4. c", "i. d", "ii. e", "iii) f", "iv. g", "xix. h", "a. i", "b. j", "B. k", "- l", "* m", "plain", "- n"]
     df = spark.createDataFrame([(1, 0, i, t) for i, t in enumerate(texts)], "doc_id long, page int, line_no int, text string")
