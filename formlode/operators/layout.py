@@ -268,22 +268,27 @@ def nearest_line(widgets: DataFrame, lines: DataFrame, most: float = 10.0) -> Da
 
 
 def outline_match(lines: DataFrame, outline: DataFrame, longest: int = 10) -> DataFrame:
-    """(doc_id, line_no, title_id): lines equal to a title, without case, or containing or contained in one of more than ``longest`` characters.
+    """(doc_id, line_no, title_id, heading, kind): lines equal to a title, without case, or containing or contained in one of more than ``longest`` characters.
+
+    outline: title_id, title, level; the heading is the level of the matched title, h3 for deeper ones and h1 for a level below 1.
 
     Exact titles are an equi-join. Of two texts of which one contains the other, the longer holds the first ``longest`` + 1 characters
     of the shorter, which is the key of two further equi-joins; the first title wins.
     """
     named = lines.select("doc_id", "line_no", F.lower(F.trim("text")).alias("line")).filter("line <> ''")
-    titles = outline.select("title_id", F.lower(F.trim("title")).alias("title")).filter("title <> ''")
-    exact = named.join(titles, named.line == titles.title).groupBy("doc_id", "line_no").agg(F.min("title_id").alias("title_id")).withColumn("kind", F.lit("exact"))
+    entry = F.struct("title_id", F.least(F.lit(3), F.greatest(F.lit(1), F.col("level"))).alias("level")).alias("entry")
+    titles = outline.select(entry, F.lower(F.trim("title")).alias("title")).filter("title <> ''")
+    first = F.min("entry").alias("entry")
+    exact = named.join(titles, named.line == titles.title).groupBy("doc_id", "line_no").agg(first).withColumn("kind", F.lit("exact"))
     rest = named.join(exact, ["doc_id", "line_no"], "left_anti").filter(F.length("line") > longest)
     n, long_titles = longest + 1, titles.filter(F.length("title") > longest)
     head = lambda c: F.substring(c, 1, n).alias("part")
     parts = lambda c: F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - longest), lambda i: F.substring(F.col(c), i, F.lit(n))))).alias("part")
     inside = rest.select("*", parts("line")).join(long_titles.select("*", head("title")), "part").filter(F.col("line").contains(F.col("title")))
     around = rest.select("*", head("line")).join(long_titles.select("*", parts("title")), "part").filter(F.col("title").contains(F.col("line")))
-    found = inside.unionByName(around).groupBy("doc_id", "line_no").agg(F.min("title_id").alias("title_id"))
-    return exact.unionByName(found.withColumn("kind", F.lit("partial")))
+    found = inside.unionByName(around).groupBy("doc_id", "line_no").agg(first)
+    both = exact.unionByName(found.withColumn("kind", F.lit("partial")))
+    return both.select("doc_id", "line_no", "entry.title_id", F.concat(F.lit("h"), "entry.level").alias("heading"), "kind")
 
 
 def doc_fingerprint(lines: DataFrame) -> DataFrame:
@@ -394,6 +399,34 @@ def line_rebuild(words: DataFrame, margin: int = 70, pitch: int = 7) -> DataFram
     return rows.groupBy("doc_id", "line_no").agg(F.array_join(ordered, "").alias("line"))
 
 
+def form_fingerprint(lines: DataFrame, widgets: DataFrame, page_width: float, page_height: float) -> DataFrame:
+    """(doc_id, fingerprint, widgets, kinds, page_kinds, boxes, thirds): the fingerprint of the text and of the widgets' layout.
+
+    widgets: doc_id, page, kind, left, top, width, height. kinds and page_kinds count widgets by kind; boxes holds for each page a hash of
+    its boxes in thousandths of the page, whatever their order; thirds counts their centres. A null kind is UNKNOWN, a null number -1.
+    Documents without widgets have empty parts; widgets of documents without lines don't count.
+    """
+    share = lambda c, whole: F.coalesce(F.floor(c / whole * 1000 + 0.5), F.lit(-1))
+    top, left = F.col("top"), F.col("left")
+    box = F.struct(share(top, page_height).alias("y"), share(left, page_width).alias("x"), share(top + F.col("height"), page_height).alias("y2"), share(left + F.col("width"), page_width).alias("x2"))
+    spot = third((top + F.col("height") / 2) / page_height)
+    # One shuffle by document serves all three groupings; a document's widgets are bounded by its pages.
+    rows = widgets.select(*PAGE, F.coalesce("kind", F.lit("UNKNOWN")).alias("kind"), box.alias("box"), spot.alias("spot")).repartition("doc_id")
+    joined = lambda listed, f, mark: F.array_join(F.transform(F.array_sort(listed), f), mark)
+    count = F.count(F.lit(1)).alias("n")
+    by_kind = rows.groupBy(*PAGE, "kind").agg(count, F.collect_list("box").alias("boxes"), *[F.count_if(F.col("spot") == t).alias(t) for t in ("top", "middle", "bottom")])
+    kinds = joined(F.collect_list(F.struct("kind", "n")), lambda k: F.concat(k["kind"], F.lit("="), k["n"]), ",")
+    shown = joined(F.flatten(F.collect_list("boxes")), lambda b: F.concat_ws(",", b["y"], b["x"], b["y2"], b["x2"]), ";")
+    pages = by_kind.groupBy(*PAGE).agg(kinds.alias("kinds"), F.sha2(shown, 256).alias("hash"), F.concat_ws("/", *[F.sum(t).cast("string") for t in ("top", "middle", "bottom")]).alias("thirds"))
+    told = lambda c: joined(F.collect_list(F.struct("page", c)), lambda p: F.concat(p["page"].cast("string"), F.lit(":"), p[c]), "|")
+    totals = by_kind.groupBy("doc_id", "kind").agg(F.sum("n").alias("n")).groupBy("doc_id").agg(F.sum("n").alias("widgets"), kinds.alias("kinds"))
+    parts = pages.groupBy("doc_id").agg(told("kinds").alias("page_kinds"), told("hash").alias("boxes"), told("thirds").alias("thirds")).join(totals, "doc_id")
+    both = doc_fingerprint(lines).join(parts, "doc_id", "left").fillna(0, ["widgets"]).fillna("", ["kinds", "page_kinds", "boxes", "thirds"])
+    size = F.lit(f"{int(page_width * 10 + 0.5)}x{int(page_height * 10 + 0.5)}")
+    names = ("widgets", "kinds", "page_kinds", "boxes", "thirds")
+    return both.select("doc_id", F.sha2(F.concat_ws("#", "fingerprint", size, *[F.col(c).cast("string") for c in names]), 256).alias("fingerprint"), *names)
+
+
 #: The heading level that a numbering pattern suggests, and what it adds to the confidence, in hundredths.
 NUMBERED = (("h1", 40, ("decimal_1", "named")), ("h2", 35, ("decimal_2", "letter_dot", "roman")), ("h3", 30, ("decimal_3", "letter_paren")))
 

@@ -202,6 +202,25 @@ def doc_fingerprint(spark, sf):
     return fingerprints(spark, sf)
 
 
+_FORM = """, w AS (SELECT doc_id, page, CASE length(text) % 4 WHEN 0 THEN 'UNKNOWN' WHEN 1 THEN 'TEXT' WHEN 2 THEN 'CHECKBOX' ELSE 'CHOICE' END AS kind, top + 7 AS y, 100 + length(text) % 300 AS x, top + 19 AS y2, 100 + length(text) % 300 + 40 + line_no % 50 AS x2 FROM elt WHERE line_no % 5 = 2),
+  q AS (SELECT doc_id, page, kind, CAST(floor(y / 792.0::DOUBLE * 1000 + 0.5::DOUBLE) AS BIGINT) AS y, CAST(floor(x / 612.0::DOUBLE * 1000 + 0.5::DOUBLE) AS BIGINT) AS x, CAST(floor(y2 / 792.0::DOUBLE * 1000 + 0.5::DOUBLE) AS BIGINT) AS y2, CAST(floor(x2 / 612.0::DOUBLE * 1000 + 0.5::DOUBLE) AS BIGINT) AS x2, CASE WHEN (y + 6.0::DOUBLE) / 792 < 0.33::DOUBLE THEN 0 WHEN (y + 6.0::DOUBLE) / 792 < 0.67::DOUBLE THEN 1 ELSE 2 END AS spot FROM w),
+  pk AS (SELECT doc_id, page, string_agg(kind || '=' || n, ',' ORDER BY kind) AS kinds FROM (SELECT doc_id, page, kind, count(*) AS n FROM q GROUP BY ALL) GROUP BY ALL),
+  dk AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS widgets, string_agg(kind || '=' || n, ',' ORDER BY kind) AS kinds FROM (SELECT doc_id, kind, count(*) AS n FROM q GROUP BY ALL) GROUP BY ALL),
+  pp AS (SELECT doc_id, page, sha256(string_agg(y || ',' || x || ',' || y2 || ',' || x2, ';' ORDER BY y, x, y2, x2)) AS h, count(*) FILTER (spot = 0) || '/' || count(*) FILTER (spot = 1) || '/' || count(*) FILTER (spot = 2) AS thirds FROM q GROUP BY ALL),
+  dp AS (SELECT doc_id, string_agg(page || ':' || kinds, '|' ORDER BY page) AS page_kinds, string_agg(page || ':' || h, '|' ORDER BY page) AS boxes, string_agg(page || ':' || thirds, '|' ORDER BY page) AS thirds FROM pp JOIN pk USING (doc_id, page) GROUP BY ALL),
+  ff AS (SELECT doc_id, fingerprint AS f, coalesce(widgets, 0) AS widgets, coalesce(kinds, '') AS kinds, coalesce(page_kinds, '') AS page_kinds, coalesce(boxes, '') AS boxes, coalesce(thirds, '') AS thirds FROM fp LEFT JOIN dk USING (doc_id) LEFT JOIN dp USING (doc_id))
+  SELECT doc_id, sha256(f || '#6120x7920#' || widgets || '#' || kinds || '#' || page_kinds || '#' || boxes || '#' || thirds) AS fingerprint, widgets, kinds, page_kinds, boxes, thirds FROM ff"""
+
+
+@query("form_fingerprint", _ELT + _FP + _FORM)
+def form_fingerprint(spark, sf):
+    lines = elements(spark, sf).withColumn("zone", la.third(F.col("top") / 720.0))
+    n = F.length("text")
+    kind = F.when(n % 4 == 1, "TEXT").when(n % 4 == 2, "CHECKBOX").when(n % 4 == 3, "CHOICE")
+    boxes = lines.filter("line_no % 5 = 2").select("doc_id", "page", kind.alias("kind"), (100 + n % 300).alias("left"), (F.col("top") + 7).alias("top"), (40 + F.col("line_no") % 50).alias("width"), F.lit(12).alias("height"))
+    return la.form_fingerprint(lines, boxes, 612.0, 792.0)
+
+
 @query("fingerprint_dups", _ELT + _FP + "SELECT fingerprint, count(*) AS n, min(doc_id) AS first_id FROM fp GROUP BY ALL HAVING count(*) > 1")
 def fingerprint_dups(spark, sf):
     return fingerprints(spark, sf).groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id")).filter("n > 1")
@@ -215,9 +234,9 @@ def registry_stats(spark, sf):
     return uses.agg(F.count(F.lit(1)).alias("entries"), F.sum("n").alias("uses"), mean("n").alias("avg_uses"))
 
 
-@query("outline_match", _ELT + ", n AS (SELECT doc_id, line_no, lower(trim(text)) AS line FROM elt WHERE trim(text) <> ''), t AS (SELECT item_id AS title_id, lower(trim(text)) AS title FROM benchmark WHERE trim(text) <> ''), e AS (SELECT doc_id, line_no, min(title_id) AS title_id, 'exact' AS kind FROM n JOIN t ON line = title GROUP BY ALL), r AS (SELECT * FROM n WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.doc_id = n.doc_id AND e.line_no = n.line_no)) SELECT * FROM e UNION ALL SELECT doc_id, line_no, min(title_id) AS title_id, 'partial' AS kind FROM r JOIN t ON length(title) > 10 AND length(line) > 10 AND (contains(line, title) OR contains(title, line)) GROUP BY doc_id, line_no")
+@query("outline_match", _ELT + ", n AS (SELECT doc_id, line_no, lower(trim(text)) AS line FROM elt WHERE trim(text) <> ''), t AS (SELECT item_id AS title_id, lower(trim(text)) AS title FROM benchmark WHERE trim(text) <> ''), e AS (SELECT doc_id, line_no, min(title_id) AS title_id, 'exact' AS kind FROM n JOIN t ON line = title GROUP BY ALL), r AS (SELECT * FROM n WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.doc_id = n.doc_id AND e.line_no = n.line_no)) SELECT *, 'h' || least(title_id % 5 + 1, 3) AS heading FROM (SELECT * FROM e UNION ALL SELECT doc_id, line_no, min(title_id) AS title_id, 'partial' AS kind FROM r JOIN t ON length(title) > 10 AND length(line) > 10 AND (contains(line, title) OR contains(title, line)) GROUP BY doc_id, line_no)")
 def outline_match(spark, sf):
-    return la.outline_match(elements(spark, sf), table(spark, sf, "benchmark").select(F.col("item_id").alias("title_id"), F.col("text").alias("title")))
+    return la.outline_match(elements(spark, sf), table(spark, sf, "benchmark").select(F.col("item_id").alias("title_id"), F.col("text").alias("title"), (F.col("item_id") % 5 + 1).alias("level")))
 
 
 def widgets(spark, sf):
