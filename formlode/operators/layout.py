@@ -270,13 +270,15 @@ def nearest_line(widgets: DataFrame, lines: DataFrame, most: float = 10.0) -> Da
 def outline_match(lines: DataFrame, outline: DataFrame, longest: int = 10) -> DataFrame:
     """(doc_id, line_no, title_id, heading, kind): lines equal to a title, without case, or containing or contained in one of more than ``longest`` characters.
 
-    outline: title_id, title, level; the heading is the level of the matched title, h3 for deeper ones and h1 for a level below 1.
+    outline: title_id, title and, if known, level; the heading is the level of the matched title, h3 for deeper ones and h1 for a level
+    below 1, null without a level.
 
     Exact titles are an equi-join. Of two texts of which one contains the other, the longer holds the first ``longest`` + 1 characters
     of the shorter, which is the key of two further equi-joins; the first title wins.
     """
     named = lines.select("doc_id", "line_no", F.lower(F.trim("text")).alias("line")).filter("line <> ''")
-    entry = F.struct("title_id", F.least(F.lit(3), F.greatest(F.lit(1), F.col("level"))).alias("level")).alias("entry")
+    level = F.col("level").cast("int") if "level" in outline.columns else F.lit(None).cast("int")
+    entry = F.struct("title_id", F.when(level.isNotNull(), F.least(F.lit(3), F.greatest(F.lit(1), level))).alias("level")).alias("entry")
     titles = outline.select(entry, F.lower(F.trim("title")).alias("title")).filter("title <> ''")
     first = F.min("entry").alias("entry")
     exact = named.join(titles, named.line == titles.title).groupBy("doc_id", "line_no").agg(first).withColumn("kind", F.lit("exact"))

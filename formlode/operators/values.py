@@ -80,6 +80,17 @@ def missing_keys(values: DataFrame, wanted: DataFrame) -> DataFrame:
     return lacking.select("user_id", "key", "mandatory", "kind", F.when(first, F.col("section")).alias("label"))
 
 
+def shown_first(rows: DataFrame, group: str, item: str, flag: str, most: int = 20) -> DataFrame:
+    """(group, shown, more): the first flagged items of each group, joined by commas, and how many follow; '' and 0 without any.
+
+    Only the first ``most`` items are gathered: Spark limits each group to them before it shuffles, and counts apart.
+    """
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(item))
+    first = rows.filter(flag).withColumn("_rank", rank).filter(F.col("_rank") <= most).groupBy(group).agg(F.array_join(F.array_sort(F.collect_list(item)), ",").alias("shown"))
+    totals = rows.groupBy(group).agg(F.count_if(F.coalesce(F.col(flag), F.lit(False))).alias("_n"))
+    return totals.join(first, totals[group].eqNullSafe(first[group]), "left").select(totals[group], F.coalesce("shown", F.lit("")).alias("shown"), F.greatest(F.lit(0), F.col("_n") - most).cast("int").alias("more"))
+
+
 def accepted(current: DataFrame, answers: DataFrame, schema: DataFrame, errors) -> DataFrame:
     """Current values updated by known, valid, non-empty answers."""
     good = answers.join(schema.select("key"), "key", "left_semi").filter(F.size(errors(F.col("key"), F.col("value"))) == 0)

@@ -9,6 +9,7 @@ from formlode.functions.rounding import half_up
 from formlode.operators import ensemble as en
 from formlode.operators import learning as le
 from formlode.operators import metrics as me
+from formlode.shared import written
 
 from .registry import a4, query, r4, rat
 from .adapters import ENS, SUB, submissions, table
@@ -75,8 +76,9 @@ _RAW = f"""met0 AS (SELECT submission_id, user_id, pdf_hash, category, sub_categ
 M = f"WITH {SUB}, {ENS}, {_RAW} "
 
 
-def metrics(spark: SparkSession, sf: str) -> DataFrame:
-    return me.submission_metrics(finals(spark, sf).withColumn("rag_margin", half_up(F.col("rag_conf") - 0.5)))
+def metrics(spark: SparkSession, sf: str, rows: DataFrame | None = None) -> DataFrame:
+    rows = finals(spark, sf) if rows is None else rows
+    return me.submission_metrics(rows.withColumn("rag_margin", half_up(F.col("rag_conf") - 0.5)))
 
 
 @query("submission_metrics", M + "SELECT * FROM met")
@@ -109,8 +111,9 @@ _ACC = [f"{k}_{s}" for k in ("errors", "accuracy") for s in ("llm", "rag", "ense
 
 
 def corrected(spark: SparkSession, sf: str) -> DataFrame:
-    rows = finals(spark, sf)
-    return me.accuracy_after_errors(metrics(spark, sf), rows, feedback(rows))
+    # The joined base serves metrics, finals and feedback: stored, it is joined once.
+    rows = written(finals(spark, sf), "finals")
+    return me.accuracy_after_errors(metrics(spark, sf, rows), rows, feedback(rows))
 
 
 @query("accuracy_after_errors", A + f"SELECT submission_id, {', '.join(_ACC)} FROM acc")
@@ -240,7 +243,7 @@ def vector_action_summary(spark, sf):
 
 @query("route_errors", f"WITH {SUB}, {ENS}, {_FB}, first AS (SELECT *, row_number() OVER (PARTITION BY submission_id, selected_field_name ORDER BY field_id) AS n FROM fin WHERE selected_field_name IS NOT NULL) SELECT error_id, fb.submission_id, fb.field_name, field_id, case_type, CASE WHEN case_type IN ('A', 'D') OR (case_type = 'B' AND selected_from = 'rag') THEN 'vec_' || rag_name || '_' || (field_id % 4) WHEN case_type IN ('B', 'C') THEN 'vec_' || fb.field_name || '_0' END AS vector_id FROM fb JOIN first ON fb.submission_id = first.submission_id AND fb.field_name = first.selected_field_name AND n = 1")
 def route_errors(spark, sf):
-    rows = finals(spark, sf).withColumn("rag_vector_id", F.concat(F.lit("vec_"), "rag_name", F.lit("_"), F.col("field_id") % 4))
+    rows = written(finals(spark, sf), "finals").withColumn("rag_vector_id", F.concat(F.lit("vec_"), "rag_name", F.lit("_"), F.col("field_id") % 4))
     vectors = rows.filter("rag_vector_id IS NOT NULL").select(F.col("rag_vector_id").alias("vector_id"), F.col("rag_name").alias("field_name")).distinct()
     return en.route_errors(feedback(rows).select("error_id", "submission_id", "field_name"), rows, vectors)
 

@@ -54,12 +54,12 @@ def _shaped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def corpus_text(files: DataFrame) -> DataFrame:
-    """(path, text, error) of (path, content): CSV cells joined by |, JSON indented, texts stripped; other extensions are errors.
+    """(path, text, error) of (path, content): CSV cells joined by |, JSON indented, texts stripped; other extensions and null paths are errors.
 
     Quoted CSV cells may hold commas and line breaks; empty rows vanish. Malformed JSON is an error of its row. Only CSV
     and JSON files pass through Python; the others stay expressions.
     """
-    kind = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
+    kind = F.coalesce(F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)), F.lit(""))
     body = F.decode("content", F.lit("UTF-8")) if dict(files.dtypes)["content"] == "binary" else F.col("content")
     rows = files.select("path", kind.alias("kind"), body.alias("body"))
     plain = F.when(F.col("kind").isin("txt", "md", "markdown"), F.btrim(F.col("body"), F.lit(" \t\n\r\f\x0b")))

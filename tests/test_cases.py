@@ -4,6 +4,7 @@ import json
 
 from formlode.functions import json as js
 from formlode.operators import layout as la
+from formlode.operators import values as va
 from formlode.sources import files
 from pyspark.sql import functions as F
 
@@ -70,6 +71,21 @@ def test_titles_within_lines(spark):
     titles = spark.createDataFrame([(1, "annual report"), (2, "the annual report of 2023"), (3, None), (4, "short")], "title_id long, title string")
     got = {r.line_no: (r.title_id, r.kind) for r in la.outline_match(lines, titles).collect()}
     assert got == {0: (1, "partial"), 1: (1, "exact")}
+    for level, heading in ((1, "h1"), (3, "h3"), (7, "h3"), (None, None)):
+        found = la.outline_match(lines, titles.withColumn("level", F.lit(level).cast("int"))).collect()
+        assert {(r.line_no, r.heading) for r in found} == {(0, heading), (1, heading)}
+
+
+def test_files_without_a_path_are_errors(spark):
+    rows = spark.createDataFrame([(None, "a"), ("b.txt", " b "), ("c", "c")], "path string, content string")
+    got = {r.path: (r.text, r.error) for r in files.corpus_text(rows).collect()}
+    assert got == {None: (None, "unsupported: "), "b.txt": ("b", None), "c": (None, "unsupported: ")}
+
+
+def test_first_items_shown(spark):
+    rows = spark.createDataFrame([("a", i, i % 2 == 0) for i in range(50)] + [("b", 1, False), (None, 2, True), ("c", 3, None)], "g string, i int, f boolean")
+    got = {r.g: (r.shown, r.more) for r in va.shown_first(rows, "g", "i", "f", 3).collect()}
+    assert got == {"a": ("0,2,4", 22), "b": ("", 0), None: ("2", 0), "c": ("", 0)}
 
 
 def test_fingerprints_differ_by_inner_lines(spark):
