@@ -17,7 +17,7 @@ from formlode.operators.hooks import hooked
 from formlode.shared import scratch
 from formlode.sources import files
 from formlode.sources.results import read_results, write_results
-from formlode.streaming import live
+from formlode.streaming import ingest, live
 from formlode.streaming import telemetry as te
 
 from .adapters import table
@@ -341,6 +341,42 @@ def telemetry_ingest(spark, sf):
     return spark.read.parquet(path).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_hash").alias("users"))
 
 
+_TYPED_EVENTS = """WITH e AS (SELECT event_id, ts, user_id, event_id % 1500 AS document_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, value,
+    CASE WHEN event_id % 41 = 0 THEN 'heartbeat' WHEN event_type IN ('view', 'click') THEN 'extraction_result' WHEN event_type IN ('signup', 'purchase') THEN 'state_transition' ELSE 'session_complete' END AS of FROM events),
+    r AS (SELECT *, CASE WHEN ts IS NULL THEN 'time' WHEN of = 'heartbeat' THEN 'type' WHEN event_id % 37 = 0 THEN 'json' WHEN k IS NULL OR value IS NULL OR event_id % 43 = 0 THEN 'field' END AS reason FROM e),
+    d AS (SELECT doc_id AS document_id, min((source, lang)) AS c FROM documents GROUP BY doc_id),
+    t AS (SELECT CASE WHEN reason IS NULL THEN of ELSE 'quarantine' END AS kind, reason, c[1] AS source, user_id, CASE WHEN reason IS NULL THEN k END AS k, CASE WHEN reason IS NULL THEN value END AS value FROM r LEFT JOIN d USING (document_id))
+    """
+
+
+def typed_raw(spark, sf):
+    """Raw telemetry from the event table, with rows of every reason to be set apart."""
+    k, value, change = F.get_json_object("props", "$.k").cast("long"), F.col("value"), F.when(F.col("event_id") % 43 != 0, F.get_json_object("props", "$.k").cast("long"))
+    of = F.when(F.col("event_id") % 41 == 0, "heartbeat").when(F.col("event_type").isin("view", "click"), "extraction_result").when(F.col("event_type").isin("signup", "purchase"), "state_transition").otherwise("session_complete")
+    body = {
+        "extraction_result": {"fields_extracted": change, "fields_attempted": k + 1, "latency": value, "method": F.lit("rule")},
+        "state_transition": {"from_state": F.lit("start"), "to_state": F.lit("form"), "turn_number": change, "latency": value},
+        "session_complete": {"total_turns": change, "duration_seconds": value, "mandatory_pct": k.cast("double"), "optional_pct": F.lit(0.0)},
+    }
+    payload = F.coalesce(*[F.when(of == kind, F.to_json(F.struct(*[x.alias(c) for c, x in fields.items()]))) for kind, fields in body.items()], F.lit("{}"))
+    cut = F.when(F.col("event_id") % 37 == 0, F.substring(payload, 1, 9)).otherwise(payload)
+    day = F.date_format("ts", "yyyy-MM-dd")
+    return table(spark, sf, "events").select("event_id", "ts", F.col("user_id").cast("string").alias("user_id"), day.alias("session_id"), (F.col("event_id") % 1500).alias("document_id"), of.alias("event_type"), cut.alias("payload"))
+
+
+@query("telemetry_typed", _TYPED_EVENTS + f"""SELECT kind, reason, source, count(*) AS n, count(DISTINCT user_id) AS users,
+    sum(CASE WHEN kind IN ('extraction_result', 'state_transition') THEN CAST(trunc(value * 1000) AS BIGINT) END)::BIGINT AS latency_ms, sum(CASE WHEN kind = 'extraction_result' THEN k END)::BIGINT AS fields_extracted,
+    sum(CASE WHEN kind = 'state_transition' THEN k END)::BIGINT AS turns, {r4("sum(CASE WHEN kind = 'session_complete' THEN " + r4("value", 1) + " END)", 1)} AS seconds FROM t GROUP BY kind, reason, source""")
+def telemetry_typed(spark, sf):
+    path, raw, contexts = scratch(spark, "typed"), typed_raw(spark, sf), table(spark, sf, "documents").select(F.col("doc_id").alias("document_id"), "source", "lang")
+    parts, keep = [raw.filter(F.pmod(F.xxhash64("event_id"), F.lit(2)) == i) for i in range(2)], ingest.typed_sink(f"{path}/typed")
+    live.replayed(parts, lambda rows: ingest.typed_events(rows, contexts), path, "append", 4, sink=keep)
+    keep(ingest.typed_events(parts[1], contexts), 1)  # comes again
+    got = ingest.ingested(spark, f"{path}/typed", "source string, lang string").groupBy("kind", "reason", "source")
+    seconds = half_up(F.sum("duration_seconds"), 1)
+    return got.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_id_hash").alias("users"), F.sum("latency_ms").alias("latency_ms"), F.sum("fields_extracted").alias("fields_extracted"), F.sum("turn_number").alias("turns"), seconds.alias("seconds"))
+
+
 @query("confidence_stream", _FOLD + "SELECT vector_id, arg_max(c, n) AS confidence, CAST(max(n) AS INTEGER) AS steps FROM walk GROUP BY vector_id")
 def confidence_stream(spark, sf):
     events = event_stream(spark, sf).select(F.col("user_id").alias("vector_id"), "ts", "event_id", (F.col("event_type") != "error").alias("positive"))
