@@ -150,26 +150,41 @@ def source_check(vectors: DataFrame, required: tuple[str, ...]) -> DataFrame:
     return vectors.withColumn("missing", missing)
 
 
+#: Digits that embeddings are kept to.
+DIGITS = 8
+
+
 def hashed_embedding(texts: list[str], width: int = 64) -> np.ndarray:
-    """A deterministic bag-of-words embedding: words are hashed to signed places, rows have unit length."""
+    """A deterministic bag-of-words embedding: words are hashed to signed places, rows have unit length.
+
+    Each distinct word of a batch is hashed once; a text without words gives zeros.
+    """
     import zlib
 
+    words = [text.lower().split() for text in texts]
+    owner = np.repeat(np.arange(len(texts)), [len(w) for w in words])
+    code, distinct = pd.factorize(np.array([w for own in words for w in own], object))
+    h = np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in distinct], np.int64)
     out = np.zeros((len(texts), width))
-    for i, text in enumerate(texts):
-        for word in text.lower().split():
-            h = zlib.crc32(word.encode())
-            out[i, h % width] += 1.0 if h >> 31 else -1.0
+    if len(code):
+        np.add.at(out, (owner, (h % width)[code]), np.where(h >> 31, 1.0, -1.0)[code])
     norm = np.linalg.norm(out, axis=1, keepdims=True)
     return out / np.where(norm == 0, 1.0, norm)
 
 
-def embedder(model: Callable[[list[str]], np.ndarray] = hashed_embedding):
-    """An iterator pandas UDF of the model, to be used on columns or registered by name."""
+def embedder(model: Callable[[list[str]], np.ndarray] = hashed_embedding, batch_texts: int = 1024):
+    """An iterator pandas UDF of the model, to be used on columns or registered by name; the model gets ``batch_texts`` texts at most.
+
+    Values are doubles of DIGITS digits; a null text is embedded as an empty one.
+    """
 
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf("array<double>")
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series(list(model(batch.fillna("").tolist()).astype(np.float32)))
+            texts, rows = batch.fillna("").tolist(), []
+            for at in range(0, len(texts), batch_texts):
+                rows.extend(np.round(np.asarray(model(texts[at : at + batch_texts]), np.float64), DIGITS) + 0.0)
+            yield pd.Series(rows, dtype=object)
 
     return embed
 

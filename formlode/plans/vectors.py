@@ -104,7 +104,7 @@ def ivf_recall(spark, sf):
 
 @query("embed_text")
 def embed_text(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text", F.lit(None).cast("array<float>").alias("embedding"))
+    docs = table(spark, sf, "documents").select("doc_id", "text", F.lit(None).cast("array<double>").alias("embedding"))
     return re.embed_missing(docs, "text").select("doc_id", "embedding")
 
 
