@@ -10,8 +10,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from formlode.functions.rounding import half_up
-
 THRESHOLD, TOP = 0.75, 5
 #: Queries of a block and vectors of a tile, which bound a tile's similarities to 8 MB.
 BLOCK, TILE, SHARD = 512, 2048, 16_384
@@ -31,23 +29,32 @@ def _unit(rows: np.ndarray) -> np.ndarray:
 FOUND = "query_id long, vector_id long, field_name string, similarity double"
 
 
-def _tiles(top: int, own_too: bool):
+def _tiles(top: int, own_too: bool, tables: int = 0):
+    """The best of each query in a shard. The last ``tables`` entries of a vector are buckets, of which a pair must share one."""
+
     def run(shard: pa.Table, blocks: pa.Table) -> pa.Table:
         out = []
         if shard.num_rows and blocks.num_rows:
-            vectors = np.asarray(shard.column("embedding").combine_chunks().flatten(), np.float64)
-            vectors = _unit(vectors.reshape(shard.num_rows, -1))
+            rows = np.asarray(shard.column("embedding").combine_chunks().flatten(), np.float64).reshape(shard.num_rows, -1)
+            width = rows.shape[1] - tables
+            vectors, buckets = _unit(rows[:, :width]), rows[:, width:]
             ids, names = np.asarray(shard.column("vector_id")), shard.column("field_name").to_pylist()
             for own, body in zip(blocks.column("ids").to_pylist(), blocks.column("body").to_pylist(), strict=True):
-                queries = _unit(np.frombuffer(body, np.float64).reshape(-1, vectors.shape[1]))
+                asked = np.frombuffer(body, np.float64).reshape(-1, rows.shape[1])
+                queries = _unit(asked[:, :width])
                 for at in range(0, len(vectors), TILE):
                     scores = np.floor(queries @ vectors[at : at + TILE].T * 1e6 + 0.5) / 1e6
+                    if tables:
+                        met = np.zeros(scores.shape, bool)
+                        for t in range(tables):
+                            met |= asked[:, width + t, None] == buckets[None, at : at + TILE, t]
+                        scores[~met] = -2.0
                     for q, line in zip(np.frombuffer(own, np.int64).tolist(), scores, strict=True):
                         if not own_too:
                             line = np.where(ids[at : at + TILE] == q, -2.0, line)
                         near = np.flatnonzero(line >= np.partition(line, -top)[-top]) if len(line) > top else np.arange(len(line))
                         for i in sorted(near, key=lambda i: (-line[i], ids[at + i]))[:top]:
-                            if line[i] >= -1:  # not the query's own
+                            if line[i] >= -1:  # not the query's own, and met
                                 out.append((q, int(ids[at + i]), names[at + i], float(line[i])))
         kinds = (pa.int64(), pa.int64(), pa.string(), pa.float64())
         return pa.table([pa.array([r[i] for r in out], kinds[i]) for i in range(4)], names=["query_id", "vector_id", "field_name", "similarity"])
@@ -100,7 +107,11 @@ def cosine_topk(queries: DataFrame, corpus: DataFrame, top: int = TOP, own_too:
     with a null or non-finite entry; only vectors of equal length are compared. Similarities are rounded to 6 digits, ties go to
     the smaller id.
     """
-    usable, asked = _usable(corpus, "vector_id", "field_name"), _usable(queries, "query_id")
+    return _searched(_usable(corpus, "vector_id", "field_name"), _usable(queries, "query_id"), top, _tiles(top, own_too))
+
+
+def _searched(usable: DataFrame, asked: DataFrame, top: int, tiles: Callable[[pa.Table, pa.Table], pa.Table]) -> DataFrame:
+    """The ranked best of all shards of queries (query_id, embedding) and corpus (vector_id, field_name, embedding, dim)."""
     shards, parts = (max(1, -(-rows.count() // SHARD)) for rows in (usable, asked))
     dealt = usable.withColumn("shard", F.pmod(F.xxhash64("vector_id"), F.lit(shards)).cast("int"))
     dealt = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
@@ -108,7 +119,7 @@ def cosine_topk(queries: DataFrame, corpus: DataFrame, top: int = TOP, own_too:
     blocks = asked.select("query_id", "embedding").mapInArrow(_packed, "dim int, ids binary, body binary").withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(parts)).cast("int"))
     blocks = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     by = ["dim", "shard", "part"]
-    found = dealt.groupBy(*by).cogroup(blocks.groupBy(*by)).applyInArrow(_tiles(top, own_too), FOUND)
+    found = dealt.groupBy(*by).cogroup(blocks.groupBy(*by)).applyInArrow(tiles, FOUND)
     return ranked(found, top)
 
 
@@ -203,14 +214,18 @@ def reembed_corrected(vectors: DataFrame, corrections: DataFrame, model: Callabl
 
 
 def ann_topk(queries: DataFrame, corpus: DataFrame, top: int = TOP, bucket: float = 0.6, tables: int = 8) -> DataFrame:
-    """Approximate nearest, without the query's own id, by random-projection buckets on unit vectors, ranked exactly by cosine."""
+    """Approximate nearest, without the query's own id: of the vectors that share a random-projection bucket, ranked exactly by cosine.
+
+    Buckets travel with their vectors as further entries, and pairs are matched in the tiles of the exact search: no pair and no copy of
+    a vector for each of its buckets is stored. Vectors have one length.
+    """
     from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    unit = lambda df, key: df.filter(_nonzero(F.col("embedding"))).select(key, array_to_vector(normalise(F.col("embedding"))).alias("v"))
-    a, b = unit(queries, "query_id"), unit(corpus, "vector_id")
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=5).fit(b)
-    pairs = model.approxSimilarityJoin(a, b, 1.5, "distance").filter("datasetA.query_id <> datasetB.vector_id")
-    close = pairs.select(F.col("datasetA.query_id").alias("query_id"), F.col("datasetB.vector_id").alias("vector_id"), half_up(1 - F.col("distance") ** 2 / 2 + 1, 6).alias("s"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("s"), "vector_id"))
-    return close.withColumn("rank", rank).filter(F.col("rank") <= top).select("query_id", "rank", "vector_id", (F.col("s") - 1).alias("similarity"))
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    usable, asked = _usable(corpus, "vector_id", F.lit(None).cast("string").alias("field_name")), _usable(queries, "query_id")
+    unit = lambda df: df.withColumn("v", array_to_vector(normalise(F.col("embedding"))))
+    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=5).fit(unit(usable))
+    buckets = F.concat(*[vector_to_array(F.col("h")[t]) for t in range(tables)])
+    # ``dim`` keys the shards and is also the length of what they hold.
+    marked = lambda df: model.transform(unit(df)).withColumn("embedding", F.concat("embedding", buckets)).withColumn("dim", F.size("embedding")).drop("v", "h")
+    return _searched(marked(usable), marked(asked), top, _tiles(top, own_too=False, tables=tables)).drop("field_name")

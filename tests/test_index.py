@@ -3,7 +3,7 @@
 import numpy as np
 
 from formlode.operators import index as ix
-from formlode.operators.retrieval import cosine_topk
+from formlode.operators.retrieval import ann_topk, cosine_topk
 
 
 def table(spark, vectors, key="vector_id"):
@@ -50,3 +50,16 @@ def test_odd_vectors(spark, tmp_path):
     assert [(r.query_id, r.vector_id) for r in sorted(exact, key=lambda r: r.query_id)] == [(104, 105), (105, 104)]
     single = ix.build_index(table(spark, good[:1]), f"{tmp_path}/one")
     assert ix.index_topk(single, queries.filter("query_id < 100"), probes=1).count() == 3
+
+
+def test_bucket_search_stores_no_pairs_and_ranks_as_the_exact_one(spark):
+    rows = spark.createDataFrame([(i, f"n{i}", v.tolist()) for i, v in enumerate(np.random.default_rng(2).normal(size=(600, 16)))], "vector_id long, field_name string, embedding array<double>")
+    asked = rows.filter("vector_id % 50 = 0").withColumnRenamed("vector_id", "query_id")
+    near = ann_topk(asked, rows)
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+    exact = {(r.query_id, r.vector_id): r.similarity for r in cosine_topk(asked, rows, 600).collect()}
+    got = near.collect()
+    assert got and all(exact[r.query_id, r.vector_id] == r.similarity for r in got)
+    assert not {(r.query_id, r.vector_id) for r in ann_topk(asked, rows, bucket=1e-3, tables=1).collect()} & {(i, i) for i in range(600)}
+    assert ann_topk(asked, rows, bucket=1e-6, tables=1).count() < len(got)  # pairs without a common bucket are not found
