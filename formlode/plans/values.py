@@ -397,7 +397,7 @@ def slices(spark, sf, late=None):
     own = F.floor(_SLICES * (us - F.lit(at.low)) / F.lit((at.high or 0) - (at.low or 0) + 1)).cast("int")
     arrives = own if late is None else F.when(late & (own < _SLICES - 2), own + 2).otherwise(own)
     rows = events.withColumn("_slice", arrives)
-    return [rows.filter(F.col("_slice") == i).drop("_slice") for i in range(_SLICES)], max(2, -(-at.n // 500_000))
+    return [rows.filter(F.col("_slice") == i).drop("_slice") for i in range(_SLICES)], max(4, -(-at.n // 500_000))
 
 
 @query("quota_stream", ORACLES["quota_violations"])

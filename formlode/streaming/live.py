@@ -1,7 +1,9 @@
 """Live forms of quotas, roll-ups, sessions and metric series: state that expires by event time, and sinks that a repeated batch replaces.
 
-State is small and keyed finely (a session, a user's day), so that a busy user is spread over keys; within a micro-batch a key's rows are
-ordered by time and id. Bound a micro-batch at the source (``maxFilesPerTrigger``); state partitions are fixed by the first run.
+State is small and belongs to a session or a user's day, which are dealt to a fixed number of groups by hash, so that a busy user is spread
+over groups. A group's rows and state are worked on together, since a call of Python and a visit of the state for each session would take
+nearly all the time; within a micro-batch rows are ordered by time and id. Bound a micro-batch at the source (``maxFilesPerTrigger``);
+state partitions and groups are fixed by the first run.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ import contextlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -19,6 +22,9 @@ from formlode.operators.metrics import metric_series, series_summary
 from .telemetry import rollup
 
 DAY_MS = 86_400_000
+#: Groups that sessions and users' days are dealt to; those of sessions that never expire are more, so that each stays small.
+GROUPS, STORES = 256, 1024
+_SESSION, _DAY = ["user_id", "session_id"], ["user_id", "day_no"]
 _KNOWN = "user_id IS NOT NULL AND session_id IS NOT NULL AND ts IS NOT NULL"
 
 
@@ -61,67 +67,115 @@ def _ordered(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
     return pd.concat(list(rows)).sort_values(["us", "event_id"], kind="stable").reset_index(drop=True)
 
 
+def _read(state, names: list[str]) -> pd.DataFrame:
+    """The rows of a group's state, which is one Arrow stream: kept row by row, reading it would take longer than all else."""
+    body = state.get() if state.exists() else None
+    return pa.ipc.open_stream(body[0]).read_pandas() if body else pd.DataFrame(columns=names)
+
+
+def _held(state, names: list[str], like: pd.DataFrame, by: list[str]) -> pd.DataFrame:
+    """The rows of a state, with keys of the types of ``like``; integers stay exact where a join leaves some out."""
+    return _read(state, names).astype({c: like[c].dtype if c in by else "object" if c == "state" else "Int64" for c in names})
+
+
+def _keep(state, rows: pd.DataFrame) -> None:
+    if not len(rows):
+        state.clear()
+        return
+    table, out = pa.Table.from_pandas(rows, preserve_index=False), pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, table.schema) as sink:
+        sink.write_table(table)
+    state.update((out.getvalue().to_pybytes(),))
+
+
+def _joined(df: pd.DataFrame, old: pd.DataFrame, by: list[str]) -> pd.DataFrame:
+    return df.merge(old, on=by, how="left", sort=False)
+
+
+def _group(*by: str, groups: int = GROUPS):
+    return F.pmod(F.xxhash64(*by), F.lit(groups)).cast("int")
+
+
 class SessionCounts(StatefulProcessor):
-    """Running numbers of messages and calls of one session, and whether an event is the session's first of its day.
+    """Running numbers of messages and calls of a group's sessions, and whether an event is its session's first of its day.
 
     Counts go when a session was idle for ``idle_ms``; a day's mark goes when the watermark has passed its end.
     """
 
+    COUNTS, DAYS = [*_SESSION, "messages_before", "calls_before", "last"], [*_SESSION, "day_no"]
+
     def __init__(self, idle_ms: int):
         self.idle_ms = idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.counts = handle.getValueState("counts", "messages long, calls long, last long")
-        self.days = handle.getMapState("days", "day long", "seen boolean")
+        self.counts = handle.getValueState("counts", "rows binary")
+        self.days = handle.getValueState("days", "rows binary")
+
+    def _store(self, counts: pd.DataFrame, days: pd.DataFrame) -> None:
+        _keep(self.counts, counts)
+        _keep(self.days, days)
+        due = [*(counts["last"] + self.idle_ms), *((days["day_no"] + 1) * DAY_MS)]
+        if due:
+            self.handle.registerTimer(int(min(due)))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        df = _ordered(rows)
-        messages, calls, last = self.counts.get() if self.counts.exists() else (0, 0, 0)
-        df["messages"] = messages + 1 + df.index
-        df["calls"] = calls + df["is_call"].astype("int64").cumsum()
-        fresh = [int(d) for d in df["day_no"].unique() if not self.days.containsKey((int(d),))]
-        df["starts"] = df["day_no"].isin(fresh) & ~df["day_no"].duplicated()
-        for d in fresh:
-            self.days.updateValue((d,), (True,))
-            self.handle.registerTimer((d + 1) * DAY_MS)
-        last = max(last, int(df["us"].iloc[-1]) // 1000)
-        self.counts.update((int(df["messages"].iloc[-1]), int(df["calls"].iloc[-1]), last))
-        self.handle.registerTimer(last + self.idle_ms)
+        df, now = _ordered(rows), timerValues.getCurrentWatermarkInMs()
+        counts, days = _held(self.counts, self.COUNTS, df, _SESSION), _held(self.days, self.DAYS, df, self.DAYS)
+        counts, days = counts[counts["last"] + self.idle_ms > now], days[(days["day_no"] + 1) * DAY_MS > now]
+        df = _joined(_joined(df, counts, _SESSION), days.assign(seen=1), self.DAYS)
+        own = df.groupby(_SESSION, sort=False)
+        df["messages"] = (df["messages_before"].fillna(0) + 1 + own.cumcount()).astype("int64")
+        df["calls"] = (df["calls_before"].fillna(0) + df["is_call"].astype("int64").groupby([df[c] for c in _SESSION], sort=False).cumsum()).astype("int64")
+        df["starts"] = df["seen"].isna() & ~df.duplicated(self.DAYS)
+        ms = df["us"] // 1000
+        df["last"] = df["last"].fillna(0).astype("int64").where(df["last"].notna() & (df["last"].fillna(0) > ms), ms)
+        df["last"] = df.groupby(_SESSION, sort=False)["last"].cummax()
+        ends = df.drop_duplicates(_SESSION, keep="last")[[*_SESSION, "messages", "calls", "last"]].set_axis(self.COUNTS, axis=1)
+        counts = pd.concat([counts.astype(ends.dtypes), ends]).drop_duplicates(_SESSION, keep="last")
+        self._store(counts, pd.concat([days, df.loc[df["starts"], self.DAYS]]))
         yield df[["user_id", "session_id", "event_id", "ts", "us", "day_no", "messages", "calls", "starts"]]
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        if now % DAY_MS == 0 and self.days.containsKey((now // DAY_MS - 1,)):
-            self.days.removeKey((now // DAY_MS - 1,))
-        if self.counts.exists() and self.counts.get()[2] + self.idle_ms <= now:
-            self.counts.clear()
+        now = timerValues.getCurrentWatermarkInMs()
+        counts, days = _read(self.counts, self.COUNTS), _read(self.days, self.DAYS)
+        self._store(counts[counts["last"] + self.idle_ms > now], days[(days["day_no"] + 1) * DAY_MS > now])
         return iter(())
 
 
 class DailySessions(StatefulProcessor):
-    """Running number of sessions of one user and day, and the first limit that an event breaks; goes when the day has passed."""
+    """Running numbers of sessions of a group's users and days, and the first limit that an event breaks; a day goes when it has passed."""
+
+    SEEN = [*_DAY, "sessions_before"]
 
     def __init__(self, messages: int, calls: int, sessions: int):
         self.most = {"messages": messages, "calls": calls, "sessions": sessions}
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.seen = handle.getValueState("seen", "sessions long")
+        self.seen = handle.getValueState("seen", "rows binary")
+
+    def _store(self, seen: pd.DataFrame) -> None:
+        _keep(self.seen, seen)
+        if len(seen):
+            self.handle.registerTimer((int(seen["day_no"].min()) + 1) * DAY_MS)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        df = _ordered(rows)
-        before = self.seen.get()[0] if self.seen.exists() else 0
-        df["sessions"] = before + df["starts"].astype("int64").cumsum()
-        self.seen.update((int(df["sessions"].iloc[-1]),))
-        self.handle.registerTimer((int(key[1]) + 1) * DAY_MS)
+        df, now = _ordered(rows), timerValues.getCurrentWatermarkInMs()
+        seen = _held(self.seen, self.SEEN, df, _DAY)
+        seen = seen[(seen["day_no"] + 1) * DAY_MS > now]
+        df = _joined(df, seen, _DAY)
+        df["sessions"] = (df["sessions_before"].fillna(0) + df["starts"].astype("int64").groupby([df[c] for c in _DAY], sort=False).cumsum()).astype("int64")
+        ends = df.drop_duplicates(_DAY, keep="last")[[*_DAY, "sessions"]].set_axis(self.SEEN, axis=1)
+        self._store(pd.concat([seen.astype(ends.dtypes), ends]).drop_duplicates(_DAY, keep="last"))
         df["violated"] = None
         for name in reversed(self.most):  # the first of these wins
             df.loc[df[name] > self.most[name], "violated"] = name
         yield df[["user_id", "session_id", "event_id", "ts", "violated"]]
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.seen.clear()
+        seen = _read(self.seen, self.SEEN)
+        self._store(seen[(seen["day_no"] + 1) * DAY_MS > timerValues.getCurrentWatermarkInMs()])
         return iter(())
 
 
@@ -129,35 +183,42 @@ def quota_stream(events: DataFrame, messages: int, sessions: int, calls: int, la
     """(user_id, session_id, event_id, ts, violated) for each event of a stream: the first limit that it breaks, as in the batch form.
 
     events: user_id, session_id, ts, event_id, is_call. Events without user, session or time are left out, and those later than ``late`` behind the
-    latest are dropped. A session's counts start anew after ``idle_days`` without an event. Two chained processors: one for each
-    session, one for each user and day.
+    latest are dropped. A session's counts start anew after ``idle_days`` without an event. Two chained processors: one for
+    sessions, one for users' days, both by groups.
     """
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     rows = events.filter(_KNOWN).select("user_id", "session_id", F.col("ts").cast("timestamp").alias("ts"), us.alias("us"), F.floor(us / (DAY_MS * 1000)).cast("long").alias("day_no"), "event_id", "is_call")
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     ids = ", ".join(f"{c} {kinds[c]}" for c in ("user_id", "session_id", "event_id"))
-    counted = rows.withWatermark("ts", late).groupBy("user_id", "session_id").transformWithStateInPandas(
+    counted = rows.withWatermark("ts", late).withColumn("group", _group(*_SESSION)).groupBy("group").transformWithStateInPandas(
         SessionCounts(idle_days * DAY_MS), f"{ids}, ts timestamp, us long, day_no long, messages long, calls long, starts boolean", "Append", "EventTime", eventTimeColumnName="ts"
     )
-    return counted.groupBy("user_id", "day_no").transformWithStateInPandas(DailySessions(messages, calls, sessions), f"{ids}, ts timestamp, violated string", "Append", "EventTime", eventTimeColumnName="ts")
+    return counted.withColumn("group", _group(*_DAY)).groupBy("group").transformWithStateInPandas(DailySessions(messages, calls, sessions), f"{ids}, ts timestamp, violated string", "Append", "EventTime", eventTimeColumnName="ts")
 
 
 class SessionStore(StatefulProcessor):
-    """One session: created once, saved by every newer event. What is older than the last save, or equal to it, changes nothing."""
+    """A group's sessions: created once, saved by every newer event. What is older than the last save, or equal to it, changes nothing."""
+
+    SAVED = [*_SESSION, "created", "state", "updated", "last_id", "saves"]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.saved = handle.getValueState("session", "created long, state string, updated long, event_id long, saves long")
+        self.saved = handle.getValueState("sessions", "rows binary")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        df = _ordered(rows).drop_duplicates(["us", "event_id"])
-        old = self.saved.get() if self.saved.exists() else None
-        if old is not None:
-            df = df[(df["us"] > old[2]) | ((df["us"] == old[2]) & (df["event_id"] > old[3]))]
+        df = _ordered(rows).drop_duplicates([*_SESSION, "us", "event_id"])
+        old = _held(self.saved, self.SAVED, df, _SESSION)
+        df = _joined(df, old.drop(columns="state"), _SESSION)
+        known = df["updated"].notna()
+        newer = (df["us"] > df["updated"]) | ((df["us"] == df["updated"]) & (df["event_id"] > df["last_id"]))
+        df = df[~known | newer.fillna(False)]
         if len(df):
-            last = df.iloc[-1]
-            created, saves = (old[0], old[4]) if old is not None else (int(df["us"].iloc[0]), 0)
-            self.saved.update((created, last["state"], int(last["us"]), int(last["event_id"]), saves + len(df)))
-            yield pd.DataFrame({"user_id": [key[0]], "session_id": [key[1]], "created": [created], "state": [last["state"]], "updated": [int(last["us"])], "saves": [saves + len(df)]})
+            own = df.groupby(_SESSION, sort=False)
+            saves = df["saves"].fillna(0) + own["us"].transform("size")
+            made = df["created"].fillna(own["us"].transform("first"))
+            ends = df.assign(created=made, updated=df["us"], last_id=df["event_id"], saves=saves).drop_duplicates(_SESSION, keep="last")[self.SAVED]
+            ends = ends.astype({c: "int64" for c in ("created", "updated", "last_id", "saves")})
+            _keep(self.saved, pd.concat([old.astype(ends.dtypes), ends]).drop_duplicates(_SESSION, keep="last"))
+            yield ends.drop(columns="last_id")
 
 
 def session_store(events: DataFrame) -> DataFrame:
@@ -169,7 +230,7 @@ def session_store(events: DataFrame) -> DataFrame:
     kinds = {f.name: f.dataType.simpleString() for f in events.schema}
     rows = events.filter(_KNOWN).select("user_id", "session_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.col("event_id").cast("long").alias("event_id"), F.col("state").cast("string").alias("state"))
     shape = f"user_id {kinds['user_id']}, session_id {kinds['session_id']}, created long, state string, updated long, saves long"
-    return rows.groupBy("user_id", "session_id").transformWithStateInPandas(SessionStore(), shape, "Update", "None")
+    return rows.withColumn("group", _group(*_SESSION, groups=STORES)).groupBy("group").transformWithStateInPandas(SessionStore(), shape, "Update", "None")
 
 
 def session_table(changes: DataFrame) -> DataFrame:
