@@ -64,3 +64,40 @@ def test_series_grow_by_appending(spark, tmp_path, again):
     assert own.count() == 5
     plan = own._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(level" in plan
+
+
+class Held:
+    """One value of a state, in place of the store."""
+
+    def __init__(self):
+        self.value = None
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+    def getValueState(self, name, schema):
+        return self
+
+
+def test_one_call_saves_all_sessions_of_a_group():
+    import pandas as pd
+
+    shape = ["user_id", "session_id", "us", "event_id", "state"]
+    store = live.SessionStore()
+    store.init(Held())
+    first = pd.DataFrame([(1, "s", 10, 1, "a"), (2, "s", 11, 2, None), (1, "s", 12, 2**60 + 1, "b")], columns=shape)
+    got = pd.concat(store.handleInputRows((0,), iter([first]), None))
+    assert sorted(got.values.tolist()) == [[1, "s", 10, "b", 12, 2], [2, "s", 11, None, 11, 1]]
+    again = pd.DataFrame([(1, "s", 12, 2**60 + 1, "b"), (1, "s", 12, 2**60 + 2, "c"), (2, "s", 5, 9, "old"), (3, "t", 1, 1, "new")], columns=shape)
+    got = pd.concat(store.handleInputRows((0,), iter([again]), None))
+    assert sorted(got.values.tolist()) == [[1, "s", 10, "c", 12, 3], [3, "t", 1, "new", 1, 1]]
+    assert list(store.handleInputRows((0,), iter([first, again]), None)) == []
