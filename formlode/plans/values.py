@@ -304,7 +304,7 @@ def sink_partitioned(spark, sf):
     from .core import metrics
 
     path = scratch(spark, "series")
-    metric_series(metrics(spark, sf)).withColumn("category", F.substring_index("identifier", "/", 1)).repartition("level", "category").write.partitionBy("level", "category").parquet(path)
+    metric_series(metrics(spark, sf)).withColumn("category", F.substring_index("identifier", "/", 1)).hint("rebalance", "level", "category").write.partitionBy("level", "category").parquet(path)
     return spark.read.parquet(path).groupBy("level").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from formlode.operators import evaluation as ev
 from formlode.operators import index as ix
 from formlode.operators import retrieval as re
-from formlode.shared import scratch
+from formlode.shared import scratch, written
 
 from .adapters import table
 from .core import M, W, corrected, finals, A
@@ -147,8 +147,9 @@ def _prf(p: str, t: str) -> str:
 
 @query("eval_retrieval", _TOP + ", p AS (SELECT DISTINCT query_id, vector_id FROM t), r AS (SELECT q.vec_id AS query_id, c.vec_id AS vector_id FROM v q JOIN v c USING (field_name) WHERE q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id)" + _prf("p", "r"))
 def eval_retrieval(spark, sf):
-    relevant = truth(spark, sf).join(corpus(spark, sf).select("field_name", "vector_id"), "field_name").filter("vector_id <> query_id")
-    return ev.prf(candidates(spark, sf), relevant, "query_id", "vector_id")
+    # The search is asked twice below: its rows, five a query, are stored once.
+    found = written(candidates(spark, sf), "candidates")
+    return ev.retrieval_prf(found, truth(spark, sf), corpus(spark, sf).select("vector_id", "field_name"))
 
 
 @query("eval_prf", "WITH p AS (SELECT doc_id FROM documents WHERE n_chars > 500), t AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1)" + _prf("p", "t"))
