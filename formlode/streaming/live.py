@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from formlode.operators.metrics import metric_series, series_summary
+from formlode.operators.metrics import LEVELS, metric_series, series_summary
 
 from .telemetry import rollup
 
@@ -249,15 +249,15 @@ def live_rollup(events: DataFrame, window: str, late: str) -> DataFrame:
 def append_series(path: str) -> Callable[[DataFrame, int], None]:
     """A sink that appends the metrics of a batch to their series on all levels, with the batch's totals beside them.
 
-    Both are partitioned by batch, and a batch that comes again replaces its own partitions only. Rows are spread over files by size, so
-    the global series is no single task's.
+    Both lie in folders by batch, and a batch that comes again replaces its own only. Each level is written where its rows are: by a shuffle
+    the global series, or a level's sort, would be one task's.
     """
 
     def keep(batch: DataFrame, number: int) -> None:
-        entries = metric_series(batch).withColumn("batch", F.lit(number))
-        for name, rows in (("entries", entries.hint("rebalance", "level")), ("totals", series_summary(entries).withColumn("batch", F.lit(number)))):
-            by = ["batch", "level"] if name == "entries" else ["batch"]
-            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(f"{path}/{name}")
+        entries = metric_series(batch)
+        for level, _ in LEVELS:
+            entries.filter(F.col("level") == level).drop("level").write.mode("overwrite").parquet(f"{path}/entries/batch={number}/level={level}")
+        series_summary(entries).write.mode("overwrite").parquet(f"{path}/totals/batch={number}")
 
     return keep
 
