@@ -14,9 +14,9 @@ from formlode.operators import layout as la
 from formlode.operators import learning as le
 from formlode.operators import values as va
 from formlode.operators.hooks import hooked
-from formlode.shared import scratch
+from formlode.shared import scratch, written
 from formlode.sources import files
-from formlode.sources.results import read_results, write_results
+from formlode.sources.results import read_results, write_partitioned, write_results
 from formlode.streaming import ingest, live
 from formlode.streaming import telemetry as te
 
@@ -304,7 +304,9 @@ def sink_partitioned(spark, sf):
     from .core import metrics
 
     path = scratch(spark, "series")
-    metric_series(metrics(spark, sf)).withColumn("category", F.substring_index("identifier", "/", 1)).hint("rebalance", "level", "category").write.partitionBy("level", "category").parquet(path)
+    kept = written(metrics(spark, sf).select("pdf_hash", "category", "sub_category", "document_type", "ts", "submission_id", "total_fields", "coverage_ensemble"), "metrics")
+    series = metric_series(kept).withColumn("category", F.substring_index("identifier", "/", 1))
+    write_partitioned(series, path, ["level", "category"], "submission_id")
     return spark.read.parquet(path).groupBy("level").agg(F.count(F.lit(1)).alias("n"))
 
 

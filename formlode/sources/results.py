@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from formlode.shared import written
+
 FORM = ("user_id", "session_id", "pdf_id")
 #: Folders of a batch. A folder for each user and session would be millions of small files.
 BUCKETS, SPREAD = 64, 16
@@ -37,3 +39,18 @@ def read_results(spark: SparkSession, path: str, user: object | None = None) ->
         rows = rows.filter((F.col("user_bucket") == _bucket(F.lit(user))) & (F.col("user_id") == user))
     last = F.max("batch").over(Window.partitionBy(*FORM))
     return rows.withColumn("_last", last).filter("batch = _last").drop("_last", "user_bucket")
+
+
+#: Rows of one folder that one task writes.
+ROWS = 500_000
+
+
+def write_partitioned(rows: DataFrame, path: str, by: list[str], key: str, most: int = ROWS) -> None:
+    """Write rows in folders by columns that are never null, each folder by as many tasks as its number of rows asks for.
+
+    ``key`` deals a folder's rows to its tasks. Rows are read twice, so they should be stored ones.
+    """
+    sizes = written(rows.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / most).alias("_parts")), "sizes")
+    tasks = sizes.agg(F.sum("_parts").alias("n")).first().n or 1
+    dealt = rows.join(sizes, by).withColumn("_part", F.pmod(F.xxhash64(key), F.col("_parts")))
+    dealt.repartition(tasks, *by, "_part").drop("_parts", "_part").write.partitionBy(*by).parquet(path)

@@ -20,3 +20,13 @@ def test_batches_replace_and_reads_are_pruned(spark):
     plan = one._jdf.queryExecution().executedPlan().toString()
     scan = plan[plan.index("PartitionFilters") :]
     assert "user_bucket" in scan[: scan.index("PushedFilters")] and "EqualTo(user_id,3)" in scan
+
+
+def test_a_large_folder_is_cut_by_its_rows(spark, tmp_path):
+    from formlode.sources.results import write_partitioned
+
+    rows = spark.range(100).selectExpr("id", "if(id < 90, 'global', 'small') AS level")
+    write_partitioned(rows, str(tmp_path / "out"), ["level"], "id", most=20)
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted((r.id, r.level) for r in got.collect()) == [(r.id, r.level) for r in rows.collect()]
+    assert len(list((tmp_path / "out/level=global").glob("*.parquet"))) > 1 == len(list((tmp_path / "out/level=small").glob("*.parquet")))
