@@ -101,3 +101,14 @@ def test_one_call_saves_all_sessions_of_a_group():
     got = pd.concat(store.handleInputRows((0,), iter([again]), None))
     assert sorted(got.values.tolist()) == [[1, "s", 10, "c", 12, 3], [3, "t", 1, "new", 1, 1]]
     assert list(store.handleInputRows((0,), iter([first, again]), None)) == []
+
+
+def test_global_series_is_written_by_all_tasks(spark, tmp_path):
+    shape = "pdf_hash string, category string, sub_category string, document_type string, ts timestamp, submission_id long, total_fields long, coverage_ensemble double"
+    rows = spark.createDataFrame([("h", "c", "s", "d", at(i), i, 10, 0.5) for i in range(40)], shape).repartition(4)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # as in a stream
+    try:
+        live.append_series(str(tmp_path))(rows, 0)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert len(list((tmp_path / "entries/batch=0/level=global").glob("*.parquet"))) == 4
