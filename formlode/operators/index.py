@@ -19,6 +19,8 @@ from .retrieval import FOUND, SHARD, TOP, _tiles, _unit, _usable, cosine_topk, r
 
 #: Vectors from which centres are learned, and those by which probes are chosen, at most.
 SAMPLE, ASKED = 100_000, 500
+#: Distances, and numbers of packed queries, that a Python worker holds at once: 4 MB of doubles.
+CELLS = 1 << 19
 
 
 @dataclasses.dataclass(frozen=True)
@@ -42,11 +44,13 @@ def _sampled(rows: DataFrame, key: str, most: int, total: int) -> DataFrame:
 
 
 def _nearest(centres: np.ndarray, many: int):
-    """For each (id, vector) its ``many`` nearest lists, nearest first."""
+    """For each (id, vector) its ``many`` nearest lists, nearest first; as many rows at once as keep their distances to all centres small."""
+    step = max(1, CELLS // len(centres))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if len(batch):
+        for whole in batches:
+            for at in range(0, len(whole), step):
+                batch = whole.slice(at, step)
                 x = np.asarray(batch.column(1).flatten(), np.float64).reshape(len(batch), -1)
                 order = np.argsort(-(_unit(x) @ centres.T), axis=1, kind="stable")[:, :many].astype(np.int32)
                 offsets = pa.array(np.arange(0, order.size + 1, order.shape[1], dtype=np.int32))
@@ -96,17 +100,24 @@ def probes_for(index: Index, recall: float = 0.95, top: int = TOP) -> int:
 
 
 def _by_list(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Queries (id, vector, lists) packed by the lists that they ask."""
-    for batch in batches:
-        ids = np.asarray(batch.column(0), np.int64)
-        x = np.asarray(batch.column(1).flatten(), np.float64).reshape(len(ids), -1)
-        lists = np.asarray(batch.column(2).flatten(), np.int32)
-        owner = np.repeat(np.arange(len(ids)), len(lists) // max(1, len(ids)))
-        order = np.argsort(lists, kind="stable")
-        first = np.flatnonzero(np.r_[True, np.diff(lists[order]) > 0][: len(lists)])
-        groups = np.split(owner[order], first[1:]) if len(lists) else []
-        arrays = [pa.array(lists[order][first], pa.int32()), pa.array([ids[g].tobytes() for g in groups], pa.binary()), pa.array([x[g].tobytes() for g in groups], pa.binary())]
-        yield pa.RecordBatch.from_arrays(arrays, ["list", "ids", "body"])
+    """Queries (id, vector, lists) packed by the lists that they ask; a query's vector is repeated for each, so few go at once."""
+    for whole in batches:
+        width, lists = (len(whole.column(i).flatten()) // max(1, len(whole)) for i in (1, 2))
+        step = max(1, CELLS // max(1, width * lists))
+        for at in range(0, len(whole), step):
+            yield _packed_by_list(whole.slice(at, step))
+
+
+def _packed_by_list(batch: pa.RecordBatch) -> pa.RecordBatch:
+    ids = np.asarray(batch.column(0), np.int64)
+    x = np.asarray(batch.column(1).flatten(), np.float64).reshape(len(ids), -1)
+    lists = np.asarray(batch.column(2).flatten(), np.int32)
+    owner = np.repeat(np.arange(len(ids)), len(lists) // max(1, len(ids)))
+    order = np.argsort(lists, kind="stable")
+    first = np.flatnonzero(np.r_[True, np.diff(lists[order]) > 0][: len(lists)])
+    groups = np.split(owner[order], first[1:]) if len(lists) else []
+    arrays = [pa.array(lists[order][first], pa.int32()), pa.array([ids[g].tobytes() for g in groups], pa.binary()), pa.array([x[g].tobytes() for g in groups], pa.binary())]
+    return pa.RecordBatch.from_arrays(arrays, ["list", "ids", "body"])
 
 
 def index_topk(index: Index, queries: DataFrame, top: int = TOP, probes: int = 8) -> DataFrame:
