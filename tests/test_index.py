@@ -63,3 +63,18 @@ def test_bucket_search_stores_no_pairs_and_ranks_as_the_exact_one(spark):
     assert got and all(exact[r.query_id, r.vector_id] == r.similarity for r in got)
     assert not {(r.query_id, r.vector_id) for r in ann_topk(asked, rows, bucket=1e-3, tables=1).collect()} & {(i, i) for i in range(600)}
     assert ann_topk(asked, rows, bucket=1e-6, tables=1).count() < len(got)  # pairs without a common bucket are not found
+
+
+def test_workers_hold_few_distances_and_copies():
+    import pyarrow as pa
+
+    draw = np.random.default_rng(3)
+    centres, x = draw.normal(size=(2048, 8)), draw.normal(size=(3000, 8))
+    rows = pa.RecordBatch.from_arrays([pa.array(range(3000)), pa.array(x.tolist())], ["query_id", "embedding"])
+    near = list(ix._nearest(centres, 512)(iter([rows])))
+    assert max(len(b) * len(centres) for b in near) <= ix.CELLS and sum(map(len, near)) == 3000
+    blocks = list(ix._by_list(iter([pa.Table.from_batches(near).combine_chunks().to_batches()[0]])))
+    assert max(sum(len(v) for v in b.column(2).to_pylist()) for b in blocks) <= 8 * ix.CELLS
+    pairs = [(int(i), n) for b in blocks for n, own in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for i in np.frombuffer(own, np.int64)]
+    want = [(int(i), n) for b in near for i, own in zip(b.column(0).to_pylist(), b.column(2).to_pylist()) for n in own]
+    assert sorted(pairs) == sorted(want)
