@@ -95,3 +95,22 @@ def test_fingerprints_differ_by_inner_lines(spark):
     assert first != second
     same = la.doc_fingerprint(df.filter("doc_id = 1").withColumn("text", F.upper("text"))).first().fingerprint
     assert same == first
+
+
+def test_outline_match_as_by_comparing_all(spark):
+    titles = ["alpha beta gamma delta epsilon", "one two three four", "left middle right", "two  spaces", "internationalisation", "plain second", "a  b\tc  d e f g", "short", "été nouveau à paris", "\U0001d400\U0001d401 mathematical"]
+    lines = [pre + t + post for t in titles for pre in ("", "x", "see ", "see  ") for post in ("", "s", " now", "\u00a0")] + [t[2:14] for t in titles] + [t[:12] for t in titles] + ["", "middle", "nothing like it here"]
+    df = spark.createDataFrame([(i % 3, i, t) for i, t in enumerate(lines)], "doc_id long, line_no int, text string")
+    outline = spark.createDataFrame([(i, t) for i, t in enumerate(titles)], "title_id long, title string")
+    want = {}
+    for i, line in enumerate(lines):
+        line = line.strip(" ").lower()
+        same = [j for j, t in enumerate(titles) if t == line]
+        near = [j for j, t in enumerate(titles) if len(line) > 10 and len(t) > 10 and (t in line or line in t)]
+        if line and (same or near):
+            want[i] = (min(same or near), "exact" if same else "partial")
+    found = la.outline_match(df, outline)
+    assert {r.line_no: (r.title_id, r.kind) for r in found.collect()} == want
+    words = la.outline_match(df, outline.filter("title_id < 3"))._jdf.queryExecution().optimizedPlan().toString()
+    # Titles with inner words ask for no pieces of lines, and pieces of titles come from one walk.
+    assert "regexp_extract_all(line" not in words and "regexp_extract_all(title" in words
