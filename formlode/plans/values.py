@@ -428,9 +428,10 @@ def telemetry_live(spark, sf):
 @query("session_resume", f"SELECT user_id, {_SES} AS session_id, min(ts) AS created_at, arg_max(event_type, (ts, event_id)) AS state, max(ts) AS updated_at, count(*) AS saves FROM events GROUP BY ALL")
 def session_resume(spark, sf):
     parts, partitions = slices(spark, sf)
-    build = lambda events: live.session_store(events.select("user_id", F.date_format("ts", "yyyy-MM-dd").alias("session_id"), "ts", "event_id", F.col("event_type").alias("state")))
-    changes = live.replayed([*parts[:2], parts[1], *parts[2:], parts[0]], build, scratch(spark, "sessions"), "update", partitions)
-    return live.session_table(changes)
+    build = lambda events: events.select("user_id", F.date_format("ts", "yyyy-MM-dd").alias("session_id"), "ts", "event_id", F.col("event_type").alias("state"))
+    path = scratch(spark, "sessions")
+    live.replayed([*parts[:2], parts[1], *parts[2:], parts[0]], build, f"{path}/stream", "append", partitions, sink=live.save_sessions(f"{path}/saved"))
+    return live.saved_sessions(spark, f"{path}/saved", "user_id long, session_id string")
 
 
 @query("series_append", ORACLES["metric_series"])

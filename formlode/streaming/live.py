@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import IntegerType
 
 from formlode.operators.metrics import LEVELS, metric_series, series_summary
 
@@ -24,6 +25,8 @@ from .telemetry import rollup
 DAY_MS = 86_400_000
 #: Groups that sessions and users' days are dealt to; those of sessions that never expire are more, so that each stays small.
 GROUPS, STORES = 256, 1024
+#: Every so many micro-batches a sink of sessions stores all of them, else those that changed.
+MERGED = 16
 _SESSION, _DAY = ["user_id", "session_id"], ["user_id", "day_no"]
 _KNOWN = "user_id IS NOT NULL AND session_id IS NOT NULL AND ts IS NOT NULL"
 
@@ -233,6 +236,48 @@ def session_store(events: DataFrame) -> DataFrame:
     return rows.withColumn("group", _group(*_SESSION, groups=STORES)).groupBy("group").transformWithStateInPandas(SessionStore(), shape, "Update", "None")
 
 
+def _saved(spark: SparkSession, path: str, number: int | None, shape) -> DataFrame:
+    """The sessions as stored before the batch of that number, or after all batches; read from the last batch that stored all of them."""
+    rows = spark.read.schema(shape).option("basePath", path).parquet(f"{path}/batch=*")
+    if number is None:
+        number = (rows.agg(F.max("batch")).first()[0] or 0) + 1
+    rows = rows.filter((F.col("batch") >= max(0, number - 1) // MERGED * MERGED) & (F.col("batch") < number))
+    last = F.max_by(F.struct("created", "state", "updated", "last_id", "saves"), "batch").alias("s")
+    return rows.groupBy(*_SESSION).agg(last).select(*_SESSION, "s.*")
+
+
+def save_sessions(path: str) -> Callable[[DataFrame, int], None]:
+    """A sink that does what session_store() does by joins and groupings, for micro-batches of many sessions: no call of Python for each group.
+
+    Batches hold user_id, session_id, ts, event_id, state. Each stores the sessions that it changes, and every MERGED-th all of them, in a
+    folder of its own that a repeated batch replaces; a batch reads what was stored since the last that holds all.
+    """
+
+    def keep(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        own = batch.filter(_KNOWN).select(*_SESSION, F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.col("event_id").cast("long").alias("event_id"), F.col("state").cast("string").alias("state"))
+        # One shuffle by session serves both groupings and the joins.
+        once = own.repartition(*_SESSION).groupBy(*_SESSION, "us", "event_id").agg(F.max("state").alias("state"))
+        shape = own.select(*_SESSION, F.col("us").alias("created"), "state", F.col("us").alias("updated"), F.col("event_id").alias("last_id"), F.col("us").alias("saves")).schema.add("batch", IntegerType())
+        old = _saved(spark, path, number, shape) if number else spark.createDataFrame([], shape).drop("batch")
+        before = old.select(*_SESSION, *[F.col(c).alias(f"_{c}") for c in ("created", "updated", "last_id", "saves")])
+        newer = F.col("_updated").isNull() | (F.struct("us", "event_id") > F.struct("_updated", "_last_id"))
+        last = F.max(F.struct("us", "event_id", "state")).alias("s")
+        ends = once.join(before, _SESSION, "left").filter(newer).groupBy(*_SESSION).agg(F.coalesce(F.first("_created"), F.min("us")).alias("created"), last, (F.coalesce(F.first("_saves"), F.lit(0)) + F.count(F.lit(1))).alias("saves"))
+        ends = ends.select(*_SESSION, "created", F.col("s.state").alias("state"), F.col("s.us").alias("updated"), F.col("s.event_id").alias("last_id"), "saves")
+        if number and number % MERGED == 0:
+            ends = ends.unionByName(old).groupBy(*_SESSION).agg(F.max_by(F.struct(*[c for c in ends.columns if c not in _SESSION]), "saves").alias("s")).select(*_SESSION, "s.*")
+        ends.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return keep
+
+
+def saved_sessions(spark: SparkSession, path: str, keys: str) -> DataFrame:
+    """What save_sessions() stored, as session_table() gives it. keys: the types of user_id and session_id as a schema."""
+    shape = f"{keys}, created long, state string, updated long, last_id long, saves long, batch int"
+    return session_table(_saved(spark, path, None, shape))
+
+
 def session_table(changes: DataFrame) -> DataFrame:
     """The latest of what session_store() gave for each session, with times as such."""
     last = F.max_by(F.struct("created", "state", "updated", "saves"), "saves").alias("s")

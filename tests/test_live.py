@@ -43,6 +43,20 @@ def test_sessions_under_repeats_and_late_saves(spark, tmp_path):
     assert {(r.user_id, r.session_id): (r.created_at, r.state, r.updated_at, r.saves) for r in got.collect()} == {(1, "s"): (at(1), "done", at(3), 3), (2, "t"): (at(1), "new", at(1), 1)}
 
 
+@pytest.mark.parametrize("merged", [2, 16])
+def test_sessions_saved_by_joins_as_by_state(spark, tmp_path, monkeypatch, merged):
+    monkeypatch.setattr(live, "MERGED", merged)
+    first = [(1, "s", at(1), 1, "new"), (1, "s", at(2), 2, "form"), (2, "t", at(1), 3, "new"), (2, "t", None, 4, "lost"), (None, "t", at(1), 9, "lost")]
+    second = [(1, "s", at(3), 5, "done"), (1, "s", at(3), 5, "done"), (2, "t", at(0), 6, "older")]
+    third = [(1, "s", at(3), 7, None), (3, "u", at(9), 8, "new")]
+    parts = [events(spark, x, "state string") for x in (first, first, second, second, first, third)]
+    keep = live.save_sessions(f"{tmp_path}/saved")
+    live.replayed(parts, lambda e: e, f"{tmp_path}/stream", "append", 2, sink=keep)
+    keep(parts[-1], len(parts) - 1)  # comes again
+    got = live.saved_sessions(spark, f"{tmp_path}/saved", "user_id long, session_id string")
+    assert {(r.user_id, r.session_id): (r.created_at, r.state, r.updated_at, r.saves) for r in got.collect()} == {(1, "s"): (at(1), None, at(3), 4), (2, "t"): (at(1), "new", at(1), 1), (3, "u"): (at(9), "new", at(9), 1)}
+
+
 def test_late_rows_are_dropped_and_open_windows_wait(spark, tmp_path):
     shape = "ts timestamp, event_type string, value double"
     parts = [[(at(0.5), "a", 1.0), (at(5.5), "a", 2.0)], [(at(0.6), "a", 99.0), (at(4.9), "a", 4.0), (at(9.1), "a", 8.0)], [(at(2.0), "a", 99.0)]]
