@@ -3,6 +3,7 @@
 import json
 
 from formlode.functions import json as js
+from formlode.functions import text as tx
 from formlode.operators import layout as la
 from formlode.operators import values as va
 from formlode.sources import files
@@ -114,3 +115,26 @@ def test_outline_match_as_by_comparing_all(spark):
     words = la.outline_match(df, outline.filter("title_id < 3"))._jdf.queryExecution().optimizedPlan().toString()
     # Titles with inner words ask for no pieces of lines, and pieces of titles come from one walk.
     assert "regexp_extract_all(line" not in words and "regexp_extract_all(title" in words
+
+
+def _times(query, word):
+    return query._jdf.queryExecution().optimizedPlan().toString().count(word)
+
+
+def test_lines_are_made_once_in_list_chains_and_repeats(spark):
+    made = spark.range(3).selectExpr("1L AS doc_id", "0 AS page", "int(id) AS line_no", "0 AS top", "regexp_replace(concat('1. form ', id), 'm', 'n') AS text")
+    assert _times(la.list_chains(made), "regexp_replace") == 1
+    assert _times(la.repeated_lines(made.withColumn("text", F.lower("text"))), "lower") <= 2  # the text's and the rule's
+
+
+def test_lines_may_bring_their_normalised_text(spark):
+    rows = spark.createDataFrame([(1, i, "Page  No!", 10, 10, "h1") for i in range(3)] + [(1, 3, "2.1 Other", 12, 300, "h1")], "doc_id long, line_no int, text string, size int, top int, level string")
+    both = [la.heading_refine(r, la.repeated_lines(r), la.style_votes(r)).select("line_no", "refined", "suggestion", "confidence") for r in (rows, rows.withColumn("line", tx.normalised(F.col("text"))))]
+    assert both[0].exceptAll(both[1]).count() == both[1].exceptAll(both[0]).count() == 0
+    assert [r.refined for r in both[1].orderBy("line_no").collect()] == ["normal"] * 3 + ["h1"]
+
+
+def test_capitals_in_other_scripts(spark):
+    rows = spark.createDataFrame([("- FORM \u00c9T\u00c9",), ("Every \u042f Word",), ("\u00c9t\u00e9",), ("low And Low",)], "t string")
+    got = [r.c for r in rows.select(tx.capitals(F.col("t")).alias("c")).collect()]
+    assert [(c.all_caps, c.title_case) for c in got] == [(True, True), (False, True), (False, False), (False, False)]
