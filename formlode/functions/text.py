@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,7 +24,7 @@ ZIP_IN = r"\b[0-9]{5}\b"
 
 def normalised(x: Column) -> Column:
     """Lower case, single spaces, only ASCII word characters and spaces."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(x), r"[^a-z0-9_ \t\n\r]", ""), r"[ \t\n\r]+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(x), r"[^a-z0-9_ \t\n\r]+", ""), r"[ \t\n\r]+", " "))
 
 
 def joined(*parts: Column, headers: Column | None = None) -> Column:
@@ -116,15 +118,26 @@ def address_part(path: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(leaf, "address_registered_|address_mailing_|address_jurisdiction_|wiring_details_address_|wiring_address_", ""), "_id", "")
 
 
+def bound(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) with ``x`` evaluated once, however often f uses it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def capitals(x: Column) -> Column:
     """(caps_ratio, all_caps, title_case) of a line without leading bullets."""
-    t = F.regexp_replace(x, r"^[-*\u2022 \t]+", "")
-    letters, upper = F.length(F.regexp_replace(t, "[^A-Za-z]", "")), F.length(F.regexp_replace(t, "[^A-Z]", ""))
-    words = F.filter(F.split(t, "[ \t]+"), lambda w: w.rlike("^[A-Za-z]"))
-    capital = F.filter(words, lambda w: w.rlike("^[A-Z]"))
-    share = F.when(letters == 0, 0.0).otherwise(upper / letters)
-    title = (F.size(words) > 0) & (F.size(capital) > 0.7 * F.size(words))
-    return F.struct(share.alias("caps_ratio"), (share > 0.9).alias("all_caps"), title.alias("title_case"))
+
+    def parts(t: Column) -> Column:
+        left = lambda kept: F.length(F.regexp_replace(t, f"[^{kept}]+", ""))
+        first = F.transform(F.split(t, "[ \t]+"), lambda w: F.substring(w, 1, 1))
+        words = F.filter(first, lambda c: c.between("A", "Z") | c.between("a", "z"))
+        return F.struct(left("A-Za-z").alias("letters"), left("A-Z").alias("upper"), words.alias("words"))
+
+    def rated(p: Column) -> Column:
+        share = F.when(p["letters"] == 0, 0.0).otherwise(p["upper"] / p["letters"])
+        title = (F.size(p["words"]) > 0) & (F.size(F.filter(p["words"], lambda c: c.between("A", "Z"))) > 0.7 * F.size(p["words"]))
+        return F.struct(share.alias("caps_ratio"), (share > 0.9).alias("all_caps"), title.alias("title_case"))
+
+    return bound(bound(F.regexp_replace(x, r"^[-*\u2022 \t]+", ""), parts), rated)
 
 
 def chosen_options(x: Column, options: int) -> Column:
