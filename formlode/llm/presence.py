@@ -1,4 +1,4 @@
-"""Features by presence in whole texts: counts of hash slots for each label, the choice of slots, and the drawn rows.
+"""Features by presence in whole texts: counts of hash slots for each label, the choice of slots, and blocks of rows to fit on.
 
 A ``present`` function of a slice of texts gives (text, slot) pairs, each once, for 2**BITS slots; with a table, (text, feature)
 for those slots that are features.
@@ -34,20 +34,20 @@ def distinct_pairs(owners: list[np.ndarray], slots: list[np.ndarray], table: np.
     return pair >> BITS, pair & ((1 << BITS) - 1)
 
 
-def labelled_texts(docs: DataFrame, labels: DataFrame, rows: int) -> tuple[DataFrame | None, dict[int, int], dict[int, int]]:
-    """(label, text) of at most ``rows`` ids of each label, the labels' counts among these, and among all labelled ids.
+def labelled_texts(docs: DataFrame, labels: DataFrame, rows: int | None = None) -> tuple[DataFrame | None, dict[int, int], dict[int, int]]:
+    """(label, text, key) of each id with a label, the labels' counts among these, and among all labelled ids; key is a hash of the id.
 
     docs: (id, text); labels: (id, label), of which labels 0 and 1 with an id count. An id that several documents bear stands for
-    the least of their texts, null being the empty one. The texts are None where no two labels are known.
+    the least of their texts, null being the empty one. The texts are None where no two labels are known. With ``rows``, at most so
+    many ids of each label.
     """
     known = labels.filter("label IN (0, 1) AND id IS NOT NULL").select("id", F.col("label").cast("int").alias("label")).distinct()
     total = {r.label: r["count"] for r in known.groupBy("label").count().collect()}
     if len(total) < 2:
         return None, {}, total
-    # Bounded: at most ``rows`` ids of each label.
-    chosen = F.broadcast(bounded_sample(known, "label", rows, total))
+    chosen = known if rows is None else bounded_sample(known, "label", rows, total)
     texts = docs.join(chosen, "id").groupBy("id", "label").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
-    texts = written(texts.select("label", "text"), "sample")
+    texts = written(texts.select("label", "text", F.xxhash64("id").alias("key")), "labelled")
     return texts, {r.label: r["count"] for r in texts.groupBy("label").count().collect()}, total
 
 
@@ -91,23 +91,84 @@ def _featured(present: Present, table: np.ndarray, more: Callable | None):
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(feature.astype(np.int16)))
                 rows = more(column) if more else np.zeros((b - a, 0))
                 stats = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * rows.shape[1]), pa.array(rows.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists, stats], ["label", "features", "stats"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), lists, stats], ["label", "key", "features", "stats"])
 
     return run
 
 
-def drawn_rows(texts: DataFrame, present: Present, table: np.ndarray, more: Callable | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Labels, (row, feature) pairs and further statistics of the sample, which is bounded, in an order of its own."""
-    got = texts.mapInArrow(_featured(present, table, more), "label int, features array<short>, stats array<double>").toArrow().combine_chunks()
-    y = np.asarray(got.column("label"), np.float64)
-    lists = got.column("features").combine_chunks()
-    owner = np.repeat(np.arange(len(y)), np.asarray(pc.list_value_length(lists)))
-    feature = np.asarray(lists.flatten(), np.int64)
-    stats = np.asarray(got.column("stats").combine_chunks().flatten(), np.float64).reshape(len(y), -1)
-    # The rows arrive in any order, and sums of doubles depend on it.
-    order = np.lexsort([*stats.T, np.bincount(owner, weights=feature, minlength=len(y)), np.bincount(owner, minlength=len(y)), y])
-    place = np.empty(len(y), np.int64)
-    place[order] = np.arange(len(y))
-    owner = place[owner]
-    by = np.lexsort([feature, owner])
-    return y[order], owner[by], feature[by], stats[order]
+def featured(texts: DataFrame, present: Present, table: np.ndarray, more: Callable | None = None) -> DataFrame:
+    """(label, key, features, stats) of every labelled text, stored: its features in order and further statistics."""
+    rows = texts.select("label", "text", "key").mapInArrow(_featured(present, table, more), "label int, key long, features array<short>, stats array<double>")
+    return written(rows, "features")
+
+
+def unpacked(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The (row, value) pairs of a column of lists."""
+    return np.repeat(np.arange(len(lists)), np.asarray(pc.list_value_length(lists))), np.asarray(lists.flatten())
+
+
+def _block(rows: pa.Table) -> pa.Table:
+    # In the order of the keys, so that sums of doubles don't depend on how rows arrive.
+    rows = rows.sort_by([("key", "ascending"), ("label", "ascending")])
+    y = np.asarray(rows.column("label"), np.int8)
+    lists = rows.column("features").combine_chunks()
+    counts = np.asarray(pc.list_value_length(lists), np.int32)
+    stats = np.asarray(rows.column("stats").combine_chunks().flatten(), np.float64)
+    made = [[x.tobytes()] for x in (y, counts, np.asarray(lists.flatten(), np.int16), stats)]
+    return pa.table([pa.array([int((y == 1).sum()) * int((y == 0).sum())], pa.int64()), *[pa.array(x, pa.binary()) for x in made]], names=["pairs", "y", "counts", "features", "stats"])
+
+
+def blocks(rows: DataFrame, size: dict[int, int], paired: bool) -> DataFrame:
+    """Rows of featured() in blocks by hash of the key, one packed row a block; all rows lie in one.
+
+    paired: every block is to hold rows of both labels. Where one is rare, blocks are fewer and so larger; those that would grow
+    beyond LARGEST rows are cut, and each part gets the block's rare rows.
+    """
+    rare = min(size, key=lambda c: (size[c], c))
+    n = sum(size.values())
+    many = max(1, -(-n // BLOCK))
+    if paired:
+        many = max(1, min(many, size[rare] // RARE))
+    parts = max(1, -(-n // (many * LARGEST))) if paired else 1
+    block = F.pmod(F.xxhash64("key", F.lit("block")), F.lit(many))
+    part = F.explode(F.when(F.col("label") == rare, F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.pmod(F.xxhash64("key", F.lit("part")), F.lit(parts)).cast("int"))))
+    dealt = rows.withColumn("block", block).withColumn("part", part)
+    return written(dealt.groupBy("block", "part").applyInArrow(_block, "pairs long, y binary, counts binary, features binary, stats binary"), "blocks")
+
+
+#: Rows of a block, about; rows of a rare label in a block with pairs, about; rows of one label in a part of a block, about.
+BLOCK, RARE, LARGEST = 512, 16, 8192
+#: Sums of gradients are whole numbers of this part of one, so that they don't depend on the order of blocks.
+UNIT = 2.0**-50
+
+
+def _sloped(gradient: Callable, w: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The sum of the gradients of a partition's blocks."""
+        total = np.zeros(len(w), np.int64)
+        for batch in batches:
+            for y, counts, features, stats in zip(*(batch.column(i) for i in range(4)), strict=True):
+                read = lambda x, kind: np.frombuffer(x.as_buffer(), kind)
+                label, n = read(y, np.int8), read(counts, np.int32)
+                owner = np.repeat(np.arange(len(n)), n)
+                found = gradient(w, label, owner, read(features, np.int16).astype(np.int64), read(stats, np.float64).reshape(len(n), -1))
+                total += np.rint(found / UNIT).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["total"])
+
+    return run
+
+
+def descended(packed: DataFrame, gradient: Callable, width: int, decay: np.ndarray, steps: int, pace: float = 0.1) -> np.ndarray:
+    """``width`` weights after so many steps of Adam over all blocks; each step is a job, whose tasks give one sum of gradients each.
+
+    gradient: a function of the weights and a block's labels, (row, feature) pairs and statistics, so small that the sum over all
+    blocks stays below 2000.
+    """
+    rows = packed.select("y", "counts", "features", "stats")
+    w, m, v = np.zeros(width), np.zeros(width), np.zeros(width)
+    for step in range(1, steps + 1):
+        sums = rows.mapInArrow(_sloped(gradient, w), "total binary").collect()
+        g = np.sum([np.frombuffer(r.total, np.int64) for r in sums], axis=0) * UNIT + decay * w
+        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+        w = w - pace * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
+    return w

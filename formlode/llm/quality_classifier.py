@@ -2,24 +2,28 @@
 
 Preference pairs put a good document above a bad one. The probability that one wins is the logistic function of the
 difference of their scores, which are linear in the words and word pairs that a document holds and in statistics of its text, so
-the fit is logistic on feature differences. A score quantile, that of the share of bad documents among the labelled ones, becomes
+the fit is logistic on feature differences. All labelled documents are dealt to blocks, and all pairs of a block are taken. A score quantile, that of the share of bad documents among the labelled ones, becomes
 the threshold.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .arrays import Texts, U, Words, runs
-from .presence import BITS, chosen_features, distinct_pairs, drawn_rows, labelled_texts
+from .presence import BITS, blocks, chosen_features, descended, distinct_pairs, featured, labelled_texts, unpacked
+from .storage import written
 from .training import sigmoid
 
 #: Words and word pairs kept as features.
 FEATURES = 4096
-#: Labelled rows learned from, of each label at most, and preference pairs.
-ROWS, PAIRS = 6000, 40_000
+#: Different scores among which the threshold is looked up on the driver, at most.
+FEW = 20_000
 #: The score that the threshold quantile is mapped to.
 THRESHOLD = 0.3
 NAMES = ("upper", "digit", "symbol", "exclaim", "stop", "comma", "line", "wide", "word_length", "word_spread", "words", "new_words", "new_lines", "one_letter")
@@ -85,48 +89,88 @@ def _strength(owner: np.ndarray, feature: np.ndarray, n: int, w: np.ndarray) ->
     return np.bincount(owner, weights=_values(owner, n) * w[feature], minlength=n)
 
 
-def fitted(owner: np.ndarray, feature: np.ndarray, z: np.ndarray, pairs: tuple[np.ndarray, np.ndarray], width: int, decay: float = 1e-3, steps: int = 200) -> tuple[np.ndarray, np.ndarray]:
-    """Weights of features and statistics under which the first of each pair of rows most likely wins, by Adam.
+def _scaled(stats: np.ndarray, centre: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    return np.clip((stats - centre) / scale, -6, 6)
+
+
+def _gradient(width: int, centre: np.ndarray, scale: np.ndarray, pairs: int):
+    """The slope of the mean loss of pairs over a block: each pair's error times the difference of its rows' features, row by row."""
+
+    def run(w: np.ndarray, y: np.ndarray, owner: np.ndarray, feature: np.ndarray, stats: np.ndarray) -> np.ndarray:
+        z = _scaled(stats, centre, scale)
+        strength = _strength(owner, feature, len(y), w[:width]) + z @ w[width:]
+        good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+        error = (sigmoid(strength[good, None] - strength[None, bad]) - 1) / pairs
+        each = np.zeros(len(y))
+        each[good], each[bad] = error.sum(1), -error.sum(0)
+        return np.r_[np.bincount(feature, weights=_values(owner, len(y)) * each[owner], minlength=width), z.T @ each]
+
+    return run
+
+
+def _moments(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and deviation of each statistic, from sums of millionths, which don't depend on the order of rows."""
+    stat = [F.get("stats", F.lit(i)) for i in range(len(NAMES))]
+    sums = rows.agg(F.count(F.lit(1)), *[F.sum(F.round(x * 1e6).cast("long")) for x in stat], *[F.sum(F.round(x * x * 1e6).cast("long")) for x in stat]).first()
+    mean, square = (np.array(sums[a : a + len(NAMES)], np.float64) / 1e6 / sums[0] for a in (1, 1 + len(NAMES)))
+    return mean, np.maximum(np.sqrt(np.maximum(0, square - mean * mean)), 1e-3)
+
+
+def _strengths(weights: np.ndarray, slopes: np.ndarray, centre: np.ndarray, scale: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owner, feature = unpacked(batch.column(1))
+            stats = np.asarray(batch.column(2).flatten(), np.float64).reshape(len(batch), -1)
+            strength = _strength(owner, feature.astype(np.int64), len(batch), weights) + _scaled(stats, centre, scale) @ slopes
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(strength)], ["label", "strength"])
+
+    return run
+
+
+def weighted_quantile(rows: DataFrame, weight: dict[int, float], share: float, few: int = FEW) -> float:
+    """The middle between the (label, strength) at which ``share`` of the labels' weight is reached and the next larger strength.
 
-    The gradient of a pair is its error times the difference of its rows' features, summed here row by row.
+    Exact: the range is narrowed by counts in a thousand bins until few different strengths are left.
     """
-    good, bad = pairs
-    n, values = len(z), _values(owner, len(z))
-    w = np.zeros(width + z.shape[1])
-    m, v = np.zeros_like(w), np.zeros_like(w)
-    for step in range(1, steps + 1):
-        strength = np.bincount(owner, weights=values * w[:width][feature], minlength=n) + z @ w[width:]
-        error = (sigmoid(strength[good] - strength[bad]) - 1) / max(1, len(good))
-        each = np.bincount(good, weights=error, minlength=n) - np.bincount(bad, weights=error, minlength=n)
-        g = np.r_[np.bincount(feature, weights=values * each[owner], minlength=width), z.T @ each] + decay * w
-        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        w = w - 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
-    return w[:width], w[width:]
-
-
-def learned(docs: DataFrame, labels: DataFrame, rows: int = ROWS, pairs: int = PAIRS, features: int = FEATURES) -> Model:
-    """A model from (id, text) and (id, label) rows with labels 0 and 1: from at most ``rows`` ids of each label.
-
-    The threshold is the score quantile at the share of label 0 among all labelled rows, taken over the sample weighted to
-    that share. Without texts of both labels all scores are equal. Null texts are empty, rows of one id count as one, texts of any
-    length are read whole.
+    rows = written(rows.groupBy("strength", "label").count(), "strengths")
+    w = F.when(F.col("label") == 1, weight[1]).otherwise(weight[0]) * F.col("count")
+    all_ = rows.agg(F.min("strength").alias("low"), F.max("strength").alias("high"), F.count(F.lit(1)).alias("n"), F.sum(F.col("count") * (F.col("label") == 1).cast("int")).alias("ones"), F.sum("count").alias("rows")).first()
+    goal = share * (weight[1] * all_.ones + weight[0] * (all_.rows - all_.ones))
+    low, high, n, below = all_.low, all_.high, all_.n, 0.0
+    inside = lambda a, b: F.col("strength").between(a, b)
+    while n > few and low < high:
+        at = F.least(F.lit(999), F.floor((F.col("strength") - low) / ((high - low) / 1000)).cast("int"))
+        bins = rows.filter(inside(low, high)).groupBy(at.alias("at")).agg(F.sum(w).alias("w"), F.min("strength").alias("low"), F.max("strength").alias("high"), F.count(F.lit(1)).alias("n")).orderBy("at").collect()
+        for i, b in enumerate(bins):
+            if below + b.w >= goal or i == len(bins) - 1:
+                break
+            below += b.w
+        if (b.low, b.high) == (low, high):
+            break
+        low, high, n = b.low, b.high, b.n
+    left = sorted((r.strength, r.w) for r in rows.filter(inside(low, high)).groupBy("strength").agg(F.sum(w).alias("w")).collect())
+    reached = below + np.cumsum([x for _, x in left])
+    found = left[min(int(np.searchsorted(reached, goal)), len(left) - 1)][0]
+    after = rows.filter(F.col("strength") > found).agg(F.min("strength")).first()[0]
+    return (found + (found if after is None else after)) / 2
+
+
+def learned(docs: DataFrame, labels: DataFrame, features: int = FEATURES, decay: float = 1e-3, steps: int = 120) -> Model:
+    """A model from (id, text) and (id, label) rows with labels 0 and 1: from the texts of all labelled ids.
+
+    The threshold is the score quantile at the share of label 0 among all labelled ids, the labels weighted to that share. Without
+    texts of both labels all scores are equal. Null texts are empty, rows of one id count as one, texts of any length are read whole.
     """
-    texts, size, total = labelled_texts(docs, labels, rows)
+    texts, size, total = labelled_texts(docs, labels)
     if len(size) < 2:
         zero = np.zeros(len(NAMES))
         return Model(np.full(1 << BITS, -1, np.int32), np.zeros(1), zero, zero + 1, zero, 0.0)
     table, ratio = chosen_features(texts, size, present, features)
-    y, owner, feature, x = drawn_rows(texts, present, table, statistics)
-    centre = np.median(x, axis=0)
-    scale = np.maximum(np.std(x, axis=0), 1e-3)
-    z = np.clip((x - centre) / scale, -6, 6)
-    draw = np.random.default_rng(7)
-    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
-    weights, slopes = fitted(owner, feature, z, (draw.choice(good, pairs), draw.choice(bad, pairs)), max(1, len(ratio)))
-    strength = _strength(owner, feature, len(y), weights) + z @ slopes
-    weight = np.where(y == 1, total[1] / len(good), total[0] / len(bad))
-    by = np.argsort(strength, kind="stable")
-    reached = np.cumsum(weight[by]) / weight.sum()
-    at = int(np.searchsorted(reached, total[0] / (total[0] + total[1])))
-    at = min(at, len(by) - 2)
-    return Model(table, weights, centre, scale, slopes, float((strength[by[at]] + strength[by[at + 1]]) / 2))
+    rows, width = featured(texts, present, table, statistics), max(1, len(ratio))
+    centre, scale = _moments(rows)
+    packed = blocks(rows, size, paired=True)
+    pairs = packed.agg(F.sum("pairs")).first()[0]
+    w = descended(packed, _gradient(width, centre, scale, max(1, pairs)), width + len(NAMES), np.full(width + len(NAMES), decay), steps)
+    strength = rows.select("label", "features", "stats").mapInArrow(_strengths(w[:width], w[width:], centre, scale), "label int, strength double")
+    threshold = weighted_quantile(strength, {c: total[c] / size[c] for c in (0, 1)}, total[0] / (total[0] + total[1]))
+    return Model(table, w[:width], centre, scale, w[width:], float(threshold))

@@ -15,12 +15,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import Grams, Texts, slices
-from .presence import BITS, chosen_features, distinct_pairs, drawn_rows, labelled_texts
-from .training import sigmoid, sparse_logistic
+from .presence import BITS, blocks, chosen_features, descended, distinct_pairs, featured, labelled_texts
+from .training import sigmoid
 
 SIZES = (4, 6)
-#: Features kept, and labelled rows learned from, of each class at most.
-FEATURES, ROWS = 4096, 6000
+#: Features kept.
+FEATURES = 4096
 
 
 def present(column: pa.Array, table: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -47,14 +47,23 @@ class Model:
         return sigmoid(np.bincount(owner, weights=self.weights[feature], minlength=len(column)) + self.intercept)
 
 
-def learned(docs: DataFrame, labels: DataFrame, rows: int = ROWS, features: int = FEATURES, decay: float = 1e-4, steps: int = 150) -> Model:
-    """A model from (id, text) and (id, label) rows with labels 0 and 1: from at most ``rows`` ids of each label.
+def _gradient(ratio: np.ndarray, rows: int):
+    def run(w: np.ndarray, y: np.ndarray, owner: np.ndarray, feature: np.ndarray, _) -> np.ndarray:
+        z = np.bincount(owner, weights=ratio[feature] * w[feature], minlength=len(y)) + w[-1]
+        error = (sigmoid(z) - y) / rows
+        return np.r_[np.bincount(feature, weights=ratio[feature] * error[owner], minlength=len(ratio)), error.sum()]
 
-    The intercept is set for the share of label 1 among all labelled rows, not among the sampled ones. Without texts of both
+    return run
+
+
+def learned(docs: DataFrame, labels: DataFrame, features: int = FEATURES, decay: float = 1e-4, steps: int = 150) -> Model:
+    """A model from (id, text) and (id, label) rows with labels 0 and 1: from the texts of all labelled ids.
+
+    The intercept is set for the share of label 1 among all labelled ids, also those without a text. Without texts of both
     labels every score is that share (0.5 without any label). Null texts are empty, rows of one id count as one, texts of any
     length are read whole.
     """
-    texts, size, total = labelled_texts(docs, labels, rows)
+    texts, size, total = labelled_texts(docs, labels)
     prior = (total.get(1, 0) + 0.5) / (sum(total.values()) + 1)
     logit = float(np.log(prior / (1 - prior)))
     table, ratio = np.full(1 << BITS, -1, np.int32), np.zeros(0)
@@ -62,10 +71,9 @@ def learned(docs: DataFrame, labels: DataFrame, rows: int = ROWS, features: int
         table, ratio = chosen_features(texts, size, present, features)
     if not len(ratio):
         return Model(table, np.zeros(1), logit)
-    y, owner, feature, _ = drawn_rows(texts, present, table)
-    w, b = sparse_logistic(owner, feature, ratio[feature], y, len(ratio), decay, steps)
-    drawn_share = y.mean()
-    return Model(table, w * ratio, b + logit - float(np.log(drawn_share / (1 - drawn_share))))
+    packed = blocks(featured(texts, present, table), size, paired=False)
+    w = descended(packed, _gradient(ratio, sum(size.values())), len(ratio) + 1, np.r_[np.full(len(ratio), decay), 0.0], steps)
+    return Model(table, w[:-1] * ratio, w[-1] + logit - float(np.log(size[1] / size[0])))
 
 
 def _score(model):
