@@ -34,6 +34,27 @@ def distinct_pairs(owners: list[np.ndarray], slots: list[np.ndarray], table: np.
     return pair >> BITS, pair & ((1 << BITS) - 1)
 
 
+#: Bits by which documents are told to have no label, for each labelled id, and at most: 8 MB.
+EACH, MOST = 16, 1 << 26
+
+
+def likely(docs: DataFrame, known: DataFrame, n: int) -> DataFrame:
+    """The documents whose id is among the ``n`` ids of ``known``, and a few others: of about 1 in EACH, more beyond MOST / EACH ids.
+
+    One bit, by hash, stands for each known id, so that of the other documents few texts are shuffled to be joined. Ids of two
+    types are left to the join.
+    """
+    if docs.schema["id"].dataType != known.schema["id"].dataType:
+        return docs
+    size = min(MOST, 1 << max(15, (EACH * n - 1).bit_length()))
+    place = F.pmod(F.xxhash64("id", F.lit("bit")), F.lit(size))
+    of, at = F.shiftright(place, 15), F.pmod(place, F.lit(1 << 15))
+    bits = known.groupBy(of.alias("_of")).agg(F.bitmap_construct_agg(at).alias("_bits"))
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    held = F.floor(byte / F.pow(F.lit(2), at % 8)) % 2 == 1
+    return docs.join(F.broadcast(bits), (of == F.col("_of")) & held, "left_semi")
+
+
 def labelled_texts(docs: DataFrame, labels: DataFrame, rows: int | None = None) -> tuple[DataFrame | None, dict[int, int], dict[int, int]]:
     """(label, text, key) of each id with a label, the labels' counts among these, and among all labelled ids; key is a hash of the id.
 
@@ -46,7 +67,7 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, rows: int | None = None)
     if len(total) < 2:
         return None, {}, total
     chosen = known if rows is None else bounded_sample(known, "label", rows, total)
-    texts = docs.join(chosen, "id").groupBy("id", "label").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    texts = likely(docs, chosen, sum(total.values())).join(chosen, "id").groupBy("id", "label").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
     texts = written(texts.select("label", "text", F.xxhash64("id").alias("key")), "labelled")
     return texts, {r.label: r["count"] for r in texts.groupBy("label").count().collect()}, total
 

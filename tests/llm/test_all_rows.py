@@ -56,3 +56,20 @@ def test_weighted_quantile_is_exact(spark, few, share):
     after = value[value > value[by][at]]
     want = (value[by][at] + (after.min() if len(after) else value[by][at])) / 2
     assert quality_classifier.weighted_quantile(rows, {0: 2.0, 1: 1.0}, share, few) == pytest.approx(want)
+
+
+@pytest.mark.parametrize("most", [1 << 15, 1 << 26])
+def test_few_texts_without_a_label_are_shuffled(spark, monkeypatch, most):
+    monkeypatch.setattr(presence, "MOST", most)
+    seen = []
+    monkeypatch.setattr(presence, "written", lambda df, _: seen.append(df) or df)
+    docs = spark.range(40_000).selectExpr("id", "concat('text ', id) AS text").unionByName(spark.sql("SELECT CAST(NULL AS BIGINT) AS id, 'none' AS text"))
+    labels = spark.range(0, 44_000, 10).selectExpr("id", "int(id % 20 = 0) AS label")
+    texts, size, total = presence.labelled_texts(docs, labels)
+    assert size == {0: 2000, 1: 2000} and total == {0: 2200, 1: 2200}
+    assert {(r.label, r.text) for r in texts.collect()} == {(int(i % 20 == 0), f"text {i}") for i in range(0, 40_000, 10)}
+    passed = presence.likely(docs, labels, 4400).count()
+    assert 4000 <= passed < 4000 + 36_000 * min(1, 1.2 * 4400 / min(most, 16 * 4400))
+    assert "LeftSemi" in seen[0]._jdf.queryExecution().optimizedPlan().toString()  # before the join that shuffles
+    other = presence.likely(docs, labels.withColumn("id", F.col("id").cast("int")), 4400)
+    assert other.count() == 40_001  # ids of two types are left to the join
