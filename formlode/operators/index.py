@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .retrieval import FOUND, SHARD, TOP, _tiles, _unit, _usable, cosine_topk, ranked
+from .retrieval import BLOCK, FOUND, SHARD, TOP, _tiles, _unit, _usable, cosine_topk, ranked
 
 #: Vectors from which centres are learned, and those by which probes are chosen, at most.
 SAMPLE, ASKED = 100_000, 500
@@ -103,7 +103,7 @@ def _by_list(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Queries (id, vector, lists) packed by the lists that they ask; a query's vector is repeated for each, so few go at once."""
     for whole in batches:
         width, lists = (len(whole.column(i).flatten()) // max(1, len(whole)) for i in (1, 2))
-        step = max(1, CELLS // max(1, width * lists))
+        step = max(1, min(BLOCK, CELLS // max(1, width * lists)))
         for at in range(0, len(whole), step):
             yield _packed_by_list(whole.slice(at, step))
 
@@ -120,6 +120,16 @@ def _packed_by_list(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, ["list", "ids", "body"])
 
 
+def _asking(centres: np.ndarray, many: int):
+    """Queries (id, vector) packed by their ``many`` nearest lists, in one pass, so that a task has one Python worker."""
+    nearest = _nearest(centres, many)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _by_list(nearest(batches))
+
+    return run
+
+
 def index_topk(index: Index, queries: DataFrame, top: int = TOP, probes: int = 8) -> DataFrame:
     """(query_id, rank, vector_id, field_name, similarity): the nearest of what lies in each query's ``probes`` nearest lists.
 
@@ -127,9 +137,11 @@ def index_topk(index: Index, queries: DataFrame, top: int = TOP, probes: int = 8
     without direction, find nothing.
     """
     asked = _usable(queries, "query_id").filter(F.col("dim") == index.centres.shape[1]).select("query_id", "embedding")
-    many = min(probes, len(index.centres))
-    blocks = asked.mapInArrow(_nearest(index.centres, many), "query_id long, embedding array<double>, lists array<int>").mapInArrow(_by_list, "list int, ids binary, body binary")
-    sent = blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(index.parts - 1))))
-    by = ["list", "part"]
-    found = index.rows.groupBy(*by).cogroup(sent.groupBy(*by)).applyInArrow(_tiles(top, own_too=False), FOUND)
+    many, cuts = min(probes, len(index.centres)), max(1, -(-asked.count() // SHARD))
+    blocks = asked.mapInArrow(_asking(index.centres, many), "list int, ids binary, body binary")
+    # A list's queries are cut too: a list that many ask for would else gather them all in one task.
+    sent = blocks.withColumn("cut", F.pmod(F.xxhash64("ids"), F.lit(cuts)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(index.parts - 1))))
+    stored = index.rows.withColumn("cut", F.explode(F.sequence(F.lit(0), F.lit(cuts - 1))))
+    by = ["list", "part", "cut"]
+    found = stored.groupBy(*by).cogroup(sent.groupBy(*by)).applyInArrow(_tiles(top, own_too=False), FOUND)
     return ranked(found, top)

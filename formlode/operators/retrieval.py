@@ -29,35 +29,55 @@ def _unit(rows: np.ndarray) -> np.ndarray:
 FOUND = "query_id long, vector_id long, field_name string, similarity double"
 
 
+def _joined(blocks: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The packed queries (ids, vectors) in runs of at most BLOCK: small blocks are put together, large ones are cut."""
+    ids, rows, n = [], [], 0
+    for i, (own, body) in enumerate(zip(blocks.column("ids"), blocks.column("body"), strict=True), 1):
+        ids.append(np.frombuffer(own.as_buffer(), np.int64))
+        rows.append(np.frombuffer(body.as_buffer(), np.float64).reshape(len(ids[-1]), -1))
+        n += len(ids[-1])
+        if n >= BLOCK or i == blocks.num_rows:
+            own, body = np.concatenate(ids), np.concatenate(rows)
+            for at in range(0, n, BLOCK):
+                yield own[at : at + BLOCK], body[at : at + BLOCK]
+            ids, rows, n = [], [], 0
+
+
 def _tiles(top: int, own_too: bool, tables: int = 0):
-    """The best of each query in a shard. The last ``tables`` entries of a vector are buckets, of which a pair must share one."""
+    """The best ``top`` of each query in a shard. The last ``tables`` entries of a vector are buckets, of which a pair must share one."""
 
     def run(shard: pa.Table, blocks: pa.Table) -> pa.Table:
-        out = []
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        ids = np.asarray(shard.column("vector_id"), np.int64)
         if shard.num_rows and blocks.num_rows:
             rows = np.asarray(shard.column("embedding").combine_chunks().flatten(), np.float64).reshape(shard.num_rows, -1)
             width = rows.shape[1] - tables
             vectors, buckets = _unit(rows[:, :width]), rows[:, width:]
-            ids, names = np.asarray(shard.column("vector_id")), shard.column("field_name").to_pylist()
-            for own, body in zip(blocks.column("ids").to_pylist(), blocks.column("body").to_pylist(), strict=True):
-                asked = np.frombuffer(body, np.float64).reshape(-1, rows.shape[1])
+            for own, asked in _joined(blocks):
                 queries = _unit(asked[:, :width])
+                best: list[list] = [[] for _ in own]
                 for at in range(0, len(vectors), TILE):
-                    scores = np.floor(queries @ vectors[at : at + TILE].T * 1e6 + 0.5) / 1e6
+                    scores = queries @ vectors[at : at + TILE].T
+                    scores *= 1e6
+                    scores += 0.5
+                    np.floor(scores, out=scores)
+                    scores /= 1e6
                     if tables:
                         met = np.zeros(scores.shape, bool)
                         for t in range(tables):
                             met |= asked[:, width + t, None] == buckets[None, at : at + TILE, t]
                         scores[~met] = -2.0
-                    for q, line in zip(np.frombuffer(own, np.int64).tolist(), scores, strict=True):
+                    for place, (q, line) in enumerate(zip(own.tolist(), scores, strict=True)):
                         if not own_too:
                             line = np.where(ids[at : at + TILE] == q, -2.0, line)
                         near = np.flatnonzero(line >= np.partition(line, -top)[-top]) if len(line) > top else np.arange(len(line))
-                        for i in sorted(near, key=lambda i: (-line[i], ids[at + i]))[:top]:
-                            if line[i] >= -1:  # not the query's own, and met
-                                out.append((q, int(ids[at + i]), names[at + i], float(line[i])))
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.float64())
-        return pa.table([pa.array([r[i] for r in out], kinds[i]) for i in range(4)], names=["query_id", "vector_id", "field_name", "similarity"])
+                        # Below -1 is the query's own, or what it has not met.
+                        best[place] = sorted(best[place] + [(-line[i], ids[at + i], at + i) for i in near if line[i] >= -1])[:top]
+                found = [(q, at, -s) for q, own_best in zip(own.tolist(), best, strict=True) for s, _, at in own_best]
+                out.append(tuple(np.array([f[i] for f in found], kind) for i, kind in enumerate((np.int64, np.int64, np.float64))))
+        asked_by, places, similarity = (np.concatenate(x) for x in zip(*out, strict=True))
+        names = shard.column("field_name").cast(pa.string()).take(pa.array(places))
+        return pa.table([pa.array(asked_by), pa.array(ids[places]), names, pa.array(similarity)], names=["query_id", "vector_id", "field_name", "similarity"])
 
     return run
 

@@ -78,3 +78,49 @@ def test_workers_hold_few_distances_and_copies():
     pairs = [(int(i), n) for b in blocks for n, own in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for i in np.frombuffer(own, np.int64)]
     want = [(int(i), n) for b in near for i, own in zip(b.column(0).to_pylist(), b.column(2).to_pylist()) for n in own]
     assert sorted(pairs) == sorted(want)
+
+
+def test_a_lists_queries_are_cut(spark, tmp_path, monkeypatch):
+    tiles = ix._tiles
+
+    def watched(*args, **kwargs):
+        run = tiles(*args, **kwargs)
+
+        def checked(shard, blocks):
+            n = sum(len(x) // 8 for x in blocks.column("ids").to_pylist())
+            assert n <= 200, n
+            return run(shard, blocks)
+
+        return checked
+
+    vectors = clustered(2, 200)
+    corpus, queries = table(spark, vectors), table(spark, vectors, "query_id").repartition(40)
+    index = ix.build_index(corpus, str(tmp_path), lists=2)
+    monkeypatch.setattr(ix, "SHARD", 60)
+    monkeypatch.setattr(ix, "_tiles", watched)
+    assert {tuple(r) for r in ix.index_topk(index, queries, probes=2).collect()} == {tuple(r) for r in cosine_topk(queries, corpus).collect()}
+
+
+def test_tiles_hold_few_similarities():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from formlode.operators import retrieval as re
+
+    draw = np.random.default_rng(5)
+    x, asked = draw.integers(-3, 4, (5000, 4)) + 0.5, draw.integers(-3, 4, (4000, 4)) + 0.5
+    ids, own = np.arange(5000)[::-1], np.arange(4000)
+    shard = pa.table({"vector_id": ids, "embedding": pa.array(x.tolist()), "field_name": [f"n{i}" for i in ids]})
+    blocks = pa.table({"ids": [own[:3990].tobytes(), *[own[i : i + 1].tobytes() for i in range(3990, 4000)]], "body": [asked[:3990].tobytes(), *[asked[i : i + 1].tobytes() for i in range(3990, 4000)]]})
+    tracemalloc.start()
+    got = re._tiles(5, own_too=False)(shard, blocks)
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert got.num_rows == 20_000 and peak < 40, peak
+    found = got.to_pydict()
+    for q in (0, 7, 3989, 3999):
+        s = np.floor(re._unit(asked[q : q + 1]) @ re._unit(x).T * 1e6 + 0.5)[0] / 1e6
+        want = sorted((-v, i) for v, i in zip(s.tolist(), ids.tolist(), strict=True) if i != q)[:5]
+        at = [i for i, n in enumerate(found["query_id"]) if n == q]
+        assert [(-found["similarity"][i], found["vector_id"][i]) for i in at] == want and all(found["field_name"][i] == f"n{found['vector_id'][i]}" for i in at)
