@@ -16,6 +16,10 @@ def _bucket(user: Column) -> Column:
     return F.pmod(F.xxhash64(user.cast("string")), F.lit(BUCKETS)).cast("int")
 
 
+def _folder(path: str, batch: int) -> str:
+    return f"{path}/batch={batch:08d}"
+
+
 def write_results(results: DataFrame, path: str, batch: int) -> None:
     """Store rows (user_id, session_id, pdf_id, ..) below ``path`` as the batch of that number, replacing it if it is there.
 
@@ -25,7 +29,12 @@ def write_results(results: DataFrame, path: str, batch: int) -> None:
     rows = results.withColumn("user_bucket", _bucket(F.col("user_id")))
     spread = F.pmod(F.xxhash64("session_id", "pdf_id"), F.lit(SPREAD))
     rows = rows.repartition("user_bucket", spread).sortWithinPartitions("user_bucket", *FORM)
-    rows.write.mode("overwrite").partitionBy("user_bucket").parquet(f"{path}/batch={batch:08d}")
+    rows.write.mode("overwrite").partitionBy("user_bucket").parquet(_folder(path, batch))
+
+
+def read_batch(spark: SparkSession, path: str, batch: int) -> DataFrame:
+    """The rows of one batch as they were stored, whether or not a later one replaced them."""
+    return spark.read.parquet(_folder(path, batch)).drop("user_bucket")
 
 
 def read_results(spark: SparkSession, path: str, user: object | None = None) -> DataFrame:

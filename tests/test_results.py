@@ -30,3 +30,17 @@ def test_a_large_folder_is_cut_by_its_rows(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out"))
     assert sorted((r.id, r.level) for r in got.collect()) == [(r.id, r.level) for r in rows.collect()]
     assert len(list((tmp_path / "out/level=global").glob("*.parquet"))) > 1 == len(list((tmp_path / "out/level=small").glob("*.parquet")))
+
+
+def test_forms_saved_again_are_read_from_the_first_batch(spark, monkeypatch):
+    from formlode.plans import values
+
+    plans = []
+
+    def watched(rows, path, batch):
+        plans.append(rows._jdf.queryExecution().optimizedPlan().toString())
+        write_results(rows, path, batch)
+
+    monkeypatch.setattr(values, "write_results", watched)
+    values.result_layout(spark, "/root/testdata/sf0.001")
+    assert len(plans) == 3 and "Join" in plans[0] and not any("Join" in p for p in plans[1:])
